@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .substring_bytes import op2_suffix_dedup
 from .substring_words import op8_substring_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
