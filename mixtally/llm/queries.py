@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .jaccard import op10_jaccard_join
 from .substring_bytes import op2_suffix_dedup
 from .substring_words import op8_substring_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
