@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .jaccard import op10_jaccard_join
 from .substring_bytes import op2_suffix_dedup
 from .substring_words import op8_substring_dedup
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
