@@ -44,23 +44,29 @@ class Anchors:
             self.at = self.near = self.far = np.zeros(0, np.int64)
             self.key = np.zeros(0, np.uint64)
             return
-        value = byte_grams(data, GRAM)
+        grams = byte_grams(data, GRAM)
+        value = (grams >> U64(32)).astype(np.uint32)
         least = sliding_min(value, PLACES)
         crossing = np.zeros(n + 1, np.int32)
         ends = offs[1:-1]
         np.add.at(crossing, np.maximum(0, ends - WINDOW + 1), 1)
         np.add.at(crossing, ends, -1)
-        least[np.cumsum(crossing)[: len(least)] > 0] = 0
-        padded = np.zeros(len(least) + 2 * (PLACES - 1), np.uint64)
+        least[np.cumsum(crossing, dtype=np.int32)[: len(least)] > 0] = 0
+        padded = np.zeros(len(least) + 2 * (PLACES - 1), np.uint32)
         padded[PLACES - 1 : PLACES - 1 + len(least)] = least
         self.at = np.flatnonzero((~sliding_min(~padded, PLACES) == value) & (value > 0))
-        self.key = value[self.at]
-        self.near = np.full(len(self.at), PLACES, np.int64)
-        self.far = np.full(len(self.at), -1, np.int64)
-        for o in range(PLACES):
-            own = padded[self.at - o + PLACES - 1] == self.key
-            np.minimum(self.near, o, out=self.near, where=own)
-            np.maximum(self.far, o, out=self.far, where=own)
+        self.key = grams[self.at]
+        # An anchor's windows stand side by side, in one run of equal least values.
+        run = segments(least)
+        last = np.append(run[1:], len(least)) - 1
+        low, high = np.searchsorted(self.at, run), np.searchsorted(self.at, last + PLACES - 1, side="right")
+        count = np.where(least[run] > 0, high - low, 0)
+        which, anchor = np.repeat(np.arange(len(run)), count), ranges(low, count)
+        own = value[self.at[anchor]] == least[run[which]]
+        which, anchor = which[own], anchor[own]
+        self.near, self.far = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        self.near[anchor] = np.maximum(0, self.at[anchor] - last[which])
+        self.far[anchor] = np.minimum(PLACES - 1, self.at[anchor] - run[which])
 
 
 class Chunk:
