@@ -10,6 +10,9 @@ open no pages.
 
 Equal sets are one node (named by the set's hash) before anything is exchanged. No page emits all its pairs:
 
+The points of an exchange are coarse. Before whole sets move, pairs are bounded again by finer points, whose groups grow with
+the set (about 8 tokens each), so that long documents don't pass by size alone.
+
 1. Each page covers its nodes by stars: a leader and the nodes whose bound with it reaches the threshold. The pairs are
    verified and components formed.
 2. Nodes outside their page's largest component are paired with their best bound elsewhere; verified, and merged.
@@ -24,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -332,42 +334,60 @@ def later_pairs(pages: DataFrame, labels: DataFrame, percent: int, best: bool) -
     return pages.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
-    """Those of the (checkpointed) pairs of nodes whose whole sets link."""
+def point_of(tokens: np.ndarray) -> np.ndarray:
+    """The fine count vector of a set: a group for about 8 tokens, a power of two of them, folded by remainders."""
+    groups = max(GROUPS, 1 << max(0, int(len(tokens) // 8).bit_length()))
+    return np.bincount((tokens >> U64(40)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint16 if len(tokens) < 1 << 16 else np.uint32)
+
+
+def points_reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the summed minima of two fine count vectors, the finer folded to the other's groups, reach the threshold."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    x, y = x.astype(np.int64), y.astype(np.int64).reshape(-1, len(x)).sum(axis=0)
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= percent * (int(x.sum() + y.sum()) - most)
+
+
+def sets_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(np.cumsum(x), np.cumsum(y), assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int, percent: int, describe, test) -> DataFrame:
+    """Those of the (checkpointed) pairs of nodes that pass test(x, y, percent), where x and y are what describe(tokens) makes of their sets."""
     need = C.checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node"))
-    small = need.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(need) if small else need
+    wanted = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             want = np.asarray(batch.column("node"), np.int64)
             for a, b, s in _sets(batch, text, n):
                 own = np.flatnonzero(s.node == want[a:b])
-                sets = [pack.compress(np.diff(s.token[s.first[i] : s.first[i + 1]], prepend=U64(0)).tobytes()) for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(s.node[own], pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.node[own], pa.int64()), pa.array([C.pack(describe(s.token[s.first[i] : s.first[i + 1]])) for i in own], pa.binary())], names=["node", "own"])
 
-    sets = docs.select(key, text).join(wanted, key).select("node", text).mapInArrow(run, "node long, tokens binary")
-    sets = C.checkpointed(sets)
+    known = C.checkpointed(docs.select(key, text).join(wanted, key).select("node", text).mapInArrow(run, "node long, own binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = zstandard.ZstdDecompressor()
         for batch in batches:
             keep = []
             last, x = None, None
-            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("tokens_a"), batch.column("tokens_b")):
+            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("own_a"), batch.column("own_b")):
                 if a != last:
-                    last, x = a, np.cumsum(np.frombuffer(read.decompress(one.as_py()), np.uint64))
-                y = np.cumsum(np.frombuffer(read.decompress(two.as_py()), np.uint64))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    one = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    two = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
+                    last, x = a, C.unpack(one.as_py())[0]
+                keep.append(test(x, C.unpack(two.as_py())[0], percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    one = known.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
+    two = known.select(F.col("node").alias("a"), F.col("own").alias("own_a"))
     return C.checkpointed(pairs.join(one, "b").join(two, "a").mapInArrow(compare, "a long, b long").distinct())
 
 
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
+    """Those of the (checkpointed) pairs of nodes whose whole sets link; first bounded once more, by fine count vectors."""
+    near = _compared(pairs, docs, nodes, text, key, n, percent, point_of, points_reach)
+    return _compared(near, docs, nodes, text, key, n, percent, lambda tokens: np.diff(tokens, prepend=U64(0)), sets_link)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of each document: the least `key` that its links reach, itself included.
 
