@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own, whole.
@@ -31,12 +31,12 @@ PARTS = "chunk long, bucket int, blob binary"
 REPLIES = "chunk long, blob binary"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that all executors share; its lineage ends there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without one, as in tests, gets a temporary folder.
+    Only a local session without one, as in tests, gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -44,6 +44,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder that all executors share; its lineage ends there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .chat import OP3_SQL, op3_perspective_rotation
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .jaccard import op10_jaccard_join
 from .quality import op1_quality_classifier
 from .substring_bytes import op2_suffix_dedup
 from .substring_words import op8_substring_dedup
+from .warc import OP9_SQL, op9_warc_archive
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op3_perspective_rotation": op3_perspective_rotation,
+    "op9_warc_archive": op9_warc_archive,
     "op10_jaccard_join": op10_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_perspective_rotation": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op9_warc_archive": OP9_SQL,
 }
