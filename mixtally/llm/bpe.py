@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Each chunk of documents splits its texts into pre-tokens once and keeps their positions as one array of word numbers; its
-distinct pre-tokens go, sorted and packed, to the bucket that their hash names. A bucket encodes each distinct word once,
+Each chunk of documents splits its texts into pre-tokens and keeps their positions as one array of word numbers; its distinct
+pre-tokens go, packed, to the bucket that their hash names. A bucket encodes each distinct word once,
 however many chunks sent it, and returns the ids to each sender, which puts them back by position. Decoding joins the
 ids with the table of token bytes. A frequent word costs an entry for each chunk; texts themselves aren't shuffled,
 only word numbers.
@@ -65,19 +65,14 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[bytes], list[int
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
-def _bucket(words: list[str], buckets: int) -> np.ndarray:
-    return np.array([hash_of(w) % buckets for w in words], np.int64)
+def _split(docs: DataFrame, text: str, pattern: str, buckets: int, positions: bool) -> DataFrame:
+    """Rows (chunk, bucket, blob, rest) of each chunk of documents: its words for each bucket, or the words by position.
 
-
-def hash_of(word: str) -> int:
+    Words are numbered as they first appear and sent in that order. With positions, the row holds the number of words of each
+    text, the word numbers, and the bucket of each word, and `rest` the documents' other columns.
+    """
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.encode())
-
-
-def _split(docs: DataFrame, text: str, pattern: str, buckets: int) -> DataFrame:
-    """Rows (chunk, bucket, blob, rest): a chunk's words for each bucket, and its word numbers with its documents' other columns."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         first = TaskContext.get().partitionId() << 32
@@ -86,27 +81,30 @@ def _split(docs: DataFrame, text: str, pattern: str, buckets: int) -> DataFrame:
             found, sizes = [], []
             for t in rows.column(text):
                 words = find(t.as_py() or "")
-                sizes.append(len(words))
-                found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-            words = sorted(number, key=number.get)
-            where = _bucket(words, buckets)
-            # Words are renumbered in the order in which they are sent: by bucket, then sorted.
-            order = sorted(range(len(words)), key=lambda i: (where[i], words[i]))
-            renamed = np.empty(len(words), np.int32)
-            renamed[order] = np.arange(len(words), dtype=np.int32)
-            sent = where[order] if words else where
-            bounds = np.searchsorted(sent, np.arange(buckets + 1))
+                if positions:
+                    sizes.append(len(words))
+                    found.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.uint32, len(words)))
+                else:
+                    number.update(dict.fromkeys(words))  # a known word keeps its place
+            words = [w.encode() for w in number]
+            where = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
             out = []
-            for b in range(buckets):
-                own = [words[order[i]].encode() for i in range(bounds[b], bounds[b + 1])]
-                if own:
-                    out.append((first + k, b, C.pack(np.array([bounds[b]]), np.array([len(w) for w in own], np.uint32), np.frombuffer(b"".join(own), np.uint8)), None))
-            ids = renamed[np.concatenate(found)] if words else np.zeros(0, np.int32)
-            rest = C.to_blob(rows.drop_columns([text]) if rows.num_columns > 1 else pa.RecordBatch.from_arrays([pa.array([True] * rows.num_rows)], names=["_"]))
-            out.append((first + k, POSITIONS, C.pack(np.array(sizes, np.int64), ids), rest))
+            if positions:
+                ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+                # The numbers' bytes lie apart, lowest first: frequent words have low numbers, so the high bytes shrink.
+                planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+                rest = C.to_blob(rows.drop_columns([text]) if rows.num_columns > 1 else pa.RecordBatch.from_arrays([pa.array([True] * rows.num_rows)], names=["_"]))
+                out.append((first + k, POSITIONS, C.pack(np.array(sizes, np.int64), planes, where.astype(np.uint32)), rest))
+            else:
+                order = np.argsort(where, kind="stable")
+                bounds = np.searchsorted(where[order], np.arange(buckets + 1))
+                for b in range(buckets):
+                    own = [words[i] for i in order[bounds[b] : bounds[b + 1]]]
+                    if own:
+                        out.append((first + k, b, C.pack(np.array([len(w) for w in own], np.uint32), np.frombuffer(b"".join(own), np.uint8)), None))
             yield C.batch_of(out, ["chunk", "bucket", "blob", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
-    return C.checkpointed(docs.mapInArrow(run, "chunk long, bucket int, blob binary, rest binary"))
+    return docs.mapInArrow(run, "chunk long, bucket int, blob binary, rest binary")
 
 
 def _encoded(parts: DataFrame, ranks, pattern: str) -> DataFrame:
@@ -118,7 +116,7 @@ def _encoded(parts: DataFrame, ranks, pattern: str) -> DataFrame:
         for batch in batches:
             out = []
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-                start, sizes, raw = C.unpack(blob.as_py())
+                sizes, raw = C.unpack(blob.as_py())
                 raw, end, ids = raw.tobytes(), 0, []
                 for n in sizes.tolist():
                     word = raw[end : end + n]
@@ -128,22 +126,27 @@ def _encoded(parts: DataFrame, ranks, pattern: str) -> DataFrame:
                         got = known[word] = encode(word)
                     ids.append(got)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append((chunk, key[0].as_py(), C.pack(start, counts, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))), None))
+                out.append((chunk, key[0].as_py(), C.pack(np.array([key[0].as_py()]), counts, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))), None))
             yield C.batch_of(out, ["chunk", "bucket", "blob", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return parts.where(f"bucket != {POSITIONS}").groupBy("bucket").applyInArrow(run, "chunk long, bucket int, blob binary, rest binary")
+    return parts.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, blob binary, rest binary")
 
 
 class Encoded:
     """A chunk's encoded texts: `sizes` in words, word `number`s by position, and of each word its `ids` from `begin`, `count` of them."""
 
-    def __init__(self, sizes: np.ndarray, number: np.ndarray, replies: list[list[np.ndarray]]):
+    def __init__(self, sizes: np.ndarray, planes: np.ndarray, where: np.ndarray, replies: list[list[np.ndarray]]):
         replies.sort(key=lambda r: int(r[0][0]))
-        self.sizes, self.number = sizes, number
-        self.count = np.concatenate([r[1] for r in replies] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        count = np.concatenate([r[1] for r in replies] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        if len(count) != len(where) or [(int(r[0][0]), len(r[1])) for r in replies] != [(b, n) for b, n in enumerate(np.bincount(where).tolist()) if n]:
+            raise RuntimeError("the documents changed between two reads: checkpoint them first")
+        self.sizes = sizes
+        self.number = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
         self.ids = np.concatenate([r[2] for r in replies] or [np.zeros(0, np.int32)])
-        self.begin = np.cumsum(self.count) - self.count
+        order = np.argsort(where, kind="stable")
+        self.count, self.begin = np.empty_like(count), np.empty_like(count)
+        self.count[order], self.begin[order] = count, np.cumsum(count) - count
         self.first = np.concatenate([[0], np.cumsum(sizes)])
 
     def texts(self) -> Iterator[np.ndarray]:
@@ -154,11 +157,15 @@ class Encoded:
 
 
 def encoded(docs: DataFrame, finish: Callable[[pa.Table, Encoded], pa.Table], schema: str, ranks: dict[bytes, int], pattern: str, text: str) -> DataFrame:
-    """finish(other columns, encoded texts) of each chunk of documents."""
+    """finish(other columns, encoded texts) of each chunk of documents.
+
+    The documents are read twice, for their words and for the words' positions, and must be the same, in the same partitions
+    and order, both times, as files are. A chunk whose replies don't fit its words fails.
+    """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(ranks)  # a vocabulary, of fixed size
     buckets = max(12, docs.rdd.getNumPartitions())
-    parts = _split(docs, text, pattern, buckets)
+    words, places = (_split(docs, text, pattern, buckets, positions) for positions in (False, True))
 
     def run(table: pa.Table) -> pa.Table:
         replies, whole, rest = [], None, None
@@ -169,7 +176,7 @@ def encoded(docs: DataFrame, finish: Callable[[pa.Table, Encoded], pa.Table], sc
                 replies.append(C.unpack(blob))
         return finish(rest, Encoded(*whole, replies))
 
-    return parts.where(f"bucket = {POSITIONS}").unionByName(_encoded(parts, ranks, pattern)).groupBy("chunk").applyInArrow(run, schema)
+    return places.unionByName(_encoded(words, ranks, pattern)).groupBy("chunk").applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:
