@@ -5,7 +5,9 @@ from __future__ import annotations
 from .bpe import op7_byte_bpe
 from .chat import OP3_SQL, op3_perspective_rotation
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .divergence import op5_divergence_rules
 from .jaccard import op10_jaccard_join
+from .license_scan import op6_license_scan
 from .quality import op1_quality_classifier
 from .substring_bytes import op2_suffix_dedup
 from .substring_words import op8_substring_dedup
@@ -17,6 +19,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op3_perspective_rotation": op3_perspective_rotation,
+    "op5_divergence_rules": op5_divergence_rules,
+    "op6_license_scan": op6_license_scan,
     "op9_warc_archive": op9_warc_archive,
     "op10_jaccard_join": op10_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
