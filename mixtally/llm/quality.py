@@ -5,9 +5,9 @@ trained on bad text; the difference of the sizes, divided by the block's length,
 for text that any compressor shrinks to nothing. The mean, the least, the lower quartile and the median of the blocks'
 differences, with the text's length, become a probability by logistic calibration.
 
-Dictionaries and calibration are fitted on bounded samples of labelled rows (SAMPLE_ROWS and SAMPLE_BYTES for each label, the
-first by a hash of the key), one half for either, so that the calibration sees texts that the dictionaries haven't. Texts are
-scored in one pass, without a shuffle.
+Dictionaries and calibration are fitted on bounded samples of labelled rows (for each label SAMPLE_ROWS and SAMPLE_BYTES at
+most), drawn from the table of labels by a hash of the key, one half for either, so that the calibration sees texts that the
+dictionaries haven't. Texts are scored in one pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -92,25 +92,30 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[:DICTIONARY]
 
 
-def sample(rows: DataFrame, text: str, key: str, label: str, value: int) -> list[bytes]:
-    """Texts of rows with this label: the first SAMPLE_ROWS by hash of the key, as many whole ones as SAMPLE_BYTES hold."""
-    out, left = [], SAMPLE_BYTES
-    few = rows.where(F.col(label) == value).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key), F.col(text)).limit(SAMPLE_ROWS)
-    for row in few.select(text).toLocalIterator():
-        raw = (row[0] or "").encode()
-        if raw and len(raw) <= left:
-            left -= len(raw)
-            out.append(raw)
+def samples(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -> dict[tuple[int, int], list[bytes]]:
+    """Texts by label (0 or 1) and half: of each, SAMPLE_ROWS labels at most, the first by a hash of the key, and SAMPLE_BYTES of whole texts."""
+    known = labels.select(F.col(key), F.col(label).alias("__label"), F.xxhash64(F.col(key).cast("string")).alias("__hash"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(2)).cast("int").alias("__half")).distinct()
+    parts = [known.where((F.col("__label") == v) & (F.col("__half") == h)).orderBy("__hash", key).limit(SAMPLE_ROWS) for v in (0, 1) for h in (0, 1)]
+    few = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    # At most 4 * SAMPLE_ROWS keys are broadcast, so no text is shuffled but the sample's.
+    rows = docs.select(key, text).join(F.broadcast(few), key).orderBy("__hash", key, text)
+    out: dict[tuple[int, int], list[bytes]] = {(v, h): [] for v in (0, 1) for h in (0, 1)}
+    left = dict.fromkeys(out, SAMPLE_BYTES)
+    for row in rows.select("__label", "__half", text).toLocalIterator():
+        raw, own = (row[2] or "").encode(), (row[0], row[1])
+        if raw and len(raw) <= left[own]:
+            left[own] -= len(raw)
+            out[own].append(raw)
     return out
 
 
-def fit(labelled: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
-    """A model of rows with a text and a label of 1 (good) or 0 (bad); other labels, null ones too, are left out.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
+    """A model from labels (key, label), 1 for good and 0 for bad, of documents (key, text). Other labels, null ones too, are left out.
 
-    Without rows of both labels the dictionaries say nothing, and the model scores 0.5 or the share of the label it saw.
+    Without documents of both labels the dictionaries say nothing, and the model scores the share of the label it saw, or 0.5.
     """
-    half = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(2))
-    parts = {(v, h): sample(labelled.where(half == h), text, key, label, v) for v in (0, 1) for h in (0, 1)}
+    labels = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    parts = samples(docs, labels, text, key, label)
     good, bad = _dictionary(parts[1, 0]), _dictionary(parts[0, 0])
     known = Scorer(good, bad)
     texts = parts[1, 1] + parts[0, 1]
@@ -120,7 +125,7 @@ def fit(labelled: DataFrame, text: str = "text", key: str = "doc_id", label: str
     if 0 < y.sum() < len(y):
         # The samples of both labels have one bound; the rows' shares weigh in again through the bias.
         bias, weights = calibrate(np.array([known.features(t) for t in texts]), y)
-        shares = {r[label]: r["n"] for r in labelled.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.count("*").alias("n")).collect()}
+        shares = {r[label]: r["n"] for r in labels.groupBy(label).agg(F.count("*").alias("n")).collect()}
         bias += np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
         return Model(good, bad, float(bias), weights)
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -155,8 +160,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def fit_labels(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the documents whose labels aren't held out."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    return fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return fit(docs, labels.where(~held_out()))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
