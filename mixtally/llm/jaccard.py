@@ -1,18 +1,15 @@
 """N-gram Jaccard join: count vectors in R-trees bound the overlap, survivors are verified on whole shingle sets.
 
-The points are count vectors: a document's shingles are hashed into groups and each coordinate counts one group. The sum of
-coordinate minima bounds the intersection of two sets from above, and an R-tree node's greatest coordinates bound it for
-all points below. One R-tree over a corpus can't be dealt out, as in many dimensions every leaf meets almost every other;
-so the root's fan-out is by token. Two sets that reach the threshold share one of their first n - ceil(0.8 n) + 1 tokens
-in any global order, so documents meet in the pages of those tokens, and each page has an R-tree. The order goes from
-rare to frequent tokens by a sketch, of fixed size, of the document frequencies of all documents; frequent passages so
-open no pages.
+The points are count vectors: a document's shingles are hashed into groups, about as many as there are shingles, and each
+coordinate counts one group. The sum of coordinate minima bounds the intersection of two sets from above (vectors of
+different length are folded to the shorter), and an R-tree node's greatest coordinates bound it for all points below. One
+R-tree over a corpus can't be dealt out, as in many dimensions every leaf meets almost every other; so the root's fan-out is
+by token. Two sets that reach the threshold share one of their first n - ceil(0.8 n) + 1 tokens in any global order, so
+documents meet in the pages of those tokens, and each larger page has an R-tree. The order goes from rare to frequent tokens
+by a sketch, of fixed size, of the document frequencies of all documents; frequent passages so open no pages.
 
 Equal sets are one node (named by the set's hash) before anything is exchanged. No page emits all its pairs:
 
-The points of an exchange are coarse. Before whole sets move, pairs are bounded again by finer points, whose groups grow with
-the set (about 8 tokens each), so that long documents don't pass by size alone.
-
 1. Each page covers its nodes by stars: a leader and the nodes whose bound with it reaches the threshold. The pairs are
    verified and components formed.
 2. Nodes outside their page's largest component are paired with their best bound elsewhere; verified, and merged.
@@ -36,8 +33,10 @@ from .textops import U64, Words, flat, grams, mix, pieces, segments
 
 #: Words in a shingle; percent of the union that the intersection of two linked sets has at least.
 SHINGLE, PERCENT = 5, 80
-#: Groups of a count vector, counters of the frequency sketch (its size is fixed: a byte each when broadcast).
-GROUPS, SKETCH, SLICES = 32, 1 << 20, 64
+#: Least groups of a count vector, as many as an R-tree's boxes have.
+GROUPS = 32
+#: Counters of the frequency sketch, a byte each when broadcast, whatever the corpus, and slices in which they are summed.
+SKETCH, SLICES = 1 << 21, 64
 #: Nodes in a leaf of an R-tree.
 LEAF = 16
 #: Most rows of a table that is broadcast; beyond, it is shuffled.
@@ -122,12 +121,12 @@ def _prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def entries(docs: DataFrame, text: str, n: int, percent: int, classes, buckets: int) -> DataFrame:
-    """Each batch's first tokens, with the nodes that have them and those nodes' points, by bucket of the token."""
+    """Each batch's first tokens, with the nodes that have them, by bucket of the token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = C.unpack(classes.value)[0]
         for k, rows in enumerate(C.row_groups(batches, text)):
-            tokens, owners, nodes, sizes, points = [], [], [], [], []
+            tokens, owners, nodes, sizes = [], [], [], []
             base = 0
             for _, _, s in _sets(rows, text, n):
                 live = np.flatnonzero(s.size > 0)
@@ -138,7 +137,6 @@ def entries(docs: DataFrame, text: str, n: int, percent: int, classes, buckets:
                 at = np.flatnonzero(stay[s.row])
                 token, row = s.token[at], s.row[at]
                 number = np.cumsum(stay) - 1
-                points.append(np.bincount(number[row] * GROUPS + (token >> U64(40)).astype(np.int64) % GROUPS, minlength=len(own) * GROUPS).reshape(-1, GROUPS))
                 by = np.lexsort((token, level[(token & U64(SKETCH - 1)).astype(np.int64)], row))
                 row = row[by]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -150,7 +148,7 @@ def entries(docs: DataFrame, text: str, n: int, percent: int, classes, buckets:
                 base += len(own)
             if not base:
                 continue
-            token, owner, node, size, point = (np.concatenate(x) for x in (tokens, owners, nodes, sizes, points))
+            token, owner, node, size = (np.concatenate(x) for x in (tokens, owners, nodes, sizes))
             where = (token >> U64(20)) % U64(buckets)
             by = np.lexsort((token, where))
             bounds = np.searchsorted(where[by], np.arange(buckets + 1, dtype=np.uint64))
@@ -159,24 +157,47 @@ def entries(docs: DataFrame, text: str, n: int, percent: int, classes, buckets:
                 own = by[bounds[b] : bounds[b + 1]]
                 if len(own):
                     here, mine = np.unique(owner[own], return_inverse=True)
-                    out.append((k, b, C.pack(token[own], mine.astype(np.uint32), node[here], size[here].astype(np.uint32), point[here].astype(np.uint32).T.copy())))
+                    out.append((k, b, C.pack(token[own], mine.astype(np.uint32), node[here], size[here].astype(np.uint32))))
             yield C.parts_batch(out)
 
     return docs.select(text).mapInArrow(run, C.PARTS)
 
 
-class Pages:
-    """A bucket's pages: nodes (`node`, `size`, `point`), and of each page its members, from `first` to the next."""
+def point_of(tokens: np.ndarray) -> np.ndarray:
+    """The count vector of a set: the greatest power of two of groups that isn't over its size, GROUPS at least."""
+    groups = max(GROUPS, 1 << (len(tokens).bit_length() - 1))
+    return np.bincount((tokens >> U64(32)).astype(np.int64) & (groups - 1), minlength=groups)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Count vectors (rows) with fewer groups."""
+    return points if points.shape[-1] == groups else points.reshape(*points.shape[:-1], -1, groups).sum(axis=-2)
 
-    def __init__(self, blob: bytes | None = None):
-        if blob is not None:
-            self.node, self.size, point, self.first, self.member = C.unpack(blob)
-            self.point = point.reshape(-1, GROUPS).astype(np.int64)
-            self.size = self.size.astype(np.int64)
 
-    @classmethod
-    def of(cls, blobs: list[bytes]) -> Pages | None:
-        """Pages of at least two nodes; None if there are none."""
+class Pages:
+    """A bucket's pages: nodes (`node`, `size`), and of each page its members, from `first` to the next; later the nodes' points."""
+
+    def __init__(self, blob: bytes, points: dict[int, np.ndarray] | None = None):
+        self.node, size, self.first, member, *own = C.unpack(blob)
+        self.size, self.member = size.astype(np.int64), member.astype(np.int64)
+        self.coarse = None
+        if points is not None:
+            own = [np.concatenate([points[x] for x in self.node.tolist()]), np.array([len(points[x]) for x in self.node.tolist()], np.uint32)]
+        if own:
+            counts, self.groups = own[0].astype(np.int32), own[1].astype(np.int64)
+            ends = np.cumsum(self.groups)
+            # Points of one length stand in one matrix: row[i] is node i's.
+            self.row, self.matrix = np.zeros(len(self.node), np.int64), {}
+            self.coarse = np.zeros((len(self.node), GROUPS), np.int32)
+            for g in np.unique(self.groups).tolist():
+                same = np.flatnonzero(self.groups == g)
+                self.row[same] = np.arange(len(same))
+                self.matrix[g] = counts[ends[same][:, None] - g + np.arange(g)]
+                self.coarse[same] = folded(self.matrix[g], GROUPS)
+
+    @staticmethod
+    def of(blobs: list[bytes]) -> bytes | None:
+        """The blob of all pages of at least two nodes; None if there are none."""
         parts = [C.unpack(b) for b in blobs]
         node = np.concatenate([p[2] for p in parts])
         base = np.cumsum([0] + [len(p[2]) for p in parts])
@@ -194,19 +215,25 @@ class Pages:
             return None
         member, count = member[live], count[count > 1]
         used, member = np.unique(member, return_inverse=True)
-        self = cls()
-        self.node, self.size = distinct[used], np.concatenate([p[3] for p in parts])[first[used]].astype(np.int64)
-        self.point = np.concatenate([p[4].reshape(GROUPS, -1).T for p in parts])[first[used]].astype(np.int64)
-        self.first, self.member = np.concatenate([[0], np.cumsum(count)]), member
-        return self
+        size = np.concatenate([p[3] for p in parts])[first[used]]
+        return C.pack(distinct[used], size, np.concatenate([[0], np.cumsum(count)]), member.astype(np.uint32))
 
     def blob(self) -> bytes:
-        return C.pack(self.node, self.size.astype(np.uint32), self.point.astype(np.uint32), self.first, self.member.astype(np.uint32))
-
-    def bound(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Percent points that the summed minima of nodes a and b leave above the threshold; below 0 they can't link."""
-        most = np.minimum(self.point[a], self.point[b]).sum(axis=-1)
-        return 100 * most - percent * (self.size[a] + self.size[b] - most)
+        counts = np.concatenate([self.matrix[g][r] for g, r in zip(self.groups.tolist(), self.row.tolist())])
+        return C.pack(self.node, self.size.astype(np.uint32), self.first, self.member.astype(np.uint32), counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32), self.groups.astype(np.uint32))
+
+    def bound(self, own: np.ndarray, x: int, percent: int) -> np.ndarray:
+        """For each of the nodes, what the summed minima with node x leave above the threshold; below 0 they can't link."""
+        most = np.minimum(self.coarse[own], self.coarse[x]).sum(axis=1)
+        out = 100 * most - percent * (self.size[own] + self.size[x] - most)
+        point = self.matrix[int(self.groups[x])][self.row[x]]
+        for g in np.unique(self.groups[own[out >= 0]]).tolist():
+            at = np.flatnonzero((out >= 0) & (self.groups[own] == g))
+            common = min(g, len(point))
+            if common > GROUPS:
+                most = np.minimum(folded(self.matrix[g][self.row[own[at]]], common), folded(point, common)).sum(axis=1)
+                out[at] = 100 * most - percent * (self.size[own[at]] + self.size[x] - most)
+        return out
 
     def lists(self) -> Iterator[np.ndarray]:
         """Distinct pages."""
@@ -215,7 +242,7 @@ class Pages:
             page = self.member[a:b]
             if (name := page.tobytes()) not in seen:
                 seen.add(name)
-                yield page.astype(np.int64)
+                yield page
 
 
 class RTree:
@@ -228,13 +255,13 @@ class RTree:
         while len(parts[0]) > LEAF:  # halve along the widest coordinate until leaves are small
             split = []
             for p in parts:
-                values = pages.point[p]
+                values = pages.coarse[p]
                 axis = int(np.argmax(values.max(axis=0) - values.min(axis=0)))
                 order = np.argsort(values[:, axis], kind="stable")
                 split += [p[order[: len(p) // 2]], p[order[len(p) // 2 :]]]
             parts = split
         self.leaves = parts
-        self.levels = [(np.stack([pages.point[p].max(axis=0) for p in parts]), np.array([pages.size[p].min() for p in parts]))]
+        self.levels = [(np.stack([pages.coarse[p].max(axis=0) for p in parts]), np.array([pages.size[p].min() for p in parts]))]
         while len(self.levels[-1][0]) > 1:
             top, least = self.levels[-1]
             self.levels.append((np.maximum(top[0::2], top[1::2]), np.minimum(least[0::2], least[1::2])))
@@ -245,26 +272,26 @@ class RTree:
         for k, (top, least) in enumerate(reversed(self.levels)):
             if k:
                 at = np.concatenate([2 * at, 2 * at + 1])
-            most = np.minimum(top[at], self.pages.point[x]).sum(axis=1)
+            most = np.minimum(top[at], self.pages.coarse[x]).sum(axis=1)
             at = at[100 * most >= self.percent * (least[at] + self.pages.size[x] - most)]
             if not len(at):
                 return at
         own = np.concatenate([self.leaves[i] for i in at])
-        return own[self.pages.bound(own, np.full(len(own), x), self.percent) >= 0]
+        return own[self.pages.bound(own, x, self.percent) >= 0]
 
 
 def stars(pages: Pages, page: np.ndarray, percent: int) -> np.ndarray:
     """Pairs that cover the page: each node that is in reach of an earlier leader is paired with the first such leader."""
     if len(page) == 2:
-        return page[None, :] if pages.bound(page[:1], page[1:], percent)[0] >= 0 else page[None, :][:0]
+        return page[None, :] if pages.bound(page[:1], int(page[1]), percent)[0] >= 0 else page[None, :][:0]
     tree = RTree(pages, page, percent) if len(page) > 4 * LEAF else None
     out, left = [], page
     free = np.zeros(len(pages.node), bool)
     free[page] = True
     while len(left) > 1:
-        leader = left[0]
+        leader = int(left[0])
         free[leader] = False
-        reach = tree.near(leader) if tree else left[1:][pages.bound(left[1:], np.full(len(left) - 1, leader), percent) >= 0]
+        reach = tree.near(leader) if tree else left[1:][pages.bound(left[1:], leader, percent) >= 0]
         reach = reach[free[reach]]
         free[reach] = False
         out.append(np.stack([np.full(len(reach), leader), reach], axis=1))
@@ -281,11 +308,11 @@ def crossing(pages: Pages, page: np.ndarray, label: np.ndarray, percent: int, be
     tree = RTree(pages, page, percent) if len(page) > 4 * LEAF else None
     tested = {(a, b) for a, b in np.sort(stars(pages, page, percent), axis=1).tolist()} if best else ()
     out = []
-    for x in outside:
-        reach = tree.near(x) if tree else page[pages.bound(page, np.full(len(page), x), percent) >= 0]
+    for x in outside.tolist():
+        reach = tree.near(x) if tree else page[pages.bound(page, x, percent) >= 0]
         reach = reach[label[reach] != label[x]]
         if best and len(reach):
-            score = pages.bound(reach, np.full(len(reach), x), percent)
+            score = pages.bound(reach, x, percent)
             reach = next(([y] for y in reach[np.argsort(-score, kind="stable")].tolist() if (min(x, y), max(x, y)) not in tested), [])
         out.append(np.stack([np.full(len(reach), x), np.asarray(reach, np.int64)], axis=1))
     return np.concatenate(out)
@@ -307,14 +334,32 @@ def first_pairs(pages: DataFrame, percent: int) -> DataFrame:
     return pages.mapInArrow(run, "a long, b long").distinct()
 
 
-def later_pairs(pages: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of `crossing`; labels has (a, b): the node, and its component."""
+def _members(pages: DataFrame) -> DataFrame:
+    """(bucket, node) of the nodes in each bucket's pages."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-                node = Pages(blob.as_py()).node
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.full(len(node), bucket), pa.int32())], names=["a", "bucket"])
+                node = C.unpack(blob.as_py())[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), bucket), pa.int32()), pa.array(node, pa.int64())], names=["bucket", "node"])
+
+    return pages.mapInArrow(run, "bucket int, node long")
+
+
+def with_points(pages: DataFrame, points: DataFrame) -> DataFrame:
+    """The pages with their nodes' points; points is (node, own)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {node: C.unpack(own)[0] for node, own in zip(right.column("node").to_pylist(), right.column("own").to_pylist())}
+        rows = [(bucket, Pages(blob, known).blob()) for bucket, blob in zip(left.column("bucket").to_pylist(), left.column("blob").to_pylist())]
+        return pa.Table.from_batches([C.batch_of(rows, ["bucket", "blob"], [pa.int32(), pa.binary()])])
+
+    own = _members(pages).join(points, "node").select("bucket", "node", "own")
+    return pages.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(run, "bucket int, blob binary")
+
+
+def later_pairs(pages: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of `crossing`; labels has (a, b): the node, and its component."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -330,22 +375,23 @@ def later_pairs(pages: DataFrame, labels: DataFrame, percent: int, best: bool) -
             out.append(_pairs_batch(p, [crossing(p, page, label, percent, best) for page in p.lists()]))
         return pa.Table.from_batches(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    known = pages.mapInArrow(members, "a long, bucket int").join(labels, "a").select("bucket", "a", "b")
+    known = _members(pages).withColumnRenamed("node", "a").join(labels, "a").select("bucket", "a", "b")
     return pages.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "a long, b long").distinct()
 
 
-def point_of(tokens: np.ndarray) -> np.ndarray:
-    """The fine count vector of a set: a group for about 8 tokens, a power of two of them, folded by remainders."""
-    groups = max(GROUPS, 1 << max(0, int(len(tokens) // 8).bit_length()))
-    return np.bincount((tokens >> U64(40)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint16 if len(tokens) < 1 << 16 else np.uint32)
+def described(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int, describe) -> DataFrame:
+    """(node, own) of each wanted node, where own packs what describe(tokens) makes of its set; checkpointed."""
+    need = C.checkpointed(wanted.distinct().join(nodes, "node"))
+    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            want = np.asarray(batch.column("node"), np.int64)
+            for a, b, s in _sets(batch, text, n):
+                own = np.flatnonzero(s.node == want[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(s.node[own], pa.int64()), pa.array([C.pack(describe(s.token[s.first[i] : s.first[i + 1]])) for i in own], pa.binary())], names=["node", "own"])
 
-def points_reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether the summed minima of two fine count vectors, the finer folded to the other's groups, reach the threshold."""
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    x, y = x.astype(np.int64), y.astype(np.int64).reshape(-1, len(x)).sum(axis=0)
-    most = int(np.minimum(x, y).sum())
-    return 100 * most >= percent * (int(x.sum() + y.sum()) - most)
+    return C.checkpointed(docs.select(key, text).join(need, key).select("node", text).mapInArrow(run, "node long, own binary"))
 
 
 def sets_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -353,19 +399,10 @@ def sets_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int, percent: int, describe, test) -> DataFrame:
-    """Those of the (checkpointed) pairs of nodes that pass test(x, y, percent), where x and y are what describe(tokens) makes of their sets."""
-    need = C.checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node"))
-    wanted = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want = np.asarray(batch.column("node"), np.int64)
-            for a, b, s in _sets(batch, text, n):
-                own = np.flatnonzero(s.node == want[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(s.node[own], pa.int64()), pa.array([C.pack(describe(s.token[s.first[i] : s.first[i + 1]])) for i in own], pa.binary())], names=["node", "own"])
-
-    known = C.checkpointed(docs.select(key, text).join(wanted, key).select("node", text).mapInArrow(run, "node long, own binary"))
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
+    """Those of the (checkpointed) pairs of nodes whose whole sets link."""
+    both = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    known = described(both, docs, nodes, text, key, n, lambda tokens: np.diff(tokens, prepend=U64(0)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,7 +411,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, ke
             for a, one, two in zip(batch.column("a").to_pylist(), batch.column("own_a"), batch.column("own_b")):
                 if a != last:
                     last, x = a, C.unpack(one.as_py())[0]
-                keep.append(test(x, C.unpack(two.as_py())[0], percent))
+                keep.append(sets_link(x, C.unpack(two.as_py())[0], percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     one = known.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
@@ -382,12 +419,6 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, ke
     return C.checkpointed(pairs.join(one, "b").join(two, "a").mapInArrow(compare, "a long, b long").distinct())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
-    """Those of the (checkpointed) pairs of nodes whose whole sets link; first bounded once more, by fine count vectors."""
-    near = _compared(pairs, docs, nodes, text, key, n, percent, point_of, points_reach)
-    return _compared(near, docs, nodes, text, key, n, percent, lambda tokens: np.diff(tokens, prepend=U64(0)), sets_link)
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of each document: the least `key` that its links reach, itself included.
 
@@ -404,10 +435,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     buckets = max(12, known.select(text).rdd.getNumPartitions())
 
     def page(bucket: tuple, table: pa.Table) -> pa.Table:
-        p = Pages.of(table.column("blob").to_pylist())
-        return pa.Table.from_batches([C.batch_of([(bucket[0].as_py(), p.blob())] if p else [], ["bucket", "blob"], [pa.int32(), pa.binary()])])
+        blob = Pages.of(table.column("blob").to_pylist())
+        return pa.Table.from_batches([C.batch_of([(bucket[0].as_py(), blob)] if blob else [], ["bucket", "blob"], [pa.int32(), pa.binary()])])
 
     pages = C.checkpointed(entries(known, text, n, percent, classes, buckets).groupBy("bucket").applyInArrow(page, "bucket int, blob binary"))
+    points = described(_members(pages).select("node"), known, nodes, text, key, n, lambda tokens: point_of(tokens).astype(np.uint32))
+    pages = C.checkpointed(with_points(pages, points))
     tested = C.checkpointed(first_pairs(pages, percent))
     links = verified(tested, known, nodes, text, key, n, percent)
     labels = components(links)
