@@ -51,6 +51,20 @@ def kmers(seq: ColumnOrName, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - F.lit(k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def canonical_kmers(seq: ColumnOrName, k: int) -> Column:
+    """The canonical form of each k-mer of an upper-case sequence, null where it has other letters than ACGT.
+
+    The opposite strand is made once for the sequence, not for each window.
+    """
+    check_k(k, odd=False)
+    seq = _c(seq)
+    other = F.reverse(F.translate(seq, "ACGT", "TGCA"))
+    last = F.length(seq) - F.lit(k - 1)
+    both = F.transform(F.sequence(F.lit(1), last), lambda i: F.least(F.substring(seq, i, F.lit(k)), F.substring(other, last - i + 1, F.lit(k))))
+    both = F.when(seq.rlike("[^ACGT]"), F.transform(both, lambda w: F.when(w.rlike("^[ACGT]+$"), w))).otherwise(both)
+    return F.when(last >= 1, both).otherwise(F.array().cast("array<string>"))
+
+
 def is_kmer(kmer: ColumnOrName) -> Column:
     """Whether a window holds bases only, of either case."""
     return _c(kmer).rlike("^[ACGTacgt]+$")

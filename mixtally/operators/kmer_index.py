@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtally.functions.sequences import canonical, check_k, clip_poly_a, is_kmer, kmers, normalise
+from mixtally.functions.sequences import canonical_kmers, check_k, clip_poly_a, normalise
 
 INDEX_VERSION = 1
 
@@ -22,8 +22,7 @@ def prepare(refs: DataFrame, seq: str = "seq", name: str = "name") -> DataFrame:
 
 def sequence_kmers(seqs: DataFrame, k: int, key: str, seq: str = "seq") -> DataFrame:
     """(key, pos, kmer) of each window of bases, canonical, with positions from 0. Windows with other letters are left out."""
-    rows = seqs.select(key, F.posexplode(kmers(F.upper(seq), k)).alias("pos", "kmer"))
-    return rows.where(is_kmer("kmer")).withColumn("kmer", canonical("kmer"))
+    return seqs.select(key, F.posexplode(canonical_kmers(F.upper(seq), k)).alias("pos", "kmer")).where("kmer IS NOT NULL")
 
 
 def canonical_counts(seqs: DataFrame, k: int, key: str, seq: str = "seq") -> DataFrame:
@@ -63,8 +62,7 @@ def load(spark: SparkSession, path: str) -> dict:
 
 def match(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
     """(key, ec_id, hits): the classes that a read's k-mers hit, and by how many of its windows. Every window is looked up."""
-    own = sequence_kmers(reads, k, key, seq).groupBy("kmer", key).agg(F.count("*").alias("n"))
-    return own.join(kmer_ec, "kmer").groupBy(key, "ec_id").agg(F.sum("n").alias("hits"))
+    return sequence_kmers(reads, k, key, seq).join(kmer_ec, "kmer").groupBy(key, "ec_id").agg(F.count("*").alias("hits"))
 
 
 def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
