@@ -5,8 +5,10 @@ coordinate counts one group. The sum of coordinate minima bounds the intersectio
 different length are folded to the shorter), and an R-tree node's greatest coordinates bound it for all points below. One
 R-tree over a corpus can't be dealt out, as in many dimensions every leaf meets almost every other; so the root's fan-out is
 by token. Two sets that reach the threshold share one of their first n - ceil(0.8 n) + 1 tokens in any global order, so
-documents meet in the pages of those tokens, and each larger page has an R-tree. The order goes from rare to frequent tokens
-by a sketch, of fixed size, of the document frequencies of all documents; frequent passages so open no pages.
+documents meet in the pages of those tokens, and each larger page has an R-tree. The order goes from rare to frequent tokens,
+by the exact number of documents that have each: chunks of documents exchange their distinct tokens (48 bits of the hash,
+sorted, as differences) and get back a frequency class of each. A token of one document opens no page, so only documents
+that share their rarest tokens send points at all, and a frequent passage is met only by documents that consist of such.
 
 Equal sets are one node (named by the set's hash) before anything is exchanged. No page emits all its pairs:
 
@@ -35,8 +37,8 @@ from .textops import U64, Words, flat, grams, mix, pieces, segments
 SHINGLE, PERCENT = 5, 80
 #: Least groups of a count vector, as many as an R-tree's boxes have.
 GROUPS = 32
-#: Counters of the frequency sketch, a byte each when broadcast, whatever the corpus, and slices in which they are summed.
-SKETCH, SLICES = 1 << 21, 64
+#: Chunks for each bucket of the exchange of tokens.
+CHUNKS_A_BUCKET = 2
 #: Nodes in a leaf of an R-tree.
 LEAF = 16
 #: Most rows of a table that is broadcast; beyond, it is shuffled.
@@ -88,79 +90,90 @@ def features(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, node long")
 
 
-def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Of each of SKETCH counters, the binary logarithm of the shingles counted there over all documents (a byte each)."""
-    width = SKETCH // SLICES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for _, _, s in _sets(batch, text, n):
-                seen += np.bincount((s.token & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield C.batch_of([(i, C.pack(seen[i * width : (i + 1) * width])) for i in range(SLICES)], ["slice", "blob"], [pa.int32(), pa.binary()])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(width, np.int64)
-        for batch in batches:
-            for blob in batch.column("blob"):
-                seen += C.unpack(blob.as_py())[0]
-        levels = np.zeros(width, np.uint8)
-        levels[seen > 0] = np.log2(seen[seen > 0]).astype(np.uint8)
-        yield C.batch_of([(key[0].as_py(), C.pack(levels))], ["slice", "blob"], [pa.int32(), pa.binary()])
-
-    add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    rows = docs.select(text).mapInArrow(count, "slice int, blob binary").groupBy("slice").applyInArrow(add, "slice int, blob binary").collect()  # SLICES rows of fixed size
-    out = np.zeros(SKETCH, np.uint8)
-    for r in rows:
-        out[r["slice"] * width : (r["slice"] + 1) * width] = C.unpack(r.blob)[0]
-    return out
+class ChunkSets:
+    """The distinct sets of a chunk's documents, piece by piece, and the chunk's tokens (48 bits) with how many of the sets have each."""
+
+    def __init__(self, table: pa.Table, text: str, n: int):
+        data, offs = flat(table.column(text))
+        self.parts, seen, tokens = [], set(), []
+        for a, b in pieces(offs):
+            s = Sets(data[offs[a] : offs[b]], offs[a : b + 1], n)
+            own = [i for i in np.flatnonzero(s.size > 0).tolist() if (node := int(s.node[i])) not in seen and not seen.add(node)]
+            stay = np.zeros(len(s.size), bool)
+            stay[own] = True
+            at = np.flatnonzero(stay[s.row])
+            number = np.cumsum(stay) - 1
+            self.parts.append((s.token[at], number[s.row[at]], s.node[own], s.size[own]))
+            tokens.append(s.token[at] >> U64(16))
+        self.tokens, self.count = np.unique(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64), return_counts=True)
+
+    def bounds(self, buckets: int) -> np.ndarray:
+        """Where each bucket's tokens begin: buckets are ranges of the hash, so neighbours differ little."""
+        return np.searchsorted(((self.tokens >> U64(16)) * U64(buckets)) >> U64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+    def dealt(self, chunk: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+        bounds = self.bounds(buckets)
+        for b in range(buckets):
+            own = self.tokens[bounds[b] : bounds[b + 1]]
+            if len(own):
+                step = np.diff(own, prepend=U64(0))
+                # Bytes of one weight lie together; the high ones are nearly all zero.
+                yield chunk, b, C.pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T), self.count[bounds[b] : bounds[b + 1]].astype(np.uint32))
+
+    def classes(self, replies: list[bytes]) -> np.ndarray:
+        parts = sorted((C.unpack(r) for r in replies), key=lambda x: int(x[0][0]))
+        return np.concatenate([p[1] for p in parts] or [np.zeros(0, np.uint8)])
+
+
+def _answer_classes(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterator[tuple[int, bytes]]:
+    """The binary logarithm of how many sets have each token; 0 for those of one set."""
+    tokens = [np.cumsum(np.ascontiguousarray(a[0].reshape(8, -1).T).view(np.uint64).ravel()) for _, a in asked]
+    distinct, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([a[1] for _, a in asked]), minlength=len(distinct))
+    level = np.log2(total).astype(np.uint8)[inverse]
+    at = 0
+    for (chunk, _), own in zip(asked, tokens):
+        yield chunk, C.pack(np.array([bucket]), level[at : at + len(own)])
+        at += len(own)
 
 
 def _prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-size * percent // 100) + 1
 
 
-def entries(docs: DataFrame, text: str, n: int, percent: int, classes, buckets: int) -> DataFrame:
-    """Each batch's first tokens, with the nodes that have them, by bucket of the token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = C.unpack(classes.value)[0]
-        for k, rows in enumerate(C.row_groups(batches, text)):
-            tokens, owners, nodes, sizes = [], [], [], []
-            base = 0
-            for _, _, s in _sets(rows, text, n):
-                live = np.flatnonzero(s.size > 0)
-                _, own = np.unique(s.node[live], return_index=True)
-                own = np.sort(live[own])
-                stay = np.zeros(len(s.size), bool)
-                stay[own] = True
-                at = np.flatnonzero(stay[s.row])
-                token, row = s.token[at], s.row[at]
-                number = np.cumsum(stay) - 1
-                by = np.lexsort((token, level[(token & U64(SKETCH - 1)).astype(np.int64)], row))
-                row = row[by]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                first = place < _prefix_sizes(s.size, percent)[row]
-                tokens.append(token[by][first])
-                owners.append(number[row[first]] + base)
-                nodes.append(s.node[own])
-                sizes.append(s.size[own])
-                base += len(own)
-            if not base:
-                continue
-            token, owner, node, size = (np.concatenate(x) for x in (tokens, owners, nodes, sizes))
-            where = (token >> U64(20)) % U64(buckets)
-            by = np.lexsort((token, where))
-            bounds = np.searchsorted(where[by], np.arange(buckets + 1, dtype=np.uint64))
-            out = []
-            for b in range(buckets):
-                own = by[bounds[b] : bounds[b + 1]]
-                if len(own):
-                    here, mine = np.unique(owner[own], return_inverse=True)
-                    out.append((k, b, C.pack(token[own], mine.astype(np.uint32), node[here], size[here].astype(np.uint32))))
-            yield C.parts_batch(out)
-
-    return docs.select(text).mapInArrow(run, C.PARTS)
+def entries(chunks: DataFrame, text: str, n: int, percent: int, buckets: int) -> DataFrame:
+    """Each chunk's first tokens that other sets have too, with the nodes that have them, by bucket of the token."""
+    classes = C.answer(C.ask(chunks, lambda chunk, table: ChunkSets(table, text, n).dealt(chunk, buckets)), _answer_classes)
+
+    def first(chunk: int, table: pa.Table, replies: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        sets = ChunkSets(table, text, n)
+        level = sets.classes(replies)
+        tokens, owners, nodes, sizes = [], [], [], []
+        base = 0
+        for token, row, node, size in sets.parts:
+            own = level[np.searchsorted(sets.tokens, token >> U64(16))]
+            by = np.lexsort((token, own, row))
+            row = row[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = (place < _prefix_sizes(size, percent)[row]) & (own[by] > 0)
+            tokens.append(token[by][keep])
+            owners.append(row[keep] + base)
+            nodes.append(node)
+            sizes.append(size)
+            base += len(node)
+        if not base:
+            return
+        token, owner, node, size = (np.concatenate(x) for x in (tokens, owners, nodes, sizes))
+        where = (token >> U64(20)) % U64(buckets)
+        by = np.lexsort((token, where))
+        bounds = np.searchsorted(where[by], np.arange(buckets + 1, dtype=np.uint64))
+        for b in range(buckets):
+            own = by[bounds[b] : bounds[b + 1]]
+            if len(own):
+                here, mine = np.unique(owner[own], return_inverse=True)
+                yield chunk, b, C.pack(token[own], mine.astype(np.uint32), node[here], size[here].astype(np.uint32))
+
+    return C.ask_again(chunks, classes, first)
 
 
 def point_of(tokens: np.ndarray) -> np.ndarray:
@@ -427,18 +440,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     an empty set and links with nothing. A document without a key links with nothing either and has a null component_id.
     Repeated rows give repeated result rows. The key must be an integer.
     """
-    spark: SparkSession = docs.sparkSession
     found = C.checkpointed(features(docs, text, key, n))
     nodes = found.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias(key))
     known = docs.where(F.col(key).isNotNull())
-    classes = spark.sparkContext.broadcast(C.pack(frequency_classes(known, text, n)))
-    buckets = max(12, known.select(text).rdd.getNumPartitions())
+    chunks = C.pack_documents(known.select(text), text)
+    buckets = C.bucket_count(chunks, CHUNKS_A_BUCKET)
 
     def page(bucket: tuple, table: pa.Table) -> pa.Table:
         blob = Pages.of(table.column("blob").to_pylist())
         return pa.Table.from_batches([C.batch_of([(bucket[0].as_py(), blob)] if blob else [], ["bucket", "blob"], [pa.int32(), pa.binary()])])
 
-    pages = C.checkpointed(entries(known, text, n, percent, classes, buckets).groupBy("bucket").applyInArrow(page, "bucket int, blob binary"))
+    pages = C.checkpointed(entries(chunks, text, n, percent, buckets).groupBy("bucket").applyInArrow(page, "bucket int, blob binary"))
     points = described(_members(pages).select("node"), known, nodes, text, key, n, lambda tokens: point_of(tokens).astype(np.uint32))
     pages = C.checkpointed(with_points(pages, points))
     tested = C.checkpointed(first_pairs(pages, percent))
