@@ -115,7 +115,7 @@ def squarem(step: Callable[[dict], tuple[dict, float]], start: dict, min_freq: f
     Each round makes two steps, extrapolates along them by alpha = |r| / |v|, within the step bounds, and, unless alpha is about 1,
     takes one more step to stabilise; a step whose residual is too great falls back to the second. The cutoff below which
     frequencies drop out rises from min_freq / ramp to min_freq, by so much each evaluation; if steps grow small before, it
-    jumps. Converged only at the full cutoff.
+    jumps. Converged only when a step at the full cutoff moves nothing.
     """
     cutoff = min_freq / controls.ramp if min_freq > 0 else 0.0
     state = {"cutoff": cutoff, "n": 0, "jump": False}
@@ -124,12 +124,13 @@ def squarem(step: Callable[[dict], tuple[dict, float]], start: dict, min_freq: f
     def evaluate(f: dict) -> tuple[dict, bool]:
         out, ll = step(f)
         logliks.append(ll)
-        out = cut(out, state["cutoff"])
+        used = state["cutoff"]
+        out = cut(out, used)
         state["n"] += 1
         if min_freq > 0 and state["cutoff"] != min_freq:
             raised = state["cutoff"] + min_freq / controls.ramp
             state["cutoff"] = min_freq if state["jump"] or raised >= min_freq else raised
-        return out, min_freq <= 0 or state["cutoff"] == min_freq
+        return out, min_freq <= 0 or used == min_freq
 
     step_min, step_max = controls.step_min, controls.step_max
     p0, converged = dict(start), False

@@ -66,7 +66,8 @@ def unitigs(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
         while not ring.isEmpty():
             ring = _settled(cut.join(ring.select(F.col("a").alias("p"), "head", "dist"), "p").select("a", "head", (F.col("dist") + 1).alias("dist")))
             grown = grown.unionByName(ring)
-        rings = grown.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("dist", "a"))).alias("x"))
+        # Of a cycle and its twin the one with the lesser least node stays.
+        rings = grown.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("dist", "a"))).alias("x"), F.min(reverse_complement("a")).alias("twin")).where("head <= twin")
         out = out.unionByName(rings.select(F.size("x").alias("n_kmers"), text.alias("seq")))
     out = out.select("n_kmers", F.least("seq", reverse_complement("seq")).alias("seq")).distinct()
     return out.select(F.xxhash64("seq").alias("unitig"), "n_kmers", "seq")
