@@ -150,7 +150,7 @@ def significant(count: ColumnOrName) -> Column:
     digits = F.when(p >= 3, p + 2).when(p == 2, 5).otherwise(4)
     scale = F.pow(F.lit(10.0), (digits - 1 - p).cast("double"))
     shown = F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale) / scale)
-    return F.regexp_replace(F.format_number(shown, "#.############"), "^-?$", "0")
+    return F.call_function("format_number", shown, F.lit("0.############"))
 
 
 def cigar_units(cigar: ColumnOrName) -> Column:
