@@ -111,10 +111,10 @@ _NOT_LINE[0x0A] = False
 
 
 def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with the base counts (long) and the histograms classes and words (array<int>)."""
+    """docs without the text, with the base counts (long), the histograms classes and words (array<int>), and their totals (double)."""
     rest = [c for c in docs.columns if c != text]
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"{c} long" for c in BASE] + ["classes array<int>", "words array<int>"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"{c} long" for c in BASE] + ["classes array<int>", "words array<int>", "classes_total double", "words_total double"])
 
     def wide(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int32()))
@@ -125,22 +125,24 @@ def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
             for a, b in pieces(offs):
                 found = counts(data[offs[a] : offs[b]], offs[a : b + 1])
                 columns = [batch.column(c).slice(a, b - a) for c in rest] + [pa.array(found[c], pa.int64()) for c in BASE] + [wide(found["classes"]), wide(found["words"])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*rest, *BASE, "classes", "words"])
+                columns += [pa.array(found[c].sum(axis=1), pa.float64()) for c in ("classes", "words")]
+                yield pa.RecordBatch.from_arrays(columns, names=[*rest, *BASE, "classes", "words", "classes_total", "words_total"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _distance(own, reference):
-    """Jensen-Shannon distance of two count arrays, base 2; null if either is empty."""
-    def total(x):
-        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+def _distance(own: str, reference: str):
+    """Jensen-Shannon distance, base 2, of a count array and a reference of proportions; null if either is empty.
 
+    The count array's total is a column, so that the expression visits each bin once.
+    """
     def part(p, m):
         return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    a, b = total(own), total(reference)
-    terms = F.zip_with(own, reference, lambda x, y: part(x / a, (x / a + y / b) / 2) + part(y / b, (x / a + y / b) / 2))
-    return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2)))
+    total = F.col(f"{own}_total")
+    shares = F.transform(F.col(own), lambda x: x / total)
+    terms = F.zip_with(shares, F.col(reference), lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
+    return F.when((total > 0) & F.col(reference).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2)))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -160,14 +162,18 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     sound = rows.where(~F.col("base_failed"))
     sums = [F.sum(F.col("classes")[i]).cast("double").alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.col("words")[i]).cast("double").alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
     found = sound.groupBy("__lang").agg(F.sum("n_words").alias("n"), *sums).where(F.col("n") >= MIN_REFERENCE)
-    found = found.select(F.col("__lang").alias("__of"), F.array(*(f"c{i}" for i in range(len(CLASSES) + 1))).alias("__classes"), F.array(*(f"w{i}" for i in range(len(VOCABULARY) + 1))).alias("__words"))
+    def shares(letter: str, n: int):
+        columns = [F.col(f"{letter}{i}") for i in range(n)]
+        total = sum(columns[1:], columns[0])
+        return F.when(total > 0, F.array(*(c / total for c in columns)))
+
+    found = found.select(F.col("__lang").alias("__of"), shares("c", len(CLASSES) + 1).alias("__classes"), shares("w", len(VOCABULARY) + 1).alias("__words"))
     rows = rows.join(found, F.col("__lang").eqNullSafe(F.col("__of")), "left")
     long = F.col("n_words") >= MIN_WORDS
-    own = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    rows = rows.withColumn("class_distance", F.when(long, _distance(own("classes"), F.col("__classes")))).withColumn("word_distance", F.when(long, _distance(own("words"), F.col("__words"))))
+    rows = rows.withColumn("class_distance", F.when(long, _distance("classes", "__classes"))).withColumn("word_distance", F.when(long, _distance("words", "__words")))
     bound = lambda ab: F.lit(ab[0]) + F.lit(ab[1]) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= bound(MAX_CLASSES)) & (F.coalesce("word_distance", F.lit(0.0)) <= bound(MAX_WORDS))
-    return rows.withColumn("kept", ~F.col("base_failed") & near).drop("__lang", "__of", "__classes", "__words", "classes", "words")
+    return rows.withColumn("kept", ~F.col("base_failed") & near).drop("__lang", "__of", "__classes", "__words", "classes", "words", "classes_total", "words_total")
 
 
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
