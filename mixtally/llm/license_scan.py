@@ -22,7 +22,8 @@ from .textops import ALNUM, Words, flat, grams, pieces, sliding_min
 
 #: Words of a gram, and neighbours of which winnowing keeps the least.
 GRAM, WINNOW = 3, 3
-#: Words by which an alignment may leave its diagonal, for each way, and the least share of a template's words that must match.
+#: Most words by which an alignment may leave its diagonal (for short templates a quarter of theirs), and the least share of a
+#: template's words that must match.
 BAND, LEAST_COVERAGE = 8, 0.8
 #: Bound of all templates together.
 MAX_TEMPLATE_WORDS = 1_000_000
@@ -69,6 +70,7 @@ class Index:
             prints.append(g[at])
             owner.append(np.full(len(at), i))
             place.append(at)
+        self.band = [min(BAND, max(1, len(h) // 4)) for h in self.words]
         self.print = np.concatenate(prints or [np.zeros(0, np.uint64)])
         order = np.argsort(self.print, kind="stable")
         self.print = self.print[order]
@@ -88,7 +90,7 @@ class Index:
             for k in range(low[i], high[i]):
                 diagonals = out.setdefault((row, int(self.template[k])), [])
                 d = i - int(words.first[row]) - int(self.place[k])
-                if not diagonals or abs(d - diagonals[-1]) > BAND:
+                if not diagonals or abs(d - diagonals[-1]) > self.band[self.template[k]]:
                     diagonals.append(d)
         return [(row, t, d) for (row, t), diagonals in sorted(out.items()) for d in diagonals]
 
@@ -158,7 +160,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, s
                 taken: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
                 for row, t, d in index.candidates(words, h):
                     own = h[words.first[row] : words.first[row + 1]]
-                    matched, first, last = align(index.words[t], own, d)
+                    matched, first, last = align(index.words[t], own, d, index.band[t])
                     share = matched / len(index.words[t])
                     if share >= least:
                         taken.setdefault((row, t), []).append((-share, first, last))
