@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .components import components
-from .textops import U64, Words, flat, grams, mix, pieces, segments
+from .textops import U64, Words, flat, grams, mix, pieces, ranges, segments
 
 #: Words in a shingle; percent of the union that the intersection of two linked sets has at least.
 SHINGLE, PERCENT = 5, 80
 #: Least groups of a count vector, as many as an R-tree's boxes have.
 GROUPS = 32
-#: Chunks for each bucket of the exchange of tokens.
-CHUNKS_A_BUCKET = 2
+#: Chunks for each bucket of the exchange of tokens, and buckets of that for each bucket of pages, which are far fewer.
+CHUNKS_A_BUCKET, PAGE_BUCKETS_PART = 2, 4
 #: Nodes in a leaf of an R-tree.
 LEAF = 16
 #: Most rows of a table that is broadcast; beyond, it is shuffled.
@@ -209,8 +209,11 @@ class Pages:
                 self.coarse[same] = folded(self.matrix[g], GROUPS)
 
     @staticmethod
-    def of(blobs: list[bytes]) -> bytes | None:
-        """The blob of all pages of at least two nodes; None if there are none."""
+    def of(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
+        """Of a bucket of tokens, all pages of at least two nodes, by the bucket of their least node.
+
+        Near copies share many tokens, and so many pages; by their least node these meet again, and equal ones become one.
+        """
         parts = [C.unpack(b) for b in blobs]
         node = np.concatenate([p[2] for p in parts])
         base = np.cumsum([0] + [len(p[2]) for p in parts])
@@ -223,13 +226,26 @@ class Pages:
         token, member = token[keep], member[keep]
         at = segments(token)
         count = np.diff(np.append(at, len(token)))
-        live = np.repeat(count > 1, count)
-        if not live.any():
-            return None
-        member, count = member[live], count[count > 1]
-        used, member = np.unique(member, return_inverse=True)
-        size = np.concatenate([p[3] for p in parts])[first[used]]
-        return C.pack(distinct[used], size, np.concatenate([[0], np.cumsum(count)]), member.astype(np.uint32))
+        at, count = at[count > 1], count[count > 1]
+        size = np.concatenate([p[3] for p in parts])[first]
+        where = mix(distinct[member[at]].view(np.uint64)) % U64(buckets)
+        for b in np.unique(where).tolist():
+            own = np.flatnonzero(where == b)
+            used, mine = np.unique(member[ranges(at[own], count[own])], return_inverse=True)
+            yield int(b), C.pack(distinct[used], size[used], np.concatenate([[0], np.cumsum(count[own])]), mine.astype(np.uint32))
+
+    @staticmethod
+    def joined(blobs: list[bytes]) -> bytes:
+        """The blob of the distinct pages of several."""
+        parts = [C.unpack(b) for b in blobs]
+        node, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        pages: dict[bytes, int] = {}
+        for i, (_, _, ends, member) in enumerate(parts):
+            own = inverse[member.astype(np.int64) + base[i]].astype(np.uint32)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                pages.setdefault(own[a:b].tobytes(), b - a)
+        return C.pack(node, np.concatenate([p[1] for p in parts])[first], np.concatenate([[0], np.cumsum(list(pages.values()))]), np.frombuffer(b"".join(pages), np.uint32))
 
     def blob(self) -> bytes:
         counts = np.concatenate([self.matrix[g][r] for g, r in zip(self.groups.tolist(), self.row.tolist())])
@@ -249,13 +265,8 @@ class Pages:
         return out
 
     def lists(self) -> Iterator[np.ndarray]:
-        """Distinct pages."""
-        seen = set()
         for a, b in zip(self.first[:-1], self.first[1:]):
-            page = self.member[a:b]
-            if (name := page.tobytes()) not in seen:
-                seen.add(name)
-                yield page
+            yield self.member[a:b]
 
 
 class RTree:
@@ -446,11 +457,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     chunks = C.pack_documents(known.select(text), text)
     buckets = C.bucket_count(chunks, CHUNKS_A_BUCKET)
 
+    groups = max(12, buckets // PAGE_BUCKETS_PART)
+
     def page(bucket: tuple, table: pa.Table) -> pa.Table:
-        blob = Pages.of(table.column("blob").to_pylist())
-        return pa.Table.from_batches([C.batch_of([(bucket[0].as_py(), blob)] if blob else [], ["bucket", "blob"], [pa.int32(), pa.binary()])])
+        return pa.Table.from_batches([C.batch_of(list(Pages.of(table.column("blob").to_pylist(), groups)), ["bucket", "blob"], [pa.int32(), pa.binary()])])
+
+    def join(bucket: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([C.batch_of([(bucket[0].as_py(), Pages.joined(table.column("blob").to_pylist()))], ["bucket", "blob"], [pa.int32(), pa.binary()])])
 
-    pages = C.checkpointed(entries(chunks, text, n, percent, buckets).groupBy("bucket").applyInArrow(page, "bucket int, blob binary"))
+    pages = entries(chunks, text, n, percent, buckets).groupBy("bucket").applyInArrow(page, "bucket int, blob binary")
+    pages = C.checkpointed(pages.groupBy("bucket").applyInArrow(join, "bucket int, blob binary"))
     points = described(_members(pages).select("node"), known, nodes, text, key, n, lambda tokens: point_of(tokens).astype(np.uint32))
     pages = C.checkpointed(with_points(pages, points))
     tested = C.checkpointed(first_pairs(pages, percent))
