@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chunks as C
 from .textops import ranges
 
-#: Bytes of text in a chunk; larger chunks send fewer words each.
-CHUNK_BYTES = 24 << 20
+#: Bytes of text in a chunk: larger chunks send fewer words each, smaller ones take less memory.
+CHUNK_BYTES = 8 << 20
 #: Bucket of the rows that hold word numbers rather than words.
 POSITIONS = -1
 
