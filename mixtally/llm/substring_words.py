@@ -59,7 +59,8 @@ def levels(names: np.ndarray, row: np.ndarray) -> np.ndarray:
     near = np.zeros(n, bool)  # a run may reach beyond a symbol's words, so where a symbol holds one no level is claimed
     for k in range(-(SYMBOL // 2), SYMBOL // 2):
         lo, hi = max(0, -k), min(n, n - 1 - k)
-        near[lo:hi] |= run[lo + k : hi + k]
+        if lo < hi:
+            near[lo:hi] |= run[lo + k : hi + k]
     level[near] = 0
     return level
 

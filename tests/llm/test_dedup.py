@@ -96,3 +96,12 @@ def test_queries(spark):
     assert got == {k: (n, g, s, plain.sha(t)) for (k, _), (n, g, s, t) in zip(rows, plain.remove_bytes(rows))}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op10_jaccard_join(spark, d).collect()}
     assert got == {k: x for (k, _), x in zip(rows, plain.components(rows))}
+
+
+@pytest.mark.parametrize("texts", [["a b", "a b"], ["a"], ["a a a a a a a a a a a a a a"] * 2, ["x " * 13] * 3, [""], ["a b c d e f g h i j k l m"] * 2])
+def test_tiny_tables(spark, texts):
+    rows = list(enumerate(texts))
+    df = frame(spark, rows, 1)
+    assert {r.n: (r.n_words, r.n_removed, r.kept_text) for r in substring_words.remove_repeats(df).collect()} == dict(enumerate(plain.remove_words(rows)))
+    assert {r.n: r.n_removed for r in substring_bytes.remove_repeated_bytes(df).collect()} == {i: x[1] for i, x in enumerate(plain.remove_bytes(rows))}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == dict(enumerate(plain.components(rows)))
