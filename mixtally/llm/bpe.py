@@ -206,22 +206,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 def decode(encoded_docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded_docs with the bytes (binary) of its ids joined with the table of token bytes. Null ids give null, none empty bytes."""
-    table = token_table(ranks)
-    size = np.array([len(t) for t in table], np.int64)
-    shared = encoded_docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), size))  # a vocabulary, of fixed size
+    shared = encoded_docs.sparkSession.sparkContext.broadcast(token_table(ranks))  # a vocabulary, of fixed size
     docs = encoded_docs.drop(out)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, size = shared.value
-        start = np.cumsum(size) - size
+        token = shared.value
         for batch in batches:
             column = batch.column(ids)
-            token = np.asarray(column.flatten(), np.int64)
-            count = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            raw = data[ranges(start[token], size[token])].tobytes()
-            ends = np.concatenate([[0], np.cumsum(size[token])])[np.concatenate([[0], np.cumsum(count)])]
-            texts = [None if null else raw[a:b] for a, b, null in zip(ends[:-1], ends[1:], column.is_null().to_pylist())]
+            own = column.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))])
+            texts = [None if null else b"".join([token[i] for i in own[a:b].tolist()]) for a, b, null in zip(ends[:-1], ends[1:], column.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
