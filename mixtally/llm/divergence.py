@@ -162,10 +162,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     sound = rows.where(~F.col("base_failed"))
     sums = [F.sum(F.col("classes")[i]).cast("double").alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.col("words")[i]).cast("double").alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
     found = sound.groupBy("__lang").agg(F.sum("n_words").alias("n"), *sums).where(F.col("n") >= MIN_REFERENCE)
-    def shares(letter: str, n: int):
-        columns = [F.col(f"{letter}{i}") for i in range(n)]
-        total = sum(columns[1:], columns[0])
-        return F.when(total > 0, F.array(*(c / total for c in columns)))
+    def shares(letter: str, n: int):  # of a row for each language
+        own = F.array(*(f"{letter}{i}" for i in range(n)))
+        total = F.aggregate(own, F.lit(0.0), lambda s, v: s + v)
+        return F.transform(F.arrays_zip(own.alias("x"), F.array_repeat(total, n).alias("t")), lambda z: z["x"] / z["t"])
 
     found = found.select(F.col("__lang").alias("__of"), shares("c", len(CLASSES) + 1).alias("__classes"), shares("w", len(VOCABULARY) + 1).alias("__words"))
     rows = rows.join(found, F.col("__lang").eqNullSafe(F.col("__of")), "left")
