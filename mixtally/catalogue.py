@@ -273,7 +273,9 @@ def em_steps_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = em.support(likelihoods(spark, sf_dir))
     f = keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select("key", (1.0 / F.col("n")).alias("f"))
     for _ in range(3):
-        f = em.em_step(multi, f.persist(), singles)  # each step reads the frequencies several times
+        # Each step reads the frequencies, a row for each reference, several times: plans stay short if they start anew.
+        f = em.em_step(multi, f, singles)
+        f = spark.createDataFrame(f.collect(), f.schema)
     return f.select("key", F.round("f", 9).alias("f"))
 
 

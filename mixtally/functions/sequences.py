@@ -60,7 +60,10 @@ def canonical_kmers(seq: ColumnOrName, k: int) -> Column:
     seq = _c(seq)
     other = F.reverse(F.translate(seq, "ACGT", "TGCA"))
     last = F.length(seq) - F.lit(k - 1)
-    both = F.transform(F.sequence(F.lit(1), last), lambda i: F.least(F.substring(seq, i, F.lit(k)), F.substring(other, last - i + 1, F.lit(k))))
+    # A lambda's own variables are values, while an outer expression would be evaluated again for each window.
+    strands = F.array(F.struct(seq.alias("one"), other.alias("two"), last.alias("last")))
+    windows = F.transform(strands, lambda s: F.transform(F.sequence(F.lit(1), s["last"]), lambda i: F.least(F.substring(s["one"], i, F.lit(k)), F.substring(s["two"], s["last"] - i + 1, F.lit(k)))))
+    both = F.element_at(windows, 1)
     both = F.when(seq.rlike("[^ACGT]"), F.transform(both, lambda w: F.when(w.rlike("^[ACGT]+$"), w))).otherwise(both)
     return F.when(last >= 1, both).otherwise(F.array().cast("array<string>"))
 
