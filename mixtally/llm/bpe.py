@@ -102,6 +102,8 @@ def _split(docs: DataFrame, text: str, pattern: str, buckets: int, positions: bo
                     own = [words[i] for i in order[bounds[b] : bounds[b + 1]]]
                     if own:
                         out.append((first + k, b, C.pack(np.array([len(w) for w in own], np.uint32), np.frombuffer(b"".join(own), np.uint8)), None))
+            del number, found, words, where
+            C.release()
             yield C.batch_of(out, ["chunk", "bucket", "blob", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     return docs.mapInArrow(run, "chunk long, bucket int, blob binary, rest binary")
@@ -174,19 +176,23 @@ def encoded(docs: DataFrame, finish: Callable[[pa.Table, Encoded], pa.Table], sc
                 whole, rest = C.unpack(blob), C.from_blob(other)
             else:
                 replies.append(C.unpack(blob))
-        return finish(rest, Encoded(*whole, replies))
+        out = finish(rest, Encoded(*whole, replies))
+        C.release()
+        return out
 
     return places.unionByName(_encoded(words, ranks, pattern)).groupBy("chunk").applyInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = False, decoded: str | None = None) -> DataFrame:
     """The documents with n_tokens long and ids array<int>, as tiktoken's encode_ordinary of each whole text gives them.
 
+    With `decoded`, a column of that name has the bytes (binary) that the ids decode to, as `decode` would add it.
+
     Each match of the pattern is encoded separately and no token is special. All other columns stay; the text goes, as the
     ids hold it, unless keep_text. A null or empty text has no ids. Repeated rows are encoded like any; an empty table
     gives an empty result. Columns named n_tokens or ids are replaced.
     """
-    docs = docs.drop("n_tokens", "ids")
+    docs = docs.drop("n_tokens", "ids", *([decoded] if decoded else []))
     if keep_text:
         docs = docs.withColumn("__kept", docs[text])
     fields = [(c, t) for c, t in docs.dtypes if c != text]
@@ -195,12 +201,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         ids = list(found.texts())
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-        rest = rest.select([c for c, _ in fields])
-        return rest.append_column("n_tokens", pa.array(np.diff(offsets), pa.int64())).append_column("ids", values)
+        rest = rest.select([c for c, _ in fields]).append_column("n_tokens", pa.array(np.diff(offsets), pa.int64())).append_column("ids", values)
+        if not decoded:
+            return rest
+        token = table.value
+        return rest.append_column(decoded, pa.array([b"".join([token[i] for i in x.tolist()]) for x in ids], pa.binary()))
 
     if not fields:
         raise ValueError("documents need a column besides the text")
-    out = encoded(docs, rows, ", ".join(f"`{c}` {t}" for c, t in fields) + ", n_tokens long, ids array<int>", ranks, pattern, text)
+    table = docs.sparkSession.sparkContext.broadcast(token_table(ranks))  # a vocabulary, of fixed size
+    out = encoded(docs, rows, ", ".join(f"`{c}` {t}" for c, t in fields) + ", n_tokens long, ids array<int>" + (f", `{decoded}` binary" if decoded else ""), ranks, pattern, text)
     return out.withColumnRenamed("__kept", text) if keep_text else out
 
 

@@ -11,6 +11,7 @@ chunk that asked, as packed arrays in the order of its questions.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -53,6 +54,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers are kept for later tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps([(a.dtype.str, a.tobytes()) for a in arrays], 5))
 
@@ -110,6 +120,7 @@ def pack_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_BYTES)
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, rows in enumerate(row_groups(batches, text, most)):
+            release()
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([first + k], pa.int64()), "rows": pa.array([rows.num_rows], pa.int32()), "blob": pa.array([to_blob(rows)], pa.binary())})
 
     return checkpointed(docs.mapInArrow(chunk, "chunk long, rows int, blob binary"))
@@ -154,6 +165,7 @@ def ask(chunks: DataFrame, questions: Callable[[int, pa.Table], Iterable[tuple[i
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
                 yield parts_batch(list(questions(chunk, from_blob(blob.as_py()))))
+                release()
 
     return chunks.mapInArrow(run, PARTS)
 
@@ -163,6 +175,7 @@ def ask_again(chunks: DataFrame, replies: DataFrame, questions: Callable[[int, p
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = [r for chunk, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist()) for r in questions(chunk, from_blob(blob), right.column("blob").to_pylist())]
+        release()
         return pa.Table.from_batches([parts_batch(rows)])
 
     return chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, PARTS)
@@ -174,6 +187,7 @@ def answer(parts: DataFrame, resolve: Callable[[int, list[tuple[int, list[np.nda
     def run(key: tuple, table: pa.Table) -> pa.Table:
         asked = sorted(zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()), key=lambda x: x[0])
         rows = list(resolve(key[0].as_py(), [(chunk, unpack(blob)) for chunk, blob in asked]))
+        release()
         return pa.Table.from_batches([batch_of(rows, ["chunk", "blob"], [pa.int64(), pa.binary()])])
 
     return checkpointed(parts.groupBy("bucket").applyInArrow(run, REPLIES))
@@ -184,6 +198,7 @@ def finish(chunks: DataFrame, replies: DataFrame, last: Callable[[pa.Table, list
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [last(from_blob(blob), right.column("blob").to_pylist()) for blob in left.column("blob").to_pylist()]
+        release()
         return pa.concat_tables([x for x in out if x is not None])
 
     return chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)

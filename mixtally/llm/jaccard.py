@@ -75,8 +75,9 @@ class Sets:
 
 def _sets(batch: pa.RecordBatch, text: str, n: int) -> Iterator[tuple[int, int, Sets]]:
     data, offs = flat(batch.column(text))
-    for a, b in pieces(offs):
+    for a, b in pieces(offs, 1 << 20):
         yield a, b, Sets(data[offs[a] : offs[b]], offs[a : b + 1], n)
+    C.release()
 
 
 def features(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
@@ -96,7 +97,7 @@ class ChunkSets:
     def __init__(self, table: pa.Table, text: str, n: int):
         data, offs = flat(table.column(text))
         self.parts, seen, tokens = [], set(), []
-        for a, b in pieces(offs):
+        for a, b in pieces(offs, 1 << 20):
             s = Sets(data[offs[a] : offs[b]], offs[a : b + 1], n)
             own = [i for i in np.flatnonzero(s.size > 0).tolist() if (node := int(s.node[i])) not in seen and not seen.add(node)]
             stay = np.zeros(len(s.size), bool)

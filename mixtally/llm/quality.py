@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import release, row_groups
 from .textops import flat
 
 #: Bytes of text compressed at once, of a dictionary, and zstandard's level.
@@ -144,11 +145,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
-        for batch in batches:
+        for batch in row_groups(batches, text):
             data, offs = flat(batch.column(text))
             raw = data.tobytes()
             scores = scorer.scores([raw[a:b] for a, b in zip(offs[:-1], offs[1:])])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -18,7 +18,8 @@ def test_encode_and_decode(spark, ranks, tmp_path):
     spark.createDataFrame([(i, t, 7, [1]) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string, n_tokens int, ids array<int>").repartition(4).write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=True), ranks).collect()}
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=True, decoded="again"), ranks).collect()}
+    assert all(r.again == r.decoded for r in got.values())
     for i, t in enumerate(texts + texts[:3]):
         assert got[i].ids == enc.encode_ordinary(t or "") and got[i].n_tokens == len(got[i].ids) and bytes(got[i].decoded).decode() == (t or "") and got[i].text == t
     assert bpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
