@@ -50,8 +50,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    ids = bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(ids, ranks).withColumn("text", F.decode("decoded", "UTF-8")).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "text")
+    ids = bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return ids.withColumn("text", F.decode("decoded", "UTF-8")).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "text")
 
 
 STAGES = [
