@@ -186,6 +186,31 @@ def kmer_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"WITH {SQL_REFS}, w AS (SELECT ref_id, i - 1 AS pos, substr(seq, CAST(i AS INT), {K}) AS w FROM (SELECT ref_id, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM refs WHERE length(seq) >= {K})) SELECT ref_id, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer, CAST(pos AS BIGINT) AS pos, w <= reverse(translate(w, 'ACGT', 'TGCA')) AS forward FROM w")
+def kmer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_index.positions(references(spark, sf_dir), K).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {sql_votes(SHORT_K)}, good AS (SELECT read_id, string_agg(CAST(ref_id AS VARCHAR), ',' ORDER BY ref_id) AS members FROM vote WHERE n_ec = total_ec GROUP BY read_id) SELECT members, count(*) AS n FROM good GROUP BY members")
+def class_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmer_index.class_read_counts(candidates.strict(_voted(spark, sf_dir, SHORT_K)))
+    return rows.select(F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).alias("members"), "n")
+
+
+def _first_hits(i: int, seq: str) -> str:
+    return f"""m{i} AS (SELECT read_id, pos, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT read_id, i AS pos, substr(s, CAST(i AS INT), {K}) AS w FROM (SELECT read_id, s, unnest(range(1, length(s) - {K} + 2)) AS i FROM (SELECT read_id, {seq} AS s FROM reads) WHERE length(s) >= {K}))),
+h{i} AS (SELECT read_id, ref_id, arg_min(p, pos) AS p FROM m{i} JOIN place ON m{i}.kmer = place.kmer GROUP BY read_id, ref_id)"""
+
+
+@query(f"""WITH {SQL_REFS}, {sql_reads()}, place AS (SELECT ref_id, kmer, min(pos) AS p FROM (SELECT ref_id, i - 1 AS pos, least(substr(seq, CAST(i AS INT), {K}), reverse(translate(substr(seq, CAST(i AS INT), {K}), 'ACGT', 'TGCA'))) AS kmer FROM (SELECT ref_id, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM refs WHERE length(seq) >= {K})) GROUP BY ref_id, kmer),
+{_first_hits(1, 'substr(seq, 1, 75)')}, {_first_hits(2, 'substr(seq, 76)')} SELECT h1.read_id, h1.ref_id, CAST(abs(h1.p - h2.p) + {K} AS BIGINT) AS length FROM h1 JOIN h2 ON h1.read_id = h2.read_id AND h1.ref_id = h2.ref_id""")
+def fragment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the halves of each tile, the span of their first hits on each reference."""
+    rows = reads(spark, sf_dir)
+    one, two = rows.select("read_id", F.substring("seq", 1, 75).alias("seq")), rows.select("read_id", F.substring("seq", 76, TILE).alias("seq"))
+    return kmer_index.fragment_lengths(one, two, references(spark, sf_dir), K).withColumn("length", F.col("length").cast("long"))
+
+
 @query()
 def kmer_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal non-branching paths of the references' 31-mers."""

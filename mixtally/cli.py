@@ -76,6 +76,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     reads = fastx.read_pairs(spark, args.forward, args.reverse) if args.paired else fastx.read_reads(spark, args.forward)
     result = plans.quantify(reads, index, labelled, options)
     plans.write_results(result, args.out, index, labelled, options, args.fail, args.max_like_out, args.readinfo, form)
+    plans.write_log(spark, args.out, options, result)
     return result.counters | {"evaluations": result.em.evaluations, "converged": result.em.converged, "loglik": result.em.loglik, "seconds": time.time() - began}
 
 

@@ -73,3 +73,28 @@ def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read
 def supported_range(hits: DataFrame, k: int, least: int = 1, key: str = "read_id") -> DataFrame:
     """Keys whose hits span at least `least` bases, from the first hit's first base to the last hit's last."""
     return hits.groupBy(key).agg((F.max("pos") - F.min("pos") + k).alias("span")).where(F.col("span") >= least).select(key)
+
+
+def positions(seqs: DataFrame, k: int, key: str = "ref_id", seq: str = "seq") -> DataFrame:
+    """(key, kmer, pos, forward): where each canonical k-mer stands in a sequence, from 0, and whether it reads forward there."""
+    rows = seqs.select(key, F.upper(seq).alias("s"), F.posexplode(canonical_kmers(F.upper(seq), k)).alias("pos", "kmer"))
+    return rows.where("kmer IS NOT NULL").select(key, "kmer", "pos", (F.substring("s", F.col("pos") + 1, F.lit(k)) == F.col("kmer")).alias("forward"))
+
+
+def fragment_lengths(one: DataFrame, two: DataFrame, refs: DataFrame, k: int, key: str = "read_id") -> DataFrame:
+    """(key, ref_id, length): bases from the first to the last of the mates' first hits on a reference, where both hit it.
+
+    one and two: (key, seq) of the mates; a mate's first hit is that of its first window that the reference has, at its first place.
+    """
+    at = positions(refs, k).groupBy("ref_id", "kmer").agg(F.min("pos").alias("at"))
+
+    def first(mates: DataFrame, name: str) -> DataFrame:
+        return sequence_kmers(mates, k, key).join(at, "kmer").groupBy(key, "ref_id").agg(F.min_by("at", "pos").alias(name))
+
+    return first(one, "a").join(first(two, "b"), [key, "ref_id"]).select(key, "ref_id", (F.abs(F.col("a") - F.col("b")) + k).alias("length"))
+
+
+def class_read_counts(found: DataFrame, key: str = "read_id") -> DataFrame:
+    """(members, n): how many reads have each set of candidates. found: (key, ref_id)."""
+    sets = found.groupBy(key).agg(F.array_sort(F.collect_set("ref_id")).alias("members"))
+    return sets.groupBy("members").agg(F.count("*").alias("n"))

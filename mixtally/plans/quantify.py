@@ -49,6 +49,7 @@ class Quantified:
     unmapped: DataFrame
     improbable: DataFrame
     best: DataFrame
+    names: DataFrame
     counters: dict
 
 
@@ -101,7 +102,7 @@ def quantify(reads: DataFrame, index: dict, labelled: DataFrame | None = None, o
     out = em.Likelihoods(kept).estimate(options.min_freq, em.Controls(tolerance=options.tolerance, max_evaluations=options.max_evaluations))
     modes = {r["mode"]: r["n"] for r in cands.groupBy("mode").agg(F.count_distinct("read_id").alias("n")).collect()}
     counters = {"reads": reads.count(), "strict": modes.get("strict", 0), "rescued": modes.get("lenient", 0), "mapped": lk.select("read_id").distinct().count(), "passed": kept.select("read_id").distinct().count(), "left": out.mapped}
-    return Quantified(kept, out, out.frame(reads.sparkSession, kept), unmapped, improbable, best, counters)
+    return Quantified(kept, out, out.frame(reads.sparkSession, kept), unmapped, improbable, best, reads.select("read_id", "name"), counters)
 
 
 def posteriors(result: Quantified) -> DataFrame:
@@ -126,10 +127,15 @@ def write_results(result: Quantified, path: str, index: dict, labelled: DataFram
     if fails or readinfo:
         tables.write_tsv(failed, f"{path}/fails", compression="gzip")
     if max_likes:
-        tables.write_tsv(result.best, f"{path}/maxlikes", compression="gzip")
+        tables.write_tsv(result.best.select("max_ll"), f"{path}/maxlikes", header=False, compression="gzip")
     if readinfo:
-        reads = result.lk.select("read_id").distinct().withColumn("name", F.col("read_id").cast("string"))
-        tables.write_tsv(tables.readinfo_rows(posteriors(result), reads, names, failed), f"{path}/readinfo", compression="gzip")
+        tables.write_tsv(tables.readinfo_rows(posteriors(result), result.names, names, failed), f"{path}/readinfo", compression="gzip")
+
+
+def write_log(spark: SparkSession, path: str, options: Options, result: Quantified) -> None:
+    """Below path: what was asked for and what was counted, a line each."""
+    rows = [*vars(options).items(), *result.counters.items(), ("evaluations", result.em.evaluations), ("converged", result.em.converged), ("loglik", result.em.loglik)]
+    spark.createDataFrame([(f"{name}: {value}",) for name, value in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/log")
 
 
 def tabulate(spark: SparkSession, manifest: str, path: str, min_freq: float = -99.0) -> None:

@@ -51,6 +51,9 @@ def test_index_quantify_tabulate(spark, world, tmp_path):
     for i, f in enumerate(share):
         assert rows.get(str(i), 0) / total == pytest.approx(f, abs=0.09)
     assert [r.name for r in spark.read.csv(f"{tmp_path}/out/fails", sep="\t", header=True).collect() if r.reason == "Pseudomapping_Fails"] == ["junk"]
+    info = {r.name: r["info"] for r in spark.read.csv(f"{tmp_path}/out/readinfo", sep="\t", header=True).collect()}
+    assert info["junk"] == "MapFail" and set(info) == {"junk"} | {f"read{i}" for i in range(300)} and info["read0"].split(":")[1].startswith("ref")
+    assert "reads: 301" in [r.value for r in spark.read.text(f"{tmp_path}/out/log").collect()] and spark.read.text(f"{tmp_path}/out/maxlikes").count() == 300
     call(*common, "-o", f"{tmp_path}/taxa", "--collapse")
     rows = {r.taxon: float(r.expected_counts) for r in spark.read.csv(f"{tmp_path}/taxa/freqs", sep="\t", header=True).collect()}
     assert rows["C"] / rows["Root"] == pytest.approx(0.5, abs=0.09) and rows["E"] / rows["Root"] == pytest.approx(0.2, abs=0.09)
