@@ -1,25 +1,29 @@
 """Mixture frequencies by an accelerated EM.
 
 Likelihoods are a long table (read_id, key, loglik). Reads with one key add to that key's count whatever the frequencies are, and
-leave the iteration (`single_counts`). An evaluation of the map is one join of the likelihoods with the frequencies and two
-group-bys; a read gives each key it doesn't hit a likelihood of e**-150, whose sum has a closed form, so that no
-read-by-key product is made. The likelihoods are shifted by each read's best before they are exponentiated: nothing
-underflows. Frequencies are one row for each reference and live on the driver between evaluations, of which there are up to
+leave the iteration. An evaluation of the map is one pass over the cached likelihoods with the frequencies broadcast, which
+sums by key within each task (or, for many references, a join and two group-bys); a read gives each key it doesn't hit a
+likelihood of e**-150, whose sum has a closed form, so that no read-by-key product is made. The likelihoods are shifted by
+each read's best, or the floor if that is more, before they are exponentiated: nothing under- or overflows. Frequencies are one row for each reference and live on the driver between evaluations, of which there are up to
 2500, so that no plan grows from one to the next; likelihoods stay cached on the executors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 #: Log-likelihood of a read at a key that it doesn't hit.
 FLOOR = -150.0
+#: Most keys whose frequencies are broadcast; more are joined. Least marginal likelihood, relative to a read's best.
+BROADCAST_KEYS, TINY = 100_000, 1e-300
 
 
 def collapse(lk: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -54,13 +58,15 @@ def em_step(lk: DataFrame, freqs: DataFrame, singles: DataFrame) -> DataFrame:
     lk: rows of reads with several keys; freqs: (key, f); singles: (key, n). Keys outside freqs count for nothing.
     """
     total = freqs.agg(F.sum("f").alias("sum_f"))
-    joined = lk.join(freqs, "key")
-    best = joined.groupBy("read_id").agg(F.max("loglik").alias("best"))
-    marginal = joined.join(best, "read_id").groupBy("read_id", "best").agg(F.sum("f").alias("h"), F.sum(F.col("f") * F.exp(F.col("loglik") - F.col("best"))).alias("s")).crossJoin(F.broadcast(total))
-    marginal = marginal.select("read_id", "best", (F.col("s") + (F.col("sum_f") - F.col("h")) * F.exp(F.lit(FLOOR) - F.col("best"))).alias("m"))
-    floor = F.exp(F.lit(FLOOR) - F.col("best")) / F.col("m")
-    every = marginal.agg(F.sum(floor).alias("all_floor"), F.count("*").alias("n_multi"))
-    hits = joined.join(marginal, "read_id").groupBy("key").agg(F.sum(F.exp(F.col("loglik") - F.col("best")) / F.col("m") - floor).alias("hit"))
+    # A read's rows, one for each key it has, stay together: one shuffle by read and one by key.
+    reads = lk.join(freqs, "key").groupBy("read_id").agg(F.greatest(F.max("loglik"), F.lit(FLOOR)).alias("shift"), F.sum("f").alias("h"), F.collect_list(F.struct("key", "f", "loglik")).alias("r")).crossJoin(F.broadcast(total))
+    reads = reads.withColumn("low", F.exp(F.lit(FLOOR) - F.col("shift"))).withColumn("s", F.aggregate("r", F.lit(0.0), lambda s, x: s + x["f"] * F.exp(x["loglik"] - F.col("shift"))))
+    reads = reads.withColumn("m", F.greatest(F.col("s") + F.greatest(F.lit(0.0), F.col("sum_f") - F.col("h")) * F.col("low"), F.lit(TINY)))
+    hits = F.transform("r", lambda x: F.struct(x["key"].alias("key"), ((F.exp(x["loglik"] - F.col("shift")) - F.col("low")) / F.col("m")).alias("v"), F.lit(0).alias("n")))
+    every = F.array(F.struct(F.lit(None).cast(lk.schema["key"].dataType).alias("key"), (F.col("low") / F.col("m")).alias("v"), F.lit(1).alias("n")))
+    sums = reads.select(F.explode(F.concat(hits, every)).alias("x")).groupBy("x.key").agg(F.sum("x.v").alias("v"), F.sum("x.n").alias("n"))
+    every = sums.where("key IS NULL").agg(F.sum("v").alias("all_floor"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_multi"))
+    hits = sums.where("key IS NOT NULL").select("key", F.col("v").alias("hit"))
     kept = freqs.join(singles, "key", "left").join(hits, "key", "left")
     priors = freqs.join(singles, "key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_single"))
     rows = kept.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(priors))
@@ -183,34 +189,68 @@ class Likelihoods:
     def __init__(self, lk: DataFrame):
         self.spark = lk.sparkSession
         multi, singles = split_single(lk)
-        best = multi.groupBy("read_id").agg(F.max("loglik").alias("best"))
+        shift = multi.groupBy("read_id").agg(F.greatest(F.max("loglik"), F.lit(FLOOR)).alias("shift"))
+        self.keys = sorted(r["key"] for r in support(lk).collect())  # a row for each reference
+        self.place = {k: i for i, k in enumerate(self.keys)}
+        self.singles = {r["key"]: r["n"] for r in singles.collect()}
+        self.key_type = lk.schema["key"].dataType
+        numbers = self.spark.createDataFrame(list(self.place.items()), StructType([StructField("key", self.key_type), StructField("i", IntegerType())]))
+        rows = multi.join(F.broadcast(numbers) if len(self.keys) <= BROADCAST_KEYS else numbers, "key").join(shift, "read_id")
         # Reads with equal rows are one weighted row: the map depends on a read through its likelihoods only.
-        packed = multi.join(best, "read_id").groupBy("read_id", "best").agg(F.array_sort(F.collect_list(F.struct("key", (F.col("loglik") - F.col("best")).alias("d")))).alias("rows"))
-        self.classes = packed.groupBy("best", "rows").agg(F.count("*").alias("w")).persist()
-        self.singles = {r["key"]: r["n"] for r in singles.collect()}  # a row for each reference at most
-        self.keys = sorted(r["key"] for r in support(lk).collect())
-        self.n_multi = float(self.classes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
+        packed = rows.groupBy("read_id", "shift").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("loglik") - F.col("shift")).alias("d")))).alias("rows"))
+        packed = packed.groupBy("shift", "rows").agg(F.count("*").alias("w"))
+        self.classes = packed.select("shift", F.col("w").cast("double").alias("w"), F.col("rows.i").alias("i"), F.col("rows.d").alias("d")).persist()
+        self.n_multi = float(self.classes.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
         self.mapped = self.n_multi + sum(self.singles.values())
-        self.key_type = lk.schema["key"].dataType
+
+    def _sums(self, f: np.ndarray) -> DataFrame:
+        """(i, v): of each key the reads' gains over the floor, and at -1 and -2 the sums of floors and of log-likelihoods."""
+        if len(f) > BROADCAST_KEYS:
+            return self._joined_sums(f)
+        shared, total = self.spark.sparkContext.broadcast(f), float(f.sum())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = shared.value
+            gain, floors, ll = np.zeros(len(f)), 0.0, 0.0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                shift, w = (np.asarray(batch.column(c), float) for c in ("shift", "w"))
+                i = np.asarray(batch.column("i").flatten())
+                e = np.exp(np.asarray(batch.column("d").flatten()))
+                count = np.asarray(batch.column("i").value_lengths())
+                at = np.cumsum(count) - count
+                low = np.exp(FLOOR - shift)
+                m = np.maximum(np.add.reduceat(f[i] * e, at) + np.maximum(0.0, total - np.add.reduceat(f[i], at)) * low, TINY)
+                gain += np.bincount(i, np.repeat(w / m, count) * (e - np.repeat(low, count)), minlength=len(f))
+                floors += float((w * low / m).sum())
+                ll += float((w * (shift + np.log(m))).sum())
+            own = np.flatnonzero(gain)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, [-1, -2]]), pa.int32()), pa.array(np.concatenate([gain[own], [floors, ll]]), pa.float64())], names=["i", "v"])
+
+        return self.classes.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+
+    def _joined_sums(self, f: np.ndarray) -> DataFrame:
+        """The same by joins, for more keys than are broadcast."""
+        freqs = self.spark.createDataFrame(list(enumerate(f.tolist())), "i int, f double")
+        rows = self.classes.withColumn("id", F.xxhash64("shift", "i", "d")).select("id", "shift", "w", F.explode(F.arrays_zip("i", "d")).alias("r")).select("id", "shift", "w", "r.i", "r.d").join(freqs, "i")
+        low = F.exp(F.lit(FLOOR) - F.col("shift"))
+        part = rows.groupBy("id", "shift", "w").agg((F.sum(F.col("f") * F.exp("d"))).alias("s"), F.sum("f").alias("h"), F.collect_list(F.struct("i", "d")).alias("hits"))
+        part = part.withColumn("m", F.greatest(F.col("s") + F.greatest(F.lit(0.0), F.lit(float(f.sum())) - F.col("h")) * low, F.lit(TINY)))
+        gains = F.transform("hits", lambda r: F.struct(r["i"].alias("i"), (F.col("w") * (F.exp(r["d"]) - low) / F.col("m")).alias("v")))
+        sums = F.array(F.struct(F.lit(-1).alias("i"), (F.col("w") * low / F.col("m")).alias("v")), F.struct(F.lit(-2).alias("i"), (F.col("w") * (F.col("shift") + F.log("m"))).alias("v")))
+        return part.select(F.explode(F.concat(gains, sums)).alias("r")).groupBy("r.i").agg(F.sum("r.v").alias("v"))
 
     def step(self, freqs: dict) -> tuple[dict, float]:
         """One evaluation: new frequencies of the same keys, and the log-likelihood of the old."""
-        total = sum(freqs.values())
         priors = sum(n for k, n in self.singles.items() if k in freqs)
         if self.n_multi == 0:
             return {k: self.singles.get(k, 0) / priors if priors else 0.0 for k in freqs}, 0.0
-        f = self.spark.createDataFrame(list(freqs.items()), StructType([StructField("key", self.key_type), StructField("f", DoubleType())]))
-        # A read's frequencies meet it in one join of its rows; frequencies are a row for each reference.
-        rows = self.classes.withColumn("id", F.xxhash64("best", "rows")).select("id", "best", "w", F.explode("rows").alias("r")).select("id", "best", "w", "r.key", "r.d")
-        joined = rows.join(F.broadcast(f) if len(freqs) <= 100_000 else f, "key", "left")
-        part = joined.groupBy("id", "best", "w").agg(F.coalesce(F.sum("f"), F.lit(0.0)).alias("h"), F.coalesce(F.sum(F.col("f") * F.exp("d")), F.lit(0.0)).alias("s"), F.collect_list(F.when(F.col("f").isNotNull(), F.struct("key", "d"))).alias("hits"))
-        low = F.exp(F.lit(FLOOR) - F.col("best"))
-        part = part.withColumn("m", F.col("s") + (F.lit(total) - F.col("h")) * low).withColumn("floor", low / F.col("m"))
-        sums = part.select(F.sum(F.col("w") * F.col("floor")).alias("floor"), F.sum(F.col("w") * (F.col("best") + F.log("m"))).alias("ll")).first()
-        hit = part.select("w", "m", "floor", F.explode("hits").alias("r")).groupBy("r.key").agg(F.sum(F.col("w") * (F.exp("r.d") / F.col("m") - F.col("floor"))).alias("g"))
-        gain = {r["key"]: r["g"] for r in hit.collect()}  # a row for each reference at most
-        new = {k: (f0 * (gain.get(k, 0.0) + sums["floor"]) + self.singles.get(k, 0)) / (self.n_multi + priors) for k, f0 in freqs.items()}
-        return new, float(sums["ll"])
+        f = np.zeros(len(self.keys))
+        f[[self.place[k] for k in freqs]] = list(freqs.values())
+        got = {r["i"]: r["v"] for r in self._sums(f).collect()}  # a row for each reference at most
+        new = {k: (f0 * (got.get(self.place[k], 0.0) + got[-1]) + self.singles.get(k, 0)) / (self.n_multi + priors) for k, f0 in freqs.items()}
+        return new, float(got[-2])
 
     def estimate(self, min_freq: float | None = None, controls: Controls = Controls()) -> Result:
         """Mixture frequencies. Without min_freq the cutoff is one mapped read. `mapped` loses reads whose only key dropped out."""

@@ -4,7 +4,7 @@ import pytest
 
 from mixtally.operators import em
 
-ROWS = [(1, 0, -1.0), (1, 1, -3.0), (2, 0, -2.0), (2, 2, -2.0), (3, 1, -1.0), (4, 1, -5.0), (4, 2, -1.0), (5, 0, -1.0), (6, 0, -800.0), (6, 1, -801.0)]
+ROWS = [(1, 0, -1.0), (1, 1, -3.0), (2, 0, -2.0), (2, 2, -2.0), (3, 1, -1.0), (4, 1, -5.0), (4, 2, -1.0), (5, 0, -1.0), (6, 0, -900.0), (6, 1, -901.0)]
 
 
 def frame(spark, rows=ROWS):
@@ -32,13 +32,16 @@ def plain_step(rows, f):
     return {k: (new[k] + single.get(k, 0)) / (n_multi + prior) for k in f}
 
 
-def test_steps_match_plain_python(spark):
+def test_steps_match_plain_python(spark, monkeypatch):
     rows = [r for r in ROWS if r[0] != 6]
     f = {0: 0.5, 1: 0.3, 2: 0.2}
     want = plain_step(rows, f)
     got, _ = em.Likelihoods(frame(spark, rows)).step(f)
     multi, singles = em.split_single(frame(spark, rows))
     lazy = {r["key"]: r["f"] for r in em.em_step(multi, spark.createDataFrame(list(f.items()), "key int, f double"), singles).collect()}
+    monkeypatch.setattr(em, "BROADCAST_KEYS", 1)
+    joined, _ = em.Likelihoods(frame(spark, rows)).step(f)
+    assert joined == pytest.approx(want)
     assert got == pytest.approx(want) and lazy == pytest.approx(want) and sum(want.values()) == pytest.approx(1)
 
 
