@@ -13,6 +13,9 @@ equal anchors at equal places, so a window occurs twice only if the suffixes at
    yields the order and each suffix's common prefix with the one before (the LCP array).
 4. Windows that begin o bytes before an anchor are equal if the suffixes share 100 - o bytes, an LCP interval, and the o
    bytes before. All but the earliest of each such class are covered, and the chunks remove the bytes under them.
+
+A gram of very many occurrences could bring a bucket as many different suffixes. The windows of grams that occur HOT times or
+more are therefore dealt out by the hash of the whole window, each chunk sending the earliest of each once.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .textops import _BYTE, U64, byte_grams, flat, mix, pieces, powers, ranges,
 
 #: Bytes in a window, and in the gram at its anchor.
 WINDOW, GRAM = 100, 36
+#: Occurrences from which on a gram's windows are exchanged by their own hashes instead.
+HOT = 100_000
 #: Grams in a window; an anchor has at most one byte less before it in a window.
 PLACES = WINDOW - GRAM + 1
 
@@ -83,22 +88,38 @@ class Chunk:
         self.key = self.key.astype(np.uint64)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams, sorted, and whether each occurs more than once here."""
-        keys, count = np.unique(self.key, return_counts=True)
-        return keys, (count > 1).astype(np.uint8)
+        """Distinct grams, sorted, and how often each occurs here."""
+        return np.unique(self.key, return_counts=True)
 
     def keep(self, replies: list[bytes], buckets: int) -> None:
-        """Forgets the anchors whose grams occur once."""
+        """Forgets the anchors whose grams occur once, and sets the windows of those that are hot apart."""
         keys = self.grams()[0]
         order, bounds = C.dealt_order(keys, buckets)
-        many = np.zeros(len(keys), bool)
+        kind = np.zeros(len(keys), np.uint8)
         for reply in replies:
-            bucket, bits = C.unpack(reply)
-            own = order[bounds[bucket[0]] : bounds[bucket[0] + 1]]
-            many[own] = np.unpackbits(bits, count=len(own)).astype(bool)
-        stay = many[np.searchsorted(keys, self.key)] if len(keys) else np.zeros(0, bool)
+            bucket, codes = C.unpack(reply)
+            kind[order[bounds[bucket[0]] : bounds[bucket[0] + 1]]] = codes
+        kind = kind[np.searchsorted(keys, self.key)] if len(keys) else kind
+        hot, stay = kind == 2, kind == 1
+        count = (self.far - self.near + 1)[hot]
+        self.windows = np.unique(np.repeat(self.at[hot], count) - ranges(self.near[hot], count))
         self.at, self.key, self.near, self.far = self.at[stay], self.key[stay], self.near[stay], self.far[stay]
 
+    def hot(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows (hashes, sorted) of hot grams with the earliest place (key, start) of each; and the entry of each window."""
+        up = powers(WINDOW)[0][:WINDOW]
+        name = np.zeros(len(self.windows), np.uint64)
+        for a in range(0, len(name), 10_000):
+            at = self.windows[a : a + 10_000]
+            name[a : a + 10_000] = mix((_BYTE[self.data[at[:, None] + np.arange(WINDOW)]] * up).sum(axis=1, dtype=np.uint64))
+        row = np.searchsorted(self.offs, self.windows, side="right") - 1
+        self.window_doc, self.window_start = self.order[row], self.windows - self.offs[row]
+        by = np.lexsort((self.window_start, self.window_doc, name))
+        first = segments(name[by])
+        entry = np.empty(len(name), np.int64)
+        entry[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+        return name[by][first], self.window_doc[by][first], self.window_start[by][first], entry
+
     def suffixes(self) -> None:
         """Sorts the anchors' suffixes; equal ones become one entry. Sets entry (of each anchor), first (an anchor of each
         entry, the earliest), later (anchors behind the earliest of their entry) and rows (entries x (WINDOW + PLACES + 1))."""
@@ -235,16 +256,29 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return out_run, out_place, out_prefix
 
 
-def _answer_many(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
-    """Which grams occur more than once in the corpus?"""
+def _answer_counts(bucket: int, asked: list[tuple[int, list[np.ndarray]]], hot: int) -> Iterable[tuple[int, bytes]]:
+    """Of each gram: 0 if it occurs once in the corpus, 1 if more often, 2 if `hot` times or more."""
     keys = np.concatenate([a[0] for _, a in asked])
-    distinct, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    many = count > 1
-    many[inverse[np.concatenate([a[1] for _, a in asked]) > 0]] = True
-    many = many[inverse]
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([a[1] for _, a in asked]), minlength=len(distinct))
+    kind = ((total > 1).astype(np.uint8) + (total >= max(2, hot)))[inverse]
+    at = 0
+    for chunk, a in asked:
+        yield chunk, C.pack(np.array([bucket]), kind[at : at + len(a[0])].astype(np.uint8))
+        at += len(a[0])
+
+
+def _answer_hot(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
+    """Of each window, whether it occurs before the chunk's own earliest."""
+    name, doc, start = (np.concatenate([a[i] for _, a in asked]) for i in range(3))
+    by = np.lexsort((start, doc, name))
+    first = segments(name[by])
+    head = np.empty(len(by), np.int64)
+    head[by] = np.repeat(by[first], np.diff(np.append(first, len(by))))
+    earlier = (doc > doc[head]) | ((doc == doc[head]) & (start > start[head]))
     at = 0
     for chunk, a in asked:
-        yield chunk, C.pack(np.array([bucket]), np.packbits(many[at : at + len(a[0])]))
+        yield chunk, C.pack(np.array([bucket]), np.packbits(earlier[at : at + len(a[0])]))
         at += len(a[0])
 
 
@@ -298,23 +332,25 @@ def _answer_windows(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> I
         yield chunk, C.pack(np.array([bucket]), np.packbits(found[base[i] : base[i + 1]]))
 
 
-def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
     """finish(table, bytes, row offsets, covered bytes) of each chunk's documents, covered as `remove_repeated_bytes` says."""
     chunks = C.pack_documents(docs, text)
     buckets = C.bucket_count(chunks)
 
     def grams(chunk: int, table: pa.Table):
-        keys, many = Chunk(table, text, key).grams()
-        return C.dealt(chunk, keys, buckets, many)
+        keys, count = Chunk(table, text, key).grams()
+        return C.dealt(chunk, keys, buckets, count.astype(np.uint32))
 
     def runs(chunk: int, table: pa.Table, replies: list[bytes]):
         c = Chunk(table, text, key)
         c.keep(replies, buckets)
         c.suffixes()
-        return c.runs(chunk, buckets)
+        yield from c.runs(chunk, buckets)
+        name, doc, start, _ = c.hot()
+        yield from ((chunk, buckets + b, blob) for chunk, b, blob in C.dealt(chunk, name, buckets, doc, start))
 
-    many = C.answer(C.ask(chunks, grams), _answer_many)
-    earlier = C.answer(C.ask_again(chunks, many, runs), _answer_windows)
+    many = C.answer(C.ask(chunks, grams), lambda bucket, asked: _answer_counts(bucket, asked, hot))
+    earlier = C.answer(C.ask_again(chunks, many, runs), lambda bucket, asked: _answer_windows(bucket, asked) if bucket < buckets else _answer_hot(bucket, asked))
 
     def last(table: pa.Table, replies: list[bytes]) -> pa.Table:
         c = Chunk(table, text, key)
@@ -322,20 +358,27 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
         c.suffixes()
         order, bounds = c.dealt(buckets)
         found = np.zeros((len(c.first), PLACES), bool)
+        name, doc, start, entry = c.hot()
+        hot_order, hot_bounds = C.dealt_order(name, buckets)
+        before = np.zeros(len(name), bool)
         for reply in replies:
             if reply[0] == 2:
                 bucket, bits = C.unpack(reply[1:])
+                if bucket[0] >= buckets:
+                    own = hot_order[hot_bounds[bucket[0] - buckets] : hot_bounds[bucket[0] - buckets + 1]]
+                    before[own] = np.unpackbits(bits, count=len(own)).astype(bool)
+                    continue
                 own = order[bounds[bucket[0]] : bounds[bucket[0] + 1]]
                 found[own] = np.unpackbits(bits, count=len(own) * PLACES).reshape(-1, PLACES).astype(bool)
         step = np.zeros(len(c.data) + 1, np.int32)
-        begin = [np.repeat(c.at, 0)]
         late = np.flatnonzero(c.later)
         # The windows of an anchor behind its entry's earliest all occur earlier; they are one stretch.
         np.add.at(step, c.at[late] - c.far[late], 1)
         np.add.at(step, c.at[late] - c.near[late] + WINDOW, -1)
         rest = np.flatnonzero(~c.later)
         which, o = np.nonzero(found[c.entry[rest]])
-        begin = c.at[rest][which] - o
+        late = before[entry] | (c.window_doc > doc[entry]) | ((c.window_doc == doc[entry]) & (c.window_start > start[entry]))
+        begin = np.concatenate([c.at[rest][which] - o, c.windows[late]])
         np.add.at(step, begin, 1)
         np.add.at(step, begin + WINDOW, -1)
         return finish(table, c.data, c.offs, np.cumsum(step[:-1]) > 0)
@@ -360,13 +403,14 @@ def kept_bytes(data: np.ndarray, offs: np.ndarray, gone: np.ndarray, total: np.n
     return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
     """The documents, all columns, with n_bytes, n_removed, n_spans (long), spans (the removed byte ranges) and kept (binary).
 
     Texts are UTF-8 bytes. Each byte under a 100-byte string that also starts earlier (smaller `key`, or the same key and an
     earlier start) is removed; strings are judged on the input. A null or empty text has no bytes; a text under 100 bytes
     keeps all. Rows of one key count as one document's copies: an equal start isn't earlier, so repeated rows never remove
-    each other. A row without a key comes after all that have one. An empty table gives an empty result.
+    each other. A row without a key comes after all that have one. An empty table gives an empty result. `hot` is the number
+    of occurrences from which on a gram's windows are dealt out one by one; the result doesn't depend on it.
     """
     new = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
     docs = docs.drop(*new)
@@ -383,7 +427,7 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_i
             table = table.append_column(name, values)
         return table
 
-    return covered(docs, rows, f"{fields}{', ' if fields else ''}n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept binary", text, key)
+    return covered(docs, rows, f"{fields}{', ' if fields else ''}n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept binary", text, key, hot)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

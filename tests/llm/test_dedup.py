@@ -22,10 +22,10 @@ def test_words(spark, seed):
     assert got == dict(enumerate(plain.remove_words(rows)))
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_bytes(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(0, 10**9), (1, 10**9), (2, 5), (3, 2), (0, 2), (1, 3)])
+def test_bytes(spark, seed, hot):
     rows = rows_of(seed)
-    found = substring_bytes.remove_repeated_bytes(frame(spark, rows)).collect()
+    found = substring_bytes.remove_repeated_bytes(frame(spark, rows), hot=hot).collect()
     got = {r.n: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found}
     assert got == dict(enumerate(plain.remove_bytes(rows)))
     for r in found:
