@@ -42,10 +42,8 @@ def group(otu: DataFrame) -> DataFrame:
     all_ = by_label.agg(F.sum("cnt").alias("total"))
     p = F.col("cnt") / F.col("total")
     gamma = by_label.crossJoin(F.broadcast(all_)).agg(F.exp(_entropy(p)).alias("d1_gamma"), F.sum(p * p).alias("d2_gamma"))
-    w = F.col("total") / F.sum("total")
     each = individual(otu)
     alpha = each.agg((F.sum(F.col("total") * F.col("d1")) / F.sum("total")).alias("a1"), (F.sum(F.col("total") * F.col("d2")) / F.sum("total")).alias("a2"))
-    del w
     return gamma.crossJoin(F.broadcast(alpha)).select("d1_gamma", "d2_gamma", (F.col("d1_gamma") / F.col("a1")).alias("d1_beta"), (F.col("d2_gamma") / F.col("a2")).alias("d2_beta"))
 
 
