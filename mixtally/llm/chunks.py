@@ -123,6 +123,9 @@ def pack_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_BYTES)
             release()
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([first + k], pa.int64()), "rows": pa.array([rows.num_rows], pa.int32()), "blob": pa.array([to_blob(rows)], pa.binary())})
 
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a small file: as many chunks as cores, at least
+        docs = docs.repartition(cores)
     return checkpointed(docs.mapInArrow(chunk, "chunk long, rows int, blob binary"))
 
 
