@@ -26,6 +26,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if a small file gave it fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def dna(text: str):
     return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), LETTERS, BASES)
 
@@ -36,8 +42,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str, least: int = SHORT_K) -> DataFrame:
     """(read_id, doc_id, seq): tiles of documents; read_id is doc_id * 1000000 + the tile's place."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", dna("text").alias("d")).where(F.length("d") >= least)
-    # A text's tiles are cut by position in one pass of an expression; long texts make many rows, so they are dealt out first.
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", dna("text").alias("d")).where(F.length("d") >= least)
     tiles = docs.select("doc_id", "d", F.explode(F.sequence(F.lit(0), F.length("d") - F.lit(least), F.lit(STRIDE))).alias("at"))
     return tiles.select((F.col("doc_id") * 1_000_000 + F.col("at")).alias("read_id"), "doc_id", F.substring("d", F.col("at") + 1, F.lit(TILE)).alias("seq"))
 
