@@ -165,6 +165,7 @@ def encoded(docs: DataFrame, finish: Callable[[pa.Table, Encoded], pa.Table], sc
     and order, both times, as files are. A chunk whose replies don't fit its words fails.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     ranks = spark.sparkContext.broadcast(ranks)  # a vocabulary, of fixed size
     buckets = max(12, docs.rdd.getNumPartitions())
     words, places = (_split(docs, text, pattern, buckets, positions) for positions in (False, True))

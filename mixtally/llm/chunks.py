@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own, whole.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch; a larger row is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: Chunks for each bucket of an exchange.
 CHUNKS_A_BUCKET = 4
 
@@ -54,6 +56,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to BATCH_BYTES, if they are as large as Spark leaves them.
+
+    Batches of chunks or long documents would otherwise be of 64 MB, several times over in each task, off the heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key)).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system: workers are kept for later tasks, beside others."""
     pa.default_memory_pool().release_unused()
@@ -123,6 +135,7 @@ def pack_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_BYTES)
             release()
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([first + k], pa.int64()), "rows": pa.array([rows.num_rows], pa.int32()), "blob": pa.array([to_blob(rows)], pa.binary())})
 
+    small_batches(docs.sparkSession)
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # a small file: as many chunks as cores, at least
         docs = docs.repartition(cores)

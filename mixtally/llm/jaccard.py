@@ -452,6 +452,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     an empty set and links with nothing. A document without a key links with nothing either and has a null component_id.
     Repeated rows give repeated result rows. The key must be an integer.
     """
+    C.small_batches(docs.sparkSession)
     found = C.checkpointed(features(docs, text, key, n))
     nodes = found.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias(key))
     known = docs.where(F.col(key).isNotNull())

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import release, row_groups
+from .chunks import release, row_groups, small_batches
 from .textops import flat
 
 #: Bytes of text compressed at once, of a dictionary, and zstandard's level.
@@ -140,6 +140,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     gives an empty result.
     """
     docs = docs.drop(out)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` double"
 
