@@ -23,7 +23,6 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import chunks as C
 from .textops import U64, Words, flat, grams, mix, pieces, ranges, segments, sliding_min

@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -55,4 +54,3 @@ def test_pieces_and_ranges():
     assert T.segments(np.array([1, 1, 2, 2, 2, 5])).tolist() == [0, 2, 5]
     a, b = unpack(pack(np.arange(3), np.array([], np.uint8)))
     assert a.tolist() == [0, 1, 2] and len(b) == 0
-    assert re is not None
