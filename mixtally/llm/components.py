@@ -22,5 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(small_least.select("a", F.col("m").alias("b"))).distinct()
         edges = checkpointed(small)
-        if edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        # Stars are left when each node is either a parent or a child of one parent.
+        roles = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if roles.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             return edges
