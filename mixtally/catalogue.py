@@ -372,9 +372,16 @@ BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
 
 @query(f"WITH {SQL_OTU} SELECT sample, " + ", ".join(f"coalesce(sum(cnt) FILTER (label = '{b}'), 0) AS \"{b}\"" for b in BRANDS) + " FROM otu GROUP BY sample")
 def combined_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of BRANDS only, as its SQL has them; combined_counts_all has every label."""
     return diversity.wide(counts(spark, sf_dir), BRANDS)
 
 
+@query(f"WITH {SQL_OTU} SELECT sample, coalesce(COLUMNS(* EXCLUDE sample), 0) FROM (PIVOT otu ON label USING sum(cnt) GROUP BY sample)")
+def combined_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of samples with a column for each label that the data have."""
+    return diversity.wide(counts(spark, sf_dir))
+
+
 @query(f"WITH {SQL_OTU} SELECT sample, label, sum(cnt) AS cnt, CASE WHEN grouping(sample) + grouping(label) = 2 THEN 'all' WHEN grouping(label) = 1 THEN 'sample' ELSE 'label' END AS level FROM otu GROUP BY GROUPING SETS ((sample), (label), ())")
 def count_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diversity.totals(counts(spark, sf_dir))
