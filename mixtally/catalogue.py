@@ -234,9 +234,13 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_QUAL = "q AS (SELECT i AS pos, (ascii(d[CAST(i AS INT) + 1]) * 7 + i) % 41 AS q FROM (SELECT d, unnest(range(0, least(length(d), 150))) AS i FROM (SELECT " + SQL_DNA + " AS d FROM documents)))"
 
 
-def _qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up qualities of the first 150 bases of each document: (7 * letter + place) mod 41."""
-    d = F.substring(dna("text"), 1, TILE)
+#: The same of whole texts.
+SQL_QUAL_WHOLE = "q AS (SELECT i AS pos, (ascii(d[CAST(i AS INT) + 1]) * 7 + i) % 41 AS q FROM (SELECT d, unnest(range(0, length(d))) AS i FROM (SELECT " + SQL_DNA + " AS d FROM documents)))"
+
+
+def _qualities(spark: SparkSession, sf_dir: str, bases: int | None = TILE) -> DataFrame:
+    """Made-up qualities of the first `bases` bases of each document, of all if None: (7 * letter + place) mod 41."""
+    d = dna("text") if bases is None else F.substring(dna("text"), 1, bases)
     return _t(spark, sf_dir, "documents").select(F.array_join(F.transform(F.filter(F.split(d, ""), lambda c: c != ""), lambda c, i: F.chr(((F.ascii(c) * 7 + i) % 41 + 33).cast("long"))), "").alias("qual"))
 
 
@@ -254,6 +258,18 @@ def expected_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.expected_loglik(quality.histogram(_qualities(spark, sf_dir))).select(F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
 
 
+@query(f"WITH {SQL_QUAL_WHOLE} SELECT pos, q, count(*) AS n FROM q GROUP BY pos, q")
+def quality_histogram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all bases of each document; quality_histogram, like its SQL, has the first 150."""
+    return quality.histogram(_qualities(spark, sf_dir, None)).select(F.col("pos").cast("long").alias("pos"), F.col("q").cast("long").alias("q"), "n")
+
+
+@query(ORACLE_SQL["expected_loglik"].replace(SQL_QUAL, SQL_QUAL_WHOLE))
+def expected_loglik_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all bases of each document; expected_loglik, like its SQL, has the first 150."""
+    return quality.expected_loglik(quality.histogram(_qualities(spark, sf_dir, None))).select(F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
+
+
 @query(f"WITH {SQL_LK}, b AS (SELECT read_id, max(loglik) AS m FROM lk GROUP BY read_id), s AS (SELECT avg(m) AS mean, var_pop(m) AS var FROM b) SELECT lk.read_id, key, round(loglik, 6) AS loglik FROM lk JOIN b ON lk.read_id = b.read_id, s WHERE m > mean - 2 * sqrt(var)")
 def zscore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lk = likelihoods(spark, sf_dir)

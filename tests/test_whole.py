@@ -11,3 +11,12 @@ def test_combined_counts_all_has_every_quantity(spark):
     assert {r["sample"]: sum(v for k, v in r.items() if k != "sample") for r in rows} == totals
     labels = {r.p_brand for r in spark.read.parquet(f"{SF}/part.parquet").select("p_brand").distinct().collect()}
     assert set(rows[0]) == labels | {"sample"}
+
+
+def test_qualities_of_whole_texts(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    letters = sorted((sum("a" <= c <= "z" for c in (t or "").lower()) for t in texts), reverse=True)
+    rows = catalogue.QUERIES["quality_histogram_whole"](spark, SF).collect()
+    assert sum(r.n for r in rows) == sum(letters) and max(r.pos for r in rows) == letters[0] - 1 > 150
+    one, whole = (catalogue.QUERIES[q](spark, SF).first() for q in ("expected_loglik", "expected_loglik_whole"))
+    assert whole.mean < one.mean and whole["var"] > one["var"]
