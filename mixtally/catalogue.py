@@ -456,10 +456,16 @@ def breakpoint_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_SPANS}, x AS (SELECT contig, a, b, target FROM s WHERE contig < 5), e AS (SELECT DISTINCT contig, unnest([a, b]) AS lo FROM x), w AS (SELECT contig, lo, lead(lo) OVER (PARTITION BY contig ORDER BY lo) AS hi FROM e)
 SELECT w.contig, lo, hi, target FROM w JOIN x ON w.contig = x.contig WHERE hi IS NOT NULL AND NOT (b <= lo OR a >= hi)""")
 def segment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What covers each segment of five contigs (the contigs are the query, all their rows count)."""
+    """What covers each segment of contigs 0 to 4 only, as its SQL has them; segment_coverage_all has every contig."""
     return intervals.coverage(spans(spark, sf_dir).where("contig < 5"), "contig", "a", "b", "target")
 
 
+@query(ORACLE_SQL["segment_coverage"].replace(" WHERE contig < 5", ""))
+def segment_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What covers each segment, of all contigs; they join on buckets of 16 days, as spans are of 1 to 30."""
+    return intervals.coverage(spans(spark, sf_dir), "contig", "a", "b", "target", width=16)
+
+
 @query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
 r AS (SELECT user_id, event_type, sum(CASE WHEN before IS NOT DISTINCT FROM event_type AND i > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM e)
 SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS n FROM r GROUP BY user_id, run, event_type""")

@@ -13,9 +13,17 @@ def segments(spans: DataFrame, group: str, start: str, stop: str) -> DataFrame:
     return ends.withColumn("hi", following).where("hi IS NOT NULL")
 
 
-def coverage(spans: DataFrame, group: str, start: str, stop: str, what: str) -> DataFrame:
-    """(group, lo, hi, what): the intervals that overlap each segment. No interval crosses a segment's end."""
+def coverage(spans: DataFrame, group: str, start: str, stop: str, what: str, width: int | None = None) -> DataFrame:
+    """(group, lo, hi, what): the intervals that overlap each segment. No interval crosses a segment's end.
+
+    With a width, whole ends are joined by buckets of that width too: an interval is in all that it touches, a segment in that of its lo.
+    """
     cut = segments(spans, group, start, stop)
+    if width is not None:
+        bucket = lambda c: F.floor(F.col(c) / width)
+        own = spans.where(F.col(start) < F.col(stop)).select(group, F.col(start).alias("__a"), F.col(stop).alias("__b"), what)
+        own = own.withColumn("__w", F.explode(F.sequence(bucket("__a"), F.floor((F.col("__b") - 1) / width))))
+        return cut.withColumn("__w", bucket("lo")).join(own, [group, "__w"]).where("__a <= lo AND lo < __b").drop("__a", "__b", "__w")
     return cut.join(spans.select(group, F.col(start).alias("__a"), F.col(stop).alias("__b"), what), group).where("NOT (__b <= lo OR __a >= hi)").drop("__a", "__b")
 
 

@@ -1,6 +1,7 @@
 """Queries that must count all of their rows: against sums that no SQL of theirs shares."""
 
 from mixtally import catalogue
+from mixtally.operators import intervals
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,21 @@ def test_qualities_of_whole_texts(spark):
     assert sum(r.n for r in rows) == sum(letters) and max(r.pos for r in rows) == letters[0] - 1 > 150
     one, whole = (catalogue.QUERIES[q](spark, SF).first() for q in ("expected_loglik", "expected_loglik_whole"))
     assert whole.mean < one.mean and whole["var"] > one["var"]
+
+
+def test_segment_coverage_all_has_every_contig(spark):
+    spans = [tuple(r) for r in catalogue.spans(spark, SF).collect()]
+    want = set()
+    for contig in {s[0] for s in spans}:
+        own = [s[1:] for s in spans if s[0] == contig]
+        ends = sorted({x for a, b, _ in own for x in (a, b)})
+        want |= {(contig, lo, hi, t) for lo, hi in zip(ends, ends[1:]) for a, b, t in own if a <= lo and hi <= b}
+    got = [tuple(r) for r in catalogue.QUERIES["segment_coverage_all"](spark, SF).select("contig", "lo", "hi", "target").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({r[0] for r in got}) > 5
+
+
+def test_coverage_by_buckets_is_coverage(spark):
+    rows = [("g", -40, 3, 1), ("g", -33, -32, 2), ("g", 0, 16, 3), ("g", 15, 17, 4), ("g", 5, 5, 5), ("g", 9, 7, 6), ("h", 0, 1, 7)]
+    frame = spark.createDataFrame(rows, "g string, a long, b long, t int")
+    plain, by_bucket = (sorted(map(tuple, intervals.coverage(frame, "g", "a", "b", "t", w).collect())) for w in (None, 16))
+    assert plain == by_bucket
