@@ -3,7 +3,8 @@
 Templates and texts are lower-cased and cut into words of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Of each template, the hashes of its
 3-word grams are winnowed: the least of each 3 neighbours stays. The index maps these fingerprints to templates and places. A text
 is looked up gram by gram, in one vectorised pass; hits of one template whose diagonals (place in the text less place in the
-template) differ by no more than the band are one candidate. Only there the template is aligned with the text: global in
+template) differ by no more than the band are one candidate. Edits can hit every fingerprint of a notice, so a text's words are looked up
+too: where as many as must match stand within reach of a diagonal, it is a candidate as well. Only there the template is aligned with the text: global in
 the template, free ends in the text, within the band. What aligns is reported as coverage, the share of the template's words
 that match, and as the span from the first to the last matching word.
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textops import ALNUM, Words, flat, grams, pieces, sliding_min
+from .textops import ALNUM, Words, flat, grams, pieces, ranges, sliding_min
 
 #: Words of a gram, and neighbours of which winnowing keeps the least.
 GRAM, WINNOW = 3, 3
@@ -38,6 +39,9 @@ TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "GPL notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
 
@@ -47,11 +51,15 @@ def _words(text: str) -> Words:
 
 
 class Index:
-    """The inverted index of templates: `print` (sorted hashes), `template` and `place` of each, and the templates' word hashes."""
+    """The inverted index of templates: `print` (sorted hashes), `template` and `place` of each, and the templates' word hashes.
 
-    def __init__(self, templates: Mapping[str, str]):
+    `vocabulary` (sorted) has their words, with the templates of each from `owned`; `need` is how many words of a template must match.
+    """
+
+    def __init__(self, templates: Mapping[str, str], least: float = LEAST_COVERAGE):
         self.names = list(templates)
         self.words = [_words(templates[n]).hashes() for n in self.names]
+        self.need = np.array([next((m for m in range(1, len(h)) if m / len(h) >= least), max(1, len(h))) for h in self.words], np.int64)
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
         prints, owner, place = [], [], []
@@ -76,12 +84,17 @@ class Index:
         self.print = self.print[order]
         self.template = np.concatenate(owner or [np.zeros(0, np.int64)])[order]
         self.place = np.concatenate(place or [np.zeros(0, np.int64)])[order]
+        self.reach = np.array([len(h) + 2 * b for h, b in zip(self.words, self.band)], np.int64)
+        known = [(w, i) for i, h in enumerate(self.words) if len(h) >= GRAM for w in np.unique(h).tolist()]
+        self.vocabulary, self.first = np.unique(np.array(sorted(known), object)[:, 0].astype(np.uint64), return_index=True) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.owned = np.array([i for _, i in sorted(known)], np.int64)
+        self.count = np.diff(np.append(self.first, len(known)))
 
     def candidates(self, words: Words, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, template, least diagonal .. greatest) groups: (row, template, diagonal) of each, the diagonals of a group merged."""
         g = grams(h, GRAM)
         if not len(g) or not len(self.print):
-            return []
+            return self.scattered(words, h)
         low, high = np.searchsorted(self.print, g), np.searchsorted(self.print, g, side="right")
         at = np.flatnonzero((high > low) & (words.row[GRAM - 1 :] == words.row[: len(g)]))
         out: dict[tuple[int, int], list[int]] = {}
@@ -92,7 +105,46 @@ class Index:
                 d = i - int(words.first[row]) - int(self.place[k])
                 if not diagonals or abs(d - diagonals[-1]) > self.band[self.template[k]]:
                     diagonals.append(d)
-        return [(row, t, d) for (row, t), diagonals in sorted(out.items()) for d in diagonals]
+        found = [(row, t, d) for (row, t), diagonals in sorted(out.items()) for d in diagonals]
+        return found + sorted(set(self.scattered(words, h)) - set(found))
+
+    def scattered(self, words: Words, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, template, diagonal) where, within the band, enough words of the text and as many places of the template agree."""
+        if not len(self.vocabulary) or not len(h):
+            return []
+        code = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[code] == h)
+        code = code[at]
+        t = self.owned[ranges(self.first[code], self.count[code])]
+        at = np.repeat(at, self.count[code])
+        order = np.argsort(t, kind="stable")
+        at, t = at[order], t[order]
+        # Behind each hit, the last of those that must match has to be near.
+        i = np.flatnonzero(np.arange(len(t)) + self.need[t] <= len(t))
+        j = i + self.need[t[i]] - 1
+        i = i[(t[j] == t[i]) & (at[j] - at[i] < self.reach[t[i]]) & (words.row[at[j]] == words.row[at[i]])]
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, a in zip(t[i].tolist(), at[i].tolist()):
+            row, end = int(words.row[a]), a + int(self.reach[k])
+            own = spans.setdefault((row, k), [])
+            if own and a < own[-1][1]:
+                own[-1] = (own[-1][0], end)
+            else:
+                own.append((a, end))
+        out = []
+        for (row, k), own in spans.items():
+            template, band, need = self.words[k], self.band[k], int(self.need[k])
+            for a, end in own:
+                text, place = np.nonzero(h[a : min(end, int(words.first[row + 1])), None] == template)
+                d = text - place
+                order = np.argsort(d, kind="stable")
+                text, place, d = text[order], place[order], d[order]
+                some = np.unique(d)
+                low, high = np.searchsorted(d, some - band), np.searchsorted(d, some + band, side="right")
+                for x, y, z in zip(some.tolist(), low.tolist(), high.tolist()):
+                    if z - y >= need and len(np.unique(text[y:z])) >= need and len(np.unique(place[y:z])) >= need:
+                        out.append((row, k, x + a - int(words.first[row])))
+        return out
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -147,7 +199,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, s
     rest = [c for c in docs.columns if c != text]
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "template string", "coverage double", "begin long", "end long", "matched string"])
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(templates, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -158,10 +210,15 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, s
                 words = Words(data[offs[a] : offs[b]], offs[a : b + 1], ALNUM, lower=True)
                 h = words.hashes()
                 taken: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+                whole: dict[tuple[int, int], set[int]] = {}
                 for row, t, d in index.candidates(words, h):
+                    if any(abs(d - x) <= index.band[t] for x in whole.get((row, t), ())):
+                        continue
                     own = h[words.first[row] : words.first[row + 1]]
                     matched, first, last = align(index.words[t], own, d, index.band[t])
                     share = matched / len(index.words[t])
+                    if share == 1:
+                        whole.setdefault((row, t), set()).add(d)
                     if share >= least:
                         taken.setdefault((row, t), []).append((-share, first, last))
                 for (row, t), spans in sorted(taken.items()):
