@@ -50,7 +50,7 @@ class Anchors:
             self.key = np.zeros(0, np.uint64)
             return
         grams = byte_grams(data, GRAM)
-        value = (grams >> U64(32)).astype(np.uint32)
+        value = np.maximum((grams >> U64(32)).astype(np.uint32), 1)  # 0 is left to windows that cross documents
         least = sliding_min(value, PLACES)
         crossing = np.zeros(n + 1, np.int32)
         ends = offs[1:-1]
