@@ -7,6 +7,7 @@ for a taxonomy (region > nation > market segment), and quantities by nation and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from mixtally.operators import align, candidates, diversity, em, intervals, kmer
 K, SHORT_K = 31, 11
 #: Tiles of documents: bases of a read, and from one read to the next, so that every 31-mer stays whole in some read.
 TILE, STRIDE = 150, 120
+#: The least distance of two tiles' places, both multiples of STRIDE, that is a multiple of 1000000 too.
+APART = math.lcm(1_000_000, STRIDE)
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -41,10 +44,15 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str, least: int = SHORT_K) -> DataFrame:
-    """(read_id, doc_id, seq): tiles of documents; read_id is doc_id * 1000000 + the tile's place."""
+    """(read_id, doc_id, seq): tiles of documents; read_id is doc_id * 1000000 + the tile's place.
+
+    From place APART on another document could have that number too; tiles there are numbered downwards from -1 by document and
+    place. Document ids are not negative.
+    """
     docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", dna("text").alias("d")).where(F.length("d") >= least)
     tiles = docs.select("doc_id", "d", F.explode(F.sequence(F.lit(0), F.length("d") - F.lit(least), F.lit(STRIDE))).alias("at"))
-    return tiles.select((F.col("doc_id") * 1_000_000 + F.col("at")).alias("read_id"), "doc_id", F.substring("d", F.col("at") + 1, F.lit(TILE)).alias("seq"))
+    own = F.when(F.col("at") < APART, F.col("doc_id") * 1_000_000 + F.col("at")).otherwise(-1 - (F.col("doc_id") * 2**31 + F.col("at")))
+    return tiles.select(own.alias("read_id"), "doc_id", F.substring("d", F.col("at") + 1, F.lit(TILE)).alias("seq"))
 
 
 def likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,11 @@ def test_coverage_by_buckets_is_coverage(spark):
     frame = spark.createDataFrame(rows, "g string, a long, b long, t int")
     plain, by_bucket = (sorted(map(tuple, intervals.coverage(frame, "g", "a", "b", "t", w).collect())) for w in (None, 16))
     assert plain == by_bucket
+
+
+def test_reads_of_very_long_texts_have_ids_of_their_own(spark, tmp_path):
+    docs = [(0, "ab" * 1_500_200), (1, "abcd" * 100), (3, "abcd" * 100), (4, "x" * 3_000_100)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.reads(spark, str(tmp_path)).select("read_id", "doc_id").collect()
+    assert len({r.read_id for r in rows}) == len(rows) == sum((len(t) - catalogue.SHORT_K) // catalogue.STRIDE + 1 for _, t in docs)
+    assert {r.doc_id for r in rows if r.read_id < 0} == {0, 4} and {r.read_id for r in rows if r.doc_id == 3} == {3_000_000 + 120 * i for i in range(4)}
