@@ -5,6 +5,10 @@ pre-tokens go, packed, to the bucket that their hash names. A bucket encodes eac
 however many chunks sent it, and returns the ids to each sender, which puts them back by position. Decoding joins the
 ids with the table of token bytes. A frequent word costs an entry for each chunk; texts themselves aren't shuffled,
 only word numbers.
+
+Texts are read twice, once for the words and once for their positions. Words and ids are paired by order, so each bucket's
+reply carries a 128-bit digest of the words that it answers, which the second reading must have too; what isn't a plain
+scan of files or checkpoints is checkpointed before.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +39,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def token_table(ranks: dict[bytes, int]) -> list[bytes]:
-    """Bytes of each id; ids without a token are empty."""
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
+def token_table(ranks: dict[bytes, int]) -> pa.Array:
+    """Bytes of each id; ids without a token are null."""
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return table
+    return pa.array(table, pa.large_binary())
+
+
+def joined_bytes(ids: np.ndarray, ends: np.ndarray, table: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The ids joined with the table of token bytes: all bytes, and where those of ids[:ends[i]] end. An id without a token is an error."""
+    if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(table)):
+        raise ValueError("an id isn't in the vocabulary")
+    found = table.take(pa.array(ids))
+    if found.null_count:
+        raise ValueError("an id isn't in the vocabulary")
+    _, offsets, data = found.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    return data.to_pybytes() if data is not None else b"", offsets[ends]
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -65,11 +82,25 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[bytes], list[int
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+def digest(words: list[bytes]) -> np.ndarray:
+    """128 bits of some words in their order, as two numbers; lengths count."""
+    import xxhash
+
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return np.frombuffer(xxhash.xxh3_128_digest(sizes.tobytes() + b"".join(words)), np.uint64)
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs, checkpointed if a second reading could give other rows or another order: if its plan shuffles or computes in Python."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return C.checkpointed(docs) if any(x in plan for x in ("Exchange", "Arrow", "Python", "Pandas")) else docs
+
+
 def _split(docs: DataFrame, text: str, pattern: str, buckets: int, positions: bool) -> DataFrame:
     """Rows (chunk, bucket, blob, rest) of each chunk of documents: its words for each bucket, or the words by position.
 
     Words are numbered as they first appear and sent in that order. With positions, the row holds the number of words of each
-    text, the word numbers, and the bucket of each word, and `rest` the documents' other columns.
+    text, the word numbers, the bucket of each word and each bucket's digest, and `rest` the documents' other columns.
     """
     import xxhash
 
@@ -88,21 +119,20 @@ def _split(docs: DataFrame, text: str, pattern: str, buckets: int, positions: bo
                     number.update(dict.fromkeys(words))  # a known word keeps its place
             words = [w.encode() for w in number]
             where = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
+            order = np.argsort(where, kind="stable")
+            bounds = np.searchsorted(where[order], np.arange(buckets + 1))
+            dealt = [(b, [words[i] for i in order[bounds[b] : bounds[b + 1]]]) for b in np.flatnonzero(np.diff(bounds)).tolist()]
             out = []
             if positions:
                 ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
                 # The numbers' bytes lie apart, lowest first: frequent words have low numbers, so the high bytes shrink.
                 planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
                 rest = C.to_blob(rows.drop_columns([text]) if rows.num_columns > 1 else pa.RecordBatch.from_arrays([pa.array([True] * rows.num_rows)], names=["_"]))
-                out.append((first + k, POSITIONS, C.pack(np.array(sizes, np.int64), planes, where.astype(np.uint32)), rest))
+                out.append((first + k, POSITIONS, C.pack(np.array(sizes, np.int64), planes, where.astype(np.uint32), np.concatenate([digest(own) for _, own in dealt] or [np.zeros(0, np.uint64)])), rest))
             else:
-                order = np.argsort(where, kind="stable")
-                bounds = np.searchsorted(where[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    own = [words[i] for i in order[bounds[b] : bounds[b + 1]]]
-                    if own:
-                        out.append((first + k, b, C.pack(np.array([len(w) for w in own], np.uint32), np.frombuffer(b"".join(own), np.uint8)), None))
-            del number, found, words, where
+                for b, own in dealt:
+                    out.append((first + k, b, C.pack(np.fromiter(map(len, own), np.uint32, len(own)), np.frombuffer(b"".join(own), np.uint8)), None))
+            del number, found, words, where, dealt
             C.release()
             yield C.batch_of(out, ["chunk", "bucket", "blob", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
@@ -119,16 +149,16 @@ def _encoded(parts: DataFrame, ranks, pattern: str) -> DataFrame:
             out = []
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
                 sizes, raw = C.unpack(blob.as_py())
-                raw, end, ids = raw.tobytes(), 0, []
-                for n in sizes.tolist():
-                    word = raw[end : end + n]
-                    end += n
+                raw, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64)
+                words = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                ids = []
+                for word in words:
                     got = known.get(word)
                     if got is None:
                         got = known[word] = encode(word)
                     ids.append(got)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append((chunk, key[0].as_py(), C.pack(np.array([key[0].as_py()]), counts, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))), None))
+                out.append((chunk, key[0].as_py(), C.pack(np.array([key[0].as_py()]), counts, np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), digest(words)), None))
             yield C.batch_of(out, ["chunk", "bucket", "blob", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
@@ -138,10 +168,11 @@ def _encoded(parts: DataFrame, ranks, pattern: str) -> DataFrame:
 class Encoded:
     """A chunk's encoded texts: `sizes` in words, word `number`s by position, and of each word its `ids` from `begin`, `count` of them."""
 
-    def __init__(self, sizes: np.ndarray, planes: np.ndarray, where: np.ndarray, replies: list[list[np.ndarray]]):
+    def __init__(self, sizes: np.ndarray, planes: np.ndarray, where: np.ndarray, digests: np.ndarray, replies: list[list[np.ndarray]]):
         replies.sort(key=lambda r: int(r[0][0]))
         count = np.concatenate([r[1] for r in replies] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        if len(count) != len(where) or [(int(r[0][0]), len(r[1])) for r in replies] != [(b, n) for b, n in enumerate(np.bincount(where).tolist()) if n]:
+        answered = [np.array([r[0][0] for r in replies], np.int64), np.concatenate([r[3] for r in replies] or [np.zeros(0, np.uint64)])]
+        if len(count) != len(where) or not np.array_equal(answered[0], np.unique(where)) or not np.array_equal(answered[1], digests):
             raise RuntimeError("the documents changed between two reads: checkpoint them first")
         self.sizes = sizes
         self.number = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
@@ -161,11 +192,13 @@ class Encoded:
 def encoded(docs: DataFrame, finish: Callable[[pa.Table, Encoded], pa.Table], schema: str, ranks: dict[bytes, int], pattern: str, text: str) -> DataFrame:
     """finish(other columns, encoded texts) of each chunk of documents.
 
-    The documents are read twice, for their words and for the words' positions, and must be the same, in the same partitions
-    and order, both times, as files are. A chunk whose replies don't fit its words fails.
+    The documents are read twice, for their words and for the words' positions. Scans of files give the same rows in the same
+    order each time; other inputs are checkpointed first. A chunk whose words differ between the readings, in any bucket, in
+    themselves or in their order, fails with an error instead of giving other texts' ids.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
+    docs = settled(docs)
     ranks = spark.sparkContext.broadcast(ranks)  # a vocabulary, of fixed size
     buckets = max(12, docs.rdd.getNumPartitions())
     words, places = (_split(docs, text, pattern, buckets, positions) for positions in (False, True))
@@ -201,12 +234,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def rows(rest: pa.Table, found: Encoded) -> pa.Table:
         ids = list(found.texts())
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
         rest = rest.select([c for c, _ in fields]).append_column("n_tokens", pa.array(np.diff(offsets), pa.int64())).append_column("ids", values)
         if not decoded:
             return rest
-        token = table.value
-        return rest.append_column(decoded, pa.array([b"".join([token[i] for i in x.tolist()]) for x in ids], pa.binary()))
+        raw, ends = joined_bytes(ids, offsets, table.value)
+        return rest.append_column(decoded, pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()))
 
     if not fields:
         raise ValueError("documents need a column besides the text")
@@ -216,18 +250,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 
 def decode(encoded_docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded_docs with the bytes (binary) of its ids joined with the table of token bytes. Null ids give null, none empty bytes."""
+    """encoded_docs with the bytes (binary) of its ids joined with the table of token bytes. Null ids give null, none empty bytes.
+
+    An id that the vocabulary doesn't have, or a null among the ids, is an error. A column named as `out` is replaced.
+    """
     shared = encoded_docs.sparkSession.sparkContext.broadcast(token_table(ranks))  # a vocabulary, of fixed size
     docs = encoded_docs.drop(out)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value
         for batch in batches:
             column = batch.column(ids)
-            own = column.flatten().to_numpy(zero_copy_only=False)
+            own = column.flatten()
+            if own.null_count:
+                raise ValueError("a null among ids")
             ends = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))])
-            texts = [None if null else b"".join([token[i] for i in own[a:b].tolist()]) for a, b, null in zip(ends[:-1], ends[1:], column.is_null().to_pylist())]
+            raw, ends = joined_bytes(own.to_numpy(zero_copy_only=False), ends, shared.value)
+            texts = [None if null else raw[a:b] for a, b, null in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -242,15 +281,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     def rows(rest: pa.Table, found: Encoded) -> pa.Table:
-        token = table.value
         # Of each distinct word, its ids in decimal and their bytes; documents join those of their words.
         flat = list(map(str, found.ids.tolist()))
-        bounds = zip(found.begin.tolist(), (found.begin + found.count).tolist())
+        raw, ends = joined_bytes(found.ids, np.arange(len(found.ids) + 1), table.value)
         said, shown = [], []
-        ids = found.ids.tolist()
-        for a, b in bounds:
+        for a, b in zip(found.begin.tolist(), (found.begin + found.count).tolist()):
             said.append(",".join(flat[a:b]))
-            shown.append(b"".join([token[i] for i in ids[a:b]]))
+            shown.append(raw[ends[a] : ends[b]])
         n, sha_ids, sha_bytes = [], [], []
         for a, b in zip(found.first[:-1], found.first[1:]):
             own = found.number[a:b]

@@ -25,6 +25,45 @@ def test_encode_and_decode(spark, ranks, tmp_path):
     assert bpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
 
 
+def test_an_order_that_changes_between_readings(spark, ranks):
+    """Rows that come in another order at each reading are settled first; a chunk whose words differ fails."""
+    import random
+
+    texts = plain.corpus(8)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def shuffled(batches):
+        for pdf in batches:
+            yield pdf.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 30))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).mapInPandas(shuffled, "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
+    assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("words", [[b"b", b"a"], [b"a", b"c"], [b"ab", b""], [b"a"]])
+def test_a_reply_to_other_words_fails(words):
+    import numpy as np
+
+    def reply(own):
+        return [np.array([0]), np.ones(len(own), np.uint32), np.arange(len(own), dtype=np.int32), bpe.digest(own)]
+
+    asked = np.array([2]), np.zeros((4, 2), np.uint8), np.zeros(2, np.uint32), bpe.digest([b"a", b"b"])
+    assert len(list(bpe.Encoded(*asked, [reply([b"a", b"b"])]).texts())) == 1
+    with pytest.raises(RuntimeError, match="changed"):
+        bpe.Encoded(*asked, [reply(words)])
+
+
+def test_decoding_of_odd_ids(spark, ranks):
+    rows = [(0, [1, 2]), (1, []), (2, None)]
+    got = {r.k: r.decoded for r in bpe.decode(spark.createDataFrame([(*r, "x") for r in rows], "k int, ids array<int>, decoded string"), ranks).collect()}
+    by = {v: k for k, v in ranks.items()}
+    assert got == {0: by[1] + by[2], 1: b"", 2: None}
+    for bad in ([10**9], [-1], [None]):
+        with pytest.raises(Exception, match="vocabulary|null"):
+            bpe.decode(spark.createDataFrame([(0, bad)], "k int, ids array<int>"), ranks).collect()
+
+
 def test_merging_without_the_library(ranks):
     one = bpe.encoder(ranks, public_tokenizers.PATTERN)
     for w in (" the", "thntblere", "é", " éauxreé", "a" * 60, "\n\n", " 12345"):
