@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtally.functions import sequences as S
-from mixtally.operators import align, candidates, diversity, em, intervals, kmer_index, quality, taxonomy, unitigs
+from mixtally.operators import align, candidates, diversity, em, intervals, kmer_index, quality, settle, taxonomy, unitigs
 
 K, SHORT_K = 31, 11
 #: Tiles of documents: bases of a read, and from one read to the next, so that every 31-mer stays whole in some read.
@@ -224,32 +224,68 @@ def fragment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer_index.fragment_lengths(one, two, references(spark, sf_dir), K).withColumn("length", F.col("length").cast("long"))
 
 
-@query()
+SQL_TWIN = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+def _unitig_sql() -> str:
+    """Unitigs by walking from each node that nothing leads to; the references' graph has no cycles."""
+    return f"""WITH RECURSIVE {SQL_REFS}, one AS (SELECT DISTINCT substr(seq, CAST(i AS INT), {K}) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM refs WHERE length(seq) >= {K})),
+node AS (SELECT kmer FROM one UNION SELECT {SQL_TWIN.format('kmer')} FROM one),
+found AS (SELECT a, b FROM (SELECT kmer AS a, kmer[2:] || unnest(['A', 'C', 'G', 'T']) AS b FROM node) WHERE b IN (SELECT kmer FROM node)),
+edge AS (SELECT a, min(b) AS b FROM found GROUP BY a HAVING count(*) = 1),
+sole AS (SELECT b FROM found GROUP BY b HAVING count(*) = 1),
+step AS (SELECT a, b FROM edge WHERE b IN (SELECT b FROM sole) AND a <> b AND b <> {SQL_TWIN.format('a')}),
+walk AS (SELECT kmer AS tip, kmer AS seq, CAST(1 AS INT) AS n FROM node WHERE kmer NOT IN (SELECT b FROM step) UNION ALL SELECT step.b, walk.seq || right(step.b, 1), n + 1 FROM walk JOIN step ON walk.tip = step.a),
+path AS (SELECT DISTINCT n AS n_kmers, least(seq, {SQL_TWIN.format('seq')}) AS seq FROM walk WHERE tip NOT IN (SELECT a FROM step))"""
+
+
+@query(_unitig_sql() + " SELECT n_kmers, seq FROM path")
 def kmer_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal non-branching paths of the references' 31-mers."""
-    return unitigs.unitigs(references(spark, sf_dir), K)
+    return unitigs.unitigs(references(spark, sf_dir), K).select("n_kmers", "seq")
+
+
+def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    refs = references(spark, sf_dir)
+    paths = settle.checkpointed(unitigs.unitigs(refs, K))
+    return unitigs.map_targets(refs, paths, K), paths
+
+
+@query(_unitig_sql() + f""", inside AS (SELECT seq AS unitig, least(w, {SQL_TWIN.format('w')}) AS kmer, w <= {SQL_TWIN.format('w')} AS own, i - 1 AS place FROM (SELECT seq, i, substr(seq, CAST(i AS INT), {K}) AS w FROM (SELECT seq, unnest(range(1, n_kmers + 1)) AS i FROM path))),
+hit AS (SELECT ref_id, i - 1 AS pos, least(w, {SQL_TWIN.format('w')}) AS kmer, w <= {SQL_TWIN.format('w')} AS forward FROM (SELECT ref_id, i, substr(seq, CAST(i AS INT), {K}) AS w FROM (SELECT ref_id, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM refs WHERE length(seq) >= {K}))),
+placed AS (SELECT ref_id, pos, unitig, place, forward = own AS sense FROM hit JOIN inside ON hit.kmer = inside.kmer),
+marked AS (SELECT *, CASE WHEN lag(unitig) OVER w = unitig AND lag(sense) OVER w = sense AND place = lag(place) OVER w + CASE WHEN sense THEN 1 ELSE -1 END THEN 0 ELSE 1 END AS new FROM placed WINDOW w AS (PARTITION BY ref_id ORDER BY pos)),
+run AS (SELECT *, sum(new) OVER (PARTITION BY ref_id ORDER BY pos) AS run FROM marked)
+SELECT ref_id, CAST(min(pos) AS BIGINT) AS pos, unitig, sense, CAST(min(place) AS BIGINT) AS start, CAST(max(place) + 1 AS BIGINT) AS stop FROM run GROUP BY ref_id, run, unitig, sense""")
+def contig_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reference as a walk along unitigs, which are named by their letters here."""
+    walk, paths = _walks(spark, sf_dir)
+    rows = walk.join(paths.select(F.col("unitig").alias("u"), F.col("seq").alias("letters")), F.col("unitig") == F.col("u"))
+    return rows.select("ref_id", F.col("pos").cast("long").alias("pos"), F.col("letters").alias("unitig"), "sense", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+@query(f"WITH {SQL_REFS} SELECT ref_id, seq FROM refs WHERE length(seq) >= {K}")
+def rebuilt_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references again, spelled by their walks along unitigs."""
+    walk, paths = _walks(spark, sf_dir)
+    return intervals.rebuild(unitigs.target_pieces(walk, paths, K), "ref_id", "pos", "seq", K - 1)
 
 
 @query("""WITH s AS (SELECT translate(text, 'acgtu', 'ACGTU') AS u FROM documents) SELECT count(*) AS n_seqs, CAST(sum(length(regexp_replace(u, '[ACGTU]', '', 'g'))) AS BIGINT) AS n_other, CAST(sum(length(u) - length(replace(u, 'U', ''))) AS BIGINT) AS n_u, count(*) FILTER (regexp_matches(translate(u, 'U', 'T'), 'A{10}$')) AS n_poly_a FROM s""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warnings about letters: sequences, other letters than ACGTU, U's, and poly-A tails."""
-    u = F.translate("text", "acgtu", "ACGTU")
-    return _t(spark, sf_dir, "documents").agg(F.count("*").alias("n_seqs"), F.sum(F.length(F.regexp_replace(u, "[ACGTU]", ""))).alias("n_other"), F.sum(F.length(u) - F.length(F.replace(u, F.lit("U"), F.lit("")))).alias("n_u"), F.count_if(F.translate(u, "U", "T").rlike("A{10}$")).alias("n_poly_a"))
+    return kmer_index.input_warnings(_t(spark, sf_dir, "documents"), "text")
 
 
 # Qualities and alignment
 
-SQL_QUAL = "q AS (SELECT i AS pos, (ascii(d[CAST(i AS INT) + 1]) * 7 + i) % 41 AS q FROM (SELECT d, unnest(range(0, least(length(d), 150))) AS i FROM (SELECT " + SQL_DNA + " AS d FROM documents)))"
-
+SQL_QUAL = "q AS (SELECT i AS pos, (ascii(d[CAST(i AS INT) + 1]) * 7 + i) % 41 AS q FROM (SELECT d, unnest(range(0, length(d))) AS i FROM (SELECT " + SQL_DNA + " AS d FROM documents)))"
 
-#: The same of whole texts.
-SQL_QUAL_WHOLE = "q AS (SELECT i AS pos, (ascii(d[CAST(i AS INT) + 1]) * 7 + i) % 41 AS q FROM (SELECT d, unnest(range(0, length(d))) AS i FROM (SELECT " + SQL_DNA + " AS d FROM documents)))"
 
-
-def _qualities(spark: SparkSession, sf_dir: str, bases: int | None = TILE) -> DataFrame:
-    """Made-up qualities of the first `bases` bases of each document, of all if None: (7 * letter + place) mod 41."""
-    d = dna("text") if bases is None else F.substring(dna("text"), 1, bases)
-    return _t(spark, sf_dir, "documents").select(F.array_join(F.transform(F.filter(F.split(d, ""), lambda c: c != ""), lambda c, i: F.chr(((F.ascii(c) * 7 + i) % 41 + 33).cast("long"))), "").alias("qual"))
+def _qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up qualities of all bases of each document: (7 * letter + place) mod 41."""
+    d = _t(spark, sf_dir, "documents").select(dna("text").alias("d"))
+    return spread(d).select(F.array_join(F.transform(F.filter(F.split("d", ""), lambda c: c != ""), lambda c, i: F.chr(((F.ascii(c) * 7 + i) % 41 + 33).cast("long"))), "").alias("qual"))
 
 
 @query(f"WITH {SQL_QUAL} SELECT pos, q, count(*) AS n FROM q GROUP BY pos, q")
@@ -266,18 +302,6 @@ def expected_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.expected_loglik(quality.histogram(_qualities(spark, sf_dir))).select(F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
 
 
-@query(f"WITH {SQL_QUAL_WHOLE} SELECT pos, q, count(*) AS n FROM q GROUP BY pos, q")
-def quality_histogram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all bases of each document; quality_histogram, like its SQL, has the first 150."""
-    return quality.histogram(_qualities(spark, sf_dir, None)).select(F.col("pos").cast("long").alias("pos"), F.col("q").cast("long").alias("q"), "n")
-
-
-@query(ORACLE_SQL["expected_loglik"].replace(SQL_QUAL, SQL_QUAL_WHOLE))
-def expected_loglik_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all bases of each document; expected_loglik, like its SQL, has the first 150."""
-    return quality.expected_loglik(quality.histogram(_qualities(spark, sf_dir, None))).select(F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
-
-
 @query(f"WITH {SQL_LK}, b AS (SELECT read_id, max(loglik) AS m FROM lk GROUP BY read_id), s AS (SELECT avg(m) AS mean, var_pop(m) AS var FROM b) SELECT lk.read_id, key, round(loglik, 6) AS loglik FROM lk JOIN b ON lk.read_id = b.read_id, s WHERE m > mean - 2 * sqrt(var)")
 def zscore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lk = likelihoods(spark, sf_dir)
@@ -322,15 +346,24 @@ f{i + 1} AS (SELECT f{i}.key, (f * (coalesce(g, 0) + all_floor) + coalesce(n, 0)
 @query(_em_sql(3) + " SELECT key, round(f, 9) AS f FROM f3")
 def em_steps_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three plain evaluations from even frequencies."""
-    multi, singles = em.split_single(likelihoods(spark, sf_dir))
-    multi, singles = multi.persist(), singles.persist()
-    keys = em.support(likelihoods(spark, sf_dir))
-    f = keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select("key", (1.0 / F.col("n")).alias("f"))
-    for _ in range(3):
-        # Each step reads the frequencies, a row for each reference, several times: plans stay short if they start anew.
-        f = em.em_step(multi, f, singles)
-        f = spark.createDataFrame(f.collect(), f.schema)
-    return f.select("key", F.round("f", 9).alias("f"))
+    return em_steps(spark, sf_dir, 3)[-1].select("key", F.round("f", 9).alias("f"))
+
+
+def em_steps(spark: SparkSession, sf_dir: str, n: int) -> list[DataFrame]:
+    """(key, f) before and after each of n plain evaluations, from even frequencies."""
+    lk = settle.checkpointed(likelihoods(spark, sf_dir))
+    multi, singles = (settle.checkpointed(x) for x in em.split_single(lk))
+    out = [settle.checkpointed(even(lk))]
+    for _ in range(n):
+        # Each step reads the frequencies several times: plans stay short if they start anew.
+        out.append(settle.checkpointed(em.em_step(multi, out[-1], singles)))
+    return out
+
+
+def even(lk: DataFrame) -> DataFrame:
+    """(key, f): the same frequency for each key that some read has."""
+    keys = em.support(lk)
+    return keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select("key", (1.0 / F.col("n")).alias("f"))
 
 
 @query()
@@ -347,9 +380,7 @@ SELECT read_id, key, round(CASE WHEN top >= 0.9995 THEN 1.0 ELSE p END, 9) AS p,
 UNION ALL SELECT read_id, lone, 1.0, 'single' FROM c WHERE n = 1""")
 def read_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     lk = likelihoods(spark, sf_dir)
-    keys = em.support(lk)
-    f = keys.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n")))).select("key", (1.0 / F.col("n")).alias("f"))
-    return em.posterior(lk, f).select("read_id", "key", F.round("p", 9).alias("p"), "status")
+    return em.posterior(lk, even(lk)).select("read_id", "key", F.round("p", 9).alias("p"), "status")
 
 
 @query(f"""WITH {SQL_LK}, taxa AS (SELECT s_suppkey AS ref_id, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey), z AS (SELECT label, count(*) AS size FROM taxa GROUP BY label),
@@ -376,7 +407,7 @@ def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
     c = c.join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     f = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("all")))).select(F.array("r_name", "n_name", "c_mktsegment").alias("ranks"), (F.col("n") / F.col("all")).alias("f"))
-    return taxonomy.rank_ids(taxonomy.rollup(f), 3).select("path", "level", "rank_id", F.round("f", 9).alias("f"), "daughters")
+    return taxonomy.rank_ids(taxonomy.rollup(f)).select("path", "level", "rank_id", F.round("f", 9).alias("f"), "daughters")
 
 
 @query("""WITH l AS (SELECT n_name AS name, 'k__' || r_name || '; p__' || n_name || '; c__' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'x' || n_nationkey END || '; o__; f__' AS label, n_nationkey AS k, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -391,17 +422,8 @@ def lineage_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Tables of samples
 
-BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
-
-
-@query(f"WITH {SQL_OTU} SELECT sample, " + ", ".join(f"coalesce(sum(cnt) FILTER (label = '{b}'), 0) AS \"{b}\"" for b in BRANDS) + " FROM otu GROUP BY sample")
-def combined_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of BRANDS only, as its SQL has them; combined_counts_all has every label."""
-    return diversity.wide(counts(spark, sf_dir), BRANDS)
-
-
 @query(f"WITH {SQL_OTU} SELECT sample, coalesce(COLUMNS(* EXCLUDE sample), 0) FROM (PIVOT otu ON label USING sum(cnt) GROUP BY sample)")
-def combined_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def combined_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of samples with a column for each label that the data have."""
     return diversity.wide(counts(spark, sf_dir))
 
@@ -461,17 +483,11 @@ def breakpoint_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.depth(spans(spark, sf_dir), "contig", "a", "b")
 
 
-@query(f"""WITH {SQL_SPANS}, x AS (SELECT contig, a, b, target FROM s WHERE contig < 5), e AS (SELECT DISTINCT contig, unnest([a, b]) AS lo FROM x), w AS (SELECT contig, lo, lead(lo) OVER (PARTITION BY contig ORDER BY lo) AS hi FROM e)
-SELECT w.contig, lo, hi, target FROM w JOIN x ON w.contig = x.contig WHERE hi IS NOT NULL AND NOT (b <= lo OR a >= hi)""")
+@query(f"""WITH {SQL_SPANS}, e AS (SELECT DISTINCT contig, unnest([a, b]) AS lo FROM s), w AS (SELECT contig, lo, lead(lo) OVER (PARTITION BY contig ORDER BY lo) AS hi FROM e)
+SELECT w.contig, lo, hi, target FROM w JOIN s x ON w.contig = x.contig WHERE hi IS NOT NULL AND NOT (b <= lo OR a >= hi)""")
 def segment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What covers each segment of contigs 0 to 4 only, as its SQL has them; segment_coverage_all has every contig."""
-    return intervals.coverage(spans(spark, sf_dir).where("contig < 5"), "contig", "a", "b", "target")
-
-
-@query(ORACLE_SQL["segment_coverage"].replace(" WHERE contig < 5", ""))
-def segment_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What covers each segment, of all contigs; they join on buckets of 16 days, as spans are of 1 to 30."""
-    return intervals.coverage(spans(spark, sf_dir), "contig", "a", "b", "target", width=16)
+    """What covers each segment."""
+    return intervals.coverage(spans(spark, sf_dir), "contig", "a", "b", "target")
 
 
 @query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),

@@ -32,8 +32,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--em_tolerance", type=float, default=1e-12)
     p.add_argument("--min_freq", type=float, default=-99.0, help="quantify: one mapped read by default; tabulate: off by default")
     p.add_argument("--like_thresh", type=float, default=-2.0)
+    p.add_argument("--min_range", type=int, default=1, help="least bases that a read's hits must span")
     p.add_argument("-o", "--out", default="mixtally")
-    for name, text in (("collapse", "frequencies of taxa"), ("fail", "write failed reads"), ("no_filter", "no likelihood filter"), ("strict", "no lenient candidates"), ("max_like_out", "write best likelihoods"), ("readinfo", "write posteriors of reads")):
+    for name, text in (("collapse", "frequencies of taxa"), ("fail", "write failed reads"), ("no_harp_filter", "no likelihood filter"), ("keep_mate2_quality", "leave mate 2's qualities in the order of the file"), ("strict", "no lenient candidates"), ("max_like_out", "write best likelihoods"), ("readinfo", "write posteriors of reads")):
         p.add_argument(f"--{name}", action="store_true", help=text)
     p.add_argument("--version", action="version", version=VERSION)
     return p
@@ -57,12 +58,27 @@ def checked(args: argparse.Namespace, p: argparse.ArgumentParser) -> argparse.Na
     return args
 
 
+def inputs(args: argparse.Namespace) -> list[str]:
+    """The files that a command reads."""
+    names = {"index": ("ref",), "quantify": ("forward", "reverse", "tax", "index"), "tabulate": ("samples",)}[args.command]
+    return [p.strip() for n in names if getattr(args, n) for p in getattr(args, n).split(",") if p.strip()]
+
+
+def stale_indexes(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+    """Of the FASTA files with a .fai beside them, those that are newer than it."""
+    files = [p.strip() for p in (args.ref or "").split(",") if p.strip()]
+    return [p for p in files if not tables.missing_files(spark, [p, f"{p}.fai"]) and tables.stale_index(spark, p, f"{p}.fai")]
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> dict:
-    """Runs a command; what it counted."""
+    """Runs a command; what it counted and warns of."""
     began = time.time()
+    gone = tables.missing_files(spark, inputs(args))
+    if gone:
+        raise FileNotFoundError(f"no such file: {', '.join(gone)}")
     if args.command == "index":
-        plans.build_index(spark, args.ref, args.index, args.kmer)
-        return {"seconds": time.time() - began}
+        warned = plans.build_index(spark, args.ref, args.index, args.kmer)
+        return warned | {"stale": stale_indexes(spark, args), "seconds": time.time() - began}
     if args.command == "tabulate":
         plans.tabulate(spark, args.samples, args.out, args.min_freq)
         return {"seconds": time.time() - began}
@@ -72,12 +88,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         taxa = tables.read_taxonomy(spark, args.tax)
         form = tables.taxonomy_format(taxa)
         labelled = taxonomy.assign_labels(taxa, index["refs"])
-    options = plans.Options(phred=args.phred, paired=args.paired, collapse=args.collapse, lenient=not args.strict, likelihood_filter=not args.no_filter, threshold=args.like_thresh, min_freq=None if args.min_freq < 0 else args.min_freq, max_evaluations=args.max_em_it, tolerance=args.em_tolerance)
+    options = plans.Options(phred=args.phred, paired=args.paired, collapse=args.collapse, lenient=not args.strict, likelihood_filter=not args.no_harp_filter, threshold=args.like_thresh, min_freq=None if args.min_freq < 0 else args.min_freq, max_evaluations=args.max_em_it, tolerance=args.em_tolerance, min_range=args.min_range, reverse_quality=not args.keep_mate2_quality)
     reads = fastx.read_pairs(spark, args.forward, args.reverse) if args.paired else fastx.read_reads(spark, args.forward)
     result = plans.quantify(reads, index, labelled, options)
     plans.write_results(result, args.out, index, labelled, options, args.fail, args.max_like_out, args.readinfo, form)
     plans.write_log(spark, args.out, options, result)
-    return result.counters | {"evaluations": result.em.evaluations, "converged": result.em.converged, "loglik": result.em.loglik, "seconds": time.time() - began}
+    return result.counters | {"stale": stale_indexes(spark, args), "evaluations": result.em.evaluations, "converged": result.em.converged, "loglik": result.em.loglik, "seconds": time.time() - began}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -18,7 +18,7 @@ def normalise(seq: ColumnOrName, name: ColumnOrName | None = None) -> Column:
     The replacement depends on the sequence's name and the letter's place only, so that it is the same in every run and
     for every partitioning: letter number hash(name, place) mod 4 of ACGT. Without a name, the sequence's own hash counts.
     """
-    up = F.translate(F.upper(_c(seq)), "U", "T")
+    up = F.translate(_c(seq), "acgtuU", "ACGTTT")
     key = F.xxhash64(_c(name) if name is not None else up)
     letters = F.transform(
         F.split(up, ""),
@@ -183,3 +183,24 @@ def lineage(label: ColumnOrName, delimiter: str = ";", prefixed: bool = False) -
     lowest = F.element_at(known, -1)
     missing = F.transform(F.slice(F.array(*(F.lit(r) for r in RANKS)), F.size(known) + 1, F.greatest(F.lit(0), F.lit(7) - F.size(known))), lambda r: F.concat(F.lit("unknown_"), lowest, F.lit("_"), r))
     return F.when(F.size(split_exact(label, delimiter)) <= 1, parts).when(F.size(known) == 0, F.array().cast("array<string>")).when(F.size(known) >= 7, known).otherwise(F.concat(known, missing))
+
+
+def kmer_hash(kmer: ColumnOrName) -> Column:
+    """A 64-bit hash of a k-mer's 2-bit code."""
+    return F.xxhash64(encode(kmer))
+
+
+def bits(code: ColumnOrName, k: int) -> Column:
+    """A k-mer's code in binary, two digits a base, bases apart."""
+    digits = F.lpad(F.bin(_c(code).cast("long")), 2 * k, "0")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(digits, 2 * i + 1, F.lit(2))), " ")
+
+
+def shown(vector: ColumnOrName) -> Column:
+    """An array's members in one line, blanks between."""
+    return F.array_join(F.transform(_c(vector), lambda x: x.cast("string")), " ")
+
+
+def timestamp_text(at: ColumnOrName) -> Column:
+    """A time as text, to the second."""
+    return F.date_format(_c(at), "yyyy-MM-dd HH:mm:ss")

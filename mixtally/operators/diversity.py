@@ -17,9 +17,8 @@ def _entropy(p):
 def totals(otu: DataFrame) -> DataFrame:
     """(sample, label, cnt, level): totals by sample, by label, and of all."""
     level = F.when(F.grouping("sample") + F.grouping("label") == 2, "all").when(F.grouping("label") == 1, "sample").otherwise("label")
-    rows = otu.groupBy("sample", "label").agg(F.sum("cnt").alias("cnt"))
-    out = rows.cube("sample", "label").agg(F.sum("cnt").alias("cnt"), (F.grouping("sample") + F.grouping("label")).alias("g"), level.alias("level"))
-    return out.where("g > 0").drop("g")
+    sets = [[F.col("sample")], [F.col("label")], []]
+    return otu.groupingSets(sets, "sample", "label").agg(F.sum("cnt").alias("cnt"), level.alias("level"))
 
 
 def keep_frequent(otu: DataFrame, min_freq: float = -99.0) -> DataFrame:

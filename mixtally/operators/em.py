@@ -33,11 +33,12 @@ def collapse(lk: DataFrame, taxa: DataFrame) -> DataFrame:
     """
     sizes = taxa.groupBy("label").agg(F.count("*").alias("size"))
     rows = lk.join(taxa, "ref_id", "left").withColumn("key", F.coalesce("label", F.col("ref_id").cast("string")))
-    best = rows.groupBy("read_id", "key").agg(F.max("loglik").alias("best"))
-    shifted = rows.join(best, ["read_id", "key"]).groupBy("read_id", "key", "best").agg(F.sum(F.exp(F.col("loglik") - F.col("best"))).alias("s"), F.count("*").alias("n"))
-    shifted = shifted.join(sizes.withColumnRenamed("label", "key"), "key", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    total = F.col("s") + (F.col("size") - F.col("n")) * F.exp(F.lit(FLOOR) - F.col("best"))
-    return shifted.select("read_id", "key", (F.col("best") + F.log(total / F.col("size"))).alias("loglik"))
+    # One shuffle: a taxon's few likelihoods for a read stay together. If references aren't hit, nothing lies below the floor.
+    own = rows.groupBy("read_id", "key").agg(F.max("loglik").alias("best"), F.collect_list("loglik").alias("lls"))
+    own = own.join(sizes.withColumnRenamed("label", "key"), "key", "left").withColumn("missed", F.coalesce("size", F.lit(1)) - F.size("lls"))
+    own = own.withColumn("shift", F.when(F.col("missed") > 0, F.greatest("best", F.lit(FLOOR))).otherwise(F.col("best")))
+    total = F.aggregate("lls", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("shift"))) + F.col("missed") * F.when(F.col("missed") > 0, F.exp(F.lit(FLOOR) - F.col("shift"))).otherwise(0.0)
+    return own.select("read_id", "key", (F.col("shift") + F.log(total / F.coalesce("size", F.lit(1)))).alias("loglik"))
 
 
 def split_single(lk: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,78 +104,132 @@ class Result:
         return spark.createDataFrame(list(self.freqs.items()), schema)
 
 
-def distance2(a: dict, b: dict) -> float:
-    """Sum of squared differences over a's keys; a key that b lacks counts as 0 there."""
-    return sum((b.get(k, 0.0) - f) ** 2 for k, f in a.items())
+def distance2(a: np.ndarray, b: np.ndarray) -> float:
+    """Sum of squared differences of two frequency vectors; keys without a frequency have 0."""
+    return float(np.square(a - b).sum())
 
 
-def cut(freqs: dict, least: float, strict: bool = False) -> dict:
-    """Frequencies of at least (or, if strict, over) the cutoff, scaled to a sum of 1."""
-    kept = {k: f for k, f in freqs.items() if (f > least if strict else f >= least)}
-    total = sum(kept.values())
-    return {k: f / total for k, f in kept.items()} if total > 0 else {}
+def cut(freqs: DataFrame, least: float, strict: bool = False) -> DataFrame:
+    """(key, f) of at least (or, if strict, over) the cutoff, scaled to a sum of 1."""
+    kept = freqs.where(F.col("f") > least if strict else F.col("f") >= least)
+    return kept.crossJoin(F.broadcast(kept.agg(F.sum("f").alias("__sum")))).select("key", (F.col("f") / F.col("__sum")).alias("f"))
+
+
+def residual2(one: DataFrame, two: DataFrame) -> DataFrame:
+    """One row (r2): the sum of squared differences of two tables of frequencies over the first one's keys; a missing one is 0."""
+    rows = one.join(two.select("key", F.col("f").alias("g")), "key", "left")
+    return rows.agg(F.sum(F.pow(F.coalesce("g", F.lit(0.0)) - F.col("f"), F.lit(2))).alias("r2"))
+
+
+def mapped_left(lk: DataFrame, freqs: DataFrame) -> DataFrame:
+    """One row (mapped): reads but those whose only key has no frequency any more."""
+    multi, singles = split_single(lk)
+    return singles.join(freqs.select("key"), "key", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).crossJoin(multi.agg(F.count_distinct("read_id").alias("m"))).select((F.col("s") + F.col("m")).alias("mapped"))
+
+
+def step_length(r2: float, v2: float, bounds: tuple[float, float]) -> float:
+    """Length of an extrapolation, |r| / |v| (scheme S3 of the squared iterative methods), within its bounds."""
+    return bounds[1] if v2 <= 0 else min(max(math.sqrt(r2 / v2), bounds[0]), bounds[1])
+
+
+def extrapolated(p0: np.ndarray, p1: np.ndarray, p2: np.ndarray, alpha: float) -> np.ndarray:
+    """The squared extrapolation p0 + 2 alpha r + alpha ** 2 v, where r = p1 - p0 and v = p2 - p1 - r."""
+    r = p1 - p0
+    return p0 + 2 * alpha * r + alpha**2 * (p2 - p1 - r)
+
+
+class CutoffSchedule:
+    """The frequency below which keys drop out: a share of the full cutoff that grows with each evaluation, or jumps to all of it."""
+
+    def __init__(self, full: float, ramp: int):
+        self.full, self.ramp, self.done = max(0.0, full), ramp, 1
+        self.jumping = False
+
+    @property
+    def now(self) -> float:
+        return self.full * min(1.0, self.done / self.ramp)
+
+    @property
+    def is_full(self) -> bool:
+        return self.now >= self.full
+
+    def advance(self) -> None:
+        self.done = self.ramp if self.jumping else self.done + 1
+
+
+class FixedPoint:
+    """Evaluations of a map on frequency vectors, with the cutoff applied to each result."""
+
+    def __init__(self, step: Callable[[dict], tuple[dict, float]], keys: list, schedule: CutoffSchedule):
+        self.step, self.keys, self.schedule = step, keys, schedule
+        self.count, self.trace = 0, []
+
+    def as_dict(self, p: np.ndarray) -> dict:
+        at = np.flatnonzero(p > 0)
+        return {self.keys[i]: float(p[i]) for i in at}
+
+    def normal(self, p: np.ndarray, strict: bool = False) -> np.ndarray:
+        """p without what is below the cutoff, scaled to a sum of 1; zeros if nothing stays."""
+        kept = np.where(p > self.schedule.now if strict else p >= self.schedule.now, np.maximum(p, 0.0), 0.0)
+        total = kept.sum()
+        return kept / total if total > 0 else np.zeros_like(kept)
+
+    def __call__(self, p: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The map's value at p, and whether the full cutoff was applied to it."""
+        found, loglik = self.step(self.as_dict(p))
+        self.trace.append(loglik)
+        self.count += 1
+        out, full = self.normal(np.array([found.get(k, 0.0) for k in self.keys])), self.schedule.is_full
+        self.schedule.advance()
+        return out, full
 
 
 def squarem(step: Callable[[dict], tuple[dict, float]], start: dict, min_freq: float, controls: Controls = Controls()) -> Result:
     """Fixed point of `step` (frequencies -> frequencies, log-likelihood), accelerated by squared extrapolation.
 
-    Each round makes two steps, extrapolates along them by alpha = |r| / |v|, within the step bounds, and, unless alpha is about 1,
-    takes one more step to stabilise; a step whose residual is too great falls back to the second. The cutoff below which
-    frequencies drop out rises from min_freq / ramp to min_freq, by so much each evaluation; if steps grow small before, it
-    jumps. Converged only when a step at the full cutoff moves nothing.
+    A cycle makes two evaluations, p1 and p2, extrapolates along them and, unless the extrapolation is about the second
+    evaluation itself (alpha near 1), steadies it by one more; if that moves it too far, the cycle ends at p2. Whenever the length is
+    held back by its upper bound, the bound grows by step_factor. An evaluation that moves nothing ends the search if it was made at
+    the full cutoff; otherwise the schedule jumps there.
     """
-    cutoff = min_freq / controls.ramp if min_freq > 0 else 0.0
-    state = {"cutoff": cutoff, "n": 0, "jump": False}
-    logliks: list[float] = []
-
-    def evaluate(f: dict) -> tuple[dict, bool]:
-        out, ll = step(f)
-        logliks.append(ll)
-        used = state["cutoff"]
-        out = cut(out, used)
-        state["n"] += 1
-        if min_freq > 0 and state["cutoff"] != min_freq:
-            raised = state["cutoff"] + min_freq / controls.ramp
-            state["cutoff"] = min_freq if state["jump"] or raised >= min_freq else raised
-        return out, min_freq <= 0 or used == min_freq
-
-    step_min, step_max = controls.step_min, controls.step_max
-    p0, converged = dict(start), False
-    while state["n"] < controls.max_evaluations:
-        p1, at_min = evaluate(p0)
-        r2 = distance2(p0, p1)
-        if math.sqrt(r2) < controls.tolerance:
-            p0 = p1
-            if at_min:
-                converged = True
-                break
-            state["jump"] = True
-        p2, at_min = evaluate(p1)
+    schedule = CutoffSchedule(min_freq, controls.ramp)
+    f = FixedPoint(step, list(start), schedule)
+    p = np.array([float(v) for v in start.values()])
+    bounds = (controls.step_min, controls.step_max)
+    converged = False
+
+    def still(moved: float, full: bool) -> bool:
+        """Whether the search is over, as an evaluation moved so little."""
+        if moved >= controls.tolerance:
+            return False
+        schedule.jumping = True
+        return full
+
+    while f.count < controls.max_evaluations and not converged:
+        p1, full = f(p)
+        r2 = distance2(p, p1)
+        if still(math.sqrt(r2), full):
+            p, converged = p1, True
+            break
+        p2, full = f(p1)
         q2 = distance2(p1, p2)
-        if q2 < controls.tolerance:
-            p0 = p2
-            if at_min:
-                converged = True
-                break
-            state["jump"] = True
-        v2 = sum((p2.get(k, 0.0) - 2 * p1.get(k, 0.0) + f) ** 2 for k, f in p0.items())
-        alpha = max(step_min, min(step_max, math.sqrt(r2 / v2) if v2 > 0 else step_max))
-        new = {k: f + 2 * alpha * (p1.get(k, 0.0) - f) + alpha * alpha * (p2.get(k, 0.0) - 2 * p1.get(k, 0.0) + f) for k, f in p0.items()}
-        new = cut(new, state["cutoff"], strict=True) or p2
+        if still(q2, full):
+            p, converged = p2, True
+            break
+        alpha = step_length(r2, distance2(p2 - p1, p1 - p), bounds)
+        ahead, held = f.normal(extrapolated(p, p1, p2, alpha), strict=True), alpha == bounds[1]
+        if not ahead.any():
+            ahead = p2
         if abs(alpha - 1) > 0.01:
-            steadied, _ = evaluate(new)
-            norm = math.sqrt(sum(f * f for f in p2.values()) / max(1, len(p2)))
-            if math.sqrt(distance2(new, steadied)) <= controls.residual * (1 + norm) + q2:
-                new = steadied
-            else:
-                new = p2
-                if alpha == step_max:
-                    step_max *= controls.step_factor
-                alpha = 1.0
-        if alpha == step_max:
-            step_max *= controls.step_factor
-        p0 = new
-    return Result(p0, step(p0)[1] if p0 else 0.0, state["n"], converged, trace=logliks)
+            steadied, _ = f(ahead)
+            here = p2[p2 > 0]
+            allowed = controls.residual * (1 + math.sqrt(float(np.square(here).mean()) if len(here) else 0.0)) + q2
+            ahead = steadied if math.sqrt(distance2(ahead, steadied)) <= allowed else p2
+        if held:
+            bounds = (bounds[0], bounds[1] * controls.step_factor)
+        p = ahead
+    freqs = f.as_dict(p)
+    return Result(freqs, step(freqs)[1] if freqs else 0.0, f.count, converged, trace=f.trace)
 
 
 def starting_point(keys: list, singles: dict, mapped: float) -> dict:
@@ -252,6 +307,10 @@ class Likelihoods:
         new = {k: (f0 * (got.get(self.place[k], 0.0) + got[-1]) + self.singles.get(k, 0)) / (self.n_multi + priors) for k, f0 in freqs.items()}
         return new, float(got[-2])
 
+    def release(self) -> None:
+        """Gives the cached likelihoods' room back."""
+        self.classes.unpersist()
+
     def estimate(self, min_freq: float | None = None, controls: Controls = Controls()) -> Result:
         """Mixture frequencies. Without min_freq the cutoff is one mapped read. `mapped` loses reads whose only key dropped out."""
         if not self.keys:
@@ -268,15 +327,16 @@ def posterior(lk: DataFrame, freqs: DataFrame, collapse_at: float = 0.9995) -> D
     status: multi, or single for reads with one key, whose p is 1. Reads of which no key survives have one row without a key:
     even (several keys) or dropped (one). A key with p of at least collapse_at stands alone, with p 1.
     """
-    n = lk.groupBy("read_id").agg(F.count("*").alias("n_cand"))
-    joined = lk.join(freqs, "key")
-    best = joined.groupBy("read_id").agg(F.max("loglik").alias("best"))
-    parts = joined.join(best, "read_id").withColumn("u", F.col("f") * F.exp(F.col("loglik") - F.col("best")))
-    total = parts.groupBy("read_id").agg(F.sum("u").alias("t"), F.sum("f").alias("h"), F.first("best").alias("b"))
-    total = total.crossJoin(F.broadcast(freqs.agg(F.sum("f").alias("sum_f")))).select("read_id", (F.col("t") + (F.col("sum_f") - F.col("h")) * F.exp(F.lit(FLOOR) - F.col("b"))).alias("t"))
-    rows = parts.join(total, "read_id").join(n, "read_id").withColumn("p", F.when(F.col("n_cand") == 1, F.lit(1.0)).otherwise(F.col("u") / F.col("t")))
-    top = rows.groupBy("read_id").agg(F.max("p").alias("top"))
-    rows = rows.join(top, "read_id").where((F.col("top") < collapse_at) | (F.col("p") == F.col("top")))
+    joined = lk.join(freqs.select("key", "f"), "key", "left")
+    # A read's rows, one for each key it has, stay together: one shuffle by read.
+    known = F.col("f").isNotNull()
+    reads = joined.groupBy("read_id").agg(F.count("*").alias("n_cand"), F.greatest(F.max(F.when(known, F.col("loglik"))), F.lit(FLOOR)).alias("shift"), F.coalesce(F.sum("f"), F.lit(0.0)).alias("h"), F.collect_list(F.when(known, F.struct("key", "f", "loglik"))).alias("r"))
+    reads = reads.crossJoin(F.broadcast(freqs.agg(F.sum("f").alias("sum_f")))).withColumn("u", F.transform("r", lambda x: x["f"] * F.exp(x["loglik"] - F.col("shift"))))
+    missed = F.greatest(F.lit(0.0), F.col("sum_f") - F.col("h")) * F.exp(F.lit(FLOOR) - F.col("shift"))
+    reads = reads.withColumn("t", F.greatest(F.aggregate("u", F.lit(0.0), lambda t, x: t + x) + missed, F.lit(TINY)))
+    reads = reads.withColumn("ps", F.when(F.col("n_cand") == 1, F.transform("u", lambda x: F.lit(1.0))).otherwise(F.transform("u", lambda x: x / F.col("t")))).withColumn("top", F.array_max("ps"))
+    rows = reads.select("read_id", "n_cand", "top", F.explode(F.arrays_zip("r", "ps")).alias("x")).select("read_id", "n_cand", "top", "x.r.key", F.col("x.ps").alias("p"))
+    rows = rows.where((F.col("top") < collapse_at) | (F.col("p") == F.col("top")))
     rows = rows.select("read_id", "key", F.when(F.col("top") >= collapse_at, F.lit(1.0)).otherwise(F.col("p")).alias("p"), F.when(F.col("n_cand") == 1, "single").otherwise("multi").alias("status"))
-    none = n.join(joined.select("read_id").distinct(), "read_id", "left_anti")
+    none = reads.where(F.size("r") == 0)
     return rows.unionByName(none.select("read_id", F.lit(None).cast(lk.schema["key"].dataType).alias("key"), F.lit(None).cast("double").alias("p"), F.when(F.col("n_cand") == 1, "dropped").otherwise("even").alias("status")))

@@ -13,18 +13,22 @@ def segments(spans: DataFrame, group: str, start: str, stop: str) -> DataFrame:
     return ends.withColumn("hi", following).where("hi IS NOT NULL")
 
 
-def coverage(spans: DataFrame, group: str, start: str, stop: str, what: str, width: int | None = None) -> DataFrame:
+def coverage(spans: DataFrame, group: str, start: str, stop: str, what: str) -> DataFrame:
     """(group, lo, hi, what): the intervals that overlap each segment. No interval crosses a segment's end.
 
-    With a width, whole ends are joined by buckets of that width too: an interval is in all that it touches, a segment in that of its lo.
+    Segments of a group are numbered along it, so an interval covers those from its start's number to the one before its stop's:
+    two equi-joins and a sequence instead of a range join. The work is that of the ends and of the result. An interval without
+    length covers nothing; one with a null end neither cuts nor covers.
     """
-    cut = segments(spans, group, start, stop)
-    if width is not None:
-        bucket = lambda c: F.floor(F.col(c) / width)
-        own = spans.where(F.col(start) < F.col(stop)).select(group, F.col(start).alias("__a"), F.col(stop).alias("__b"), what)
-        own = own.withColumn("__w", F.explode(F.sequence(bucket("__a"), F.floor((F.col("__b") - 1) / width))))
-        return cut.withColumn("__w", bucket("lo")).join(own, [group, "__w"]).where("__a <= lo AND lo < __b").drop("__a", "__b", "__w")
-    return cut.join(spans.select(group, F.col(start).alias("__a"), F.col(stop).alias("__b"), what), group).where("NOT (__b <= lo OR __a >= hi)").drop("__a", "__b")
+    own = spans.where(F.col(start).isNotNull() & F.col(stop).isNotNull())
+    ends = own.select(group, F.explode(F.array(start, stop)).alias("lo")).distinct()
+    along = Window.partitionBy(group).orderBy("lo")
+    cut = ends.select(group, "lo", F.lead("lo").over(along).alias("hi"), F.row_number().over(along).alias("__n"))
+    first = cut.select(group, F.col("lo").alias(start), F.col("__n").alias("__first"))
+    behind = cut.select(group, F.col("lo").alias(stop), F.col("__n").alias("__behind"))
+    placed = own.where(F.col(start) < F.col(stop)).select(group, start, stop, what).join(first, [group, start]).join(behind, [group, stop])
+    each = placed.select(group, what, F.explode(F.sequence("__first", F.col("__behind") - 1)).alias("__n"))
+    return each.join(cut, [group, "__n"]).select(group, "lo", "hi", what)
 
 
 def depth(spans: DataFrame, group: str, start: str, stop: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import canonical_kmers, check_k, clip_poly_a, normalise
+from mixtally.operators.settle import checkpointed
 
 INDEX_VERSION = 1
 
@@ -20,6 +21,12 @@ def prepare(refs: DataFrame, seq: str = "seq", name: str = "name") -> DataFrame:
     return refs.withColumn(seq, clean).withColumn("len", F.length(seq)).withColumn(seq, clip_poly_a(seq))
 
 
+def input_warnings(seqs: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row (n_seqs, n_other, n_u, n_poly_a): sequences, letters other than ACGTU, U's, and sequences with a poly-A tail."""
+    u = F.translate(seq, "acgtu", "ACGTU")
+    return seqs.agg(F.count("*").alias("n_seqs"), F.sum(F.length(F.regexp_replace(u, "[ACGTU]", ""))).alias("n_other"), F.sum(F.length(u) - F.length(F.replace(u, F.lit("U"), F.lit("")))).alias("n_u"), F.count_if(F.translate(u, "U", "T").rlike("A{10}$")).alias("n_poly_a"))
+
+
 def sequence_kmers(seqs: DataFrame, k: int, key: str, seq: str = "seq") -> DataFrame:
     """(key, pos, kmer) of each window of bases, canonical, with positions from 0. Windows with other letters are left out."""
     return seqs.select(key, F.posexplode(canonical_kmers(F.upper(seq), k)).alias("pos", "kmer")).where("kmer IS NOT NULL")
@@ -37,15 +44,27 @@ def build(refs: DataFrame, k: int, key: str = "ref_id", seq: str = "seq") -> tup
     A class is named by a 64-bit hash of its members, so naming classes needs no numbering of all of them in one task.
     """
     check_k(k)
+    return _index(_classes(refs, k, key, seq))
+
+
+def _classes(refs: DataFrame, k: int, key: str, seq: str) -> DataFrame:
+    """(kmer, ec_id, members) of each canonical k-mer."""
     members = sequence_kmers(refs, k, key, seq).select("kmer", key).distinct().groupBy("kmer").agg(F.array_sort(F.collect_list(key)).alias("members"))
-    members = members.withColumn("ec_id", F.xxhash64(F.concat_ws(",", F.transform("members", lambda m: m.cast("string")))))
-    return members.select("kmer", "ec_id"), members.select("ec_id", "members").dropDuplicates(["ec_id"])
+    return members.withColumn("ec_id", F.xxhash64(F.concat_ws(",", F.transform("members", lambda m: m.cast("string")))))
+
+
+def _index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """kmer_ec and ecs. Two classes of one name would be taken for one: that is an error, not a wrong result."""
+    ecs = classes.groupBy("ec_id").agg(F.min("members").alias("members"), F.max("members").alias("other"))
+    sound = F.when(F.col("members") == F.col("other"), F.col("members")).otherwise(F.raise_error(F.lit("two classes have one hash")).cast(classes.schema["members"].dataType))
+    return classes.select("kmer", "ec_id"), ecs.select("ec_id", sound.alias("members"))
 
 
 def write(path: str, refs: DataFrame, k: int, key: str = "ref_id", seq: str = "seq") -> None:
     """Writes an index below path: refs, kmer_ec, ecs and meta."""
     spark = refs.sparkSession
-    kmer_ec, ecs = build(refs, k, key, seq)
+    check_k(k)
+    kmer_ec, ecs = _index(checkpointed(_classes(refs, k, key, seq)))
     refs.write.parquet(f"{path}/refs")
     kmer_ec.write.parquet(f"{path}/kmer_ec")
     ecs.write.parquet(f"{path}/ecs")
@@ -70,6 +89,11 @@ def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read
     return sequence_kmers(reads, k, key, seq).join(kmer_ec, "kmer").select(key, "pos", "kmer", "ec_id")
 
 
+def sorted_hits(hits: DataFrame, key: str = "read_id") -> DataFrame:
+    """(key, hits): a read's hits (ec_id, pos) in order of class, then position. A read has as many as it has windows, at most."""
+    return hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ec_id", "pos"))).alias("hits"))
+
+
 def supported_range(hits: DataFrame, k: int, least: int = 1, key: str = "read_id") -> DataFrame:
     """Keys whose hits span at least `least` bases, from the first hit's first base to the last hit's last."""
     return hits.groupBy(key).agg((F.max("pos") - F.min("pos") + k).alias("span")).where(F.col("span") >= least).select(key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import lineage
+from mixtally.operators.ordering import numbered
 
 
 def sniff(label: str) -> tuple[str, bool]:
@@ -23,7 +24,7 @@ def assign_labels(taxa: DataFrame, refs: DataFrame) -> DataFrame:
     """
     known = taxa.dropDuplicates(["name"]).join(refs.select("ref_id", "name"), "name")
     first = known.groupBy("label").agg(F.min("ref_id").alias("first"))
-    ids = first.select("label", F.row_number().over(Window.orderBy("first")).alias("label_id"))
+    ids = numbered(first, "first", "label_id", 1).select("label", "label_id")
     return known.join(ids, "label").select("ref_id", "name", "label", "label_id")
 
 
@@ -38,13 +39,13 @@ def with_default(refs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def rollup(freqs: DataFrame, ranks: str = "ranks") -> DataFrame:
-    """(path, parent, name, level, f, daughters): sums at each lineage prefix below Root (level 0).
+    """(path, parent, name, level, f, line, daughters): sums at each lineage prefix below Root (level 0); line has the paths from Root on.
 
     freqs: (ranks: array of names, f). Paths join names by `__`. daughters counts a node's children, unknown ones too.
     """
     prefixes = F.transform(F.sequence(F.lit(0), F.size(ranks)), lambda i: F.concat(F.array(F.lit("Root")), F.slice(F.col(ranks), F.lit(1), i)))
     rows = freqs.select(F.explode(prefixes).alias("p"), "f").groupBy("p").agg(F.sum("f").alias("f"))
-    rows = rows.select(F.array_join("p", "__").alias("path"), F.when(F.size("p") > 1, F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "__")).alias("parent"), F.element_at("p", -1).alias("name"), (F.size("p") - 1).alias("level"), "f")
+    rows = rows.select(F.array_join("p", "__").alias("path"), F.when(F.size("p") > 1, F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "__")).alias("parent"), F.element_at("p", -1).alias("name"), (F.size("p") - 1).alias("level"), "f", F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", F.lit(1), i), "__")).alias("line"))
     kids = rows.where("parent IS NOT NULL").groupBy("parent").agg(F.count("*").alias("daughters")).withColumnRenamed("parent", "path")
     return rows.join(kids, "path", "left").withColumn("daughters", F.coalesce("daughters", F.lit(0)))
 
@@ -54,16 +55,12 @@ def visible(rolled: DataFrame) -> DataFrame:
     return rolled.where(~F.col("path").rlike("(^|__)unknown_"))
 
 
-def rank_ids(rolled: DataFrame, depth: int = 7) -> DataFrame:
+def rank_ids(rolled: DataFrame) -> DataFrame:
     """visible nodes with rank_id, such as 0.2.1: the place of each ancestor among its sisters, by name, as a path of numbers."""
-    nodes = visible(rolled).withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy("name")))
-    known = nodes.where("level = 0").select("path", F.lit("0").alias("rank_id"))
-    out = known
-    for level in range(1, depth + 1):
-        below = nodes.where(F.col("level") == level).select("path", "parent", "place")
-        known = below.join(known.select(F.col("path").alias("parent"), F.col("rank_id").alias("up")), "parent").select("path", F.concat("up", F.lit("."), F.col("place").cast("string")).alias("rank_id"))
-        out = out.unionByName(known)
-    return nodes.drop("place").join(out, "path")
+    nodes = visible(rolled).withColumn("place", F.when(F.col("level") == 0, 0).otherwise(F.row_number().over(Window.partitionBy("parent").orderBy("name"))))
+    up = nodes.select("path", F.posexplode("line").alias("i", "at")).join(nodes.select(F.col("path").alias("at"), "place"), "at")
+    ids = up.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "place"))), lambda x: x["place"].cast("string")), ".").alias("rank_id"))
+    return nodes.drop("place", "line").join(ids, "path")
 
 
 def rolled_counts(freqs: DataFrame, labels: DataFrame, mapped: float, delimiter: str = ";", prefixed: bool = False) -> DataFrame:

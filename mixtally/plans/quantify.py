@@ -26,17 +26,33 @@ class Options:
     max_evaluations: int = 2500
     tolerance: float = 1e-12
     scoring: align.Scoring = field(default_factory=align.Scoring)
+    #: Least bases that a read's hits must span, from the first hit's first to the last hit's last.
+    min_range: int = 1
+    #: Whether mate 2's qualities are turned around with its sequence.
+    reverse_quality: bool = True
 
     def __post_init__(self):
         if self.phred not in (33, 64):
             raise ValueError("phred is 33 or 64")
 
 
-def build_index(spark: SparkSession, fasta: str, path: str, k: int = 31) -> None:
-    """Writes the index of FASTA files below path."""
+def build_index(spark: SparkSession, fasta: str, path: str, k: int = 31) -> dict:
+    """Writes the index of FASTA files below path; what is to be warned of: letters that were replaced, U's, poly-A tails, repeated names."""
     check_k(k)
-    refs = kmer_index.prepare(fastx.read_fasta(spark, fasta))
-    kmer_index.write(path, refs.select("ref_id", "name", "seq", "len"), k)
+    raw = fastx.read_fasta(spark, fasta)
+    kmer_index.write(path, kmer_index.prepare(raw).select("ref_id", "name", "seq", "len"), k)
+    return kmer_index.input_warnings(raw).first().asDict() | {"n_repeated_names": fastx.repeated_names(spark, fasta).count()}
+
+
+def read_counters(reads: DataFrame, cands: DataFrame) -> DataFrame:
+    """One row (reads, strict, rescued): reads, and those with strict and with only lenient candidates. cands: (read_id, ref_id, mode)."""
+    modes = cands.select("read_id", "mode").distinct().agg(F.count_if(F.col("mode") == "strict").alias("strict"), F.count_if(F.col("mode") == "lenient").alias("rescued"))
+    return reads.agg(F.count("*").alias("reads")).crossJoin(F.broadcast(modes))
+
+
+def missed_references(cands: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref_id, n): candidates that the index's references don't have, and how often; they can't be scored."""
+    return cands.join(refs.select("ref_id"), "ref_id", "left_anti").groupBy("ref_id").agg(F.count("*").alias("n"))
 
 
 @dataclass
@@ -56,9 +72,16 @@ class Quantified:
 def read_candidates(reads: DataFrame, index: dict, options: Options) -> DataFrame:
     """(read_id, ref_id, mode) of reads or pairs: strict, and lenient where strict has none."""
     k, kmer_ec, ecs = index["k"], index["kmer_ec"], index["ecs"]
+
+    def matched(rows: DataFrame) -> DataFrame:
+        found = kmer_index.match(rows, kmer_ec, k)
+        if options.min_range <= k:  # any hit spans k bases
+            return found
+        return found.join(kmer_index.supported_range(kmer_index.hit_positions(rows, kmer_ec, k), k, options.min_range), "read_id", "left_semi")
+
     if not options.paired:
-        return candidates.candidates(candidates.votes(kmer_index.match(reads, kmer_ec, k), ecs), options.lenient)
-    hits = [kmer_index.match(reads.select("read_id", F.col(f"seq{i}").alias("seq")), kmer_ec, k) for i in (1, 2)]
+        return candidates.candidates(candidates.votes(matched(reads), ecs), options.lenient)
+    hits = [matched(reads.select("read_id", F.col(f"seq{i}").alias("seq"))) for i in (1, 2)]
     voted = [candidates.votes(h, ecs) for h in hits]
     found = candidates.mates_strict(candidates.strict(voted[0]), candidates.strict(voted[1]), *hits).withColumn("mode", F.lit("strict"))
     if not options.lenient:
@@ -72,7 +95,7 @@ def score(reads: DataFrame, cands: DataFrame, refs: DataFrame, options: Options)
     names = ["seq1", "qual1", "seq2", "qual2"] if options.paired else ["seq", "qual"]
     rows = cands.join(reads.select("read_id", *names), "read_id")
     distinct = rows.select(*names, "ref_id").distinct().join(refs.select("ref_id", F.col("seq").alias("ref_seq")), "ref_id")
-    scored = align.score_paired(distinct, options.phred, options.scoring) if options.paired else align.score_single(distinct, options.phred, options.scoring)
+    scored = align.score_paired(distinct, options.phred, options.scoring, reverse_quality=options.reverse_quality) if options.paired else align.score_single(distinct, options.phred, options.scoring)
     return rows.join(scored.select(*names, "ref_id", "loglik"), [*names, "ref_id"]).where("loglik IS NOT NULL").select("read_id", "ref_id", "loglik")
 
 
@@ -99,9 +122,11 @@ def quantify(reads: DataFrame, index: dict, labelled: DataFrame | None = None, o
         moments = quality.expected_loglik(quality.histogram(reads.select(text.alias("qual")), offset=options.phred))
         kept = quality.passing(lk, moments, options.threshold).persist()
     improbable = lk.select("read_id").distinct().join(kept.select("read_id").distinct(), "read_id", "left_anti").join(reads.select("read_id", "name"), "read_id")
-    out = em.Likelihoods(kept).estimate(options.min_freq, em.Controls(tolerance=options.tolerance, max_evaluations=options.max_evaluations))
-    modes = {r["mode"]: r["n"] for r in cands.groupBy("mode").agg(F.count_distinct("read_id").alias("n")).collect()}
-    counters = {"reads": reads.count(), "strict": modes.get("strict", 0), "rescued": modes.get("lenient", 0), "mapped": lk.select("read_id").distinct().count(), "passed": kept.select("read_id").distinct().count(), "left": out.mapped}
+    model = em.Likelihoods(kept)
+    out = model.estimate(options.min_freq, em.Controls(tolerance=options.tolerance, max_evaluations=options.max_evaluations))
+    model.release()
+    counters = read_counters(reads, cands).first().asDict()
+    counters |= {"missed_references": missed_references(cands, index["refs"]).count(), "mapped": lk.select("read_id").distinct().count(), "passed": kept.select("read_id").distinct().count(), "left": out.mapped}
     return Quantified(kept, out, out.frame(reads.sparkSession, kept), unmapped, improbable, best, reads.select("read_id", "name"), counters)
 
 
@@ -122,14 +147,15 @@ def write_results(result: Quantified, path: str, index: dict, labelled: DataFram
         labels = refs.withColumnRenamed("ref", "label")
         if labelled is not None:
             labels = labels.join(labelled.select(F.col("ref_id").alias("key"), F.col("label").alias("taxon")), "key", "left").select("key", F.coalesce("taxon", "label").alias("label"))
-        tables.write_tsv(tables.result_rows(result.freqs, labels, result.em.mapped), f"{path}/freqs")
-    failed = tables.failed_rows(result.unmapped, result.improbable)
+        result.counters["unlabelled"] = tables.unlabelled(result.freqs, labels).count()
+        tables.write_tsv(tables.result_rows(result.freqs, labels, result.em.mapped).orderBy("Label"), f"{path}/freqs")
+    failed = tables.failed_rows(result.unmapped, result.improbable).orderBy("reason", "name")
     if fails or readinfo:
         tables.write_tsv(failed, f"{path}/fails", compression="gzip")
     if max_likes:
-        tables.write_tsv(result.best.select("max_ll"), f"{path}/maxlikes", header=False, compression="gzip")
+        tables.write_tsv(result.best.orderBy("read_id").select("max_ll"), f"{path}/maxlikes", header=False, compression="gzip")
     if readinfo:
-        tables.write_tsv(tables.readinfo_rows(posteriors(result), result.names, names, failed), f"{path}/readinfo", compression="gzip")
+        tables.write_tsv(tables.readinfo_rows(posteriors(result), result.names, names, failed).orderBy("name"), f"{path}/readinfo", compression="gzip")
 
 
 def write_log(spark: SparkSession, path: str, options: Options, result: Quantified) -> None:

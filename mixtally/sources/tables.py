@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import significant
 from mixtally.operators import diversity, taxonomy
+from mixtally.operators.ordering import numbered, running_total
 
 FAI = "name string, length long, offset long, linebases int, linewidth int"
 
@@ -22,14 +23,24 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
     rows = _numbered(spark, path).where(F.size(f) >= 5).select("at", f[0].alias("name"), f[1].cast("long").alias("length"), f[2].cast("long").alias("offset"), f[3].cast("int").alias("linebases"), f[4].cast("int").alias("linewidth"))
     cols = ["length", "offset", "linebases", "linewidth"]
     first = rows.groupBy("name").agg(F.min("at").alias("at"), *(F.min_by(c, "at").alias(c) for c in cols))
-    return first.select((F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("ref_id"), "name", *cols)
+    return numbered(first, "at", "ref_id").select("ref_id", "name", *cols)
 
 
 def make_fai(refs: DataFrame) -> DataFrame:
     """The index of single-line FASTA that has these references (ref_id, name, seq) in order."""
-    size = F.length("name") + 2 + F.length("seq") + 1
-    before = F.coalesce(F.sum(size).over(Window.orderBy("ref_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return refs.select("name", F.length("seq").cast("long").alias("length"), (before + F.length("name") + 2).cast("long").alias("offset"), F.length("seq").alias("linebases"), (F.length("seq") + 1).alias("linewidth"))
+    rows = running_total(refs.select("ref_id", "name", F.length("seq").alias("n")), "ref_id", F.length("name") + 2 + F.col("n") + 1, "before")
+    return rows.select("name", F.col("n").cast("long").alias("length"), (F.col("before") + F.length("name") + 2).alias("offset"), F.col("n").alias("linebases"), (F.col("n") + 1).alias("linewidth"))
+
+
+def missing_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """Those of the paths (globs too) at which there is no file."""
+    conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in [p.strip() for p in paths.split(",") if p.strip()] if isinstance(paths, str) else paths:
+        path = Path(name)
+        if not path.getFileSystem(conf).globStatus(path):
+            out.append(name)
+    return out
 
 
 def stale_index(spark: SparkSession, fasta: str, fai: str) -> bool:
@@ -78,15 +89,45 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f[0].alias("label"), f[1].cast("double").alias("cnt"), f[2].alias("taxon")) if want == 3 else rows.select(f[1].alias("label"), f[4].cast("double").alias("cnt"), f[2].alias("taxon"))
 
 
+def malformed_lines(spark: SparkSession, path: str) -> int:
+    """How many lines of a sample's result `read_result` leaves out: those of another width than the header's."""
+    lines = spark.read.text(path)
+    head = lines.head(1)
+    width = len(head[0][0].split("\t")) if head else 0
+    return lines.where(F.size(F.split("value", "\t")) != width).count()
+
+
+def unlabelled(freqs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key) of frequencies without a label, which `result_rows` leaves out."""
+    return freqs.select("key").join(labels.select("key"), "key", "left_anti")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as files' metadata name it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath()
+
+
 def read_samples(spark: SparkSession, manifest: str) -> DataFrame:
-    """(sample, label, cnt, taxon) of all results in a sample list. The list is short: a row for each sample, one plan for all."""
-    out = None
-    for sample, path in read_manifest(spark, manifest).collect():
-        rows = read_result(spark, path).select(F.lit(sample).alias("sample"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    """(sample, label, cnt, taxon) of all results in a sample list, in one plan. The list is short: a row for each sample.
+
+    Lines of another width than their file's header has are left out; a sample without a header of results is an error.
+    """
+    listed = read_manifest(spark, manifest).collect()
+    if not listed:
         raise ValueError(f"{manifest} lists no samples")
-    return out
+    known = spark.createDataFrame([(r["sample"], _qualified(spark, r.path)) for r in listed], "sample string, path string")
+    place = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^[a-zA-Z0-9+.-]+:(//[^/]*)?", ""), "/+", "/")
+    lines = spark.read.text(sorted({r.path for r in listed})).select(F.split("value", "\t").alias("f"), F.url_decode(F.replace(place, F.lit("+"), F.lit("%2B"))).alias("file"))
+    # A sample's path is a file or the folder of its parts.
+    lines = lines.withColumn("path", F.explode(F.array("file", F.regexp_replace("file", "/[^/]*$", "")))).join(F.broadcast(known), "path").select("sample", "f")
+    first, width = F.col("f")[0], F.size("f")
+    lines = lines.withColumn("head", F.when((first == "Label") & (width == 3), 3).when((first == "taxlevel") & (width == 5), 5))
+    kinds = lines.groupBy("sample").agg(F.max("head").alias("want"))
+    lines = lines.join(F.broadcast(kinds), "sample").withColumn("want", F.coalesce("want", F.raise_error(F.concat("sample", F.lit(" doesn't begin with a header of results"))).cast("int")))
+    rows = lines.where((width == F.col("want")) & F.col("head").isNull())
+    by_taxon = F.col("want") == 5
+    return rows.select("sample", F.when(by_taxon, F.get("f", 1)).otherwise(F.get("f", 0)).alias("label"), F.when(by_taxon, F.get("f", 4)).otherwise(F.get("f", 1)).cast("double").alias("cnt"), F.get("f", 2).alias("taxon"))
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, compression: str | None = None) -> None:

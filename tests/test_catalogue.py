@@ -1,6 +1,6 @@
 import pytest
 
-from mixtally import catalogue
+from mixtally import catalogue, catalogue_files  # noqa: F401
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"

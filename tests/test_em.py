@@ -100,6 +100,22 @@ def test_collapse(spark):
     assert got["a"] == pytest.approx(math.log((math.exp(-1) + math.exp(-2) + math.exp(-150)) / 3)) and got["9"] == pytest.approx(-4.0)
 
 
+def test_collapse_of_deep_likelihoods(spark):
+    taxa = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "b")], "ref_id int, label string")
+    lk = spark.createDataFrame([(1, 0, -900.0), (1, 1, -900.0), (1, 2, -2000.0), (2, 9, -5000.0)], "read_id long, ref_id int, loglik double")
+    got = {(r.read_id, r["key"]): r["loglik"] for r in em.collapse(lk, taxa).collect()}
+    assert got == {(1, "a"): pytest.approx(-900.0), (1, "b"): pytest.approx(-150 - math.log(2)), (2, "9"): pytest.approx(-5000.0)}
+
+
+def test_posterior_of_deep_likelihoods(spark):
+    """Of likelihoods far below the floor nearly all weight is on keys that the read doesn't hit; where all are hit, they compare."""
+    freqs = spark.createDataFrame([(0, 0.5), (1, 0.25), (2, 0.25)], "key int, f double")
+    got = {(r.read_id, r["key"]): r.p for r in em.posterior(frame(spark, [(6, 0, -900.0), (6, 1, -901.0), (7, 0, -152.0), (7, 1, -152.0)]), freqs).collect()}
+    assert got[6, 0] == pytest.approx(0) and got[6, 1] == pytest.approx(0)
+    low = math.exp(-2)
+    assert got[7, 0] == pytest.approx(0.5 * low / (0.75 * low + 0.25)) and got[7, 1] == pytest.approx(0.25 * low / (0.75 * low + 0.25))
+
+
 def test_posterior(spark):
     freqs = spark.createDataFrame([(0, 0.5), (1, 0.5)], "key int, f double")
     got = {(r.read_id, r["key"]): (r.p, r.status) for r in em.posterior(frame(spark), freqs).collect()}

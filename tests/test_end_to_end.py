@@ -99,3 +99,32 @@ def test_arguments_are_checked(argv):
     p = cli.parser()
     with pytest.raises(SystemExit):
         cli.checked(p.parse_args(argv), p)
+
+
+def test_missing_and_stale_files(spark, world, tmp_path):
+    import os
+
+    p = cli.parser()
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        cli.run(spark, cli.checked(p.parse_args(["-c", "index", "-r", f"{tmp_path}/nowhere.fa", "-i", f"{tmp_path}/i"]), p))
+    (tmp_path / "r.fa").write_text(">a\nACGUNACGTACGAAAAAAAAAAAA\n>a\nCC\n")
+    (tmp_path / "r.fa.fai").write_text("a\t24\t3\t24\t25\n")
+    got = []
+    for age in (100, -100):
+        at = (tmp_path / "r.fa").stat().st_mtime + age
+        os.utime(tmp_path / "r.fa.fai", (at, at))
+        got.append(cli.run(spark, cli.checked(p.parse_args(["-c", "index", "-r", f"{tmp_path}/r.fa", "-i", f"{tmp_path}/i{age}", "-k", "5"]), p)))
+    assert got[0]["stale"] == [] and got[1]["stale"] == [f"{tmp_path}/r.fa"]
+    assert (got[0]["n_other"], got[0]["n_u"], got[0]["n_poly_a"], got[0]["n_repeated_names"]) == (1, 1, 1, 1)
+
+
+def test_least_range_of_hits(spark, world):
+    from mixtally.sources import fastx
+
+    refs = kmer_index.prepare(fastx.read_fasta(spark, f"{world[0]}/refs.fa"))
+    kmer_ec, ecs = kmer_index.build(refs, 15)
+    index = {"k": 15, "kmer_ec": kmer_ec, "ecs": ecs}
+    seq = refs.where("ref_id = 1").first().seq
+    rows = spark.createDataFrame([(0, seq[:60]), (1, seq[100:120] + "N" * 40)], "read_id long, seq string")
+    found = [{r.read_id for r in plans.read_candidates(rows, index, plans.Options(min_range=n)).collect()} for n in (1, 20, 21, 60, 61)]
+    assert found == [{0, 1}, {0, 1}, {0}, {0}, set()]

@@ -101,3 +101,39 @@ def test_a_circle_is_one_unitig(spark):
     ring = "ACGGTCATTGACCTGAT"
     got = unitigs.unitigs(frame(spark, {0: ring + ring[:6]}), 7).collect()
     assert len(got) == 1 and got[0].n_kmers == len(ring)
+
+
+@pytest.mark.parametrize("size", [23, 5000])
+def test_circles_are_cut_at_their_least_node(spark, size, monkeypatch):
+    """A circle of many k-mers beside a path, and a part of it on the other strand; few rounds whatever the length."""
+    rng, k = random.Random(size), 21
+    ring = "".join(rng.choice("ACGT") for _ in range(size))
+    line = "".join(rng.choice("ACGT") for _ in range(60))
+    seqs = {0: ring + ring[: k - 1], 1: line, 2: revcomp((ring + ring[: k - 1])[5:40])}
+    rounds = []
+    monkeypatch.setattr(unitigs, "checkpointed", lambda df, real=unitigs.checkpointed: rounds.append(1) or real(df))
+    got = sorted(unitigs.unitigs(frame(spark, seqs), k).collect(), key=lambda r: -r.n_kmers)
+    assert sorted(r.n_kmers for r in got) == sorted([size, 60 - k + 1])
+    circle = next(r for r in got if r.n_kmers == size)
+    assert circle.seq[: k - 1] == circle.seq[-(k - 1) :] and circle.seq[:k] == min(circle.seq[i : i + k] for i in range(size))
+    assert sorted(kmers(circle.seq, k)) == sorted(kmers(seqs[0], k)) and len(rounds) <= 8
+
+
+def test_targets_are_walks_along_unitigs(spark, family):
+    from mixtally.operators import intervals
+
+    k = 9
+    seqs = {i: family[i] for i in (0, 1, 2, 3)} | {4: family[0][:30] + "N" + family[0][31:70], 5: "ACG"}
+    paths = unitigs.unitigs(frame(spark, seqs), k).persist()
+    walk = unitigs.map_targets(frame(spark, seqs), paths, k)
+    spelled = {r.unitig: r.seq for r in paths.collect()}
+    covered = {}
+    for r in walk.collect():
+        piece = spelled[r.unitig][r.start : r.stop + k - 1]
+        piece = piece if r.sense else revcomp(piece)
+        assert seqs[r.ref_id][r.pos : r.pos + len(piece)] == piece
+        covered.setdefault(r.ref_id, []).extend(range(r.pos, r.pos + r.stop - r.start))
+    for i, s in seqs.items():
+        assert sorted(covered.get(i, [])) == [p for p in range(len(s) - k + 1) if "N" not in s[p : p + k]]
+    rebuilt = intervals.rebuild(unitigs.target_pieces(walk, paths, k), "ref_id", "pos", "seq", k - 1)
+    assert {r.ref_id: r.seq for r in rebuilt.collect() if r.ref_id < 4} == {i: seqs[i] for i in range(4)}

@@ -115,6 +115,49 @@ def test_fastq_splits_and_gzip(spark, tmp_path):
         fastx.read_fastq(spark, f"{tmp_path}/bad.fq").collect()
 
 
+def test_fasta_framing(spark, tmp_path):
+    """`>` inside headers and sequences' lines, text before the first record, blank lines, and both line ends."""
+    (tmp_path / "a.fa").write_bytes(b"; a note\n\n>r1 product A->B >C\nAC\nGT\n\n>r2\r\nGG\r\nT\r\n>>odd\nA\n")
+    (tmp_path / "b.fa").write_text("\n>r3\nT>T\n>\nCC")
+    (tmp_path / "c.fa").write_text("no record")
+    rows = fastx.read_fasta(spark, [f"{tmp_path}/{x}.fa" for x in "abc"]).orderBy("ref_id").collect()
+    assert [(r.name, r.seq) for r in rows] == [("r1", "ACGT"), ("r2", "GGT"), (">odd", "A"), ("r3", "T>T"), ("", "CC")]
+    assert fastx.read_fasta(spark, f"{tmp_path}/c.fa").collect() == []
+
+
+def test_fastq_of_several_lines(spark, tmp_path):
+    rng = random.Random(11)
+    want, text = [], ""
+    for i in range(900):
+        n = rng.choice([0, 1, 5, 30, 31, 95, 200])
+        s, q = "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@+>I#!") for _ in range(n))
+        want.append((f"r{i}", s, q))
+
+        def wrap(x, width):
+            return "".join(x[k : k + width] + "\n" for k in range(0, len(x), width)) or "\n"
+
+        width = rng.choice([30, 31, 1000])
+        text += f"@r{i} c\n{wrap(s, width)}+{rng.choice(['', 'r' + str(i)])}\n{wrap(q, width)}" + "\n" * rng.randrange(2)
+    (tmp_path / "r.fq").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("100000000", "20000", "3000", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            rows = fastx.read_fastq(spark, f"{tmp_path}/r.fq").orderBy("ordinal").collect()
+            assert [(r.name, r.seq, r.qual) for r in rows] == want and [r.ordinal for r in rows] == list(range(900))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    (tmp_path / "end.fq").write_text("@a\nAC\n+\nII\n@b\n\n+")
+    assert [(r.name, r.seq) for r in fastx.read_fastq(spark, f"{tmp_path}/end.fq").orderBy("ordinal").collect()] == [("a", "AC"), ("b", "")]
+    assert [r.name for r in fastx.read_reads(spark, f"{tmp_path}/end.fq").collect()] == ["a"]
+    for bad in ("@a\nAC\n+\nI", "@a\nACGT\n", "@a\nAC\n+\nIIII\n@b\nA\n+\nI\n", "x\n"):
+        (tmp_path / "bad.fq").write_text(bad)
+        with pytest.raises(Exception, match="malformed|no record|no qualities"):
+            fastx.read_fastq(spark, f"{tmp_path}/bad.fq").collect()
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "x.fai").write_text("r1\t6\t4\t6\t7\nr2\t3\t15\t3\t4\nr1\t9\t9\t9\t9\nshort\t1\n")
     assert [(r.ref_id, r.name, r.length) for r in tables.read_fai(spark, f"{tmp_path}/x.fai").orderBy("ref_id").collect()] == [(0, "r1", 6), (1, "r2", 3)]

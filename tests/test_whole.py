@@ -6,8 +6,8 @@ from mixtally.operators import intervals
 SF = "/root/testdata/sf0.001"
 
 
-def test_combined_counts_all_has_every_quantity(spark):
-    rows = [r.asDict() for r in catalogue.QUERIES["combined_counts_all"](spark, SF).collect()]
+def test_combined_counts_has_every_quantity(spark):
+    rows = [r.asDict() for r in catalogue.combined_counts(spark, SF).collect()]
     totals = {r.sample: r.cnt for r in catalogue.count_totals(spark, SF).where("level = 'sample'").collect()}
     assert {r["sample"]: sum(v for k, v in r.items() if k != "sample") for r in rows} == totals
     labels = {r.p_brand for r in spark.read.parquet(f"{SF}/part.parquet").select("p_brand").distinct().collect()}
@@ -17,28 +17,30 @@ def test_combined_counts_all_has_every_quantity(spark):
 def test_qualities_of_whole_texts(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     letters = sorted((sum("a" <= c <= "z" for c in (t or "").lower()) for t in texts), reverse=True)
-    rows = catalogue.QUERIES["quality_histogram_whole"](spark, SF).collect()
+    rows = catalogue.quality_histogram(spark, SF).collect()
     assert sum(r.n for r in rows) == sum(letters) and max(r.pos for r in rows) == letters[0] - 1 > 150
-    one, whole = (catalogue.QUERIES[q](spark, SF).first() for q in ("expected_loglik", "expected_loglik_whole"))
-    assert whole.mean < one.mean and whole["var"] > one["var"]
 
 
-def test_segment_coverage_all_has_every_contig(spark):
+def test_segment_coverage_has_every_contig(spark):
     spans = [tuple(r) for r in catalogue.spans(spark, SF).collect()]
     want = set()
     for contig in {s[0] for s in spans}:
         own = [s[1:] for s in spans if s[0] == contig]
         ends = sorted({x for a, b, _ in own for x in (a, b)})
         want |= {(contig, lo, hi, t) for lo, hi in zip(ends, ends[1:]) for a, b, t in own if a <= lo and hi <= b}
-    got = [tuple(r) for r in catalogue.QUERIES["segment_coverage_all"](spark, SF).select("contig", "lo", "hi", "target").collect()]
+    got = [tuple(r) for r in catalogue.segment_coverage(spark, SF).select("contig", "lo", "hi", "target").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({r[0] for r in got}) > 5
 
 
-def test_coverage_by_buckets_is_coverage(spark):
-    rows = [("g", -40, 3, 1), ("g", -33, -32, 2), ("g", 0, 16, 3), ("g", 15, 17, 4), ("g", 5, 5, 5), ("g", 9, 7, 6), ("h", 0, 1, 7)]
+def test_coverage_of_odd_spans(spark):
+    rows = [("g", -40, 3, 1), ("g", -33, -32, 2), ("g", 0, 16, 3), ("g", 15, 17, 4), ("g", 5, 5, 5), ("g", 9, 7, 6), ("g", None, 8, 8), ("g", 0, 16, 3), ("h", 0, 1, 7)]
     frame = spark.createDataFrame(rows, "g string, a long, b long, t int")
-    plain, by_bucket = (sorted(map(tuple, intervals.coverage(frame, "g", "a", "b", "t", w).collect())) for w in (None, 16))
-    assert plain == by_bucket
+    want = []
+    for group in "gh":
+        own = [r[1:] for r in rows if r[0] == group and r[1] is not None]
+        ends = sorted({x for a, b, _ in own for x in (a, b)})
+        want += [(group, lo, hi, t) for lo, hi in zip(ends, ends[1:]) for a, b, t in own if a <= lo and hi <= b]
+    assert sorted(map(tuple, intervals.coverage(frame, "g", "a", "b", "t").collect())) == sorted(want)
 
 
 def test_reads_of_very_long_texts_have_ids_of_their_own(spark, tmp_path):
