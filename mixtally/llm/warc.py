@@ -6,7 +6,9 @@ response its payload, and the closing blank lines; reading joins the tables, che
 gives the records as they would stand in a WARC file. Everything runs on built-in functions.
 
 Payloads are reduced to one for each digest within a task before they are shuffled, so a payload that a third of all pages
-share moves once for each task.
+share moves once for each task. Otherwise digests and lengths travel instead of payloads: a page is a row of some hundred bytes
+when responses are chosen, a revisit is checked against its response's facts, and only responses' bytes are joined again. Rows
+of a very frequent digest are salted (see skew.py).
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import checkpoint_folder, checkpointed
+from .skew import salted_join
+
 #: Payloads of so many bytes are revisited; smaller ones are always responses.
 LEAST_REVISIT = 1000
 #: Written where a page has no date of its own.
@@ -32,37 +37,57 @@ def record_id(key: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(">"))
 
 
+def _facts(pages: DataFrame, key: str, url: str, html: str, date: Column) -> DataFrame:
+    """(key, url, date, n, sha1, digest) of each page: what its record needs to know of its payload."""
+    payload = _payload(html)
+    return pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), date.alias("date"), F.octet_length(payload).alias("n"), F.sha1(payload).alias("sha1"), F.sha2(payload, 256).alias("digest"))
+
+
+def _payload(html: str) -> Column:
+    return F.coalesce(F.col(html).cast("binary"), F.lit(b""))
+
+
 def as_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: Column | str = DATE, least: int = LEAST_REVISIT) -> DataFrame:
-    """A row for each page: key, record_type, refers_to, digest (SHA-256), header (binary), and the payload (binary).
+    """A row for each page: key, record_type, refers_to, digest (SHA-256), n (bytes) and sha1 of its payload, and its header (binary).
 
     Of rows with equal payloads of at least `least` bytes, that with the largest key is a response and the others revisit it.
     A null html is an empty payload, a null url an empty address. Rows that tie for the largest key are all responses; a row
-    without a key is never referred to, and revisits when some row with a key has its payload.
+    without a key is never referred to, and revisits when some row with a key has its payload. Other columns are left out.
     """
-    date = date if isinstance(date, Column) else F.lit(date)
-    payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(key), F.coalesce(F.col(url), F.lit("")).alias("__url"), payload.alias("payload"), date.alias("__date")).withColumn("digest", F.sha2("payload", 256)).withColumn("__n", F.length("payload"))
-    first = rows.where(F.col("__n") >= least).groupBy("digest").agg(F.max(key).alias("__first"))
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("__first").isNotNull() & ~F.col(key).eqNullSafe(F.col("__first"))
-    rows = rows.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("__first")))
-    http = _lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), F.col("__n").cast("string")), "")
-    rows = rows.withColumn("__http", http)
-    length = F.octet_length("__http") + F.when(F.col("record_type") == "response", F.col("__n")).otherwise(0)
+    rows = checkpointed(_facts(pages, key, url, html, date if isinstance(date, Column) else F.lit(date)))
+    first = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("key").alias("first"))
+    rows = salted_join(rows, first, "digest")
+    revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
+    rows = rows.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("first")))
+    http = _lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), F.col("n").cast("string")), "")
+    rows = rows.withColumn("http", http)
+    length = F.octet_length("http") + F.when(F.col("record_type") == "response", F.col("n")).otherwise(0)
     warc = F.concat(
-        _lines("WARC/1.1", F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), record_id(F.col(key))), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("__url", "[\r\n]", " ")), F.concat(F.lit("WARC-Date: "), F.col("__date")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.sha1("payload"))),
+        _lines("WARC/1.1", F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("key"))), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", " ")), F.concat(F.lit("WARC-Date: "), F.col("date")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"))),
         F.when(F.col("record_type") == "revisit", _lines(F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"))), f"WARC-Profile: {PROFILE}")).otherwise(F.lit("")),
         _lines("Content-Type: application/http;msgtype=response", F.concat(F.lit("Content-Length: "), length.cast("string")), ""),
-        F.col("__http"),
+        F.col("http"),
     )
-    return rows.select(key, "record_type", "refers_to", "digest", warc.cast("binary").alias("header"), "payload")
+    return rows.select(F.col("key").alias(key), "record_type", "refers_to", "digest", "n", "sha1", warc.cast("binary").alias("header"))
 
 
-def write_archive(pages: DataFrame, path: str, key: str = "page_id", **options) -> None:
+def write_archive(pages: DataFrame, path: str, key: str = "page_id", html: str = "html", **options) -> None:
     """Writes the pages' archive below path: records and payloads."""
-    records = as_records(pages, key, **options)
-    records.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
-    records.select(key, "record_type", "digest", "header").write.parquet(f"{path}/records")
+    payload = _payload(html)
+    stored = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    stored.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    as_records(pages, key, html=html, **options).select(key, "record_type", "digest", "header").write.parquet(f"{path}/records")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, payload) of an archive's payloads; fails at one that doesn't have its digest."""
+    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("binary"))
+    return spark.read.parquet(f"{path}/payloads").select("digest", sound.alias("payload"))
+
+
+def _found(name: str) -> Column:
+    """A joined column, which must be there."""
+    return F.coalesce(name, F.raise_error(F.lit("a payload is missing")).cast({"payload": "binary", "n": "int", "sha1": "string"}[name]))
 
 
 def read_archive(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
@@ -70,12 +95,30 @@ def read_archive(spark: SparkSession, path: str, key: str = "page_id") -> DataFr
 
     Fails if a payload is missing or doesn't have its digest.
     """
-    stored = spark.read.parquet(f"{path}/payloads")
-    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("binary"))
-    rows = spark.read.parquet(f"{path}/records").join(stored.select("digest", sound.alias("payload")), "digest", "left")
-    payload = F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is missing")).cast("binary"))
+    rows = salted_join(spark.read.parquet(f"{path}/records"), _stored(spark, path), "digest").withColumn("payload", _found("payload"))
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return rows.withColumn("payload", payload).select(key, F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"), "header", "payload")
+    return rows.select(key, F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"), "header", "payload")
+
+
+def read_headers(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
+    """What an archive's records say of themselves: key, url, record_type, refers_to, payload_digest, payload_bytes.
+
+    As `parsed`, with the same checks, but payloads are hashed once each, where they are stored, and only their facts are joined.
+    """
+    facts = _stored(spark, path).select("digest", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"))
+    rows = salted_join(spark.read.parquet(f"{path}/records"), facts, "digest").withColumn("n", _found("n")).withColumn("sha1", _found("sha1"))
+    # The block is what follows the record's own header: the HTTP header, and a response's payload.
+    head = F.col("header")
+    http = F.octet_length("header") - F.instr(F.decode("header", "ISO-8859-1"), "\r\n\r\n") - 3
+    block = http + F.when(F.col("record_type") == "response", F.col("n")).otherwise(0)
+    return _checked(rows, head, F.col("sha1"), F.col("n"), block, key)
+
+
+def _checked(rows: DataFrame, head: Column, sha1: Column, n: Column, block: Column, key: str, *more: str) -> DataFrame:
+    stated = F.regexp_extract(header_field(head, "WARC-Payload-Digest"), "^sha1:([0-9a-f]{40})$", 1)
+    sound = (sha1 == stated) & (block == header_field(head, "Content-Length").cast("int"))
+    digest = F.when(sound, sha1).otherwise(F.raise_error(F.lit("a record doesn't match its header")))
+    return rows.select(key, header_field(head, "WARC-Target-URI").alias("url"), header_field(head, "WARC-Type").alias("record_type"), F.regexp_extract(header_field(head, "WARC-Refers-To"), "^<urn:page:(.*)>$", 1).alias("refers_to"), digest.alias("payload_digest"), n.cast("long").alias("payload_bytes"), *more)
 
 
 def header_field(record: Column, name: str) -> Column:
@@ -90,18 +133,13 @@ def parsed(records: DataFrame, key: str = "page_id") -> DataFrame:
 
     Fails if a payload's SHA-1 isn't the one in its header, or a record's length the one that it states.
     """
-    head = F.col("header")
-    stated = F.regexp_extract(header_field(head, "WARC-Payload-Digest"), "^sha1:([0-9a-f]{40})$", 1)
-    block = F.length("record") - F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n") - 3 - 4
-    rows = records.withColumn("__sha", F.sha1("payload")).withColumn("__sound", (F.col("__sha") == stated) & (block == header_field(head, "Content-Length").cast("int")))
-    digest = F.when(F.col("__sound"), F.col("__sha")).otherwise(F.raise_error(F.lit("a record doesn't match its header")))
-    return rows.select(key, header_field(head, "WARC-Target-URI").alias("url"), header_field(head, "WARC-Type").alias("record_type"), F.regexp_extract(header_field(head, "WARC-Refers-To"), "^<urn:page:(.*)>$", 1).alias("refers_to"), digest.alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"), "payload")
+    rows = records.withColumn("__sha", F.sha1("payload"))
+    block = F.octet_length("record") - F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n") - 3 - 4
+    return _checked(rows, F.col("header"), F.col("__sha"), F.octet_length("payload"), block, key, "payload")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that all executors share."""
-    from .chunks import checkpoint_folder
-
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -110,7 +148,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = shared_folder(spark, "warc")
     write_archive(pages, path)
-    return parsed(read_archive(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return read_headers(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP9_SQL = """
