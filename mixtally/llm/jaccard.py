@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .components import components
+from .skew import salted_join
 from .textops import U64, Words, flat, grams, mix, pieces, ranges, segments
 
 #: Words in a shingle; percent of the union that the intersection of two linked sets has at least.
@@ -483,10 +484,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(labels.unionByName(new))
-    rooted = found.join(labels.select(F.col("a").alias("node"), F.col("b").alias("other")), "node", "left").withColumn("root", F.coalesce("other", "node"))
-    least = rooted.where(F.col("root").isNotNull() & F.col(key).isNotNull()).groupBy("root").agg(F.min(key).alias("least"))
-    out = rooted.join(least, "root", "left")
-    return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("least", key)).alias("component_id"))
+    # A component's least document, by node first: a third of all documents may be copies, and a third of all nodes one component.
+    own = labels.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    rooted = C.checkpointed(nodes.join(own, "node", "left").select("node", F.coalesce("other", "node").alias("root"), F.col(key).alias("__least")))
+    least = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
+    named = salted_join(rooted.select("node", "root"), least, "root").select("node", "component_id")
+    out = salted_join(found, named, "node")
+    return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
