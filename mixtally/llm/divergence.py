@@ -110,11 +110,10 @@ _NOT_LINE = np.ones(256, bool)
 _NOT_LINE[0x0A] = False
 
 
-def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with the base counts (long), the histograms classes and words (array<int>), and their totals (double)."""
-    rest = [c for c in docs.columns if c != text]
+def histograms(docs: DataFrame, rest: str, text: str, lang: str) -> DataFrame:
+    """(rest, lang, base counts (long), classes and words (array<int>), and their totals (double)) of docs (rest, text, lang)."""
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"{c} long" for c in BASE] + ["classes array<int>", "words array<int>", "classes_total double", "words_total double"])
+    schema = f"`{rest}` {kinds[rest]}, `{lang}` {kinds[lang]}, " + ", ".join([f"{c} long" for c in BASE] + ["classes array<int>", "words array<int>", "classes_total double", "words_total double"])
 
     def wide(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int32()))
@@ -124,9 +123,9 @@ def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
             data, offs = flat(batch.column(text))
             for a, b in pieces(offs):
                 found = counts(data[offs[a] : offs[b]], offs[a : b + 1])
-                columns = [batch.column(c).slice(a, b - a) for c in rest] + [pa.array(found[c], pa.int64()) for c in BASE] + [wide(found["classes"]), wide(found["words"])]
+                columns = [batch.column(c).slice(a, b - a) for c in (rest, lang)] + [pa.array(found[c], pa.int64()) for c in BASE] + [wide(found["classes"]), wide(found["words"])]
                 columns += [pa.array(found[c].sum(axis=1), pa.float64()) for c in ("classes", "words")]
-                yield pa.RecordBatch.from_arrays(columns, names=[*rest, *BASE, "classes", "words", "classes_total", "words_total"])
+                yield pa.RecordBatch.from_arrays(columns, names=[rest, lang, *BASE, "classes", "words", "classes_total", "words_total"])
 
     return docs.mapInArrow(run, schema)
 
@@ -151,13 +150,13 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. kept: false if base_failed or a
     distance is over its bound. Texts under MIN_WORDS words, and languages with fewer than MIN_REFERENCE words, aren't
     compared: their distances are null, and the base rules alone decide. Documents without a language are one group. A null
-    or empty text has no words. Repeated rows are judged alike; an empty table gives an empty result.
+    or empty text has no words. Repeated rows are judged alike; an empty table gives an empty result. All other columns stay,
+    whatever their names; those of the new names are replaced.
     """
     new = (*BASE, "class_distance", "word_distance", "base_failed", "kept")
-    docs = docs.drop(*new)
-    if lang != "__lang":
-        docs = docs.withColumn("__lang", F.col(lang))
-    rows = histograms(docs, text).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
+    stay = [c for c in docs.columns if c != text and c not in new]
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in stay) or (F.lit(True).alias("_"),)).alias("__row"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
+    rows = histograms(docs, "__row", "__text", "__lang").withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     rows = checkpointed(rows)
     sound = rows.where(~F.col("base_failed"))
     sums = [F.sum(F.col("classes")[i]).cast("double").alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.col("words")[i]).cast("double").alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
@@ -173,10 +172,49 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     rows = rows.withColumn("class_distance", F.when(long, _distance("classes", "__classes"))).withColumn("word_distance", F.when(long, _distance("words", "__words")))
     bound = lambda ab: F.lit(ab[0]) + F.lit(ab[1]) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= bound(MAX_CLASSES)) & (F.coalesce("word_distance", F.lit(0.0)) <= bound(MAX_WORDS))
-    return rows.withColumn("kept", ~F.col("base_failed") & near).drop("__lang", "__of", "__classes", "__words", "classes", "words", "classes_total", "words_total")
+    return rows.withColumn("kept", ~F.col("base_failed") & near).select(*(F.col(f"__row.`{c}`").alias(c) for c in stay), *new)
 
 
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and divergence from the languages' references, for documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return judge(docs).select("doc_id", *BASE, "base_failed", "kept", F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"))
+
+
+def _op5_sql() -> str:
+    """The same in DuckDB's SQL: histograms as rows (document, bin, count), distances as sums over all bins of a language."""
+    def one(low: int, high: int) -> str:
+        return f"\\x{{{low:x}}}-\\x{{{high:x}}}"
+
+    inside = {name: "".join(f"\\x{{{b:x}}}" for b in of) for name, of in CLASSES.items() if max(of) < 0x80}
+    inside |= {"latin": one(0x80, 0x17F), "two": one(0x180, 0x7FF), "three": one(0x800, 0xFFFF), "four": one(0x10000, 0x10FFFF)}
+    classes = " UNION ALL ".join([f"SELECT doc_id, {i} AS bin, length(t) - length(regexp_replace(t, '[{of}]', '', 'g')) AS n FROM d" for i, of in enumerate(inside.values())] + [f"SELECT doc_id, {len(inside)}, length(regexp_replace(t, '[{''.join(inside.values())}]', '', 'g')) FROM d"])
+    words = ", ".join(f"('{w}', {i})" for i, w in enumerate(VOCABULARY))
+    a, b = MAX_CLASSES, MAX_WORDS
+
+    def distance(name: str, table: str) -> str:
+        return f"""{name}_total AS (SELECT doc_id, sum(n) AS total FROM {table} GROUP BY doc_id),
+{name}_ref AS (SELECT lang, bin, sum(n) AS n FROM {table} JOIN judged USING (doc_id) WHERE NOT base_failed GROUP BY lang, bin),
+{name}_share AS (SELECT r.lang, r.bin, r.n / sum(r.n) OVER (PARTITION BY r.lang) AS q FROM {name}_ref r JOIN size ON r.lang IS NOT DISTINCT FROM size.lang),
+{name}_pq AS (SELECT j.doc_id, s.q, coalesce(h.n, 0) / t.total AS p FROM judged j JOIN {name}_total t ON j.doc_id = t.doc_id JOIN {name}_share s ON j.lang IS NOT DISTINCT FROM s.lang LEFT JOIN {table} h ON h.doc_id = j.doc_id AND h.bin = s.bin WHERE t.total > 0 AND j.n_words >= {MIN_WORDS}),
+{name}_js AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS distance FROM {name}_pq GROUP BY doc_id)"""
+
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+line AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+three AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS m FROM three) WHERE m > 1) GROUP BY doc_id),
+base AS (SELECT d.doc_id, d.lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words FROM d LEFT JOIN line ON line.doc_id = d.doc_id LEFT JOIN again ON again.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+size AS (SELECT lang, sum(n_words) AS n FROM judged WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= {MIN_REFERENCE}),
+cls AS ({classes}),
+vocabulary AS (SELECT * FROM (VALUES {words}) v(word, bin)),
+plain AS (SELECT doc_id, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM d),
+common AS (SELECT doc_id, coalesce(bin, {len(VOCABULARY)}) AS bin, count(*) AS n FROM plain LEFT JOIN vocabulary ON plain.word = vocabulary.word GROUP BY 1, 2),
+{distance('cls', 'cls')},
+{distance('wrd', 'common')}
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(c.distance, 9) AS class_distance, round(v.distance, 9) AS word_distance,
+NOT base_failed AND coalesce(c.distance, 0) <= {a[0]} + {a[1]} / sqrt(greatest(n_words, 1)) AND coalesce(v.distance, 0) <= {b[0]} + {b[1]} / sqrt(greatest(n_words, 1)) AS kept
+FROM judged j LEFT JOIN cls_js c ON c.doc_id = j.doc_id LEFT JOIN wrd_js v ON v.doc_id = j.doc_id"""
+
+
+OP5_SQL = _op5_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .bpe import op7_byte_bpe
 from .chat import OP3_SQL, op3_perspective_rotation
 from .decontaminate import OP4_SQL, op4_decontaminate
-from .divergence import op5_divergence_rules
+from .divergence import OP5_SQL, op5_divergence_rules
 from .jaccard import op10_jaccard_join
 from .license_scan import op6_license_scan
 from .quality import op1_quality_classifier
@@ -72,6 +72,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": OP2_SQL,
     "op3_perspective_rotation": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op5_divergence_rules": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_warc_archive": OP9_SQL,
     "op10_jaccard_join": OP10_SQL,
