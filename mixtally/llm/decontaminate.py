@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import checkpointed
+from .skew import unused
 from .textops import ALNUM, LOWER, Words
 
 #: Words in a window.
@@ -44,18 +45,19 @@ def windows(text: str | None, window: int = WINDOW) -> list[tuple[int, str]]:
     return [(n, f" {b' '.join(words[i : i + n]).decode('latin-1')} ") for i in range(len(words) - n + 1)] if n else []
 
 
-def blocks(items: DataFrame, key: str, text: str, window: int, most: int = BLOCK_CHARS) -> Iterator[dict[str, tuple[int, tuple[str, ...]]]]:
+def blocks(items: DataFrame, key: str, text: str, window: int, most: int = BLOCK_CHARS) -> Iterator[dict[str, tuple[int, list[str]]]]:
     """The items' patterns, with their lengths in words and the items that have them, in blocks. An item is in one block."""
-    patterns: dict[str, tuple[int, tuple[str, ...]]] = {}
+    patterns: dict[str, tuple[int, list[str]]] = {}
     size = 0
     for row in items.select(F.col(key).cast("string"), text).where(F.col(key).isNotNull()).distinct().toLocalIterator():
         own = set(windows(row[1], window))
-        if size and size + sum(len(p) for _, p in own) > most:
+        added = sum(len(p) + len(row[0]) for _, p in own)  # the pattern, and the item as its owner
+        if size and size + added > most:
             yield patterns
             patterns, size = {}, 0
+        size += added
         for n, p in own:
-            size += len(p)
-            patterns[p] = n, (*patterns.get(p, (n, ()))[1], row[0])
+            patterns.setdefault(p, (n, []))[1].append(row[0])
     if patterns:
         yield patterns
 
@@ -121,10 +123,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _marked(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, window: int, finish, schema: str) -> DataFrame:
     """finish(batch, [(n_words, occurrences)]) of the documents' batches."""
     spark = docs.sparkSession
+    state = unused("__found", docs)
     several = list_of = None
     for block in blocks(items, item_key, item_text, window):
         if list_of is not None:  # an earlier block waits: scan with it, and carry on
-            several = checkpointed((several if several is not None else docs).mapInArrow(_carry(list_of, text), _carried(docs)))
+            several = checkpointed((several if several is not None else docs).mapInArrow(_carry(list_of, text, state), _carried(docs, state)))
         list_of = _Id(spark.sparkContext.broadcast(block))
     last = list_of or _Id(spark.sparkContext.broadcast({}))
 
@@ -132,30 +135,30 @@ def _marked(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_te
         machine = _automaton(last) if last.value else None
         for batch in batches:
             found = []
-            before = batch.column("__found").to_pylist() if "__found" in batch.schema.names else [None] * batch.num_rows
+            before = batch.column(state).to_pylist() if state in batch.schema.names else [None] * batch.num_rows
             for t, earlier in zip(batch.column(text), before):
                 raw = (t.as_py() or "").encode()
                 n, hits = scan(raw, machine) if machine else (len(normal_words(raw)), [])
                 found.append((n, [(x["begin"], x["end"], x["item"]) for x in earlier or ()] + hits))
-            yield finish(batch.drop_columns(["__found"]) if "__found" in batch.schema.names else batch, found)
+            yield finish(batch.drop_columns([state]) if state in batch.schema.names else batch, found)
 
     return (several if several is not None else docs).mapInArrow(run, schema)
 
 
-def _carried(docs: DataFrame) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", __found {FOUND}"
+def _carried(docs: DataFrame, state: str) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", {state} {FOUND}"
 
 
-def _carry(shared: _Id, text: str):
+def _carry(shared: _Id, text: str, state: str):
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(shared)
         for batch in batches:
-            before = batch.column("__found").to_pylist() if "__found" in batch.schema.names else [None] * batch.num_rows
+            before = batch.column(state).to_pylist() if state in batch.schema.names else [None] * batch.num_rows
             rows = [[*(e or ()), *({"begin": a, "end": b, "item": i} for a, b, i in scan((t.as_py() or "").encode(), machine)[1])] for t, e in zip(batch.column(text), before)]
-            plain = batch.drop_columns(["__found"]) if "__found" in batch.schema.names else batch
-            yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(rows, kind)], names=[*plain.schema.names, "__found"])
+            plain = batch.drop_columns([state]) if state in batch.schema.names else batch
+            yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(rows, kind)], names=[*plain.schema.names, state])
 
     return run
 
@@ -164,8 +167,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     """docs with n_words, n_hit, n_items (long), items (array<string>, sorted), spans (array<struct<begin, end>>) and contaminated.
 
     A word is hit if an item's window of `window` words (or a shorter item, whole) occurs there; items are those with such
-    windows, and spans the character ranges of hit words in the original text. All other columns stay; those of the new names
-    are replaced. A null or empty text has no words. Items without a key, text or words match nothing; repeated items count
+    windows, and spans the character ranges of hit words in the original text. All other columns stay, whatever their names; those
+    of the new names are replaced. A null or empty text has no words. Items without a key, text or words match nothing; repeated items count
     once; items of equal text are all named. Without items nothing is contaminated.
     """
     new = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import release, row_groups, small_batches
@@ -94,19 +94,21 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def samples(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -> dict[tuple[int, int], list[bytes]]:
-    """Texts by label (0 or 1) and half: of each, SAMPLE_ROWS labels at most, the first by a hash of the key, and SAMPLE_BYTES of whole texts."""
+    """Texts by label (0 or 1) and half: of each, SAMPLE_ROWS labels at most, the first by a hash of the key, and of these the
+    first whose whole texts, with all rows of a key, are SAMPLE_BYTES together at most."""
     known = labels.select(F.col(key), F.col(label).alias("__label"), F.xxhash64(F.col(key).cast("string")).alias("__hash"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(2)).cast("int").alias("__half")).distinct()
     parts = [known.where((F.col("__label") == v) & (F.col("__half") == h)).orderBy("__hash", key).limit(SAMPLE_ROWS) for v in (0, 1) for h in (0, 1)]
     few = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    # At most 4 * SAMPLE_ROWS keys are broadcast, so no text is shuffled but the sample's.
-    rows = docs.select(key, text).join(F.broadcast(few), key).orderBy("__hash", key, text)
+    # At most 4 * SAMPLE_ROWS keys are broadcast, so no text is shuffled but the sample's. Their texts' lengths bound the sample first.
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    lengths = docs.select(key, size.alias("__size")).join(F.broadcast(few), key).groupBy(key, "__label", "__half", "__hash").agg(F.sum("__size").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy("__label", "__half").orderBy("__hash", key))
+    chosen = lengths.withColumn("__before", before).where((F.col("__before") <= SAMPLE_BYTES) & (F.col("__size") > 0)).drop("__before", "__size")
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).orderBy("__hash", key, text)
     out: dict[tuple[int, int], list[bytes]] = {(v, h): [] for v in (0, 1) for h in (0, 1)}
-    left = dict.fromkeys(out, SAMPLE_BYTES)
     for row in rows.select("__label", "__half", text).toLocalIterator():
-        raw, own = (row[2] or "").encode(), (row[0], row[1])
-        if raw and len(raw) <= left[own]:
-            left[own] -= len(raw)
-            out[own].append(raw)
+        if row[2]:
+            out[row[0], row[1]].append(row[2].encode())
     return out
 
 
