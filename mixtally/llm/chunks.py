@@ -1,12 +1,16 @@
 """Chunks: batches of documents that answer questions about the whole corpus by exchanging packed keys.
 
 An operator that asks "does this piece of text occur elsewhere?" for millions of pieces would drown in one shuffled row
-for each. Here documents are first packed, once, into chunks of a few MB (`pack_documents`), written to the shared
-checkpoint folder so that a lost executor or a changed row order can't alter them. Each chunk then sends one row for
-each hash bucket with the sorted distinct keys that fall there (`exchange`): copies inside a chunk are already merged,
-so the hottest key of the corpus costs one entry a chunk. A bucket gathers an even, hash-dealt share of the keys; the
-number of buckets follows the number of chunks, so a bucket's size doesn't grow with the corpus. Answers return to the
-chunk that asked, as packed arrays in the order of its questions.
+for each. Here documents are first packed, once, into chunks of a few MB (`pack_documents`), dealt to partitions by the chunk's
+number and written to the shared checkpoint folder, so that a lost executor or a changed row order can't alter them. The
+checkpoint keeps its partitioning: afterwards questions and replies move, chunks never do.
+
+In an exchange each chunk sends its distinct keys, sorted and packed by hash bucket, and gets an answer for each in the same
+order; copies inside a chunk are already merged, so the hottest key of the corpus costs one entry a chunk. The number of
+buckets follows the number of chunks, so a bucket's size doesn't grow with the corpus. Nor does a chunk's number of rows: it
+sends one row to each of FANOUT groups of buckets, and relays, each for the rows of FANOUT chunks to one group, send them on to
+FANOUT smaller groups, until a group is a bucket (`Exchange`). C chunks so send at most C * FANOUT rows at each of log(buckets) /
+log(FANOUT) levels, and replies come back along the same way.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch; a larger row is a batch of its own.
 BATCH_BYTES = 8 << 20
-#: Chunks for each bucket of an exchange.
-CHUNKS_A_BUCKET = 4
+#: Chunks for each bucket of an exchange, and groups of buckets that a chunk or a relay sends rows to.
+CHUNKS_A_BUCKET, FANOUT = 4, 512
 
-PARTS = "chunk long, bucket int, blob binary"
+PARTS = "slab long, place long, blob binary"
 REPLIES = "chunk long, blob binary"
 
 
@@ -75,12 +79,18 @@ def release() -> None:
         pass
 
 
+_ZSTD = b"\x28\xb5\x2f\xfd"
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps([(a.dtype.str, a.tobytes()) for a in arrays], 5))
+    """Arrays as bytes, compressed unless they are few."""
+    raw = pickle.dumps([(a.dtype.str, a.tobytes()) for a in arrays], 5)
+    return zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 512 else raw
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(raw, dtype) for dtype, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob))]
+    raw = zstandard.ZstdDecompressor().decompress(blob) if blob[:4] == _ZSTD else blob
+    return [np.frombuffer(raw, dtype) for dtype, raw in pickle.loads(raw)]
 
 
 def to_blob(batch: pa.RecordBatch) -> bytes:
@@ -127,7 +137,7 @@ def row_groups(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK
 
 
 def pack_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of the documents, with all their columns: (chunk, rows, blob), checkpointed. The chunk number is unique."""
+    """Chunks of the documents, with all their columns: (chunk, rows, blob), checkpointed in partitions by chunk. The chunk number is unique."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -135,11 +145,20 @@ def pack_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_BYTES)
             release()
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([first + k], pa.int64()), "rows": pa.array([rows.num_rows], pa.int32()), "blob": pa.array([to_blob(rows)], pa.binary())})
 
-    small_batches(docs.sparkSession)
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # a small file: as many chunks as cores, at least
+    spark = docs.sparkSession
+    small_batches(spark)
+    cores, parts = spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()
+    if parts < cores:  # a small file: as many chunks as cores, at least
         docs = docs.repartition(cores)
-    return checkpointed(docs.mapInArrow(chunk, "chunk long, rows int, blob binary"))
+    chunks = docs.mapInArrow(chunk, "chunk long, rows int, blob binary").repartition(2 * max(cores, parts), "chunk").sortWithinPartitions("chunk")
+    # An adaptive plan doesn't say how its result is partitioned, and the checkpoint would be dealt out anew each time.
+    key = "spark.sql.adaptive.enabled"
+    adaptive = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        return checkpointed(chunks)
+    finally:
+        spark.conf.set(key, adaptive)
 
 
 def bucket_count(chunks: DataFrame, a_bucket: int = CHUNKS_A_BUCKET) -> int:
@@ -152,10 +171,9 @@ def dealt(chunk: int, keys: np.ndarray, buckets: int, *values: np.ndarray) -> It
     where = (keys >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(where, kind="stable")
     bounds = np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
-        if bounds[b] < bounds[b + 1]:
-            own = order[bounds[b] : bounds[b + 1]]
-            yield chunk, b, pack(keys[own], *(v[own] for v in values))
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        own = order[bounds[b] : bounds[b + 1]]
+        yield chunk, b, pack(keys[own], *(v[own] for v in values))
 
 
 def dealt_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,54 +188,111 @@ def batch_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def parts_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return batch_of(rows, ["chunk", "bucket", "blob"], [pa.int64(), pa.int32(), pa.binary()])
-
+def _bundles(items: Iterable[tuple[int, int, bytes]], place: Callable[[int, int], tuple[int, int]]) -> pa.RecordBatch:
+    """Rows of an exchange: of (chunk, bucket, blob), those for each (slab, place) together."""
+    rows: dict[tuple[int, int], list] = {}
+    for item in items:
+        rows.setdefault(place(item[0], item[1]), []).append(item)
+    return batch_of([(*where, pickle.dumps(own, 5)) for where, own in rows.items()], ["slab", "place", "blob"], [pa.int64(), pa.int64(), pa.binary()])
 
-def ask(chunks: DataFrame, questions: Callable[[int, pa.Table], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
-    """The rows that each chunk sends, from its documents alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-                yield parts_batch(list(questions(chunk, from_blob(blob.as_py()))))
-                release()
+def opened(blobs: Iterable[bytes]) -> list[tuple[int, int, bytes]]:
+    """The (chunk, bucket, blob) in some rows' bundles."""
+    return [item for blob in blobs for item in pickle.loads(blob)]
 
-    return chunks.mapInArrow(run, PARTS)
 
+def replies_in(blobs: Iterable[bytes]) -> list[bytes]:
+    """The replies in a chunk's rows; those of `tagged` rows begin with the tag."""
+    out = []
+    for blob in blobs:
+        tag = b"" if blob[:1] == b"\x80" else blob[:1]  # a pickle begins with 0x80
+        out += [tag + item[2] for item in pickle.loads(blob[len(tag) :])]
+    return out
 
-def ask_again(chunks: DataFrame, replies: DataFrame, questions: Callable[[int, pa.Table, list[bytes]], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
-    """The rows that each chunk sends, from its documents and earlier replies."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [r for chunk, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist()) for r in questions(chunk, from_blob(blob), right.column("blob").to_pylist())]
-        release()
-        return pa.Table.from_batches([parts_batch(rows)])
+class Exchange:
+    """An exchange of keys between chunks, by `buckets` buckets: ask, answer, and finish with the replies.
 
-    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, PARTS)
+    Bundles of (chunk, bucket, blob) travel in rows (slab, place, blob). Behind level l the slab holds the chunks whose number
+    (a hash, modulo their count) has the same quotient by FANOUT ** l, and the place the buckets with the same quotient by
+    FANOUT ** (levels - l).
+    """
 
+    def __init__(self, chunks: DataFrame, buckets: int, fanout: int | None = None):
+        self.chunks, self.buckets, self.fanout = chunks.select("chunk", "blob"), buckets, fanout or FANOUT
+        self.count = max(1, chunks.count())
+        self.levels = 1
+        while self.fanout**self.levels < buckets:
+            self.levels += 1
+
+    def _place(self, level: int) -> Callable[[int, int], tuple[int, int]]:
+        """Where a chunk's rows for a bucket are behind a level, 1 to `levels`; behind the last all slabs are one."""
+        wide, narrow, count = self.fanout**level, self.fanout ** (self.levels - level), self.count
+        if level == self.levels:
+            return lambda chunk, bucket: (0, bucket)
+        return lambda chunk, bucket: ((chunk * 0x9E3779B97F4A7C15 >> 20) % count // wide, bucket // narrow)
+
+    def _relay(self, rows: DataFrame, place: Callable[[int, int], tuple[int, int]]) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_bundles(opened(table.column("blob").to_pylist()), place)])
+
+        return rows.groupBy("slab", "place").applyInArrow(run, PARTS)
+
+    def _dealt(self, first: DataFrame) -> DataFrame:
+        """The chunks' rows, sent on until each bucket has its own."""
+        for level in range(2, self.levels + 1):
+            first = self._relay(first, self._place(level))
+        return first
+
+    def ask(self, questions: Callable[[int, pa.Table], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
+        """Rows of what each chunk sends, from its documents alone, by bucket."""
+        place = self._place(1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
+                    yield _bundles(questions(chunk, from_blob(blob.as_py())), place)
+                    release()
+
+        return self._dealt(self.chunks.mapInArrow(run, PARTS))
+
+    def ask_again(self, replies: DataFrame, questions: Callable[[int, pa.Table, list[bytes]], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
+        """Rows of what each chunk sends, from its documents and earlier replies, by bucket."""
+        place = self._place(1)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            own = replies_in(right.column("blob").to_pylist())
+            rows = [r for chunk, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist()) for r in questions(chunk, from_blob(blob), own)]
+            release()
+            return pa.Table.from_batches([_bundles(rows, place)])
 
-def answer(parts: DataFrame, resolve: Callable[[int, list[tuple[int, list[np.ndarray]]]], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    """Replies of each bucket to the chunks that asked it, checkpointed. resolve gets the chunks' arrays in order of the chunk numbers."""
+        return self._dealt(self.chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, PARTS))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        asked = sorted(zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()), key=lambda x: x[0])
-        rows = list(resolve(key[0].as_py(), [(chunk, unpack(blob)) for chunk, blob in asked]))
-        release()
-        return pa.Table.from_batches([batch_of(rows, ["chunk", "blob"], [pa.int64(), pa.binary()])])
+    def answer(self, parts: DataFrame, resolve: Callable[[int, list[tuple[int, list[np.ndarray]]]], Iterable[tuple[int, bytes]]]) -> DataFrame:
+        """Replies (chunk, blob) of the buckets, checkpointed. resolve gets a bucket and its chunks' arrays in order of the chunk numbers."""
+        back = self._place(self.levels - 1) if self.levels > 1 else lambda chunk, bucket: (chunk, 0)
 
-    return checkpointed(parts.groupBy("bucket").applyInArrow(run, REPLIES))
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            asked = sorted(opened(table.column("blob").to_pylist()), key=lambda x: x[0])
+            bucket = key[0].as_py()
+            rows = [(chunk, bucket, blob) for chunk, blob in resolve(bucket, [(chunk, unpack(blob)) for chunk, _, blob in asked])]
+            release()
+            return pa.Table.from_batches([_bundles(rows, back)])
 
+        rows = parts.groupBy("place").applyInArrow(run, PARTS)
+        for level in range(self.levels - 2, -1, -1):
+            rows = self._relay(rows, self._place(level) if level else lambda chunk, bucket: (chunk, 0))
+        return checkpointed(rows.selectExpr("slab AS chunk", "blob"))
 
-def finish(chunks: DataFrame, replies: DataFrame, last: Callable[[pa.Table, list[bytes]], pa.Table | None], schema: str) -> DataFrame:
-    """The result rows of each chunk, from its documents and all replies."""
+    def finish(self, replies: DataFrame, last: Callable[[pa.Table, list[bytes]], pa.Table | None], schema: str) -> DataFrame:
+        """The result rows of each chunk, from its documents and all replies."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [last(from_blob(blob), right.column("blob").to_pylist()) for blob in left.column("blob").to_pylist()]
-        release()
-        return pa.concat_tables([x for x in out if x is not None])
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = [last(from_blob(blob), replies_in(right.column("blob").to_pylist())) for blob in left.column("blob").to_pylist()]
+            release()
+            return pa.concat_tables([x for x in out if x is not None])
 
-    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+        return self.chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def tagged(replies: DataFrame, tag: int) -> DataFrame:

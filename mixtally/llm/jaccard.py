@@ -115,12 +115,10 @@ class ChunkSets:
 
     def dealt(self, chunk: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
         bounds = self.bounds(buckets)
-        for b in range(buckets):
-            own = self.tokens[bounds[b] : bounds[b + 1]]
-            if len(own):
-                step = np.diff(own, prepend=U64(0))
-                # Bytes of one weight lie together; the high ones are nearly all zero.
-                yield chunk, b, C.pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T), self.count[bounds[b] : bounds[b + 1]].astype(np.uint32))
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            step = np.diff(self.tokens[bounds[b] : bounds[b + 1]], prepend=U64(0))
+            # Bytes of one weight lie together; the high ones are nearly all zero.
+            yield chunk, b, C.pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T), self.count[bounds[b] : bounds[b + 1]].astype(np.uint32))
 
     def classes(self, replies: list[bytes]) -> np.ndarray:
         parts = sorted((C.unpack(r) for r in replies), key=lambda x: int(x[0][0]))
@@ -145,7 +143,8 @@ def _prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
 
 def entries(chunks: DataFrame, text: str, n: int, percent: int, buckets: int) -> DataFrame:
     """Each chunk's first tokens that other sets have too, with the nodes that have them, by bucket of the token."""
-    classes = C.answer(C.ask(chunks, lambda chunk, table: ChunkSets(table, text, n).dealt(chunk, buckets)), _answer_classes)
+    exchange = C.Exchange(chunks, buckets)
+    classes = exchange.answer(exchange.ask(lambda chunk, table: ChunkSets(table, text, n).dealt(chunk, buckets)), _answer_classes)
 
     def first(chunk: int, table: pa.Table, replies: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         sets = ChunkSets(table, text, n)
@@ -169,13 +168,12 @@ def entries(chunks: DataFrame, text: str, n: int, percent: int, buckets: int) ->
         where = (token >> U64(20)) % U64(buckets)
         by = np.lexsort((token, where))
         bounds = np.searchsorted(where[by], np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
             own = by[bounds[b] : bounds[b + 1]]
-            if len(own):
-                here, mine = np.unique(owner[own], return_inverse=True)
-                yield chunk, b, C.pack(token[own], mine.astype(np.uint32), node[here], size[here].astype(np.uint32))
+            here, mine = np.unique(owner[own], return_inverse=True)
+            yield chunk, b, C.pack(token[own], mine.astype(np.uint32), node[here], size[here].astype(np.uint32))
 
-    return C.ask_again(chunks, classes, first)
+    return exchange.ask_again(classes, first)
 
 
 def point_of(tokens: np.ndarray) -> np.ndarray:
@@ -463,12 +461,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     groups = max(12, buckets // PAGE_BUCKETS_PART)
 
     def page(bucket: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([C.batch_of(list(Pages.of(table.column("blob").to_pylist(), groups)), ["bucket", "blob"], [pa.int32(), pa.binary()])])
+        return pa.Table.from_batches([C.batch_of(list(Pages.of([blob for _, _, blob in C.opened(table.column("blob").to_pylist())], groups)), ["bucket", "blob"], [pa.int32(), pa.binary()])])
 
     def join(bucket: tuple, table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([C.batch_of([(bucket[0].as_py(), Pages.joined(table.column("blob").to_pylist()))], ["bucket", "blob"], [pa.int32(), pa.binary()])])
 
-    pages = entries(chunks, text, n, percent, buckets).groupBy("bucket").applyInArrow(page, "bucket int, blob binary")
+    pages = entries(chunks, text, n, percent, buckets).groupBy("place").applyInArrow(page, "bucket int, blob binary")
     pages = C.checkpointed(pages.groupBy("bucket").applyInArrow(join, "bucket int, blob binary"))
     points = described(_members(pages).select("node"), known, nodes, text, key, n, lambda tokens: point_of(tokens).astype(np.uint32))
     pages = C.checkpointed(with_points(pages, points))

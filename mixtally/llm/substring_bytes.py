@@ -160,10 +160,8 @@ class Chunk:
 
     def runs(self, chunk: int, buckets: int) -> Iterable[tuple[int, int, bytes]]:
         order, bounds = self.dealt(buckets)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
             own = self.first[order[bounds[b] : bounds[b + 1]]]
-            if not len(own):
-                continue
             right, left = self.wide[own, :WINDOW], self.wide[own, WINDOW + 2 :]
             size = (WINDOW - self.near[own]).astype(np.int64)
             prefix = np.zeros(len(own), np.int64)
@@ -349,8 +347,10 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
         name, doc, start, _ = c.hot()
         yield from ((chunk, buckets + b, blob) for chunk, b, blob in C.dealt(chunk, name, buckets, doc, start))
 
-    many = C.answer(C.ask(chunks, grams), lambda bucket, asked: _answer_counts(bucket, asked, hot))
-    earlier = C.answer(C.ask_again(chunks, many, runs), lambda bucket, asked: _answer_windows(bucket, asked) if bucket < buckets else _answer_hot(bucket, asked))
+    # Buckets from `buckets` on are those of hot grams' windows.
+    exchange = C.Exchange(chunks, 2 * buckets)
+    many = exchange.answer(exchange.ask(grams), lambda bucket, asked: _answer_counts(bucket, asked, hot))
+    earlier = exchange.answer(exchange.ask_again(many, runs), lambda bucket, asked: _answer_windows(bucket, asked) if bucket < buckets else _answer_hot(bucket, asked))
 
     def last(table: pa.Table, replies: list[bytes]) -> pa.Table:
         c = Chunk(table, text, key)
@@ -383,7 +383,7 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
         np.add.at(step, begin + WINDOW, -1)
         return finish(table, c.data, c.offs, np.cumsum(step[:-1]) > 0)
 
-    return C.finish(chunks, C.tagged(many, 1).unionByName(C.tagged(earlier, 2)), last, schema)
+    return exchange.finish(C.tagged(many, 1).unionByName(C.tagged(earlier, 2)), last, schema)
 
 
 def spans(gone: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -195,8 +195,9 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
         keys, low = c.verified(c.shared(replies, buckets))
         return C.dealt(chunk, keys, buckets, low)
 
-    shared = C.answer(C.ask(chunks, symbols), _answer_shared)
-    earlier = C.answer(C.ask_again(chunks, shared, names), _answer_earlier)
+    exchange = C.Exchange(chunks, buckets)
+    shared = exchange.answer(exchange.ask(symbols), _answer_shared)
+    earlier = exchange.answer(exchange.ask_again(shared, names), _answer_earlier)
 
     def last(table: pa.Table, replies: list[bytes]) -> pa.Table:
         c = Chunk(table, text, key, window)
@@ -220,7 +221,7 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
             out.append((a, w.words, np.cumsum(hit[:-1]) > 0))
         return finish(table, out)
 
-    return C.finish(chunks, C.tagged(shared, 1).unionByName(C.tagged(earlier, 2)), last, schema)
+    return exchange.finish(C.tagged(shared, 1).unionByName(C.tagged(earlier, 2)), last, schema)
 
 
 def kept_texts(words: Words, gone: np.ndarray) -> list[bytes]:
