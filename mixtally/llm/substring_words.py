@@ -1,18 +1,19 @@
 """Substring dedup over words by recompression.
 
-Words are named by 64-bit hashes, the same everywhere. Two rounds of recompression then name runs of one token and
-pairs of adjacent symbols: a pair merges when the names' lowest bits read 0, 1, so whether two neighbours merge depends
-on nothing but those neighbours, and equal substrings get equal interior symbols in whatever document they stand. A
-boundary's level is the number of rounds it survives. Inside every window of 13 words the boundary with the highest level
-(then the least name) is its anchor, and the name of the 7 words about the anchor is the symbol that the window shows to
-other documents. Since that choice needs only the window's own words, two equal windows always share that symbol.
-
-1. Chunks exchange their distinct symbols (about a quarter of the words); symbols in one document only are done with.
-2. Windows whose symbol is shared are verified: chunks exchange the names of all 13 words, with the least doc_id.
-3. Words under a window that a document with a smaller doc_id has too are covered, and go.
-
-Both exchanges send merged, sorted keys (see chunks.py), so shared passages and large groups of copies cost an entry for
-each chunk, not for each copy, and no pairs are ever formed.
+Words and symbols are named globally, in Spark rounds, by comparing their contents (see recompress.py): equal names mean equal
+words, and what no two documents share has no name.
+
+1. Round one names words. A word of one document ends every repeat.
+2. Round two: three levels of recompression make symbols of about 2.4 words, which are named by their words' names.
+3. Round three: three more levels make symbols of about 5 words, named by the names of round two.
+4. A window that shows a symbol without a name, its whole extent within the window, repeats nowhere. The others show their
+   highest symbol (words, where no other lies within). It is the same wherever the window stands, so windows are verified there:
+   chunks send the symbol with the names of the words around it that its windows reach, each different surrounding once, to the
+   bucket of the symbol and the nearer words. A bucket sorts the surroundings, and windows that share the symbol and all names
+   left and right are equal. Those that a document with a smaller doc_id has too are covered, and their words go.
+
+Everything that is sent is distinct within a chunk, so shared passages and large groups of copies cost an entry for each chunk,
+not for each copy, and no pairs are ever formed.
 """
 
 from __future__ import annotations
@@ -25,203 +26,257 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks as C
-from .textops import U64, Words, flat, grams, mix, pieces, ranges, segments, sliding_min
+from .recompress import Distinct, Parse, answer_names, content, shared_prefixes
+from .textops import U64, Words, flat, mix, ranges
 
-#: Words in a window, and in the symbol about an anchor.
-WINDOW, SYMBOL = 13, 7
+#: Words in a window, and levels of recompression in a round.
+WINDOW, LEVELS = 13, 3
 #: Order of a document without a doc_id: after all others, and never later than another.
 LAST = np.iinfo(np.int64).max
 
 
-def levels(names: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Rounds of recompression (0 to 2) that the boundary before each word survives; 0 near runs of one word."""
-    n = len(names)
-    level = np.zeros(n, np.int8)
-    if n < 2:
-        return level
-    same_row = row[1:] == row[:-1]
-    bit = (names & U64(1)).astype(bool)
-    pair = ~bit[:-1] & bit[1:] & same_row
-    run = (names[1:] == names[:-1]) & same_row
-    starts = np.flatnonzero(np.concatenate([[True], ~(pair | run)]))
-    level[starts] = 1
-    # Names of the first round's symbols: a pair of names, or one.
-    paired = np.zeros(n, bool)
-    paired[:-1] = pair
-    one = names[starts]
-    two = mix(one * U64(3) + names[np.minimum(starts + 1, n - 1)] * U64(0xC2B2AE3D27D4EB4F))
-    symbol = np.where(paired[starts], two, one)
-    bit = (mix(symbol) & U64(1)).astype(bool)
-    inner = row[starts[1:]] == row[starts[:-1]]
-    merged = inner & ((~bit[:-1] & bit[1:]) | (symbol[1:] == symbol[:-1]))
-    level[starts[np.concatenate([[True], ~merged])]] = 2
-    near = np.zeros(n, bool)  # a run may reach beyond a symbol's words, so where a symbol holds one no level is claimed
-    for k in range(-(SYMBOL // 2), SYMBOL // 2):
-        lo, hi = max(0, -k), min(n, n - 1 - k)
-        if lo < hi:
-            near[lo:hi] |= run[lo + k : hi + k]
-    level[near] = 0
-    return level
-
-
-class Windows:
-    """All windows of some rows: the symbol of each (`shown`) and the hash of its words (`name`)."""
-
-    def __init__(self, words: Words, window: int = WINDOW):
-        self.words = words
-        self.hash = words.hashes()
-        n = len(self.hash)
-        half = SYMBOL // 2
-        symbol = grams(self.hash, SYMBOL)
-        level = levels(self.hash, words.row)[half : half + len(symbol)].astype(np.uint64)
-        self.value = (symbol >> U64(2)) | ((U64(2) - level) << U64(62))
-        count = max(0, n - window + 1)
-        self.inside = words.row[window - 1 :] == words.row[:count] if count else np.zeros(0, bool)
-        self.shown = sliding_min(self.value, window - SYMBOL + 1)[:count] if count else np.zeros(0, np.uint64)
-        self.window = window
-
-    def names(self) -> np.ndarray:
-        return grams(self.hash, self.window)[: len(self.inside)]
-
-
-def least(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with the least and the greatest order value of each."""
-    by = np.argsort(keys, kind="stable")
-    keys, order = keys[by], order[by]
-    at = segments(keys)
-    if not len(at):
-        return keys, order, order
-    return keys[at], np.minimum.reduceat(order, at), np.maximum.reduceat(order, at)
-
-
-def merged(parts: list[tuple[np.ndarray, ...]], width: int) -> tuple[np.ndarray, ...]:
-    return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64 if i == 0 else np.int64) for i in range(width))
-
-
 def order_of(table: pa.Table, key: str) -> np.ndarray:
     column = table.column(key).cast(pa.int64())
     return np.asarray(column.fill_null(LAST), np.int64)
 
 
 class Chunk:
-    """A chunk's documents, read piece by piece, and the keys that it sends."""
-
-    def __init__(self, table: pa.Table, text: str, key: str, window: int):
-        self.data, self.offs = flat(table.column(text))
-        self.order, self.window = order_of(table, key), window
-
-    def windows(self) -> Iterable[tuple[int, Windows, np.ndarray]]:
-        for a, b in pieces(self.offs, 1 << 20):
-            words = Words(self.data[self.offs[a] : self.offs[b]], self.offs[a : b + 1])
-            yield a, Windows(words, self.window), self.order[words.row + a]
-
-    def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = []
-        for _, w, order in self.windows():
-            at = np.flatnonzero(w.inside)
-            found.append(least(w.shown[at], order[at]))
-        keys, low, high = merged(found, 3)
-        by = np.argsort(keys, kind="stable")
-        keys, low, high = keys[by], low[by], high[by]
-        s = segments(keys)
-        return (keys[s], np.minimum.reduceat(low, s), np.maximum.reduceat(high, s)) if len(s) else (keys, low, high)
-
-    def shared(self, replies: list[bytes], buckets: int) -> np.ndarray:
-        """The symbols, sorted, that other documents show too."""
-        keys = self.symbols()[0]
-        order, bounds = C.dealt_order(keys, buckets)
-        keep = np.zeros(len(keys), bool)
-        for reply in replies:
-            bucket, bits = C.unpack(reply)
-            own = order[bounds[bucket[0]] : bounds[bucket[0] + 1]]
-            keep[own] = np.unpackbits(bits, count=len(own)).astype(bool)
-        return keys[keep]
-
-    def candidates(self, shared: np.ndarray) -> Iterable[tuple[int, Windows, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each piece, the windows that show a shared symbol: where they start, their names and the order of their documents."""
-        for a, w, order in self.windows():
-            if len(shared):
-                spot = np.minimum(np.searchsorted(shared, w.shown), len(shared) - 1)
-                at = np.flatnonzero(w.inside & (shared[spot] == w.shown))
-            else:
-                at = np.zeros(0, np.int64)
-            yield a, w, at, w.names()[at], order[at]
-
-    def verified(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [least(names, order)[:2] for _, _, _, names, order in self.candidates(shared)]
-        keys, low = merged(found, 2)
-        keys, low, _ = least(keys, low)
-        return keys, low
-
-
-def _answer_shared(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
-    """Which keys does more than one document have?"""
-    keys = np.concatenate([a[0] for _, a in asked])
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    low, high = np.full(len(distinct), LAST), np.full(len(distinct), np.iinfo(np.int64).min)
-    np.minimum.at(low, inverse, np.concatenate([a[1] for _, a in asked]))
-    np.maximum.at(high, inverse, np.concatenate([a[2] for _, a in asked]))
-    many = (low < high)[inverse]
-    at = 0
-    for chunk, a in asked:
-        yield chunk, C.pack(np.array([bucket]), np.packbits(many[at : at + len(a[0])]))
-        at += len(a[0])
-
-
-def _answer_earlier(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
-    """Which keys does a document have that is earlier than all of the chunk's own?"""
-    keys = np.concatenate([a[0] for _, a in asked])
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    low = np.full(len(distinct), LAST)
-    own = np.concatenate([a[1] for _, a in asked])
-    np.minimum.at(low, inverse, own)
-    earlier = low[inverse] < own
-    at = 0
-    for chunk, a in asked:
-        yield chunk, C.pack(np.array([bucket]), np.packbits(earlier[at : at + len(a[0])]))
-        at += len(a[0])
+    """A chunk's documents, and what it asks in each round."""
+
+    def __init__(self, table: pa.Table, text: str, key: str, window: int, buckets: int):
+        data, offs = flat(table.column(text))
+        self.words = Words(data, offs)
+        self.order, self.window, self.buckets = order_of(table, key), window, buckets
+        self.document = self.order[self.words.row]
+
+    def spelled(self) -> Distinct:
+        w = self.words
+        return Distinct(content(w.data, w.start, w.end - w.start), self.document)
+
+    def parsed(self, replies: list[bytes]) -> tuple[Parse, np.ndarray, Distinct]:
+        """Symbols of round two, those that are named, and their contents."""
+        self.name = self.spelled().names(replies, self.buckets)
+        parse = Parse(self.name, self.words.row)
+        for k in range(LEVELS):
+            parse.level(k + 1, runs=k == 0)
+        own = parse.made(self.window)
+        return parse, own, Distinct(parse.contents(own), self.document[parse.start[own]])
+
+    def parsed_again(self, first: list[bytes], second: list[bytes]) -> tuple[Parse, np.ndarray, Distinct]:
+        """Symbols of round three; those of round two are in `low`."""
+        parse, own, distinct = self.parsed(first)
+        name = np.where(parse.parts == 1, parse.name[parse.at] * U64(2), 0).astype(np.uint64)
+        found = distinct.names(second, self.buckets)
+        name[own] = np.where(found > 0, found * U64(2) + U64(1), 0)
+        self.low = parse, own, found
+        parse = parse.rebased(name, name > 0)
+        for k in range(LEVELS):
+            parse.level(LEVELS + k + 1)
+        own = parse.made(self.window)
+        return parse, own, Distinct(parse.contents(own), self.document[parse.start[own]])
+
+    def anchors(self, first: list[bytes], second: list[bytes], third: list[bytes]) -> None:
+        """The symbol that each window shows which may repeat: of runs of such windows `place` (word), `size`, `symbol`, and the
+        words `near` to `far` before it where the windows begin."""
+        parse, own, distinct = self.parsed_again(first, second)
+        found = distinct.names(third, self.buckets)
+        n, window = len(self.words), self.window
+        count = max(0, n - window + 1)
+        step = np.zeros(count + 1, np.int64)
+
+        def spoil(low: np.ndarray, high: np.ndarray) -> None:
+            begin, end = np.maximum(0, high - window), np.minimum(low, count - 1) + 1
+            own = begin < end
+            np.add.at(step, begin[own], 1)
+            np.add.at(step, end[own], -1)
+
+        best = np.full(count, -1, np.int64)
+        places, sizes, symbols = [], [], []
+        base = 0
+        for level, (p, at, name) in ((1, self.low), (2, (parse, own, found))):
+            lone = at[name == 0]
+            spoil(p.low[lone], p.high[lone])
+            at, name = at[name > 0], name[name > 0]
+            # The least of the names' hashes is shown, the first of equals: it is written last.
+            by = np.lexsort((-p.start[at], ~mix(name)))
+            at, name = at[by], name[by]
+            begin, end = np.maximum(0, p.high[at] - window), np.minimum(p.low[at], count - 1) + 1
+            length = np.maximum(0, end - begin)
+            best[ranges(begin, length)] = np.repeat(np.arange(len(at)) + base, length)
+            places.append(p.start[at])
+            sizes.append(p.size[at])
+            symbols.append(name * U64(4) + U64(level))
+            base += len(at)
+        lone = np.flatnonzero(self.name == 0)
+        spoil(lone, lone + 1)
+        whole = self.words.row[window - 1 :] == self.words.row[:count] if count else np.zeros(0, bool)
+        start = np.flatnonzero(whole & (np.cumsum(step[:-1]) == 0)) if count else np.zeros(0, np.int64)
+        chosen = best[start]
+        bare = np.flatnonzero(chosen < 0)
+        if len(bare):  # of the words, too, the least hash is shown
+            name = mix(self.name)
+            own = start[bare] + name[start[bare][:, None] + np.arange(window)].argmin(axis=1)
+            own, inverse = np.unique(own, return_inverse=True)
+            places.append(own)
+            sizes.append(np.ones(len(own), np.int64))
+            symbols.append(self.name[own] * U64(4))
+            chosen[bare] = base + inverse
+        place, size, symbol = (np.concatenate(x) for x in (places, sizes, symbols))
+        # Runs of windows that show one symbol, in halves: those that reach further to its right, and those further to its left.
+        before = place[chosen] - start
+        right = before <= (window - size[chosen]) // 2
+        new = np.ones(len(start), bool)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (start[1:] != start[:-1] + 1) | (right[1:] != right[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(start)) - 1 if len(head) else head
+        chosen = chosen[head]
+        self.place, self.size, self.symbol, self.right = place[chosen], size[chosen], symbol[chosen], right[head]
+        self.far, self.near = before[head], before[tail] if len(head) else before[head]
+
+    def surroundings(self) -> None:
+        """Distinct surroundings of the anchors, a row each: `rows` (symbol, near, far, size, names right, names left), `entry` of each anchor."""
+        n, width = len(self.place), self.window - 1
+        after = self.window - self.size - self.near
+        at = np.arange(width)
+        name = np.append(self.name, np.uint64(0))
+        last = len(self.name)
+        right = name[np.where(at < after[:, None], np.minimum((self.place + self.size)[:, None] + at, last), last)]
+        left = name[np.where(at < self.far[:, None], np.maximum(self.place[:, None] - 1 - at, 0), last)]
+        rows = np.concatenate([self.symbol[:, None], np.stack([self.near, self.far, self.size], axis=1).astype(np.uint64), right, left], axis=1).astype(np.uint64)
+        found = content(rows.view(np.uint8).ravel(), np.arange(n) * rows.shape[1] * 8, np.full(n, rows.shape[1] * 8)).dictionary_encode()
+        self.entry = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        m = len(found.dictionary)
+        one = np.zeros(m, np.int64)
+        one[self.entry[::-1]] = np.arange(n)[::-1]
+        self.rows = rows[one]
+        document = self.document[self.place]
+        self.earliest = np.full(m, LAST)
+        np.minimum.at(self.earliest, self.entry, document)
+        half = self.right[one]
+        # Dealt by the symbol and the half of its words that all its windows hold.
+        words = (self.window - self.size[one] + 1) // 2
+        where = mix(self.rows[:, 0] + half.astype(np.uint64))
+        for k in range((self.window + 1) // 2):
+            where = np.where(k < words, mix(where * U64(3) + np.where(half, self.rows[:, 4 + k], self.rows[:, 4 + width + k])), where)
+        self.bucket = (where % U64(self.buckets)).astype(np.int64)
+
+    def questions(self, chunk: int) -> Iterable[tuple[int, int, bytes]]:
+        """Of each bucket's entries the rows without what is empty, the earliest document, and the anchors' places and documents."""
+        width = self.window - 1
+        order = np.argsort(self.bucket, kind="stable")
+        bounds = np.searchsorted(self.bucket[order], np.arange(self.buckets + 1))
+        by = np.argsort(self.entry, kind="stable")
+        first = np.searchsorted(self.entry[by], np.arange(len(self.rows) + 1))
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            own = order[bounds[b] : bounds[b + 1]]
+            rows = self.rows[own]
+            near, far, size = (rows[:, k].astype(np.int64) for k in (1, 2, 3))
+            held = np.concatenate([np.arange(width) < (self.window - size - near)[:, None], np.arange(width) < far[:, None]], axis=1)
+            names = rows[:, 4:][held]
+            names = names.astype(np.uint32) if names.max(initial=0) < 1 << 32 else names
+            anchors = by[ranges(first[own], first[own + 1] - first[own])]
+            yield chunk, b, C.pack(rows[:, 0], rows[:, 1:4].astype(np.uint8).ravel(), planes(names), np.array([names.itemsize]), self.earliest[own], (first[own + 1] - first[own]).astype(np.uint32), self.place[anchors].astype(np.uint32 if len(self.name) < 1 << 32 else np.uint64))
+
+
+def planes(values: np.ndarray) -> np.ndarray:
+    """The values' bytes, those of one weight together: the high ones are nearly all alike."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T) if len(values) else np.zeros(0, np.uint8)
+
+
+def from_planes(raw: np.ndarray, size: int) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.uint64) if len(raw) else np.zeros(0, np.uint64)
+
+
+def answer_windows(window: int):
+    """Resolves anchors' surroundings: which of their windows occur in a document earlier than the chunk's earliest with that surrounding."""
+
+    def resolve(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
+        width = window - 1
+        symbol = np.concatenate([a[0] for _, a in asked])
+        near, far, size = np.concatenate([a[1].reshape(-1, 3) for _, a in asked]).astype(np.int64).T
+        held = np.concatenate([np.arange(width) < (window - size - near)[:, None], np.arange(width) < far[:, None]], axis=1)
+        names = np.zeros(held.shape, np.uint64)
+        names[held] = np.concatenate([from_planes(a[2], int(a[3][0])) for _, a in asked])
+        earliest = np.concatenate([a[4] for _, a in asked])
+        group = np.unique(symbol, return_inverse=True)[1]
+        right, left = (shared_prefixes(group, x) for x in (names[:, :width], names[:, width:]))
+        found = np.zeros((len(symbol), window), bool)
+        for before in range(window):
+            own = np.flatnonzero((near <= before) & (before <= far))
+            if not len(own):
+                continue
+            behind = window - size[own] - before
+            one, inverse = np.unique(right[own, behind] * (len(symbol) + 1) + left[own, before], return_inverse=True)
+            least = np.full(len(one), LAST)
+            np.minimum.at(least, inverse, earliest[own])
+            found[own, before] = least[inverse] < earliest[own]
+        at = 0
+        for chunk, a in asked:
+            n = len(a[0])
+            mine, count = found[at : at + n], a[5].astype(np.int64)
+            # What is told: entries some windows of which are covered, or that the chunk itself has in several places.
+            own = np.flatnonzero(mine.any(axis=1) | (count > 1))
+            at += n
+            first = np.cumsum(count) - count
+            yield chunk, C.pack(np.packbits(mine[own]), a[1].reshape(-1, 3)[own].ravel(), a[4][own], a[5][own], a[6][ranges(first[own], count[own])])
+
+    return resolve
+
+
+def covered_words(words: Words, order: np.ndarray, replies: list[bytes], window: int) -> np.ndarray:
+    """Which words lie under a covered window: those that the replies name, and all windows of an anchor behind its entry's earliest."""
+    step = np.zeros(len(words) + 1, np.int64)
+    for reply in replies:
+        mask, shape, earliest, count, place = C.unpack(reply)
+        count, place = count.astype(np.int64), place.astype(np.int64)
+        near, far, _ = shape.reshape(-1, 3).astype(np.int64).T
+        mask = np.unpackbits(mask, count=len(count) * window).reshape(-1, window).astype(bool)
+        entry = np.repeat(np.arange(len(count)), count)
+        later = order[words.row[place]] > earliest[entry]
+        reach = (np.arange(window) >= near[:, None]) & (np.arange(window) <= far[:, None])
+        hit, before = np.nonzero(np.where(later[:, None], reach[entry], mask[entry]))
+        begin = place[hit] - before
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + window, -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """finish(table, [(first row, words, covered words)]) of each chunk's documents, where a word is covered as `remove_repeats` says."""
+    """finish(table, words, covered words) of each chunk's documents, where a word is covered as `remove_repeats` says."""
     chunks = C.pack_documents(docs, text)
     buckets = C.bucket_count(chunks)
+    exchange = C.Exchange(chunks, buckets)
+    named = answer_names(buckets)
 
-    def symbols(chunk: int, table: pa.Table):
-        return C.dealt(chunk, (s := Chunk(table, text, key, window).symbols())[0], buckets, *s[1:])
+    def told(replies: list[bytes], tag: int) -> list[bytes]:
+        return [r[1:] for r in replies if r[0] == tag]
 
-    def names(chunk: int, table: pa.Table, replies: list[bytes]):
-        c = Chunk(table, text, key, window)
-        keys, low = c.verified(c.shared(replies, buckets))
-        return C.dealt(chunk, keys, buckets, low)
+    def first(chunk: int, table: pa.Table):
+        return Chunk(table, text, key, window, buckets).spelled().questions(chunk, buckets)
 
-    exchange = C.Exchange(chunks, buckets)
-    shared = exchange.answer(exchange.ask(symbols), _answer_shared)
-    earlier = exchange.answer(exchange.ask_again(shared, names), _answer_earlier)
+    def second(chunk: int, table: pa.Table, replies: list[bytes]):
+        return Chunk(table, text, key, window, buckets).parsed(replies)[2].questions(chunk, buckets)
+
+    def third(chunk: int, table: pa.Table, replies: list[bytes]):
+        return Chunk(table, text, key, window, buckets).parsed_again(told(replies, 1), told(replies, 2))[2].questions(chunk, buckets)
+
+    def windows(chunk: int, table: pa.Table, replies: list[bytes]):
+        c = Chunk(table, text, key, window, buckets)
+        c.anchors(told(replies, 1), told(replies, 2), told(replies, 3))
+        c.surroundings()
+        return c.questions(chunk)
+
+    one = exchange.answer(exchange.ask(first), named)
+    two = exchange.answer(exchange.ask_again(one, second), named)
+    both = C.tagged(one, 1).unionByName(C.tagged(two, 2))
+    three = exchange.answer(exchange.ask_again(both, third), named)
+    found = exchange.answer(exchange.ask_again(both.unionByName(C.tagged(three, 3)), windows), answer_windows(window))
 
     def last(table: pa.Table, replies: list[bytes]) -> pa.Table:
-        c = Chunk(table, text, key, window)
-        symbols = c.shared([r[1:] for r in replies if r[0] == 1], buckets)
-        keys, low = c.verified(symbols)
-        order, bounds = C.dealt_order(keys, buckets)
-        before = np.zeros(len(keys), bool)
-        for reply in replies:
-            if reply[0] == 2:
-                bucket, bits = C.unpack(reply[1:])
-                own = order[bounds[bucket[0]] : bounds[bucket[0] + 1]]
-                before[own] = np.unpackbits(bits, count=len(own)).astype(bool)
-        out = []
-        for a, w, at, name, doc in c.candidates(symbols):
-            hit = np.zeros(len(w.hash) + 1, np.int64)
-            if len(at):
-                spot = np.searchsorted(keys, name)
-                at = at[before[spot] | (doc > low[spot])]
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + window, -1)
-            out.append((a, w.words, np.cumsum(hit[:-1]) > 0))
-        return finish(table, out)
-
-    return exchange.finish(C.tagged(shared, 1).unionByName(C.tagged(earlier, 2)), last, schema)
+        words = Words(*flat(table.column(text)))
+        return finish(table, words, covered_words(words, order_of(table, key), replies, window))
+
+    return exchange.finish(found, last, schema)
 
 
 def kept_texts(words: Words, gone: np.ndarray) -> list[bytes]:
@@ -238,6 +293,11 @@ def kept_texts(words: Words, gone: np.ndarray) -> list[bytes]:
     return [raw[a : b - 1] if b > a else b"" for a, b in zip(stop[:-1], stop[1:])]
 
 
+def removed(words: Words, gone: np.ndarray) -> np.ndarray:
+    """Of each row, how many words go."""
+    return np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """The documents, all columns, with n_words, n_removed (long) and kept_text: words under a window of `window` words whose
     sequence also starts in a document with a smaller `key` are left out, and the others joined by one space.
@@ -250,13 +310,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c not in ("n_words", "n_removed", "kept_text"))
     docs = docs.drop("n_words", "n_removed", "kept_text")
 
-    def rows(table: pa.Table, found: list) -> pa.Table:
-        texts, n, gone = [], [], []
-        for _, words, hit in found:
-            texts += kept_texts(words, hit)
-            n.append(np.diff(words.first))
-            gone.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first]))
-        return table.append_column("n_words", pa.array(np.concatenate(n), pa.int64())).append_column("n_removed", pa.array(np.concatenate(gone), pa.int64())).append_column("kept_text", pa.array([t.decode("utf-8", "surrogateescape") for t in texts], pa.string()))
+    def rows(table: pa.Table, words: Words, hit: np.ndarray) -> pa.Table:
+        texts = [t.decode("utf-8", "surrogateescape") for t in kept_texts(words, hit)]
+        return table.append_column("n_words", pa.array(np.diff(words.first), pa.int64())).append_column("n_removed", pa.array(removed(words, hit), pa.int64())).append_column("kept_text", pa.array(texts, pa.string()))
 
     return covered(docs, rows, f"{fields}, n_words long, n_removed long, kept_text string", text, key, window)
 
@@ -265,12 +321,8 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Word windows of 13 that a smaller doc_id has too are removed from documents; the digest of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    def rows(table: pa.Table, found: list) -> pa.Table:
-        sha, n, gone = [], [], []
-        for _, words, hit in found:
-            sha += [hashlib.sha256(t).hexdigest() for t in kept_texts(words, hit)]
-            n.append(np.diff(words.first))
-            gone.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first]))
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(np.concatenate(n), pa.int64()), "n_removed": pa.array(np.concatenate(gone), pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+    def rows(table: pa.Table, words: Words, hit: np.ndarray) -> pa.Table:
+        sha = [hashlib.sha256(t).hexdigest() for t in kept_texts(words, hit)]
+        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(words.first), pa.int64()), "n_removed": pa.array(removed(words, hit), pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     return covered(docs, rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
