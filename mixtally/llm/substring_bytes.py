@@ -15,7 +15,8 @@ equal anchors at equal places, so a window occurs twice only if the suffixes at
    bytes before. All but the earliest of each such class are covered, and the chunks remove the bytes under them.
 
 A gram of very many occurrences could bring a bucket as many different suffixes. The windows of grams that occur HOT times or
-more are therefore dealt out by the hash of the whole window, each chunk sending the earliest of each once.
+more are therefore dealt out by the hash of the whole window (and compared by 128 bits of two), each chunk sending the earliest of
+each once.
 """
 
 from __future__ import annotations
@@ -105,20 +106,24 @@ class Chunk:
         self.windows = np.unique(np.repeat(self.at[hot], count) - ranges(self.near[hot], count))
         self.at, self.key, self.near, self.far = self.at[stay], self.key[stay], self.near[stay], self.far[stay]
 
-    def hot(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows (hashes, sorted) of hot grams with the earliest place (key, start) of each; and the entry of each window."""
+    def hot(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows (128 bits of hashes, the first 64 and the second, sorted) of hot grams with the earliest place (key, start)
+        of each; and the entry of each window."""
         up = powers(WINDOW)[0][:WINDOW]
-        name = np.zeros(len(self.windows), np.uint64)
+        # The second hash weighs the same bytes by other numbers.
+        other = mix(up + U64(77)) | U64(1)
+        name, second = np.zeros((2, len(self.windows)), np.uint64)
         for a in range(0, len(name), 10_000):
-            at = self.windows[a : a + 10_000]
-            name[a : a + 10_000] = mix((_BYTE[self.data[at[:, None] + np.arange(WINDOW)]] * up).sum(axis=1, dtype=np.uint64))
+            own = _BYTE[self.data[self.windows[a : a + 10_000][:, None] + np.arange(WINDOW)]]
+            name[a : a + 10_000] = mix((own * up).sum(axis=1, dtype=np.uint64))
+            second[a : a + 10_000] = mix((mix(own) * other).sum(axis=1, dtype=np.uint64))
         row = np.searchsorted(self.offs, self.windows, side="right") - 1
         self.window_doc, self.window_start = self.order[row], self.windows - self.offs[row]
-        by = np.lexsort((self.window_start, self.window_doc, name))
-        first = segments(name[by])
+        by = np.lexsort((self.window_start, self.window_doc, second, name))
+        first = segments(name[by], second[by])
         entry = np.empty(len(name), np.int64)
         entry[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
-        return name[by][first], self.window_doc[by][first], self.window_start[by][first], entry
+        return name[by][first], second[by][first], self.window_doc[by][first], self.window_start[by][first], entry
 
     def suffixes(self) -> None:
         """Sorts the anchors' suffixes; equal ones become one entry. Sets entry (of each anchor), first (an anchor of each
@@ -268,9 +273,9 @@ def _answer_counts(bucket: int, asked: list[tuple[int, list[np.ndarray]]], hot:
 
 def _answer_hot(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
     """Of each window, whether it occurs before the chunk's own earliest."""
-    name, doc, start = (np.concatenate([a[i] for _, a in asked]) for i in range(3))
-    by = np.lexsort((start, doc, name))
-    first = segments(name[by])
+    name, second, doc, start = (np.concatenate([a[i] for _, a in asked]) for i in range(4))
+    by = np.lexsort((start, doc, second, name))
+    first = segments(name[by], second[by])
     head = np.empty(len(by), np.int64)
     head[by] = np.repeat(by[first], np.diff(np.append(first, len(by))))
     earlier = (doc > doc[head]) | ((doc == doc[head]) & (start > start[head]))
@@ -344,8 +349,8 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
         c.keep(replies, buckets)
         c.suffixes()
         yield from c.runs(chunk, buckets)
-        name, doc, start, _ = c.hot()
-        yield from ((chunk, buckets + b, blob) for chunk, b, blob in C.dealt(chunk, name, buckets, doc, start))
+        name, second, doc, start, _ = c.hot()
+        yield from ((chunk, buckets + b, blob) for chunk, b, blob in C.dealt(chunk, name, buckets, second, doc, start))
 
     # Buckets from `buckets` on are those of hot grams' windows.
     exchange = C.Exchange(chunks, 2 * buckets)
@@ -358,7 +363,7 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
         c.suffixes()
         order, bounds = c.dealt(buckets)
         found = np.zeros((len(c.first), PLACES), bool)
-        name, doc, start, entry = c.hot()
+        name, _, doc, start, entry = c.hot()
         hot_order, hot_bounds = C.dealt_order(name, buckets)
         before = np.zeros(len(name), bool)
         for reply in replies:
