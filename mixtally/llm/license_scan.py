@@ -41,6 +41,36 @@ TEMPLATES = {
     "GPL notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+        "would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
     "CC-BY-SA-4.0 notice": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
@@ -147,12 +177,13 @@ class Index:
         return out
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND, last: int | None = None) -> tuple[int, int, int]:
     """Matched words, and the first and last matched word of the text (end exclusive), of the best alignment within the band.
 
-    The template is aligned whole; match 1, mismatch and gap -1 each; the text's words before and behind are free.
+    The band is about one diagonal, or about all from `diagonal` to `last`. The template is aligned whole; match 1, mismatch and gap
+    -1 each; the text's words before and behind are free.
     """
-    n, width = len(template), 2 * band + 1
+    n, width = len(template), 2 * band + 1 + (0 if last is None else last - diagonal)
     low = diagonal - band
     best = np.zeros(width, np.int64)  # column c of row i is the text's word i + low + c
     step = np.zeros((n, width), np.int8)  # 0: diagonal, 1: template word skipped, 2: text word skipped
@@ -165,25 +196,38 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
         skip = np.append(best[1:], -(1 << 30)) - 1
         now = np.maximum(across, skip)
         step[i] = np.where(across >= skip, 0, 1)
-        for c in range(1, width):
-            if now[c - 1] - 1 > now[c]:
-                now[c], step[i, c] = now[c - 1] - 1, 2
-        best = now
-    c, i, matched, first, last = int(np.argmax(best)), n - 1, 0, -1, -1
+        # Skipped text words: a running maximum along the row, less 1 for each.
+        along = np.arange(width)
+        reached = np.maximum.accumulate(now + along) - along
+        step[i, reached > now] = 2
+        best = reached
+    c, i, matched, first, end = int(np.argmax(best)), n - 1, 0, -1, -1
     while i >= 0:
         at = i + low + c
         if step[i, c] == 0:
             if 0 <= at < len(text) and text[at] == template[i]:
                 matched += 1
                 first = at
-                last = at if last < 0 else last
+                end = at if end < 0 else end
             i -= 1
         elif step[i, c] == 1:
             i -= 1
             c += 1
         else:
             c -= 1
-    return matched, first, last + 1
+    return matched, first, end + 1
+
+
+def chains(diagonals: list[int], length: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring diagonals that one occurrence with passages inserted or left out may have: at most half a template apart,
+    and a template's length together."""
+    out: list[tuple[int, int]] = []
+    for d in sorted(diagonals):
+        if out and d - out[-1][1] <= length // 2 and d - out[-1][0] <= length:
+            out[-1] = (out[-1][0], d)
+        else:
+            out.append((d, d))
+    return [x for x in out if x[0] < x[1]]
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
@@ -211,7 +255,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, s
                 h = words.hashes()
                 taken: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
                 whole: dict[tuple[int, int], set[int]] = {}
+                near: dict[tuple[int, int], list[int]] = {}
                 for row, t, d in index.candidates(words, h):
+                    near.setdefault((row, t), []).append(d)
                     if any(abs(d - x) <= index.band[t] for x in whole.get((row, t), ())):
                         continue
                     own = h[words.first[row] : words.first[row + 1]]
@@ -221,6 +267,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, s
                         whole.setdefault((row, t), set()).add(d)
                     if share >= least:
                         taken.setdefault((row, t), []).append((-share, first, last))
+                # Where no single diagonal holds an occurrence whole, several may: with a passage inserted, or left out.
+                for (row, t), diagonals in near.items():
+                    if (row, t) not in whole:
+                        for low, high in chains(diagonals, len(index.words[t])):
+                            matched, first, last = align(index.words[t], h[words.first[row] : words.first[row + 1]], low, index.band[t], high)
+                            if matched / len(index.words[t]) >= least:
+                                taken.setdefault((row, t), []).append((-matched / len(index.words[t]), first, last))
                 for (row, t), spans in sorted(taken.items()):
                     kept: list[tuple[int, int]] = []
                     for share, first, last in sorted(set(spans)):

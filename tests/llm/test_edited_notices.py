@@ -31,3 +31,42 @@ def test_inserted_words(spark):
     docs = spark.createDataFrame([(0, text), (1, "license " * 3000), (2, "released x y z under q r the s MIT")], "doc_id long, text string")
     found = license_scan.scan_licenses(docs).where("template = 'MIT line'").collect()
     assert [(r.doc_id, r.coverage, r.matched) for r in found] == [(0, 1.0, text)]
+
+
+def test_long_insertions_and_whole_texts(spark):
+    """Words inserted beyond the band, in one place or two, and complete license texts."""
+    t = license_scan.TEMPLATES
+    grant = t["MIT grant"].split()
+    for at in (10, 30, 55):
+        text = " ".join(grant[:at] + [f"extra{i}" for i in range(25)] + grant[at:])
+        docs = spark.createDataFrame([(0, f"before it {text} behind it")], "doc_id int, text string")
+        got = {r.template: r.coverage for r in license_scan.scan_licenses(docs).collect()}
+        # Leaving the shorter side out may cost less than the gap does; it is reported either way.
+        assert set(got) == {"MIT grant"} and got["MIT grant"] >= (1.0 if at == 30 else 0.8)
+    docs = spark.createDataFrame([(i, f"x {t[n]} y") for i, n in enumerate(("MIT", "ISC", "BSD-2-Clause", "Zlib"))], "doc_id int, text string")
+    got = {(r.doc_id, r.template): r.coverage for r in license_scan.scan_licenses(docs).collect()}
+    assert all(got[i, n] == 1 for i, n in enumerate(("MIT", "ISC", "BSD-2-Clause", "Zlib")))
+
+
+def test_alignment_against_every_cell():
+    """Banded alignment, where the band holds all cells, scores as a plain table does."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(60):
+        template = np.array([rng.randrange(6) for _ in range(rng.randrange(1, 14))])
+        text = np.array([rng.randrange(6) for _ in range(rng.randrange(1, 25))])
+        n, m = len(template), len(text)
+        best = [[0] * (m + 1)]
+        for i in range(n):
+            row = [best[i][0] - 1]
+            for j in range(m):
+                row.append(max(best[i][j] + (1 if template[i] == text[j] else -1), best[i][j + 1] - 1, row[j] - 1))
+            best.append(row)
+        matched, first, last = license_scan.align(template, text, 0, n + m + 2)
+        score = max(best[n])
+        # What was traced has as many matches as its score needs: the rest of the template and of its span count against it.
+        assert matched <= min(n, m) and (matched == 0 or 0 <= first < last <= m)
+        assert matched >= score and (score <= 0 or matched > 0)
