@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages over documents, each of which applies one operator to all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All but
-the last return the columns of documents.
+the last return the columns of documents; further columns, whatever their names, are left out. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,13 +18,21 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score, learned from labels that aren't held out, is 0.5 or more."""
+    """Documents whose quality score, learned from labels that aren't held out, is 0.5 or more.
+
+    A null or empty text has the score of its length. Repeated rows and rows without a doc_id are scored like any; rows of equal
+    texts go or stay together. Texts are scored whole, a block of 256 bytes at a time.
+    """
     model = quality.fit_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, out="__score").where("__score >= 0.5").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that near-duplicate links connect."""
+    """One document, that of the least doc_id, of each group that near-duplicate links connect.
+
+    Null, empty and blank texts link with nothing and stay, as do rows without a doc_id. Rows that repeat one doc_id are one
+    document: all of them go or stay, even if their texts differ.
+    """
     found = jaccard.near_duplicates(docs.select("doc_id", "text"))
     gone = jaccard.C.checkpointed(found.where("component_id <> doc_id").select("doc_id").distinct())
     if gone.count() <= jaccard.BROADCAST_ROWS:
@@ -33,7 +41,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of 13-word windows that an earlier document has; those with no word left go, others that lose none stay as they are."""
+    """Documents without the words of 13-word windows that an earlier document has; those with no word left go, others that lose none stay as they are.
+
+    Null, empty and short texts lose nothing and stay. Rows that repeat one doc_id never take each other's words; a row without a
+    doc_id comes after all others. What stays of a cut text is joined by single spaces, and n_chars counts it anew.
+    """
     found = substring_words.remove_repeats(docs.select(*COLUMNS))
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
@@ -42,13 +54,19 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs.
+
+    Null and empty texts have none and stay; repeated rows go or stay together; a null item or one without words matches nothing.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find_contamination(docs.select(*COLUMNS), items).where("not contaminated").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the text that they decode to."""
+    """Token ids of each document, and the text that they decode to.
+
+    A null or empty text has no ids and an empty text; repeated rows and rows without a doc_id are encoded like any.
+    """
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
     ids = bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN, decoded="decoded")
     return ids.withColumn("text", F.decode("decoded", "UTF-8")).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "text")
