@@ -10,12 +10,14 @@ by the exact number of documents that have each: chunks of documents exchange th
 sorted, as differences) and get back a frequency class of each. A token of one document opens no page, so only documents
 that share their rarest tokens send points at all, and a frequent passage is met only by documents that consist of such.
 
-Equal sets are one node (named by the set's hash) before anything is exchanged. No page emits all its pairs:
+Equal sets are one node (named by the set's hash) before anything is exchanged. Pages emit few
+of their pairs in the first two steps, and in the third those that nothing else decides:
 
 1. Each page covers its nodes by stars: a leader and the nodes whose bound with it reaches the threshold. The pairs are
    verified and components formed.
 2. Nodes outside their page's largest component are paired with their best bound elsewhere; verified, and merged.
-3. Pairs of a page that still stand in different components and reach the bound are verified, all of them.
+3. Pairs of a page that still stand in different components and reach the bound are verified, all of them. Texts with
+   similarities just below the threshold make up to half the square of their number.
 
 Pairs within a component need no verifying, and pairs below the bound can't link, so the components are exact.
 """
