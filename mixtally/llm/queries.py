@@ -6,9 +6,12 @@ from .bpe import op7_byte_bpe
 from .chat import OP3_SQL, op3_perspective_rotation
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .divergence import OP5_SQL, op5_divergence_rules
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .jaccard import op10_jaccard_join
 from .license_scan import op6_license_scan
+from .main_text import OP11_SQL, op11_main_text
 from .quality import op1_quality_classifier
+from .source_audit import OP12_SQL, op12_source_audit
 from .substring_bytes import op2_suffix_dedup
 from .substring_words import op8_substring_dedup
 from .warc import OP9_SQL, op9_warc_archive
@@ -24,6 +27,9 @@ QUERIES = {
     "op9_warc_archive": op9_warc_archive,
     "op10_jaccard_join": op10_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
+    "op11_main_text": op11_main_text,
+    "op12_source_audit": op12_source_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 OP2_SQL = r"""
@@ -76,4 +82,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": OP8_SQL,
     "op9_warc_archive": OP9_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op11_main_text": OP11_SQL,
+    "op12_source_audit": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
