@@ -422,10 +422,10 @@ def lineage_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Tables of samples
 
-@query(f"WITH {SQL_OTU} SELECT sample, coalesce(COLUMNS(* EXCLUDE sample), 0) FROM (PIVOT otu ON label USING sum(cnt) GROUP BY sample)")
+@query(f"WITH {SQL_OTU} SELECT s.sample, l.label, coalesce(cnt, 0) AS cnt FROM (SELECT DISTINCT sample FROM otu) s CROSS JOIN (SELECT DISTINCT label FROM otu) l LEFT JOIN otu ON s.sample = otu.sample AND l.label = otu.label")
 def combined_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of samples with a column for each label that the data have."""
-    return diversity.wide(counts(spark, sf_dir))
+    """The table of samples with a column for each label that the data have, told column by column."""
+    return diversity.wide(settle.checkpointed(counts(spark, sf_dir))).unpivot(["sample"], None, "label", "cnt")
 
 
 @query(f"WITH {SQL_OTU} SELECT sample, label, sum(cnt) AS cnt, CASE WHEN grouping(sample) + grouping(label) = 2 THEN 'all' WHEN grouping(label) = 1 THEN 'sample' ELSE 'label' END AS level FROM otu GROUP BY GROUPING SETS ((sample), (label), ())")

@@ -48,20 +48,26 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.coalesce(dna("text"), F.lit("")).alias("d"))
 
 
-@query(f"SELECT 'doc' || doc_id AS name, md5(d) AS seq_md5, CAST(length(d) AS INT) AS n_qual, CAST(33 + (length(d) - 1) % 60 AS INT) AS last_quality FROM {SQL_READ_DOCS} WHERE length(d) > 0")
+#: The qualities of `_fastq`, as many as a sequence is long.
+SQL_QUALITIES = "md5(left(repeat(array_to_string([chr(CAST(33 + i AS INT)) for i in range(60)], ''), CAST(length(d) // 60 + 1 AS INT)), CAST(length(d) AS INT)))"
+
+
+@query(f"SELECT 'doc' || doc_id AS name, md5(d) AS seq_md5, {SQL_QUALITIES} AS qual_md5, 1 AS same_id FROM {SQL_READ_DOCS} WHERE length(d) > 0")
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as FASTQ of several lines a record, half of them in plain and half in gzip files, and read again."""
+    """Documents as FASTQ of several lines a record, half in folders of plain and half of gzip files, read again; how many reads share an id."""
     docs, folder = _sequences(spark, sf_dir), shared_folder(spark, "fastq")
     plain = _write_text(_fastq(docs.where("doc_id % 2 = 0")), f"{folder}/plain")
     packed = _write_text(_fastq(docs.where("doc_id % 2 <> 0")), f"{folder}/packed", gzip=True)
-    rows = fastx.read_reads(spark, [plain, packed])
-    return rows.select("name", F.md5("seq").alias("seq_md5"), F.length("qual").alias("n_qual"), F.ascii(F.substring("qual", -1, 1)).alias("last_quality"))
+    rows = checkpointed(fastx.read_reads(spark, [plain, packed]).select("read_id", "name", F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5")))
+    return rows.join(rows.groupBy("read_id").agg(F.count("*").cast("int").alias("same_id")), "read_id").drop("read_id")
 
 
 @query(f"SELECT 'doc' || doc_id || '/1' AS name1, 'doc' || doc_id || '/2' AS name2, md5(d) AS seq_md5, md5(reverse(d)) AS mate_md5 FROM {SQL_READ_DOCS} WHERE length(d) > 0")
 def paired_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as mate 1 and, read backward, as mate 2, in files of their own, and joined again by place."""
-    docs, folder = _sequences(spark, sf_dir).coalesce(1).sortWithinPartitions("doc_id"), shared_folder(spark, "pairs")
+    """Documents as mate 1 and, read backward, as mate 2, in folders of several files, and joined again by place."""
+    docs, folder = _t(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark, "pairs")
+    # Each task writes the same documents, in the same order, for both mates.
+    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").sortWithinPartitions("doc_id").select("doc_id", F.coalesce(dna("text"), F.lit("")).alias("d"))
     one = _write_text(_fastq(docs, "/1"), f"{folder}/one")
     two = _write_text(_fastq(docs.withColumn("d", F.reverse("d")), "/2"), f"{folder}/two", gzip=True)
     return fastx.read_pairs(spark, one, two).select("name1", "name2", F.md5("seq1").alias("seq_md5"), F.md5("seq2").alias("mate_md5"))
@@ -106,7 +112,7 @@ def taxonomy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ref_id", "label", "label_id", "size", F.lit(delimiter).alias("delimiter"), F.lit(prefixed).alias("prefixed"))
 
 
-@query(f"WITH {SQL_OTU} SELECT sample, label, cnt, 'of ' || label AS taxon, 2 AS n_malformed FROM otu")
+@query(f"WITH {SQL_OTU} SELECT sample, label, cnt, 'of ' || label AS taxon, CAST(2 * (SELECT count(DISTINCT sample) FROM otu) AS INT) AS n_malformed FROM otu")
 def sample_tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result file for each sample, with lines that aren't whole, and the list of them, read again."""
     folder = shared_folder(spark, "samples")
@@ -119,7 +125,7 @@ def sample_tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit(f"{folder}/file="), F.col("file"))
     listed = files.select(F.concat(F.col("sample"), F.when(F.length("sample") % 2 == 0, ",").otherwise("\t"), path).alias("value"))
     listed.unionByName(spark.createDataFrame([("no path",)], "value string")).write.text(f"{folder}/list")
-    bad = tables.malformed_lines(spark, f"{folder}/file={files.agg(F.min('file')).first()[0]}")
+    bad = tables.malformed_lines(spark, folder + "/file=*")
     return tables.read_samples(spark, f"{folder}/list").select("sample", "label", "cnt", "taxon", F.lit(bad).alias("n_malformed"))
 
 

@@ -8,6 +8,7 @@ group-by, which fails if they don't make whole records. Compressed files are one
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -173,6 +174,8 @@ def _framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(split.rows(end=True)), columns=_FRAME)
 
 
+#: Places in a file that a read's number has room for.
+PLACES = 1 << 44
 #: Index of the first record that begins in a split's leading lines, before the records found there.
 EARLY = -(1 << 40)
 _FRAME = ["file", "block", "idx", "name", "seq", "qual", "head", "tail"]
@@ -226,21 +229,44 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", (F.col("before") + place).alias("ordinal"), "name", "seq", "qual")
 
 
-def read_reads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(read_id, name, seq, qual): reads with a sequence, of several FASTQ files. read_id is unique and the same in every run."""
+def _listed(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The files of each entry, a file, folder or glob, in order of their paths, empty ones too: the listing that Spark's driver keeps for any scan.
+
+    An empty authority is left out, as files' metadata leave it out.
+    """
+    return [sorted(re.sub("^([^:/]+:)///", r"\1/", f) for f in spark.read.format("binaryFile").load(path).inputFiles()) for path in paths]
+
+
+def _numbered_reads(spark: SparkSession, paths: list[str], files: list[list[str]]) -> DataFrame:
+    """(read_id, name, seq, qual): records with a sequence; read_id tells the file's number and the record's place in it."""
     out = None
-    for i, path in enumerate(_files(paths)):
-        rows = read_fastq(spark, path).where(F.length("seq") > 0)
-        rows = rows.select((F.lit(i).cast("long") * (1 << 44) + F.col("ordinal")).alias("read_id"), "name", "seq", "qual")
+    for i, path in enumerate(paths):
+        rows = read_fastq(spark, path).where(F.length("seq") > 0).withColumn("entry", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    # Files that Spark lists twice, in two entries, are read twice, under two numbers.
+    places = [(i, file) for i, entry in enumerate(files) for file in entry]
+    numbers = spark.createDataFrame([(i, file, n) for n, (i, file) in enumerate(places)], "entry int, file string, number long")
+    return out.join(numbers, ["entry", "file"]).select((F.col("number") * PLACES + F.col("ordinal")).alias("read_id"), "name", "seq", "qual")
+
+
+def read_reads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(read_id, name, seq, qual): reads with a sequence, of a list of FASTQ files, folders and globs.
+
+    read_id is unique and the same in every run: files are numbered by their entry of the list, then by path, and records by their
+    place in their file.
+    """
+    paths = _files(paths)
+    return _numbered_reads(spark, paths, _listed(spark, paths))
 
 
 def read_pairs(spark: SparkSession, forward: str | list[str], reverse: str | list[str]) -> DataFrame:
-    """(read_id, name1, seq1, qual1, name2, seq2, qual2): mates by place in their files; the longer file's rest is left out."""
-    one, two = _files(forward), _files(reverse)
-    if len(one) != len(two):
-        raise ValueError(f"{len(one)} forward and {len(two)} reverse files")
-    a = read_reads(spark, one).select("read_id", F.col("name").alias("name1"), F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
-    b = read_reads(spark, two).select("read_id", F.col("name").alias("name2"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    """(read_id, name1, seq1, qual1, name2, seq2, qual2): mates by place in their files; the longer file's rest is left out.
+
+    Files of a folder or glob are mates in order of their paths; entries of unequal numbers of files are an error.
+    """
+    sides = [(paths, _listed(spark, paths)) for paths in (_files(forward), _files(reverse))]
+    counts = [[len(entry) for entry in files] for _, files in sides]
+    if counts[0] != counts[1]:
+        raise ValueError(f"entries of {counts[0]} forward and {counts[1]} reverse files")
+    a, b = (_numbered_reads(spark, *side).select("read_id", *(F.col(c).alias(f"{c}{i}") for c in ("name", "seq", "qual"))) for i, side in enumerate(sides, 1))
     return a.join(b, "read_id")

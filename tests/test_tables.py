@@ -171,3 +171,29 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "bad").write_text("x\ty\n")
     with pytest.raises(ValueError):
         tables.read_result(spark, f"{tmp_path}/bad")
+
+
+def test_ids_of_reads_in_folders(spark, tmp_path):
+    """Files of a folder or glob have ids of their own; mates are those of the file at the same place of their entry."""
+    for side, letter in (("one", "A"), ("two", "C")):
+        for folder, files in (("x", 3), ("y z%20", 2)):
+            (tmp_path / side / folder).mkdir(parents=True)
+            for i in range(files):
+                # The second file has no record, and the forward side's files are packed.
+                text = "".join(f"@{folder[0]}{i}.{r}\n{letter * (r + 1)}\n+\n{'I' * (r + 1)}\n" for r in range(0 if i == 1 else 3 + i))
+                name = tmp_path / side / folder / f"part-{i}.fq"
+                if side == "one":
+                    with gzip.open(f"{name}.gz", "wt") as f:
+                        f.write(text)
+                else:
+                    name.write_text(text)
+    entries = {side: [f"{tmp_path}/{side}/x", f"{tmp_path}/{side}/y*/part-*"] for side in ("one", "two")}
+    reads = fastx.read_reads(spark, entries["one"]).collect()
+    assert len(reads) == 3 + 5 + 3 == len({r.read_id for r in reads})
+    assert [r.name for r in sorted(reads)] == [f"{f}{i}.{r}" for f, n in (("x", 3), ("y", 2)) for i in range(n) for r in range(0 if i == 1 else 3 + i)]
+    pairs = fastx.read_pairs(spark, entries["one"], entries["two"]).collect()
+    assert len(pairs) == 11 and all(p.name1 == p.name2 and p.seq1 == p.seq2.replace("C", "A") for p in pairs)
+    assert sorted(fastx.read_reads(spark, ",".join(entries["one"])).collect()) == sorted(reads)
+    (tmp_path / "two" / "x" / "part-3.fq").write_text("")
+    with pytest.raises(ValueError, match="files"):
+        fastx.read_pairs(spark, entries["one"], entries["two"])
