@@ -1,9 +1,17 @@
 """Local alignment of reads with candidate references, and the log-likelihood of a read given its alignment.
 
-Alignment runs in Arrow batches. A pair is aligned by affine-gap dynamic programming; the table's rows are vectorised: gaps in
-the read carry from row to row, and gaps in the reference are a running maximum along the row, so no cell is visited in Python.
-Of equally good ends the one earliest in the reference wins, then earliest in the read; of equally good starts the one nearest
-the end. A step back prefers the diagonal, then the longer read gap.
+Pairs of an Arrow batch are aligned together, by affine-gap dynamic programming in three passes that keep no full table:
+
+1. scores and ends: pairs of like lengths are the vector axis, in 16-bit lanes where no score can exceed them, else in 32-bit ones;
+   of each pair two rows of the table are kept. Gaps in the read carry from row to row, gaps in the reference are a running maximum
+   along the row, so no cell is visited in Python;
+2. starts: the same pass backward from the end, through cells that a best alignment can cross, finds all starts that give the score,
+   which bound the part of the table that can matter;
+3. the trace: only a band around the end's diagonal is filled again, a byte a cell. The score says how many gaps a best alignment
+   can have, so the band holds every best one, and ties fall as they would in the full table.
+
+Of equally good ends the one earliest in the reference wins, then earliest in the read. A step back prefers the diagonal, then the
+longer read gap; the alignment begins where its score is used up.
 """
 
 from __future__ import annotations
@@ -60,68 +68,220 @@ def _codes(seq: str) -> np.ndarray:
     return CODES[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
+#: Codes behind the end of a reference and of a read in a batch; they equal nothing.
+_REF_END, _READ_END = 5, 6
+#: Cells of a row over all pairs of a batch, and bytes of a batch's trace; a single pair may have more.
+ROW_CELLS, TRACE_BYTES = 1 << 15, 1 << 24
+
+
+def _lanes(score: int, width: int, scoring: Scoring) -> tuple[type, int]:
+    """The type that scores of up to `score` fit along `width` cells, and what stands for no score in it."""
+    most = score + scoring.gap_extend * (width + 2) + 2 * (scoring.match + scoring.mismatch + scoring.gap_open)
+    return (np.int16, -8000) if most < 16_000 else (np.int32, -(1 << 28))
+
+
+def _columns(seqs: list[np.ndarray], length: int, end: int) -> np.ndarray:
+    """Sequences as columns of an array, `end` behind their ends."""
+    out = np.full((length, len(seqs)), end, np.int8)
+    for b, s in enumerate(seqs):
+        out[: len(s), b] = s
+    return out
+
+
+class _Gains:
+    """Scores of a read's base in each column against the references' bases."""
+
+    def __init__(self, q: np.ndarray, r: np.ndarray, scoring: Scoring, kind: type, low: int):
+        self.q, self.r, self.kind, self.more = q, r, kind, kind(scoring.match + scoring.mismatch)
+        self.base = np.where(r == _REF_END, kind(low // 2), kind(-scoring.mismatch))
+        self.any_ref, self.any_read = r == 4 if (r == 4).any() else None, (q == 4).any(axis=1)
+
+    def row(self, i: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        own = slice(begin, end)
+        out = (self.r[own] == self.q[i]).astype(self.kind)
+        out *= self.more
+        out += self.base[own]
+        # An N scores 0 against any base, but not against what stands behind the ends.
+        if self.any_ref is not None:
+            out[self.any_ref[own] & (self.q[i] != _READ_END)] = 0
+        if self.any_read[i]:
+            out[(self.q[i] == 4) & (self.r[own] != _REF_END)] = 0
+        return out
+
+
+def _scores(reads: list[np.ndarray], refs: list[np.ndarray], scoring: Scoring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best score of each pair and where it ends, as lengths of the read and the reference up to there."""
+    n, m = max(map(len, reads)), max(map(len, refs))
+    kind, low = _lanes(scoring.match * min(n, m), m, scoring)
+    gains = _Gains(_columns(reads, n, _READ_END), _columns(refs, m, _REF_END), scoring, kind, low)
+    pairs = len(reads)
+    along = (scoring.gap_extend * np.arange(1, m + 1)).astype(kind)[:, None]
+    opening, extend, first = kind(scoring.gap_open - scoring.gap_extend), kind(scoring.gap_extend), kind(scoring.gap_open)
+    best, down = np.zeros((m + 1, pairs), kind), np.full((m, pairs), low, kind)
+    top, row = np.zeros((m, pairs), kind), np.zeros((m, pairs), np.int32)
+    for i in range(n):
+        np.maximum(down - extend, best[1:] - first, out=down)
+        opened = best[:-1] + gains.row(i)
+        np.maximum(opened, down, out=opened)
+        np.maximum(opened, 0, out=opened)
+        # Opening from a cell that is itself in a side gap never beats extending, so a running maximum over `opened` is all.
+        reach = np.maximum.accumulate(opened + along, axis=0)
+        best[1] = opened[0]
+        np.maximum(opened[1:], reach[:-1] - along[1:] - opening, out=best[2:])
+        np.copyto(row, i + 1, where=best[1:] > top)
+        np.maximum(top, best[1:], out=top)
+    j = top.argmax(axis=0)
+    each = np.arange(pairs)
+    return top[j, each].astype(np.int64), row[j, each].astype(np.int64), j + 1
+
+
+def _starts(reads: list[np.ndarray], refs: list[np.ndarray], tops: np.ndarray, scoring: Scoring) -> tuple[np.ndarray, np.ndarray]:
+    """How far back, along the read and the reference, the alignments reach that end at both ends with these scores.
+
+    Backward from its end, the score of a best alignment is always above 0: a part that adds nothing would end it elsewhere. Cells
+    at or below 0 are dropped.
+    """
+    n, m = max(map(len, reads)), max(map(len, refs))
+    kind, low = _lanes(scoring.match * min(n, m), m, scoring)
+    gains = _Gains(_columns([q[::-1] for q in reads], n, _READ_END), _columns([r[::-1] for r in refs], m, _REF_END), scoring, kind, low)
+    pairs = len(reads)
+    along = (scoring.gap_extend * np.arange(1, m + 1)).astype(kind)[:, None]
+    opening, extend, first, none = kind(scoring.gap_open - scoring.gap_extend), kind(scoring.gap_extend), kind(scoring.gap_open), kind(low)
+    best, down = np.full((m + 1, pairs), none, kind), np.full((m, pairs), none, kind)
+    best[0] = 0
+    goal = tops.astype(kind)
+    back, along_ref = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    for i in range(n):
+        np.maximum(down - extend, best[1:] - first, out=down)
+        np.maximum(down, none, out=down)
+        opened = best[:-1] + gains.row(i)
+        np.maximum(opened, down, out=opened)
+        reach = np.maximum.accumulate(np.maximum(opened, none) + along, axis=0)
+        best[0] = none
+        best[1] = opened[0]
+        np.maximum(opened[1:], reach[:-1] - along[1:] - opening, out=best[2:])
+        best[1:][best[1:] <= 0] = none
+        hit = best[1:] == goal
+        if hit.any():
+            j, b = np.nonzero(hit)
+            back[b] = i + 1
+            np.maximum.at(along_ref, b, j + 1)
+    return back, along_ref
+
+
+def _traces(reads: list[np.ndarray], refs: list[np.ndarray], half: int, scoring: Scoring) -> list[np.ndarray]:
+    """Steps of the best alignments that end at both ends, from the first on, by a band of `half` cells beside the end's diagonal.
+
+    A step is the code of its letter: = X I D.
+    """
+    pairs, n, width = len(reads), max(map(len, reads)), 2 * half + 1
+    size = np.array([[len(q), len(r)] for q, r in zip(reads, refs)])
+    # Cell c of row i (from 1) is the reference's place i + shift + c (from 0 where i = 1), so a band is a slice of the column.
+    shift = size[:, 1] - size[:, 0] - half
+    r = np.full((n + width, pairs), _REF_END, np.int8)
+    for b, s in enumerate(refs):
+        t = int(shift[b])
+        r[max(0, -t) : max(0, -t) + len(s) - max(0, t), b] = s[max(0, t) :]
+    kind, low = _lanes(scoring.match * min(n, int(size[:, 1].max())), width, scoring)
+    gains = _Gains(_columns(reads, n, _READ_END), r, scoring, kind, low)
+    along = (scoring.gap_extend * np.arange(1, width + 1)).astype(kind)[:, None]
+    opening, extend, first, none = kind(scoring.gap_open - scoring.gap_extend), kind(scoring.gap_extend), kind(scoring.gap_open), kind(low)
+    best, down = np.zeros((width + 1, pairs), kind), np.full((width + 1, pairs), none, kind)
+    trace = np.full((n + 1, width, pairs), 16, np.uint8)
+    for i in range(n):
+        above = down[1:] - extend
+        diagonal = best[:-1] + gains.row(i, i, i + width)
+        np.maximum(above, best[1:] - first, out=down[:-1])
+        np.maximum(down, none, out=down)
+        opened = np.maximum(np.maximum(diagonal, down[:-1]), 0)
+        reach = np.maximum.accumulate(opened + along, axis=0)
+        side = np.full((width, pairs), none, kind)
+        side[1:] = reach[:-1] - along[1:] - opening
+        np.maximum(opened, side, out=best[:-1])
+        t = trace[i + 1]
+        t[:] = best[:-1] == diagonal
+        t |= ((best[:-1] == down[:-1]) & (down[:-1] >= side)).view(np.uint8) << 1
+        t |= ((down[:-1] == above) & (above > none // 2)).view(np.uint8) << 2
+        t[1:] |= (side[1:] == side[:-1] - extend).view(np.uint8) << 3
+        t |= (best[:-1] == 0).view(np.uint8) << 4
+    # All pairs step back together: state 0 looks at a cell, 1 is in a read gap, 2 in a reference gap.
+    i, c, state, own = size[:, 0].copy(), np.full(pairs, half), np.zeros(pairs, np.int64), np.arange(pairs)
+    steps: list[list[np.ndarray]] = []
+    q = gains.q
+    while len(own):
+        t = trace[i, c, own]
+        state = np.where((state == 0) & (t & 1 == 0), np.where(t & 2 > 0, 1, 2), state)
+        same = q[i - 1, own] == r[i - 1 + c, own]
+        steps.append([own, np.where(state == 0, np.where(same, ord("="), ord("X")), np.where(state == 1, ord("I"), ord("D"))).astype(np.uint8)])
+        i_next = i - (state != 2)
+        c_next = c + (state == 1) - (state == 2)
+        over = (state == 0) & (trace[i_next, c_next, own] & 16 > 0)
+        state = np.where(state == 1, np.where(t & 4 > 0, 1, 0), np.where(state == 2, np.where(t & 8 > 0, 2, 0), 0))
+        go = ~over
+        i, c, state, own = i_next[go], c_next[go], state[go], own[go]
+    who, what = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
+    order = np.argsort(who, kind="stable")
+    return [x[::-1] for x in np.split(what[order], np.cumsum(np.bincount(who, minlength=pairs))[:-1])]
+
+
+def _batches(rows: np.ndarray, columns: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """Numbers of pairs, like ones together, as many as have `cells` in their columns."""
+    order = np.lexsort((rows, columns))
+    begin = 0
+    while begin < len(order):
+        end = begin + max(1, int(np.searchsorted(columns[order[begin:]] * np.arange(1, len(order) - begin + 1), cells, side="right")))
+        yield order[begin:end]
+        begin = end
+
+
+def align_pairs(pairs: list[tuple[str, str]], scoring: Scoring = Scoring()) -> list[Alignment]:
+    """Alignments of (read, reference) pairs, in their order."""
+    out = [NOTHING] * len(pairs)
+    coded = [(_codes(q), _codes(r)) for q, r in pairs]
+    able = np.array([k for k, (q, r) in enumerate(coded) if len(q) and len(r)], np.int64)
+    if not len(able):
+        return out
+    q, r = [coded[k][0] for k in able], [coded[k][1] for k in able]
+    lengths = np.array([[len(x), len(y)] for x, y in zip(q, r)])
+    top, read_end, ref_end = (np.zeros(len(able), np.int64) for _ in range(3))
+    for own in _batches(lengths[:, 0], lengths[:, 1], ROW_CELLS):
+        top[own], read_end[own], ref_end[own] = _scores([q[k] for k in own], [r[k] for k in own], scoring)
+    found = np.flatnonzero(top > 0)
+    if not len(found):
+        return out
+    # A best alignment's gaps cost what its bases, were they all equal, would gain beyond its score.
+    gaps = lambda bases: np.maximum(0, (scoring.match * bases - top - scoring.gap_open) // max(1, scoring.gap_extend) + 1)
+    reach = np.minimum(ref_end, read_end + gaps(read_end))
+    back, along = (np.zeros(len(able), np.int64) for _ in range(2))
+    for part in _batches(read_end[found], reach[found], ROW_CELLS):
+        own = found[part]
+        back[own], along[own] = _starts([q[k][: read_end[k]] for k in own], [r[k][ref_end[k] - reach[k] : ref_end[k]] for k in own], top[own], scoring)
+    half = gaps(np.minimum(back, along))
+    # Bands of like width go together: rounded up to the next power of 2.
+    half = np.where(half > 0, 2 ** np.ceil(np.log2(np.maximum(half, 1))).astype(np.int64), 1)
+    for h in np.unique(half[found]):
+        group = found[half[found] == h]
+        for part in _batches(along[group], back[group] * (2 * h + 1), TRACE_BYTES):
+            own = group[part]
+            for k, steps in zip(own, _traces([q[k][read_end[k] - back[k] : read_end[k]] for k in own], [r[k][ref_end[k] - along[k] : ref_end[k]] for k in own], int(h), scoring)):
+                out[able[k]] = _told(int(top[k]), int(read_end[k]), int(ref_end[k]), len(q[k]), steps)
+    return out
+
+
+def _told(top: int, read_end: int, ref_end: int, length: int, steps: np.ndarray) -> Alignment:
+    """The alignment of these steps that ends there."""
+    edge = np.flatnonzero(np.diff(steps)) + 1
+    begin = np.concatenate([[0], edge])
+    size = np.diff(np.append(begin, len(steps)))
+    read_begin = read_end - int((steps != ord("D")).sum())
+    runs = [f"{n}{chr(c)}" for n, c in zip(size.tolist(), steps[begin].tolist())]
+    cigar = (f"{read_begin}S" if read_begin else "") + "".join(runs) + (f"{length - read_end}S" if length > read_end else "")
+    return Alignment(top, ref_end - int((steps != ord("I")).sum()), ref_end - 1, read_begin, read_end - 1, int((steps != ord("=")).sum()), cigar)
+
+
 def align(read: str, ref: str, scoring: Scoring = Scoring()) -> Alignment:
     """Aligns a read with a reference."""
-    q, r = _codes(read), _codes(ref)
-    n, m = len(q), len(r)
-    if not n or not m:
-        return NOTHING
-    gain = scoring.matrix()[:, r]  # of each letter along the reference
-    extend, first = scoring.gap_extend, scoring.gap_open
-    along = extend * np.arange(1, m + 1, dtype=np.int32)
-    best = np.zeros((n + 1, m + 1), np.int32)
-    down = np.full((n + 1, m + 1), -(1 << 28), np.int32)  # ends in a gap of the reference (read bases inserted)
-    side = np.full((n + 1, m + 1), -(1 << 28), np.int32)  # ends in a gap of the read (reference bases deleted)
-    for i in range(1, n + 1):
-        np.maximum(down[i - 1, 1:] - extend, best[i - 1, 1:] - first, out=down[i, 1:])
-        open_row = np.maximum(best[i - 1, :-1] + gain[q[i - 1]], down[i, 1:])
-        np.maximum(open_row, 0, out=open_row)
-        # Opening from a cell that is itself in a side gap never beats extending, so a running maximum over open_row is all.
-        reach = np.maximum.accumulate(open_row + along)
-        side[i, 2:] = reach[:-1] - along[1:] - (first - extend)
-        np.maximum(open_row, side[i, 1:], out=best[i, 1:])
-    top = int(best.max())
-    if top <= 0:
-        return NOTHING
-    ends = np.argwhere(best == top)
-    i, j = ends[np.lexsort((ends[:, 0], ends[:, 1]))[0]]
-    return _traced(q, r, best, down, side, int(i), int(j), scoring)
-
-
-def _traced(q, r, best, down, side, i: int, j: int, scoring: Scoring) -> Alignment:
-    matrix = scoring.matrix()
-    read_end, ref_end, top = i - 1, j - 1, int(best[i, j])
-    steps: list[str] = []
-    state = "M"
-    while True:
-        if state == "M":
-            here = best[i, j]
-            if here == best[i - 1, j - 1] + matrix[q[i - 1], r[j - 1]]:
-                steps.append("=" if q[i - 1] == r[j - 1] else "X")
-                i, j = i - 1, j - 1
-                if best[i, j] == 0:
-                    break
-            else:
-                state = "I" if here == down[i, j] and down[i, j] >= side[i, j] else "D" if here == side[i, j] else "I"
-        elif state == "I":
-            steps.append("I")
-            state = "I" if down[i, j] == down[i - 1, j] - scoring.gap_extend and down[i - 1, j] > -(1 << 27) else "M"
-            i -= 1
-        else:
-            steps.append("D")
-            state = "D" if side[i, j] == side[i, j - 1] - scoring.gap_extend and side[i, j - 1] > -(1 << 27) else "M"
-            j -= 1
-    steps.reverse()
-    runs = [("S", i)] if i else []
-    for s in steps:
-        if runs and runs[-1][0] == s:
-            runs[-1] = (s, runs[-1][1] + 1)
-        else:
-            runs.append((s, 1))
-    if read_end + 1 < len(q):
-        runs.append(("S", len(q) - read_end - 1))
-    wrong = sum(1 for s in steps if s != "=")
-    return Alignment(top, j, ref_end, i, read_end, wrong, "".join(f"{n}{s}" for s, n in runs))
+    return align_pairs([(read, ref)], scoring)[0]
 
 
 @lru_cache(maxsize=8)
@@ -164,18 +324,17 @@ ALIGNMENT = StructType([StructField("score", IntegerType()), StructField("ref_be
 
 
 def alignment_udf(offset: int = 33, scoring: Scoring = Scoring()):
-    """A pandas UDF (read, quality, reference) -> struct of the alignment and its loglik. Equal triples of a batch are aligned once."""
+    """A pandas UDF (read, quality, reference) -> struct of the alignment and its loglik. Equal pairs of a batch are aligned once, all together."""
 
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for read, quality, ref in parts:
-            done: dict = {}
+            keys = [(q or "", r or "") for q, r in zip(read, ref)]
+            distinct = list(dict.fromkeys(keys))
+            done = dict(zip(distinct, align_pairs(distinct, scoring)))
             rows = []
-            for key in zip(read, quality, ref):
-                if key not in done:
-                    a = align(key[0] or "", key[2] or "", scoring)
-                    ll = log_likelihood(a.cigar, key[1] or "", offset) if a.cigar else None
-                    done[key] = (a.score, a.ref_begin, a.ref_end, a.read_begin, a.read_end, a.mismatches, a.cigar, ll)
-                rows.append(done[key])
+            for key, own in zip(keys, quality):
+                a = done[key]
+                rows.append((a.score, a.ref_begin, a.ref_end, a.read_begin, a.read_end, a.mismatches, a.cigar, log_likelihood(a.cigar, own or "", offset) if a.cigar else None))
             yield pd.DataFrame(rows, columns=[f.name for f in ALIGNMENT])
 
     run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}

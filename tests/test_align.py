@@ -4,6 +4,7 @@ import random
 import pytest
 
 from mixtally.operators import align as A
+from tests import plain_align
 
 
 def plain(read, ref):
@@ -71,6 +72,70 @@ def test_score_and_trace(seed):
         assert rescored(a, read, ref) == a.score
 
 
+def edited(rng, letters="ACGT", longest=70):
+    """A reference, and a piece of it with some edits."""
+    ref = "".join(rng.choice(letters) for _ in range(rng.randrange(1, longest)))
+    at = rng.randrange(len(ref))
+    read = list(ref[at : at + rng.randrange(1, 40)])
+    for _ in range(rng.randrange(8)):
+        k, kind = rng.randrange(len(read) + 1), rng.randrange(3)
+        if kind == 0 and k < len(read):
+            read[k] = rng.choice(letters + "N")
+        elif kind == 1:
+            read[k:k] = [rng.choice(letters) for _ in range(rng.randrange(1, 4))]
+        elif k < len(read) and len(read) > 1:
+            del read[k]
+    return "".join(read), ref
+
+
+@pytest.mark.parametrize("letters, longest, scoring", [("ACGT", 70, A.Scoring()), ("AC", 50, A.Scoring()), ("ACGTN", 90, A.Scoring()), ("ACN", 60, A.Scoring(1, 3, 5, 2)), ("AG", 40, A.Scoring(5, 1, 2, 2))])
+def test_equals_the_full_table(letters, longest, scoring):
+    """Begins, ends and cigars of many pairs at once, ties too, are those of the full table of each pair."""
+    rng = random.Random(longest)
+    pairs = [edited(rng, letters, longest) for _ in range(2500)]
+    pairs += [("".join(rng.choice(letters) for _ in range(rng.randrange(25))), "".join(rng.choice(letters) for _ in range(rng.randrange(40)))) for _ in range(500)]
+    assert A.align_pairs(pairs, scoring) == [plain_align.align(*p, scoring) for p in pairs]
+
+
+def test_long_pairs_need_no_table():
+    """5,000 bases against 20,000: the table would take 400 MB in each of three arrays."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    ref = "".join(rng.choice("ACGT") for _ in range(20_000))
+    read = list(ref[7000:12_000])
+    for k in range(0, 5000, 10):
+        read[k + 5] = "ACGT"[("ACGT".index(read[k + 5]) + 1) % 4]
+    del read[2500:2530]
+    tracemalloc.start()
+    a = A.align("".join(read), ref)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (a.ref_begin, a.ref_end, a.cigar.count("D")) == (7000, 11_999, 1) and rescored(a, "".join(read), ref) == a.score
+    assert most < 100e6
+
+
+def test_scores_beyond_16_bits():
+    seq = "".join(random.Random(1).choice("ACGT") for _ in range(9000))
+    assert A.align_pairs([(seq, seq), (seq[:50], seq[20:90])])[0].score == 18_000
+
+
+def test_query_equals_the_full_table(spark):
+    """All rows of local_alignment, by value."""
+    from mixtally import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = catalogue.local_alignment(spark, sf).collect()
+    reads = {r.read_id: r.seq for r in catalogue.reads(spark, sf).collect()}
+    refs = {r.ref_id: r.seq for r in catalogue.references(spark, sf).collect()}
+    pairs = {(r.read_id, r.ref_id) for r in catalogue.pseudoalign_strict(spark, sf).collect()}
+    assert {(r.read_id, r.ref_id) for r in rows} == pairs and len(rows) == len(pairs) > 20
+    for r in rows:
+        a = plain_align.align(reads[r.read_id], refs[r.ref_id])
+        assert (r.score, r.ref_begin, r.ref_end, r.read_begin, r.read_end, r.mismatches, r.cigar) == tuple(vars(a).values())
+        assert r.loglik == pytest.approx(A.log_likelihood(a.cigar, "?" * len(reads[r.read_id])))
+
+
 def test_known_alignments():
     assert A.align("ACGT", "TTACGTTT") == A.Alignment(8, 2, 5, 0, 3, 0, "4=")
     assert A.align("NNACGTACGT", "ACGTACGT").cigar == "2S8="
