@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mixtally.catalogue import K, SHORT_K, SQL_DNA, SQL_LK, SQL_OTU, SQL_REFS, TILE, _em_sql, _t, counts, dna, em_steps, even, likelihoods, query, reads, references, spread, sql_kmers, sql_reads, sql_votes
 from mixtally.functions import sequences as S
-from mixtally.operators import candidates, em, kmer_index, quality, taxonomy
+from mixtally.operators import candidates, em, kmer_index, quality, skip_ahead, taxonomy
 from mixtally.operators.settle import checkpointed, shared_folder
 from mixtally.plans import quantify as plans
 from mixtally.sources import fastx, tables
@@ -129,6 +129,25 @@ def sample_tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_samples(spark, f"{folder}/list").select("sample", "label", "cnt", "taxon", F.lit(bad).alias("n_malformed"))
 
 
+@query(f"WITH {sql_votes(K)} SELECT read_id, ref_id FROM vote WHERE n_ec = total_ec")
+def pseudoalign_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of document tiles by a written index, in buckets, along whose unitigs reads jump: those that every window gives."""
+    path = shared_folder(spark, "index")
+    kmer_index.write(path, references(spark, sf_dir), K)
+    index = kmer_index.load(spark, path)
+    return candidates.strict(candidates.votes(skip_ahead.match(checkpointed(reads(spark, sf_dir)), index["kmer_ec"], K), index["ecs"]))
+
+
+@query(f"""WITH {SQL_REFS}, {sql_kmers('rk', 'refs', 'ref_id', K)}, ec AS (SELECT kmer, string_agg(CAST(ref_id AS VARCHAR), ',' ORDER BY ref_id) AS ec FROM (SELECT DISTINCT kmer, ref_id FROM rk) GROUP BY kmer)
+SELECT ref_id, ec AS members FROM rk JOIN ec ON rk.kmer = ec.kmer GROUP BY ref_id, ec""")
+def reference_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes along each reference, looked up by jumping along unitigs from end to end."""
+    refs = references(spark, sf_dir)
+    kmer_ec, ecs = kmer_index.build(refs, K)
+    index = checkpointed(skip_ahead.segments(refs, kmer_ec, K))
+    return skip_ahead.match(refs, index, K, "ref_id").join(ecs, "ec_id").select("ref_id", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).alias("members"))
+
+
 # Result files
 
 SQL_SHARES = f"{SQL_LK}, n AS (SELECT key, count(*) AS n FROM lk GROUP BY key), share AS (SELECT key, n / (SELECT sum(n) FROM n) AS f FROM n)"

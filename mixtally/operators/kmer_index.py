@@ -6,13 +6,16 @@ equi-join on the k-mer; a k-mer meets a reference once, because repeats within a
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import canonical_kmers, check_k, clip_poly_a, normalise
 from mixtally.operators.settle import checkpointed
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 
 
 def prepare(refs: DataFrame, seq: str = "seq", name: str = "name") -> DataFrame:
@@ -60,15 +63,35 @@ def _index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.select("kmer", "ec_id"), ecs.select("ec_id", sound.alias("members"))
 
 
-def write(path: str, refs: DataFrame, k: int, key: str = "ref_id", seq: str = "seq") -> None:
-    """Writes an index below path: refs, kmer_ec, ecs and meta."""
+def bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Writes a table below path in buckets by a key, sorted in each. The catalogue needn't know it afterwards: see `open_bucketed`."""
+    name = "bucketed_" + uuid.uuid4().hex
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # an external table's files stay
+
+
+def open_bucketed(spark: SparkSession, path: str, columns: str, key: str, buckets: int) -> DataFrame:
+    """A table that `bucketed` wrote, its buckets told to the planner: joins on the key shuffle only the other side."""
+    name = "bucketed_" + hashlib.md5(f"{path} {buckets}".encode()).hexdigest()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def write(path: str, refs: DataFrame, k: int, key: str = "ref_id", seq: str = "seq", buckets: int | None = None) -> None:
+    """Writes an index below path: refs, ecs, meta, and kmer_ec in buckets by k-mer, some 2,000,000 k-mers in each unless told.
+
+    kmer_ec has for each k-mer its class and its place along the graph, for `skip_ahead.match`.
+    """
+    from mixtally.operators import skip_ahead
+
     spark = refs.sparkSession
     check_k(k)
     kmer_ec, ecs = _index(checkpointed(_classes(refs, k, key, seq)))
+    buckets = buckets or max(spark.sparkContext.defaultParallelism, kmer_ec.count() // 2_000_000)
     refs.write.parquet(f"{path}/refs")
-    kmer_ec.write.parquet(f"{path}/kmer_ec")
+    bucketed(skip_ahead.segments(refs, kmer_ec, k, seq), f"{path}/kmer_ec", "kmer", buckets)
     ecs.write.parquet(f"{path}/ecs")
-    spark.createDataFrame([(INDEX_VERSION, k)], "version int, k int").coalesce(1).write.parquet(f"{path}/meta")
+    spark.createDataFrame([(INDEX_VERSION, k, buckets)], "version int, k int, buckets int").coalesce(1).write.parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> dict:
@@ -76,17 +99,18 @@ def load(spark: SparkSession, path: str) -> dict:
     meta = spark.read.parquet(f"{path}/meta").first()
     if meta is None or meta.version != INDEX_VERSION:
         raise ValueError(f"{path} isn't an index of version {INDEX_VERSION}")
-    return {"k": meta.k} | {t: spark.read.parquet(f"{path}/{t}") for t in ("refs", "kmer_ec", "ecs")}
+    kmer_ec = open_bucketed(spark, f"{path}/kmer_ec", "kmer STRING, ec_id BIGINT, segment BIGINT, place BIGINT, forward BOOLEAN", "kmer", meta.buckets)
+    return {"k": meta.k, "kmer_ec": kmer_ec} | {t: spark.read.parquet(f"{path}/{t}") for t in ("refs", "ecs")}
 
 
 def match(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
     """(key, ec_id, hits): the classes that a read's k-mers hit, and by how many of its windows. Every window is looked up."""
-    return sequence_kmers(reads, k, key, seq).join(kmer_ec, "kmer").groupBy(key, "ec_id").agg(F.count("*").alias("hits"))
+    return sequence_kmers(reads, k, key, seq).join(kmer_ec.select("kmer", "ec_id"), "kmer").groupBy(key, "ec_id").agg(F.count("*").alias("hits"))
 
 
 def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
     """(key, pos, kmer, ec_id) of each window that hits, for predicates on the range that hits span."""
-    return sequence_kmers(reads, k, key, seq).join(kmer_ec, "kmer").select(key, "pos", "kmer", "ec_id")
+    return sequence_kmers(reads, k, key, seq).join(kmer_ec.select("kmer", "ec_id"), "kmer").select(key, "pos", "kmer", "ec_id")
 
 
 def sorted_hits(hits: DataFrame, key: str = "read_id") -> DataFrame:

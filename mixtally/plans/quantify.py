@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import check_k
-from mixtally.operators import align, candidates, em, kmer_index, quality, taxonomy
+from mixtally.operators import align, candidates, em, kmer_index, quality, skip_ahead, taxonomy
 from mixtally.sources import fastx, tables
 
 
@@ -30,6 +30,8 @@ class Options:
     min_range: int = 1
     #: Whether mate 2's qualities are turned around with its sequence.
     reverse_quality: bool = True
+    #: Whether reads jump along unitigs instead of looking every window up (see `skip_ahead`).
+    skip_ahead: bool = False
 
     def __post_init__(self):
         if self.phred not in (33, 64):
@@ -74,7 +76,7 @@ def read_candidates(reads: DataFrame, index: dict, options: Options) -> DataFram
     k, kmer_ec, ecs = index["k"], index["kmer_ec"], index["ecs"]
 
     def matched(rows: DataFrame) -> DataFrame:
-        found = kmer_index.match(rows, kmer_ec, k)
+        found = skip_ahead.match(rows, kmer_ec, k) if options.skip_ahead else kmer_index.match(rows, kmer_ec, k)
         if options.min_range <= k:  # any hit spans k bases
             return found
         return found.join(kmer_index.supported_range(kmer_index.hit_positions(rows, kmer_ec, k), k, options.min_range), "read_id", "left_semi")

@@ -124,7 +124,7 @@ def test_query_equals_the_full_table(spark):
     """All rows of local_alignment, by value."""
     from mixtally import catalogue
 
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     rows = catalogue.local_alignment(spark, sf).collect()
     reads = {r.read_id: r.seq for r in catalogue.reads(spark, sf).collect()}
     refs = {r.ref_id: r.seq for r in catalogue.references(spark, sf).collect()}
