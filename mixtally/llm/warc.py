@@ -25,6 +25,8 @@ from .skew import salted_join
 LEAST_REVISIT = 1000
 #: Written where a page has no date of its own.
 DATE = "1970-01-01T00:00:00Z"
+#: What closes a record.
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -97,21 +99,27 @@ def read_archive(spark: SparkSession, path: str, key: str = "page_id") -> DataFr
     """
     rows = salted_join(spark.read.parquet(f"{path}/records"), _stored(spark, path), "digest").withColumn("payload", _found("payload"))
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return rows.select(key, F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"), "header", "payload")
+    return rows.select(key, F.concat("header", body, F.lit(END)).alias("record"), "header", "payload")
 
 
 def read_headers(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
     """What an archive's records say of themselves: key, url, record_type, refers_to, payload_digest, payload_bytes.
 
-    As `parsed`, with the same checks, but payloads are hashed once each, where they are stored, and only their facts are joined.
+    As `parsed`, with the same checks, and every record is rebuilt too: responses from their header and payload, revisits from
+    their header alone. Payloads so travel to the records that hold them; a revisit is checked against its payload's facts.
     """
-    facts = _stored(spark, path).select("digest", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"))
-    rows = salted_join(spark.read.parquet(f"{path}/records"), facts, "digest").withColumn("n", _found("n")).withColumn("sha1", _found("sha1"))
-    # The block is what follows the record's own header: the HTTP header, and a response's payload.
-    head = F.col("header")
-    http = F.octet_length("header") - F.instr(F.decode("header", "ISO-8859-1"), "\r\n\r\n") - 3
-    block = http + F.when(F.col("record_type") == "response", F.col("n")).otherwise(0)
-    return _checked(rows, head, F.col("sha1"), F.col("n"), block, key)
+    records, stored = spark.read.parquet(f"{path}/records"), _stored(spark, path)
+    whole = salted_join(records.where("record_type = 'response'"), stored, "digest").withColumn("payload", _found("payload"))
+    whole = whole.select(key, "header", F.concat("header", "payload", F.lit(END)).alias("record"), F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"))
+    facts = stored.select("digest", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"))
+    again = salted_join(records.where("record_type = 'revisit'"), facts, "digest").withColumn("n", _found("n")).withColumn("sha1", _found("sha1"))
+    again = again.select(key, "header", F.concat("header", F.lit(END)).alias("record"), "n", "sha1")
+    return _checked(whole.unionByName(again), F.col("header"), F.col("sha1"), F.col("n"), _block("record"), key)
+
+
+def _block(record: str) -> Column:
+    """The length of a record's block: what stands between the end of its own header and its closing lines."""
+    return F.octet_length(record) - F.instr(F.decode(record, "ISO-8859-1"), "\r\n\r\n") - 3 - len(END)
 
 
 def _checked(rows: DataFrame, head: Column, sha1: Column, n: Column, block: Column, key: str, *more: str) -> DataFrame:
@@ -134,8 +142,7 @@ def parsed(records: DataFrame, key: str = "page_id") -> DataFrame:
     Fails if a payload's SHA-1 isn't the one in its header, or a record's length the one that it states.
     """
     rows = records.withColumn("__sha", F.sha1("payload"))
-    block = F.octet_length("record") - F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n") - 3 - 4
-    return _checked(rows, F.col("header"), F.col("__sha"), F.octet_length("payload"), block, key, "payload")
+    return _checked(rows, F.col("header"), F.col("__sha"), F.octet_length("payload"), _block("record"), key, "payload")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
