@@ -77,7 +77,8 @@ class Distinct:
 
 
 def answer_names(buckets: int):
-    """Resolves contents to names: the same for equal bytes, different for others, above 0 and told only if two documents share them."""
+    """Resolves contents to names: the same for equal bytes, different for others, above 0, and told only if two documents of one chunk
+    or two chunks have them. Rows of one doc_id in two chunks so give names that no other document has: work, but no other result."""
 
     def resolve(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
         size = np.concatenate([a[0] for _, a in asked]).astype(np.int64)

@@ -101,11 +101,11 @@ def test_symbols_without_a_name_rule_windows_out():
 
 
 def test_names_are_of_contents_not_of_hashes(monkeypatch):
-    """Contents that all fall in one bucket still get names of their own; what one document has gets none."""
+    """Contents that all fall in one bucket still get names of their own; what one document of one chunk has gets none."""
     import xxhash
 
     monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda raw: 7)
-    c = Corpus([(0, "a b c d a"), (1, "b a x"), (2, "c y"), (2, "y"), (None, "")])
+    c = Corpus([(0, "a b c d a"), (1, "b a x"), (2, "c y y"), (None, "")])
     names = {}
     for x in c.chunks:
         for w, n in zip(x.spelling, x.name.tolist()):
