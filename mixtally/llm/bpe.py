@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Each chunk of documents splits its texts into pre-tokens and keeps their positions as one array of word numbers; its distinct
-pre-tokens go, packed, to the bucket that their hash names. A bucket encodes each distinct word once,
+pre-tokens go, packed, to the bucket that their hash names, by way of relays (see `chunks.Relays`), so a chunk sends a row to each
+of FANOUT groups of buckets at most, however many there are. A bucket encodes each distinct word once,
 however many chunks sent it, and returns the ids to each sender, which puts them back by position. Decoding joins the
 ids with the table of token bytes. A frequent word costs an entry for each chunk; texts themselves aren't shuffled,
 only word numbers.
@@ -23,14 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chunks as C
 from .textops import ranges
 
 #: Bytes of text in a chunk: larger chunks send fewer words each, smaller ones take less memory.
 CHUNK_BYTES = 8 << 20
-#: Bucket of the rows that hold word numbers rather than words.
-POSITIONS = -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,14 +96,16 @@ def settled(docs: DataFrame) -> DataFrame:
     return C.checkpointed(docs) if any(x in plan for x in ("Exchange", "Arrow", "Python", "Pandas")) else docs
 
 
-def _split(docs: DataFrame, text: str, pattern: str, buckets: int, positions: bool) -> DataFrame:
-    """Rows (chunk, bucket, blob, rest) of each chunk of documents: its words for each bucket, or the words by position.
+def _split(docs: DataFrame, text: str, pattern: str, relays: C.Relays, positions: bool) -> DataFrame:
+    """Of each chunk of documents its words for each bucket, in bundles (slab, place, blob), or the words by position, (chunk, blob, rest).
 
     Words are numbered as they first appear and sent in that order. With positions, the row holds the number of words of each
     text, the word numbers, the bucket of each word and each bucket's digest, and `rest` the documents' other columns.
     """
     import xxhash
 
+    buckets, place = relays.buckets, relays.place(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         first = TaskContext.get().partitionId() << 32
@@ -122,33 +124,31 @@ def _split(docs: DataFrame, text: str, pattern: str, buckets: int, positions: bo
             order = np.argsort(where, kind="stable")
             bounds = np.searchsorted(where[order], np.arange(buckets + 1))
             dealt = [(b, [words[i] for i in order[bounds[b] : bounds[b + 1]]]) for b in np.flatnonzero(np.diff(bounds)).tolist()]
-            out = []
             if positions:
                 ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
                 # The numbers' bytes lie apart, lowest first: frequent words have low numbers, so the high bytes shrink.
                 planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
                 rest = C.to_blob(rows.drop_columns([text]) if rows.num_columns > 1 else pa.RecordBatch.from_arrays([pa.array([True] * rows.num_rows)], names=["_"]))
-                out.append((first + k, POSITIONS, C.pack(np.array(sizes, np.int64), planes, where.astype(np.uint32), np.concatenate([digest(own) for _, own in dealt] or [np.zeros(0, np.uint64)])), rest))
+                yield C.batch_of([(first + k, C.pack(np.array(sizes, np.int64), planes, where.astype(np.uint32), np.concatenate([digest(own) for _, own in dealt] or [np.zeros(0, np.uint64)])), rest)], ["chunk", "blob", "rest"], [pa.int64(), pa.binary(), pa.binary()])
             else:
-                for b, own in dealt:
-                    out.append((first + k, b, C.pack(np.fromiter(map(len, own), np.uint32, len(own)), np.frombuffer(b"".join(own), np.uint8)), None))
+                yield C.bundles([(first + k, b, C.pack(np.fromiter(map(len, own), np.uint32, len(own)), np.frombuffer(b"".join(own), np.uint8))) for b, own in dealt], place)
             del number, found, words, where, dealt
             C.release()
-            yield C.batch_of(out, ["chunk", "bucket", "blob", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
-    return docs.mapInArrow(run, "chunk long, bucket int, blob binary, rest binary")
+    return docs.mapInArrow(run, "chunk long, blob binary, rest binary" if positions else C.PARTS)
 
 
-def _encoded(parts: DataFrame, ranks, pattern: str) -> DataFrame:
-    """Rows (chunk, bucket, blob, rest) with the ids of the words that each chunk sent; each distinct word is encoded once."""
+def _encoded(parts: DataFrame, ranks, pattern: str, relays: C.Relays) -> DataFrame:
+    """Bundles (chunk, blob) with the ids of the words that each chunk sent; each distinct word is encoded once."""
+    back = relays.back(relays.levels - 1)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value, pattern)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             out = []
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-                sizes, raw = C.unpack(blob.as_py())
+            for chunk, bucket, blob in C.opened(batch.column("blob").to_pylist()):
+                sizes, raw = C.unpack(blob)
                 raw, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64)
                 words = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
                 ids = []
@@ -158,11 +158,11 @@ def _encoded(parts: DataFrame, ranks, pattern: str) -> DataFrame:
                         got = known[word] = encode(word)
                     ids.append(got)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append((chunk, key[0].as_py(), C.pack(np.array([key[0].as_py()]), counts, np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), digest(words)), None))
-            yield C.batch_of(out, ["chunk", "bucket", "blob", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+                out.append((chunk, bucket, C.pack(np.array([bucket]), counts, np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), digest(words))))
+            yield C.bundles(out, back)
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return parts.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, blob binary, rest binary")
+    return relays.returned(parts.groupBy("place").applyInArrow(run, C.PARTS))
 
 
 class Encoded:
@@ -200,21 +200,23 @@ def encoded(docs: DataFrame, finish: Callable[[pa.Table, Encoded], pa.Table], sc
     C.small_batches(spark)
     docs = settled(docs)
     ranks = spark.sparkContext.broadcast(ranks)  # a vocabulary, of fixed size
-    buckets = max(12, docs.rdd.getNumPartitions())
-    words, places = (_split(docs, text, pattern, buckets, positions) for positions in (False, True))
+    parts = docs.rdd.getNumPartitions()
+    relays = C.Relays(parts, max(12, parts))
+    words, places = (_split(docs, text, pattern, relays, positions) for positions in (False, True))
 
     def run(table: pa.Table) -> pa.Table:
         replies, whole, rest = [], None, None
-        for bucket, blob, other in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), table.column("rest").to_pylist()):
-            if bucket == POSITIONS:
+        for blob, other in zip(table.column("blob").to_pylist(), table.column("rest").to_pylist()):
+            if other is not None:
                 whole, rest = C.unpack(blob), C.from_blob(other)
             else:
-                replies.append(C.unpack(blob))
+                replies += [C.unpack(reply) for _, _, reply in C.opened([blob])]
         out = finish(rest, Encoded(*whole, replies))
         C.release()
         return out
 
-    return places.unionByName(_encoded(words, ranks, pattern)).groupBy("chunk").applyInArrow(run, schema)
+    replies = _encoded(relays.dealt(words), ranks, pattern, relays).withColumn("rest", F.lit(None).cast("binary"))
+    return places.unionByName(replies).groupBy("chunk").applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = False, decoded: str | None = None) -> DataFrame:

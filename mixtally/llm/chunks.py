@@ -188,7 +188,7 @@ def batch_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _bundles(items: Iterable[tuple[int, int, bytes]], place: Callable[[int, int], tuple[int, int]]) -> pa.RecordBatch:
+def bundles(items: Iterable[tuple[int, int, bytes]], place: Callable[[int, int], tuple[int, int]]) -> pa.RecordBatch:
     """Rows of an exchange: of (chunk, bucket, blob), those for each (slab, place) together."""
     rows: dict[tuple[int, int], list] = {}
     for item in items:
@@ -210,79 +210,93 @@ def replies_in(blobs: Iterable[bytes]) -> list[bytes]:
     return out
 
 
-class Exchange:
-    """An exchange of keys between chunks, by `buckets` buckets: ask, answer, and finish with the replies.
+class Relays:
+    """The way of rows between `count` chunks and `buckets` buckets.
 
     Bundles of (chunk, bucket, blob) travel in rows (slab, place, blob). Behind level l the slab holds the chunks whose number
     (a hash, modulo their count) has the same quotient by FANOUT ** l, and the place the buckets with the same quotient by
     FANOUT ** (levels - l).
     """
 
-    def __init__(self, chunks: DataFrame, buckets: int, fanout: int | None = None):
-        self.chunks, self.buckets, self.fanout = chunks.select("chunk", "blob"), buckets, fanout or FANOUT
-        self.count = max(1, chunks.count())
+    def __init__(self, count: int, buckets: int, fanout: int | None = None):
+        self.count, self.buckets, self.fanout = max(1, count), buckets, fanout or FANOUT
         self.levels = 1
         while self.fanout**self.levels < buckets:
             self.levels += 1
 
-    def _place(self, level: int) -> Callable[[int, int], tuple[int, int]]:
+    def place(self, level: int) -> Callable[[int, int], tuple[int, int]]:
         """Where a chunk's rows for a bucket are behind a level, 1 to `levels`; behind the last all slabs are one."""
         wide, narrow, count = self.fanout**level, self.fanout ** (self.levels - level), self.count
         if level == self.levels:
             return lambda chunk, bucket: (0, bucket)
         return lambda chunk, bucket: ((chunk * 0x9E3779B97F4A7C15 >> 20) % count // wide, bucket // narrow)
 
-    def _relay(self, rows: DataFrame, place: Callable[[int, int], tuple[int, int]]) -> DataFrame:
+    def back(self, level: int) -> Callable[[int, int], tuple[int, int]]:
+        """Where a bucket's replies to a chunk are, on the way back, before that level; before the first, with their chunk."""
+        return self.place(level) if level else lambda chunk, bucket: (chunk, 0)
+
+    def relay(self, rows: DataFrame, place: Callable[[int, int], tuple[int, int]]) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([_bundles(opened(table.column("blob").to_pylist()), place)])
+            return pa.Table.from_batches([bundles(opened(table.column("blob").to_pylist()), place)])
 
         return rows.groupBy("slab", "place").applyInArrow(run, PARTS)
 
-    def _dealt(self, first: DataFrame) -> DataFrame:
-        """The chunks' rows, sent on until each bucket has its own."""
+    def dealt(self, first: DataFrame) -> DataFrame:
+        """Rows that chunks sent to `place(1)`, sent on until each bucket has its own."""
         for level in range(2, self.levels + 1):
-            first = self._relay(first, self._place(level))
+            first = self.relay(first, self.place(level))
         return first
 
+    def returned(self, last: DataFrame) -> DataFrame:
+        """(chunk, blob) of rows that buckets sent to `back(levels - 1)`, sent on until each chunk has its own."""
+        for level in range(self.levels - 2, -1, -1):
+            last = self.relay(last, self.back(level))
+        return last.selectExpr("slab AS chunk", "blob")
+
+
+class Exchange(Relays):
+    """An exchange of keys between checkpointed chunks: ask, answer, and finish with the replies."""
+
+    def __init__(self, chunks: DataFrame, buckets: int, fanout: int | None = None):
+        super().__init__(chunks.count(), buckets, fanout)
+        self.chunks = chunks.select("chunk", "blob")
+
     def ask(self, questions: Callable[[int, pa.Table], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
         """Rows of what each chunk sends, from its documents alone, by bucket."""
-        place = self._place(1)
+        place = self.place(1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-                    yield _bundles(questions(chunk, from_blob(blob.as_py())), place)
+                    yield bundles(questions(chunk, from_blob(blob.as_py())), place)
                     release()
 
-        return self._dealt(self.chunks.mapInArrow(run, PARTS))
+        return self.dealt(self.chunks.mapInArrow(run, PARTS))
 
     def ask_again(self, replies: DataFrame, questions: Callable[[int, pa.Table, list[bytes]], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
         """Rows of what each chunk sends, from its documents and earlier replies, by bucket."""
-        place = self._place(1)
+        place = self.place(1)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             own = replies_in(right.column("blob").to_pylist())
             rows = [r for chunk, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist()) for r in questions(chunk, from_blob(blob), own)]
             release()
-            return pa.Table.from_batches([_bundles(rows, place)])
+            return pa.Table.from_batches([bundles(rows, place)])
 
-        return self._dealt(self.chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, PARTS))
+        return self.dealt(self.chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, PARTS))
 
     def answer(self, parts: DataFrame, resolve: Callable[[int, list[tuple[int, list[np.ndarray]]]], Iterable[tuple[int, bytes]]]) -> DataFrame:
         """Replies (chunk, blob) of the buckets, checkpointed. resolve gets a bucket and its chunks' arrays in order of the chunk numbers."""
-        back = self._place(self.levels - 1) if self.levels > 1 else lambda chunk, bucket: (chunk, 0)
+        back = self.back(self.levels - 1)
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
             asked = sorted(opened(table.column("blob").to_pylist()), key=lambda x: x[0])
             bucket = key[0].as_py()
             rows = [(chunk, bucket, blob) for chunk, blob in resolve(bucket, [(chunk, unpack(blob)) for chunk, _, blob in asked])]
             release()
-            return pa.Table.from_batches([_bundles(rows, back)])
+            return pa.Table.from_batches([bundles(rows, back)])
 
-        rows = parts.groupBy("place").applyInArrow(run, PARTS)
-        for level in range(self.levels - 2, -1, -1):
-            rows = self._relay(rows, self._place(level) if level else lambda chunk, bucket: (chunk, 0))
-        return checkpointed(rows.selectExpr("slab AS chunk", "blob"))
+        return checkpointed(self.returned(parts.groupBy("place").applyInArrow(run, PARTS)))
 
     def finish(self, replies: DataFrame, last: Callable[[pa.Table, list[bytes]], pa.Table | None], schema: str) -> DataFrame:
         """The result rows of each chunk, from its documents and all replies."""

@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
+from mixtally.llm import bpe, substring_bytes, substring_words
 from mixtally.llm import chunks as C
-from mixtally.llm import substring_bytes, substring_words
 from tests.llm import plain
 
 
@@ -61,7 +61,7 @@ def test_rows_grow_with_the_chunks(spark, monkeypatch):
         rng = np.random.default_rng(1)
         keys = rng.integers(0, 1 << 63, 400).astype(np.uint64)
         sent = []
-        monkeypatch.setattr(C.Exchange, "_relay", lambda self, rows, place, real=C.Exchange._relay: sent.append(rows.count()) or real(self, rows, place))
+        monkeypatch.setattr(C.Relays, "relay", lambda self, rows, place, real=C.Relays.relay: sent.append(rows.count()) or real(self, rows, place))
         last = exchange.ask(lambda chunk, table: C.dealt(chunk, keys, count))
         monkeypatch.undo()
         sent.append(last.count())
@@ -70,6 +70,26 @@ def test_rows_grow_with_the_chunks(spark, monkeypatch):
     assert rows[1][1] / rows[0][1] < 1.6 * rows[1][0] / rows[0][0]
 
 
+def test_encoding_by_relays(spark, monkeypatch):
+    """Byte-level BPE over several levels of relays: the same ids, and rows in proportion to the chunks."""
+    import public_tokenizers
+    import regex
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    monkeypatch.setattr(C, "FANOUT", 3)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 400)
+    per_chunk, real = [], C.Relays.relay
+    for n in (14, 56):
+        docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(80))) for i in range(n)], "doc_id long, text string").repartition(n)
+        sent = []
+        monkeypatch.setattr(C.Relays, "relay", lambda self, rows, place, sent=sent: sent.append(rows.count()) or real(self, rows, place))
+        got = {r.doc_id: r.ids for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=True).collect()}
+        encode = bpe.encoder(ranks, public_tokenizers.PATTERN)
+        assert got == {r.doc_id: [t for w in regex.findall(public_tokenizers.PATTERN, r.text) for t in encode(w.encode())] for r in docs.collect()}
+        per_chunk.append(max(sent) / n)
+    assert len(sent) >= 4 and per_chunk[1] < 1.6 * per_chunk[0]
+
+
 def test_chunks_stay_where_they_are(spark, monkeypatch):
     chunks = packed(spark, 10, monkeypatch)
     exchange = C.Exchange(chunks, 12)
