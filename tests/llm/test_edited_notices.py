@@ -48,25 +48,111 @@ def test_long_insertions_and_whole_texts(spark):
     assert all(got[i, n] == 1 for i, n in enumerate(("MIT", "ISC", "BSD-2-Clause", "Zlib")))
 
 
-def test_alignment_against_every_cell():
-    """Banded alignment, where the band holds all cells, scores as a plain table does."""
-    import random
+def plain_align(template, text):
+    """(matched, first, last) of the best alignment that ends at each place, cell by cell."""
+    row = [(0, 0, -1, 0)] * (len(text) + 1)
+    for word in template:
+        new = [(row[0][0] - 1, *row[0][1:])]
+        for j, w in enumerate(text):
+            score, matched, first, last = row[j]
+            across = (score + 1, matched + 1, first if matched else j, j + 1) if w == word else (score - 1, matched, first, last)
+            skip = (row[j + 1][0] - 1, *row[j + 1][1:])
+            best = across if across[0] >= skip[0] else skip
+            new.append(best if best[0] >= new[j][0] - 1 else (new[j][0] - 1, *new[j][1:]))
+        row = new
+    return [r[1:] for r in row]
+
+
+def plain_scan(text, templates, least=0.8):
+    """Occurrences by aligning each template with the whole text, wherever it may stand."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    words, out = cut(text), []
+    for name, template in templates.items():
+        own, kept = cut(template), []
+        for matched, first, last in sorted(set(plain_align(own, words)), key=lambda x: (-x[0], x[1], x[2])):
+            if own and matched / len(own) >= least and all(last <= x or first >= y for _, x, y in kept):
+                kept.append((matched, first, last))
+        out += [(name, m / len(own), " ".join(words[x:y])) for m, x, y in kept]
+    return sorted(out)
+
 
+def test_alignment_against_every_cell():
     import numpy as np
 
     rng = random.Random(2)
-    for _ in range(60):
-        template = np.array([rng.randrange(6) for _ in range(rng.randrange(1, 14))])
-        text = np.array([rng.randrange(6) for _ in range(rng.randrange(1, 25))])
-        n, m = len(template), len(text)
-        best = [[0] * (m + 1)]
-        for i in range(n):
-            row = [best[i][0] - 1]
-            for j in range(m):
-                row.append(max(best[i][j] + (1 if template[i] == text[j] else -1), best[i][j + 1] - 1, row[j] - 1))
-            best.append(row)
-        matched, first, last = license_scan.align(template, text, 0, n + m + 2)
-        score = max(best[n])
-        # What was traced has as many matches as its score needs: the rest of the template and of its span count against it.
-        assert matched <= min(n, m) and (matched == 0 or 0 <= first < last <= m)
-        assert matched >= score and (score <= 0 or matched > 0)
+    for _ in range(200):
+        template = [rng.randrange(6) for _ in range(rng.randrange(1, 14))]
+        text = [rng.randrange(6) for _ in range(rng.randrange(25))]
+        got = license_scan.align(np.array(template), np.array(text, np.int64))
+        assert list(zip(*(x.tolist() for x in got))) == plain_align(template, text)
+
+
+def test_scan_against_every_place(spark):
+    """Names, coverage and spans of a corpus of planted notices with edits are those of aligning everything everywhere."""
+    rng = random.Random(12)
+    short = {n: t for n, t in T.items() if len(t.split()) < 80}
+    templates = short | {"one": "proprietary", "two": "no reuse", "none": "--"}
+    filler = [f"w{i}" for i in range(40)] + ["the", "License", "of", "software", "under", "Licensed", "rights"]
+    texts, planted = [], 0
+    for i in range(120):
+        words = [rng.choice(filler) for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(3)):
+            name = rng.choice(list(short))
+            own = short[name].split()
+            for _ in range(rng.randrange(1 + len(own) // 8)):
+                k = rng.randrange(len(own))
+                own[k : k + rng.randrange(2)] = [rng.choice(filler)] * rng.randrange(2)
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own
+            planted += 1
+        texts.append(" ".join(words))
+    texts += ["", None, "Proprietary! No reuse.", "All rights " * 40, "no no reuse reuse", T["MIT line"] + T["MIT line"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in license_scan.scan_licenses(docs, templates=templates).collect():
+        assert texts[r.doc_id][r.begin : r.end] == r.matched
+        got.setdefault(r.doc_id, []).append((r.template, r.coverage, r.matched))
+    want = {i: plain_scan(t or "", templates) for i, t in enumerate(texts)}
+    cut = lambda found: sorted((n, c, plain_cut(m)) for n, c, m in found)
+    assert {i: cut(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert sum(map(len, got.values())) > 0.8 * planted
+
+
+def plain_cut(text):
+    import re
+
+    return " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+
+
+@pytest.mark.parametrize("part", ["All rights reserved. ", "to deal in the Software without ", "the ", "Released under the MIT License. "])
+def test_time_and_memory_are_linear(part):
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    index = license_scan.Index(T)
+
+    def cost(n):
+        raw = np.frombuffer((part * (n // len(part))).encode(), np.uint8)
+        words = license_scan.Words(raw, np.array([0, len(raw)]), license_scan.ALNUM, lower=True)
+        began = time.perf_counter()
+        license_scan.occurrences(index, words, words.hashes())
+        seconds = time.perf_counter() - began
+        tracemalloc.start()
+        license_scan.occurrences(index, words, words.hashes())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return seconds, most
+
+    (s1, m1), (s4, m4) = cost(250_000), cost(1_000_000)
+    assert s4 < 4 and m4 < 300e6 and s4 < 0.2 + 8 * s1 and m4 < 5 * m1 + 1e6
+
+
+def test_templates_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(T.values())], "doc_id int, text string")
+    want = sorted(license_scan.scan_licenses(docs).collect())
+    monkeypatch.setattr(license_scan, "BLOCK_WORDS", 60)
+    assert sorted(license_scan.scan_licenses(docs).collect()) == want

@@ -135,10 +135,14 @@ def test_alignment_of_words():
     import numpy as np
 
     a = np.arange(20)
-    assert license_scan.align(a, np.concatenate([[99, 98], a, [97]]), 2) == (20, 2, 22)
-    assert license_scan.align(a, np.concatenate([a[:7], [50, 51], a[7:]]), 0) == (20, 0, 22)
-    assert license_scan.align(a, np.delete(a, [5, 6]), 0)[0] == 18
-    assert license_scan.align(a, a[:3], 0)[0] == 3
+
+    def best(text):
+        return max(zip(*(x.tolist() for x in license_scan.align(a, text))))
+
+    assert best(np.concatenate([[99, 98], a, [97]])) == (20, 2, 22)
+    assert best(np.concatenate([a[:7], [50, 51], a[7:]])) == (20, 0, 22)
+    assert best(np.delete(a, [5, 6]))[0] == 18
+    assert best(a[:3])[0] == 3
 
 
 def test_quality(spark):
