@@ -5,7 +5,7 @@ coordinate counts one group. The sum of coordinate minima bounds the intersectio
 different length are folded to the shorter), and an R-tree node's greatest coordinates bound it for all points below. One
 R-tree over a corpus can't be dealt out, as in many dimensions every leaf meets almost every other; so the root's fan-out is
 by token. Two sets that reach the threshold share one of their first n - ceil(0.8 n) + 1 tokens in any global order, so
-documents meet in the pages of those tokens, and each larger page has an R-tree. The order goes from rare to frequent tokens,
+documents meet in the pages of those tokens, and each page has an R-tree, which alone says who is paired. The order goes from rare to frequent tokens,
 by the exact number of documents that have each: chunks of documents exchange their distinct tokens (48 bits of the hash,
 sorted, as differences) and get back a frequency class of each. A token of one document opens no page, so only documents
 that share their rarest tokens send points at all, and a frequent passage is met only by documents that consist of such.
@@ -43,7 +43,7 @@ GROUPS = 32
 #: Chunks for each bucket of the exchange of tokens, and buckets of that for each bucket of pages, which are far fewer.
 CHUNKS_A_BUCKET, PAGE_BUCKETS_PART = 2, 4
 #: Nodes in a leaf of an R-tree.
-LEAF = 16
+LEAF = 4
 #: Most rows of a table that is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -308,16 +308,14 @@ class RTree:
 
 def stars(pages: Pages, page: np.ndarray, percent: int) -> np.ndarray:
     """Pairs that cover the page: each node that is in reach of an earlier leader is paired with the first such leader."""
-    if len(page) == 2:
-        return page[None, :] if pages.bound(page[:1], int(page[1]), percent)[0] >= 0 else page[None, :][:0]
-    tree = RTree(pages, page, percent) if len(page) > 4 * LEAF else None
+    tree = RTree(pages, page, percent)
     out, left = [], page
     free = np.zeros(len(pages.node), bool)
     free[page] = True
     while len(left) > 1:
         leader = int(left[0])
         free[leader] = False
-        reach = tree.near(leader) if tree else left[1:][pages.bound(left[1:], leader, percent) >= 0]
+        reach = tree.near(leader)
         reach = reach[free[reach]]
         free[reach] = False
         out.append(np.stack([np.full(len(reach), leader), reach], axis=1))
@@ -331,11 +329,11 @@ def crossing(pages: Pages, page: np.ndarray, label: np.ndarray, percent: int, be
     if len(names) < 2:
         return np.zeros((0, 2), np.int64)
     outside = page[inverse != np.argmax(count)]
-    tree = RTree(pages, page, percent) if len(page) > 4 * LEAF else None
+    tree = RTree(pages, page, percent)
     tested = {(a, b) for a, b in np.sort(stars(pages, page, percent), axis=1).tolist()} if best else ()
     out = []
     for x in outside.tolist():
-        reach = tree.near(x) if tree else page[pages.bound(page, x, percent) >= 0]
+        reach = tree.near(x)
         reach = reach[label[reach] != label[x]]
         if best and len(reach):
             score = pages.bound(reach, x, percent)
