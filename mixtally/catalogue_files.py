@@ -13,7 +13,7 @@ from mixtally.functions import sequences as S
 from mixtally.operators import candidates, em, kmer_index, quality, skip_ahead, taxonomy
 from mixtally.operators.settle import checkpointed, shared_folder
 from mixtally.plans import quantify as plans
-from mixtally.sources import fastx, tables
+from mixtally.sources import bgzf, fastx, tables
 
 # Sequence files
 
@@ -54,11 +54,12 @@ SQL_QUALITIES = "md5(left(repeat(array_to_string([chr(CAST(33 + i AS INT)) for i
 
 @query(f"SELECT 'doc' || doc_id AS name, md5(d) AS seq_md5, {SQL_QUALITIES} AS qual_md5, 1 AS same_id FROM {SQL_READ_DOCS} WHERE length(d) > 0")
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as FASTQ of several lines a record, half in folders of plain and half of gzip files, read again; how many reads share an id."""
+    """Documents as FASTQ of several lines a record, a third each in folders of plain, gzip and blocked gzip files, read again; how many reads share an id."""
     docs, folder = _sequences(spark, sf_dir), shared_folder(spark, "fastq")
-    plain = _write_text(_fastq(docs.where("doc_id % 2 = 0")), f"{folder}/plain")
-    packed = _write_text(_fastq(docs.where("doc_id % 2 <> 0")), f"{folder}/packed", gzip=True)
-    rows = checkpointed(fastx.read_reads(spark, [plain, packed]).select("read_id", "name", F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5")))
+    plain = _write_text(_fastq(docs.where("doc_id % 3 = 0")), f"{folder}/plain")
+    packed = _write_text(_fastq(docs.where("doc_id % 3 = 1")), f"{folder}/packed", gzip=True)
+    bgzf.write_lines(_fastq(docs.where("doc_id % 3 = 2")), f"{folder}/blocked")
+    rows = checkpointed(fastx.read_reads(spark, [plain, packed, f"{folder}/blocked"]).select("read_id", "name", F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5")))
     return rows.join(rows.groupBy("read_id").agg(F.count("*").cast("int").alias("same_id")), "read_id").drop("read_id")
 
 
@@ -83,6 +84,18 @@ def fai_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_fai(spark, path)
 
 
+@query(f"SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS ref_id, 'item' || item_id AS name, {SQL_DNA} AS seq FROM benchmark")
+def sequence_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references, read from a FASTA file by the byte ranges that its index tells."""
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), dna("text").alias("seq"))
+    folder = shared_folder(spark, "fetch")
+    # One file, as an index is of one: its sequences in order of their ids.
+    items.orderBy("ref_id").coalesce(1).select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq")).write.text(f"{folder}/fasta")
+    tables.write_tsv(tables.make_fai(items).orderBy("offset"), f"{folder}/x.fai", header=False)
+    fai = tables.read_fai(spark, f"{folder}/x.fai")
+    return tables.fetch(fai, fastx.listed(spark, [f"{folder}/fasta"])[0][0], fai)
+
+
 @query(f"WITH {SQL_REFS}, {sql_kmers('rk', 'refs', 'ref_id', K)} SELECT kmer, string_agg(CAST(ref_id AS VARCHAR), ',' ORDER BY ref_id) AS members FROM (SELECT DISTINCT kmer, ref_id FROM rk) GROUP BY kmer")
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-mer index, written and loaded."""

@@ -3,7 +3,7 @@
 FASTA is read through Spark's text source with `>` at the beginning of a line as the record separator, so plain files split.
 FASTQ has no safe separator (a quality line may begin with @), so each split finds its first whole record by its form and that
 of those behind it, and the lines cut off at both ends of a split, which are one record at most, meet again in a small
-group-by, which fails if they don't make whole records. Compressed files are one split each, as ever.
+group-by, which fails if they don't make whole records. Compressed files are one split each, but for blocked gzip (see `bgzf`).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixtally.operators.ordering import numbered
+from mixtally.sources import bgzf
 
 
 def _files(paths: str | list[str]) -> list[str]:
@@ -210,14 +211,29 @@ def _mended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=_FRAME)
 
 
+#: How names of blocked gzip files end.
+BLOCKED = (".bgz", ".bgzf")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block): lines of files, and the split or range of bytes that they stand in."""
+    files = listed(spark, [path])[0]
+    blocked = [f for f in files if f.endswith(BLOCKED)]
+    if not blocked:
+        return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    out = bgzf.read_lines(spark, blocked)
+    plain = [f for f in files if not f.endswith(BLOCKED)]
+    return out.unionByName(spark.read.text(plain).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))) if plain else out
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, name, seq, qual): records of FASTQ files, numbered from 0 in each file.
 
+    Files named .bgz or .bgzf are blocked gzip, which is read in ranges like plain files; other compressed files are a split each.
     Sequence and qualities may take several lines. A name ends at the first blank. Unequal lengths of sequence and qualities are
     an error, as is a record cut off. Records without bases stay, blank lines between records don't count.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    rows = raw.mapInPandas(_framed, _FRAMED)
+    rows = _lines(spark, path).mapInPandas(_framed, _FRAMED)
     ends = rows.where("head IS NOT NULL OR tail IS NOT NULL").groupBy("file").applyInPandas(lambda pdf: next(_mended(iter([pdf]))), _FRAMED)
     whole = rows.where("name IS NOT NULL").unionByName(ends)
     counts = whole.groupBy("file", "block").agg(F.count("*").alias("n"))
@@ -229,7 +245,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", (F.col("before") + place).alias("ordinal"), "name", "seq", "qual")
 
 
-def _listed(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+def listed(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     """The files of each entry, a file, folder or glob, in order of their paths, empty ones too: the listing that Spark's driver keeps for any scan.
 
     An empty authority is left out, as files' metadata leave it out.
@@ -256,7 +272,7 @@ def read_reads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     place in their file.
     """
     paths = _files(paths)
-    return _numbered_reads(spark, paths, _listed(spark, paths))
+    return _numbered_reads(spark, paths, listed(spark, paths))
 
 
 def read_pairs(spark: SparkSession, forward: str | list[str], reverse: str | list[str]) -> DataFrame:
@@ -264,7 +280,7 @@ def read_pairs(spark: SparkSession, forward: str | list[str], reverse: str | lis
 
     Files of a folder or glob are mates in order of their paths; entries of unequal numbers of files are an error.
     """
-    sides = [(paths, _listed(spark, paths)) for paths in (_files(forward), _files(reverse))]
+    sides = [(paths, listed(spark, paths)) for paths in (_files(forward), _files(reverse))]
     counts = [[len(entry) for entry in files] for _, files in sides]
     if counts[0] != counts[1]:
         raise ValueError(f"entries of {counts[0]} forward and {counts[1]} reverse files")

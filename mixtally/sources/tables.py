@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import significant
 from mixtally.operators import diversity, taxonomy
 from mixtally.operators.ordering import numbered, running_total
+from mixtally.sources import bgzf
 
 FAI = "name string, length long, offset long, linebases int, linewidth int"
 
@@ -32,6 +36,37 @@ def make_fai(refs: DataFrame) -> DataFrame:
     return rows.select("name", F.col("n").cast("long").alias("length"), (F.col("before") + F.length("name") + 2).alias("offset"), F.col("n").alias("linebases"), (F.col("n") + 1).alias("linewidth"))
 
 
+def fetch(fai: DataFrame, fasta: str, wanted: DataFrame, counted=None) -> DataFrame:
+    """(ref_id, name, seq): the sequences of the references in `wanted` (ref_id), read from a FASTA file by its index's offsets.
+
+    fai: as `read_fai` gives it. A task reads the byte ranges of its references, a contiguous part of the file's, and nothing else;
+    sequences may take several lines. The file is opened through Arrow's file systems (local, S3, GCS, HDFS by URI). An index that
+    points beyond the file is an error; a reference that the index doesn't have is left out; one asked for twice is given once.
+    counted: an accumulator that gets the number of bytes read.
+    """
+    rows = fai.join(wanted.select("ref_id").distinct(), "ref_id").select("ref_id", "name", "length", "offset", "linebases", "linewidth")
+    rows = rows.repartitionByRange("offset").sortWithinPartitions("offset")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = bgzf.opened(fasta)
+        file = None
+        for batch in batches:
+            file = file or system.open_input_file(path)
+            out = []
+            for length, offset, bases, width in zip(*(batch.column(c).to_pylist() for c in ("length", "offset", "linebases", "linewidth"))):
+                size = (length - 1) // bases * width + (length - 1) % bases + 1 if length else 0
+                raw = file.read_at(size, offset)
+                if counted is not None:
+                    counted.add(size)
+                seq = raw.translate(None, b"\r\n")
+                if len(seq) != length:
+                    raise ValueError(f"{fasta} isn't the file of its index: {len(seq)} bases at byte {offset}, not {length}")
+                out.append(seq.decode())
+            yield pa.RecordBatch.from_arrays([batch.column("ref_id"), batch.column("name"), pa.array(out, pa.string())], names=["ref_id", "name", "seq"])
+
+    return rows.mapInArrow(read, "ref_id int, name string, seq string")
+
+
 def missing_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
     """Those of the paths (globs too) at which there is no file."""
     conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
