@@ -34,8 +34,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--like_thresh", type=float, default=-2.0)
     p.add_argument("--min_range", type=int, default=1, help="least bases that a read's hits must span")
     p.add_argument("-o", "--out", default="mixtally")
-    for name, text in (("collapse", "frequencies of taxa"), ("fail", "write failed reads"), ("no_harp_filter", "no likelihood filter"), ("keep_mate2_quality", "leave mate 2's qualities in the order of the file"), ("strict", "no lenient candidates"), ("max_like_out", "write best likelihoods"), ("readinfo", "write posteriors of reads")):
+    for name, text in (("collapse", "frequencies of taxa"), ("fail", "write failed reads"), ("no_harp_filter", "no likelihood filter"), ("keep_mate2_quality", "leave mate 2's qualities in the order of the file"), ("strict", "no lenient candidates"), ("max_like_out", "write best likelihoods"), ("readinfo", "write posteriors of reads"), ("skip_ahead", "jump along unitigs instead of looking every window of a read up"), ("windows", "align single reads with windows of references, equal ones once")):
         p.add_argument(f"--{name}", action="store_true", help=text)
+    p.add_argument("--state", help="a folder for the EM's states, from which a killed run goes on")
     p.add_argument("--version", action="version", version=VERSION)
     return p
 
@@ -88,7 +89,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         taxa = tables.read_taxonomy(spark, args.tax)
         form = tables.taxonomy_format(taxa)
         labelled = taxonomy.assign_labels(taxa, index["refs"])
-    options = plans.Options(phred=args.phred, paired=args.paired, collapse=args.collapse, lenient=not args.strict, likelihood_filter=not args.no_harp_filter, threshold=args.like_thresh, min_freq=None if args.min_freq < 0 else args.min_freq, max_evaluations=args.max_em_it, tolerance=args.em_tolerance, min_range=args.min_range, reverse_quality=not args.keep_mate2_quality)
+    options = plans.Options(phred=args.phred, paired=args.paired, collapse=args.collapse, lenient=not args.strict, likelihood_filter=not args.no_harp_filter, threshold=args.like_thresh, min_freq=None if args.min_freq < 0 else args.min_freq, max_evaluations=args.max_em_it, tolerance=args.em_tolerance, min_range=args.min_range, reverse_quality=not args.keep_mate2_quality, skip_ahead=args.skip_ahead, windows=args.windows, state=args.state)
     reads = fastx.read_pairs(spark, args.forward, args.reverse) if args.paired else fastx.read_reads(spark, args.forward)
     result = plans.quantify(reads, index, labelled, options)
     plans.write_results(result, args.out, index, labelled, options, args.fail, args.max_like_out, args.readinfo, form)

@@ -10,7 +10,9 @@ each read's best, or the floor if that is more, before they are exponentiated: n
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -184,19 +186,25 @@ class FixedPoint:
         return out, full
 
 
-def squarem(step: Callable[[dict], tuple[dict, float]], start: dict, min_freq: float, controls: Controls = Controls()) -> Result:
+def squarem(step: Callable[[dict], tuple[dict, float]], start: dict, min_freq: float, controls: Controls = Controls(), saved: dict | None = None, save: Callable[[dict], None] | None = None) -> Result:
     """Fixed point of `step` (frequencies -> frequencies, log-likelihood), accelerated by squared extrapolation.
 
     A cycle makes two evaluations, p1 and p2, extrapolates along them and, unless the extrapolation is about the second
     evaluation itself (alpha near 1), steadies it by one more; if that moves it too far, the cycle ends at p2. Whenever the length is
     held back by its upper bound, the bound grows by step_factor. An evaluation that moves nothing ends the search if it was made at
     the full cutoff; otherwise the schedule jumps there.
+
+    After each cycle `save` gets what the next one begins with, and a search that gets it as `saved` goes on from there, as if it
+    had never stopped.
     """
     schedule = CutoffSchedule(min_freq, controls.ramp)
     f = FixedPoint(step, list(start), schedule)
     p = np.array([float(v) for v in start.values()])
     bounds = (controls.step_min, controls.step_max)
     converged = False
+    if saved:
+        p, bounds = np.array(saved["p"]), tuple(saved["bounds"])
+        f.count, f.trace, schedule.done, schedule.jumping = saved["count"], list(saved["trace"]), saved["done"], saved["jumping"]
 
     def still(moved: float, full: bool) -> bool:
         """Whether the search is over, as an evaluation moved so little."""
@@ -228,6 +236,8 @@ def squarem(step: Callable[[dict], tuple[dict, float]], start: dict, min_freq: f
         if held:
             bounds = (bounds[0], bounds[1] * controls.step_factor)
         p = ahead
+        if save:
+            save({"p": p.tolist(), "bounds": list(bounds), "count": f.count, "trace": f.trace, "done": schedule.done, "jumping": schedule.jumping})
     freqs = f.as_dict(p)
     return Result(freqs, step(freqs)[1] if freqs else 0.0, f.count, converged, trace=f.trace)
 
@@ -311,16 +321,60 @@ class Likelihoods:
         """Gives the cached likelihoods' room back."""
         self.classes.unpersist()
 
-    def estimate(self, min_freq: float | None = None, controls: Controls = Controls()) -> Result:
-        """Mixture frequencies. Without min_freq the cutoff is one mapped read. `mapped` loses reads whose only key dropped out."""
+    def estimate(self, min_freq: float | None = None, controls: Controls = Controls(), folder: str | None = None) -> Result:
+        """Mixture frequencies. Without min_freq the cutoff is one mapped read. `mapped` loses reads whose only key dropped out.
+
+        With a folder, each cycle's state is committed there, and a run that finds states of the same reads, cutoff and controls
+        goes on from the last; states of others are an error.
+        """
         if not self.keys:
             return Result({}, 0.0, 0, True)
         least = 1 / self.mapped if min_freq is None else min_freq
-        out = squarem(self.step, starting_point(self.keys, self.singles, self.mapped), least, controls)
+        log = CycleLog(self.spark, folder, [self.mapped, len(self.keys), str(self.keys[0]), str(self.keys[-1]), least, str(controls)]) if folder else None
+        out = squarem(self.step, starting_point(self.keys, self.singles, self.mapped), least, controls, log.last() if log else None, log.add if log else None)
         out.mapped = self.mapped - sum(n for k, n in self.singles.items() if k not in out.freqs)
         return out
 
 
+class CycleLog:
+    """States of an EM's cycles in a folder, each a file that is there whole or not at all: written aside, then renamed.
+
+    A state is a row for each reference at most, like the frequencies themselves. The last KEPT stay.
+    """
+
+    KEPT = 2
+
+    def __init__(self, spark: SparkSession, folder: str, about: list):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.spark, self.folder, self.about = spark, folder, about
+        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self.path(folder))
+
+    def _cycles(self) -> list[int]:
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.folder))]
+        return sorted(int(n.removeprefix("cycle-")) for n in names if re.fullmatch("cycle-[0-9]+", n))
+
+    def last(self) -> dict | None:
+        """The last state; ValueError if it is another search's."""
+        found = self._cycles()
+        if not found:
+            return None
+        state = json.loads("".join(r.value for r in self.spark.read.option("wholetext", True).text(f"{self.folder}/cycle-{found[-1]}").collect()))
+        if state.pop("about") != self.about:
+            raise ValueError(f"{self.folder} has the states of other reads or options")
+        return state
+
+    def add(self, state: dict) -> None:
+        """Commits a state, and drops the oldest."""
+        found = self._cycles()
+        name = f"{self.folder}/cycle-{found[-1] + 1 if found else 1}"
+        self.spark.createDataFrame([(json.dumps(state | {"about": self.about}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{name}-unfinished")
+        if not self.fs.rename(self.path(f"{name}-unfinished"), self.path(name)):
+            raise OSError(f"{name} can't be written")
+        for old in found[: -self.KEPT + 1]:
+            self.fs.delete(self.path(f"{self.folder}/cycle-{old}"), True)
+
+
 def posterior(lk: DataFrame, freqs: DataFrame, collapse_at: float = 0.9995) -> DataFrame:
     """(read_id, key, p, status) of each read's keys that survive.
 

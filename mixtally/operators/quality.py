@@ -12,6 +12,15 @@ def histogram(reads: DataFrame, qual: str = "qual", offset: int = 33) -> DataFra
     return each.select("pos", (F.ascii("c") - offset).alias("q")).groupBy("pos", "q").agg(F.count("*").alias("n"))
 
 
+#: Qualities beyond this are rarely meant: a file of another offset, perhaps.
+HIGHEST = 42
+
+
+def unlikely(hist: DataFrame, highest: int = HIGHEST) -> DataFrame:
+    """One row (n_high): bases whose quality is above `highest`."""
+    return hist.agg(F.coalesce(F.sum(F.when(F.col("q") > highest, F.col("n"))), F.lit(0)).alias("n_high"))
+
+
 def error_of(q: Column) -> Column:
     """Chance of a wrong base for the filter: 10 ** (-q / 10), but 0.75 for q = 2 and 0 for q = 0."""
     return F.when(q == 2, 0.75).when(q == 0, 0.0).otherwise(F.pow(F.lit(10.0), -q / 10.0))

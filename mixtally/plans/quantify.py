@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import check_k
-from mixtally.operators import align, candidates, em, kmer_index, quality, skip_ahead, taxonomy
+from mixtally.operators import align, candidates, em, kmer_index, quality, skip_ahead, taxonomy, windows
 from mixtally.sources import fastx, tables
 
 
@@ -32,6 +32,10 @@ class Options:
     reverse_quality: bool = True
     #: Whether reads jump along unitigs instead of looking every window up (see `skip_ahead`).
     skip_ahead: bool = False
+    #: Whether single reads are aligned with windows of their candidates, equal ones once (see `windows`).
+    windows: bool = False
+    #: A folder for the EM's states: a run that was killed goes on from them (see `em.CycleLog`).
+    state: str | None = None
 
     def __post_init__(self):
         if self.phred not in (33, 64):
@@ -92,8 +96,14 @@ def read_candidates(reads: DataFrame, index: dict, options: Options) -> DataFram
     return found.unionByName(loose.join(found.select("read_id").distinct(), "read_id", "left_anti"))
 
 
-def score(reads: DataFrame, cands: DataFrame, refs: DataFrame, options: Options) -> DataFrame:
-    """(read_id, ref_id, loglik) of candidates that align. Reads with equal bases and qualities are aligned once for a reference."""
+def score(reads: DataFrame, cands: DataFrame, refs: DataFrame, options: Options, k: int | None = None) -> DataFrame:
+    """(read_id, ref_id, loglik) of candidates that align. Reads with equal bases and qualities are aligned once for a reference.
+
+    With options.windows single reads are aligned once for all references that have the same window for them; k is the index's.
+    """
+    if options.windows and not options.paired:
+        own = cands.select("read_id", "ref_id").join(reads.select("read_id", "seq", "qual"), "read_id")
+        return windows.score(own, refs, k, options.phred, options.scoring).where("loglik IS NOT NULL").select("read_id", "ref_id", "loglik")
     names = ["seq1", "qual1", "seq2", "qual2"] if options.paired else ["seq", "qual"]
     rows = cands.join(reads.select("read_id", *names), "read_id")
     distinct = rows.select(*names, "ref_id").distinct().join(refs.select("ref_id", F.col("seq").alias("ref_seq")), "ref_id")
@@ -109,7 +119,7 @@ def quantify(reads: DataFrame, index: dict, labelled: DataFrame | None = None, o
     if options.paired:
         reads = reads.withColumn("name", F.col("name1"))
     cands = read_candidates(reads, index, options).persist()
-    scored = score(reads, cands, index["refs"], options)
+    scored = score(reads, cands, index["refs"], options, index["k"])
     if options.collapse:
         labels = labelled if labelled is not None else index["refs"].select("ref_id", F.col("name").alias("label"))
         lk = em.collapse(scored, labels.select("ref_id", "label"))
@@ -119,16 +129,19 @@ def quantify(reads: DataFrame, index: dict, labelled: DataFrame | None = None, o
     unmapped = reads.join(lk.select("read_id").distinct(), "read_id", "left_anti").select("read_id", "name")
     best = quality.best_loglik(lk)
     kept = lk
+    text = F.concat("qual1", "qual2") if options.paired else F.col("qual")
+    hist = quality.histogram(reads.select(text.alias("qual")), offset=options.phred).persist()
     if options.likelihood_filter:
-        text = F.concat("qual1", "qual2") if options.paired else F.col("qual")
-        moments = quality.expected_loglik(quality.histogram(reads.select(text.alias("qual")), offset=options.phred))
+        moments = quality.expected_loglik(hist)
         kept = quality.passing(lk, moments, options.threshold).persist()
     improbable = lk.select("read_id").distinct().join(kept.select("read_id").distinct(), "read_id", "left_anti").join(reads.select("read_id", "name"), "read_id")
     model = em.Likelihoods(kept)
-    out = model.estimate(options.min_freq, em.Controls(tolerance=options.tolerance, max_evaluations=options.max_evaluations))
+    out = model.estimate(options.min_freq, em.Controls(tolerance=options.tolerance, max_evaluations=options.max_evaluations), options.state)
     model.release()
     counters = read_counters(reads, cands).first().asDict()
     counters |= {"missed_references": missed_references(cands, index["refs"]).count(), "mapped": lk.select("read_id").distinct().count(), "passed": kept.select("read_id").distinct().count(), "left": out.mapped}
+    # Reads that the filter removed, reads with a single key, and bases of a quality that none should have.
+    counters |= {"removed": counters["mapped"] - counters["passed"], "singles": sum(model.singles.values()), "high_qualities": quality.unlikely(hist).first().n_high}
     return Quantified(kept, out, out.frame(reads.sparkSession, kept), unmapped, improbable, best, reads.select("read_id", "name"), counters)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -124,3 +125,73 @@ def test_posterior(spark):
     only2 = spark.createDataFrame([(2, 1.0)], "key int, f double")
     gone = {r.read_id: r.status for r in em.posterior(frame(spark), only2).collect() if r["key"] is None}
     assert gone == {1: "even", 3: "dropped", 5: "dropped", 6: "even"}
+
+
+def plain_em(rows, steps):
+    """Frequencies after so many plain evaluations of the map over a full read x key table."""
+    import numpy as np
+
+    reads, keys = sorted({r for r, _, _ in rows}), sorted({k for _, k, _ in rows})
+    like, hits = np.full((len(reads), len(keys)), math.exp(-150)), np.zeros(len(reads), int)
+    for r, k, ll in rows:
+        like[reads.index(r), keys.index(k)] = math.exp(ll)
+        hits[reads.index(r)] += 1
+    lone = like[hits == 1].argmax(axis=1)
+    singles, like = np.bincount(lone, minlength=len(keys)), like[hits > 1]
+    f = np.full(len(keys), 1 / len(keys))
+    for _ in range(steps):
+        part = like * f
+        f = ((part / part.sum(axis=1, keepdims=True)).sum(axis=0) + singles) / len(reads)
+    return dict(zip(keys, f.tolist()))
+
+
+def likelihood_rows(seed, reads=300):
+    rng = random.Random(seed)
+    return [(r, k, -rng.random() * 12) for r in range(reads) for k in rng.sample(range(9), rng.choice([1, 2, 3, 5]))]
+
+
+def test_accelerated_frequencies_are_the_plain_ones(spark):
+    """Values of the accelerated EM against 30,000 plain evaluations."""
+    rows = likelihood_rows(3)
+    out = em.Likelihoods(spark.createDataFrame(rows, "read_id long, key int, loglik double")).estimate(min_freq=0.0, controls=em.Controls(tolerance=1e-14))
+    want = plain_em(rows, 30_000)
+    assert out.converged and out.evaluations < 500
+    for k, v in want.items():
+        assert out.freqs.get(k, 0.0) == pytest.approx(v, abs=1e-9)
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    """A search that dies in its fourth cycle ends, when it is run again, as one that didn't, with no evaluation made twice."""
+    df = spark.createDataFrame(likelihood_rows(4), "read_id long, key int, loglik double")
+    controls = em.Controls(tolerance=1e-10)
+    want = em.Likelihoods(df).estimate(0.001, controls)
+    folder = str(tmp_path / "em")
+
+    class Killed(Exception):
+        pass
+
+    model, saved = em.Likelihoods(df), []
+    real, log = model.step, em.CycleLog.add
+
+    def dying(freqs):
+        if len(saved) == 3:
+            raise Killed
+        return real(freqs)
+
+    model.step = dying
+    em.CycleLog.add = lambda self, state: (log(self, state), saved.append(state["count"]))
+    try:
+        with pytest.raises(Killed):
+            model.estimate(0.001, controls, folder)
+    finally:
+        em.CycleLog.add = log
+    assert len(list((tmp_path / "em").glob("cycle-*"))) == em.CycleLog.KEPT
+    (tmp_path / "em" / "cycle-9-unfinished").mkdir()  # what a run leaves that dies while it writes
+    again, made = em.Likelihoods(df), []
+    step = again.step
+    again.step = lambda freqs: (made.append(1), step(freqs))[1]
+    got = again.estimate(0.001, controls, folder)
+    assert got.freqs == pytest.approx(want.freqs, abs=1e-12) and (got.evaluations, got.converged, got.mapped) == (want.evaluations, want.converged, want.mapped)
+    assert len(made) == want.evaluations - saved[-1] + 1  # and the last likelihood
+    with pytest.raises(ValueError, match="other"):
+        em.Likelihoods(df.where("read_id < 200")).estimate(0.001, controls, folder)

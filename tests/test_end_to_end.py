@@ -80,6 +80,28 @@ def test_pairs(spark, world, tmp_path):
     assert out.counters["mapped"] == 60 and out.em.freqs[1] == pytest.approx(2 / 3, abs=0.01) and out.em.freqs[2] == pytest.approx(1 / 3, abs=0.01)
 
 
+def test_jumps_windows_and_states_change_nothing(spark, world, tmp_path):
+    """The same frequencies with reads that jump along unitigs, windows of references, and a search that goes on from its states."""
+    from mixtally.sources import fastx
+
+    kmer_index.write(f"{tmp_path}/i", kmer_index.prepare(fastx.read_fasta(spark, f"{world[0]}/refs.fa")).select("ref_id", "name", "seq", "len"), 15)
+    index = kmer_index.load(spark, f"{tmp_path}/i")
+    reads = fastx.read_reads(spark, f"{world[0]}/reads.fq")
+    quick = {"tolerance": 1e-4, "max_evaluations": 40}
+    want = plans.quantify(reads, index, options=plans.Options(**quick))
+    for options in (plans.Options(skip_ahead=True, windows=True, state=f"{tmp_path}/s", **quick), plans.Options(state=f"{tmp_path}/s", **quick)):
+        out = plans.quantify(reads, index, options=options)
+        assert out.em.freqs == pytest.approx(want.em.freqs, abs=1e-6) and out.counters == want.counters
+    assert want.counters["removed"] == want.counters["mapped"] - want.counters["passed"] and want.counters["high_qualities"] == 0
+
+
+def test_qualities_that_none_should_have(spark):
+    from mixtally.operators import quality
+
+    hist = quality.histogram(spark.createDataFrame([("K~L",), ("!",), ("",)], "qual string"))
+    assert quality.unlikely(hist).first().n_high == 2 and quality.unlikely(hist.limit(0)).first().n_high == 0
+
+
 def test_stream_finds_what_a_batch_finds(spark, world, tmp_path):
     from mixtally.operators import candidates
     from mixtally.sources import fastx
