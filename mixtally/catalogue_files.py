@@ -5,7 +5,7 @@ Files stand in the folder that driver and executors share; what is read back is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixtally.catalogue import K, SHORT_K, SQL_DNA, SQL_LK, SQL_OTU, SQL_REFS, TILE, _em_sql, _t, counts, dna, em_steps, even, likelihoods, query, reads, references, spread, sql_kmers, sql_reads, sql_votes
@@ -225,10 +225,10 @@ def failed_reads_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_em_sql(1) + """, p AS (SELECT multi.read_id, multi.key, f * exp(loglik - multi.best) / m AS p FROM multi JOIN m0 ON multi.read_id = m0.read_id JOIN f0 ON multi.key = f0.key),
 t AS (SELECT *, max(p) OVER (PARTITION BY read_id) AS top FROM p), r AS (SELECT read_id, key, CASE WHEN top >= 0.9995 THEN 1.0 ELSE p END AS p FROM t WHERE top < 0.9995 OR p = top UNION ALL SELECT read_id, lone, 1.0 FROM c WHERE n = 1),
-s AS (SELECT read_id, count(*) AS n, CAST(printf('%.6g', max(p)) AS DOUBLE) AS best FROM r GROUP BY read_id)
-SELECT 'read' || read_id AS name, n, best, true AS falling FROM s UNION ALL SELECT 'lost', 1, NULL, true""")
+s AS (SELECT read_id, count(*) AS n, CAST(printf('%.6g', max(p)) AS DOUBLE) AS best, string_agg('s' || key, ' ' ORDER BY 's' || key) AS refs FROM r GROUP BY read_id)
+SELECT 'read' || read_id AS name, n, best, refs, true AS falling FROM s UNION ALL SELECT 'lost', 1, NULL, '', true""")
 def readinfo_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors of each read, the highest first, written packed and read again: how many, the first, and whether they fall."""
+    """Posteriors of each read, the highest first, written packed and read again: how many, the first, of which references, and whether they fall."""
     lk = likelihoods(spark, sf_dir)
     name = F.concat(F.lit("read"), F.col("read_id").cast("string")).alias("name")
     names = em.support(lk).select("key", F.concat(F.lit("s"), F.col("key").cast("string")).alias("ref"))
@@ -236,7 +236,7 @@ def readinfo_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark, 'readinfo')}/readinfo"
     tables.write_tsv(tables.readinfo_rows(em.posterior(lk, even(lk)), lk.select("read_id", name).distinct(), names, failed).orderBy("name"), path, compression="gzip")
     rows = spark.read.csv(path, sep="\t", header=True).withColumn("p", F.transform(F.split("info", " "), lambda x: F.substring_index(x, ":", 1).try_cast("double")))
-    return rows.select("name", F.size("p").cast("long").alias("n"), F.element_at("p", 1).alias("best"), F.coalesce(F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p") - 1)), lambda i: F.coalesce(F.get("p", i) <= F.get("p", i - 1), F.lit(True))), F.lit(True)).alias("falling"))
+    return rows.select("name", F.size("p").cast("long").alias("n"), F.element_at("p", 1).alias("best"), F.array_join(F.array_sort(F.regexp_extract_all("info", F.lit(":(s[0-9]+)"))), " ").alias("refs"), F.coalesce(F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p") - 1)), lambda i: F.coalesce(F.get("p", i) <= F.get("p", i - 1), F.lit(True))), F.lit(True)).alias("falling"))
 
 
 @query(f"""WITH {SQL_OTU}, p AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY sample) AS p FROM otu), i AS (SELECT sample, sum(cnt) AS total, count(*) AS d0, round(sum(p * p), 9) AS d2 FROM p GROUP BY sample),
@@ -299,34 +299,34 @@ def mate_combine_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.mates_lenient(*(candidates.lenient(candidates.votes(kmer_index.match(m, kmer_ec, SHORT_K), ecs)) for m in halves))
 
 
-@query(f"WITH {SQL_REFS}, {sql_kmers('rk', 'refs', 'ref_id', SHORT_K)}, c AS (SELECT kmer, list_sort(list(DISTINCT ref_id)) AS members FROM rk GROUP BY kmer), e AS (SELECT DISTINCT members FROM c) SELECT array_to_string(a.members, ',') AS one, array_to_string(b.members, ',') AS two, list_has_all(b.members, a.members) AS inside FROM e a JOIN e b ON a.members[1] = b.members[1] AND a.members <> b.members")
+@query(f"WITH {SQL_REFS}, {sql_kmers('rk', 'refs', 'ref_id', SHORT_K)}, c AS (SELECT kmer, list_sort(list(DISTINCT ref_id)) AS members FROM rk GROUP BY kmer), e AS (SELECT DISTINCT members FROM c) SELECT array_to_string(a.members, ',') AS one, array_to_string(b.members, ',') AS two FROM e a JOIN e b ON a.members <> b.members AND list_has_all(b.members, a.members)")
 def class_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of classes that begin with the same reference, whether one is a subset of the other."""
+    """All classes of which one is a subset of the other."""
     _, ecs = kmer_index.build(references(spark, sf_dir), SHORT_K)
     text = lambda c: F.concat_ws(",", F.transform(c, lambda m: m.cast("string")))
-    a, b = (ecs.select(F.col("members").alias(m), F.element_at("members", 1).alias("first")) for m in ("one", "two"))
-    rows = a.join(b, "first").where("one <> two")
-    return rows.select(text("one").alias("one"), text("two").alias("two"), candidates.is_subset(F.col("one"), F.col("two")).alias("inside"))
+    return candidates.subsets(checkpointed(ecs)).select(text("one").alias("one"), text("two").alias("two"))
 
 
 @query("""WITH s AS (SELECT doc_id, translate(text, 'acgtuU', 'ACGTTT') AS u FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(length(regexp_replace(u, '[ACGT]', '', 'g')) AS BIGINT) AS n_other, md5(regexp_replace(u, '[^ACGT]', 'N', 'g')) AS kept_md5, true AS bases_only, true AS repeatable FROM s""")
+SELECT doc_id, CAST(length(regexp_replace(u, '[ACGT]', '', 'g')) AS BIGINT) AS n_other, md5(regexp_replace(u, '[^ACGT]', 'N', 'g')) AS kept_md5, true AS bases_only FROM s""")
 def replaced_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts normalised: bases stay where they are, other letters become bases, the same in every run."""
-    rows = _t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.translate("text", "acgtuU", "ACGTTT").alias("u"), S.normalise("text", F.col("doc_id").cast("string")).alias("n"), S.normalise("text", F.col("doc_id").cast("string")).alias("again"))
+    """Whole texts normalised: bases stay where they are, and other letters become bases."""
+    docs = spread(_t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.translate("text", "acgtuU", "ACGTTT").alias("u"), S.normalise("text", F.col("doc_id").cast("string")).alias("n"))
     masked = F.regexp_replace("u", "[^ACGT]", "N")
     letters = F.zip_with(F.split("n", ""), F.split(masked, ""), lambda x, m: F.when(m == "N", m).otherwise(x))
-    return rows.select("doc_id", F.length(F.regexp_replace("u", "[ACGT]", "")).cast("long").alias("n_other"), F.md5(F.array_join(letters, "")).alias("kept_md5"), F.col("n").rlike("^[ACGT]*$").alias("bases_only"), (F.col("n") == F.col("again")).alias("repeatable"))
+    return rows.select("doc_id", F.length(F.regexp_replace("u", "[ACGT]", "")).cast("long").alias("n_other"), F.md5(F.array_join(letters, "")).alias("kept_md5"), F.col("n").rlike("^[ACGT]*$").alias("bases_only"))
 
 
 @query(f"""WITH {SQL_REFS}, w AS (SELECT DISTINCT substr(seq, CAST(i AS INT), {SHORT_K}) AS w FROM (SELECT seq, unnest(range(1, length(seq) - {SHORT_K} + 2)) AS i FROM refs WHERE length(seq) >= {SHORT_K})),
 c AS (SELECT w, [strpos('ACGT', w[i]) - 1 for i in range(1, {SHORT_K} + 1)] AS digits FROM w)
-SELECT w AS kmer, array_to_string([w[2:] || b for b in ['A', 'C', 'G', 'T']] || [b || w[:-2] for b in ['A', 'C', 'G', 'T']], ' ') AS around, array_to_string([CAST(x // 2 AS VARCHAR) || CAST(x % 2 AS VARCHAR) for x in digits], ' ') AS bits, array_to_string(digits, ' ') AS digits, true AS hashed FROM c""")
+SELECT w AS kmer, array_to_string([w[2:] || b for b in ['A', 'C', 'G', 'T']] || [b || w[:-2] for b in ['A', 'C', 'G', 'T']], ' ') AS around, array_to_string([CAST(x // 2 AS VARCHAR) || CAST(x % 2 AS VARCHAR) for x in digits], ' ') AS bits, array_to_string(digits, ' ') AS digits, 1 AS same_hash, true AS hash_of_code FROM c""")
 def kmer_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-mers before and after every distinct window of the references, its code in binary, its digits, and its hash."""
+    """K-mers before and after every distinct window of the references, its code in binary, its digits, how many windows have its hash, and
+    whether the hash is that of the k-mer which its code stands for."""
     w = references(spark, sf_dir).select(F.explode(S.kmers("seq", SHORT_K)).alias("kmer")).distinct()
     digits = F.transform(F.filter(F.split("kmer", ""), lambda c: c != ""), lambda c: F.instr(F.lit("ACGT"), c) - 1)
-    return w.select("kmer", S.shown(S.neighbours("kmer")).alias("around"), S.bits(S.encode("kmer"), SHORT_K).alias("bits"), S.shown(digits).alias("digits"), (S.kmer_hash("kmer") == F.xxhash64(S.encode("kmer"))).alias("hashed"))
+    return w.select("kmer", S.shown(S.neighbours("kmer")).alias("around"), S.bits(S.encode("kmer"), SHORT_K).alias("bits"), S.shown(digits).alias("digits"), F.count("*").over(Window.partitionBy(S.kmer_hash("kmer"))).cast("int").alias("same_hash"), (S.kmer_hash("kmer") == S.kmer_hash(S.decode(S.encode("kmer"), SHORT_K))).alias("hash_of_code"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS price, round(pow(10.0, -(o_orderkey % 42) / 10.0), 12) AS error,

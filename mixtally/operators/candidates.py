@@ -78,3 +78,15 @@ def unmapped(reads: DataFrame, found: DataFrame, key: str = "read_id") -> DataFr
 def is_subset(a: str, b: str):
     """Whether all members of array a are in array b."""
     return F.size(F.array_except(a, b)) == 0
+
+
+def subsets(ecs: DataFrame) -> DataFrame:
+    """(one, two): every pair of different classes (ec_id, members) of which the first's members are all in the second.
+
+    A class asks only those that hold the rarest of its members, so a reference that all classes have pairs none of them.
+    """
+    each = ecs.select("ec_id", "members", F.explode("members").alias("m"))
+    often = each.groupBy("m").agg(F.count("*").alias("n"))
+    rare = each.join(often, "m").groupBy("ec_id").agg(F.min_by("m", F.struct("n", "m")).alias("m"), F.first("members").alias("one"))
+    holds = each.select("m", F.col("ec_id").alias("other"), F.col("members").alias("two"))
+    return rare.join(holds, "m").where((F.col("ec_id") != F.col("other")) & is_subset(F.col("one"), F.col("two"))).select("one", "two")
