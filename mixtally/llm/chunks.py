@@ -70,6 +70,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def check_key(docs: DataFrame, key: str) -> None:
+    """TypeError unless the key, whose order decides which document comes first, is an integer."""
+    kind = dict(docs.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is {kind}; it must be an integer")
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system: workers are kept for later tasks, beside others."""
     pa.default_memory_pool().release_unused()

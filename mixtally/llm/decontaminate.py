@@ -169,7 +169,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     A word is hit if an item's window of `window` words (or a shorter item, whole) occurs there; items are those with such
     windows, and spans the character ranges of hit words in the original text. All other columns stay, whatever their names; those
     of the new names are replaced. A null or empty text has no words. Items without a key, text or words match nothing; repeated items count
-    once; items of equal text are all named. Without items nothing is contaminated.
+    once; items of equal text are all named. Without items nothing is contaminated. A text of any length is scanned whole; an item of any
+    length is in one block, so its windows, some 80 bytes for each of its words, must fit the driver and each task.
     """
     new = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
     docs = docs.drop(*new)

@@ -449,8 +449,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     A document's set holds its distinct n-word shingles (words [^\\x20\\x09-\\x0D]+, A-Z lower-cased); with fewer words, the
     whole sequence as one. Two documents link when 100 * intersection >= percent * union. A null, empty or blank text has
     an empty set and links with nothing. A document without a key links with nothing either and has a null component_id.
-    Repeated rows give repeated result rows. The key must be an integer.
+    Repeated rows give repeated result rows. The key must be an integer, or it is a TypeError. An empty table gives an empty result. A
+    text of any length is one set, whole, which takes some 50 bytes of memory for each of its bytes.
     """
+    C.check_key(docs, key)
     C.small_batches(docs.sparkSession)
     found = C.checkpointed(features(docs, text, key, n))
     nodes = found.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias(key))

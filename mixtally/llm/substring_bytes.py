@@ -415,8 +415,10 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_i
     earlier start) is removed; strings are judged on the input. A null or empty text has no bytes; a text under 100 bytes
     keeps all. Rows of one key count as one document's copies: an equal start isn't earlier, so repeated rows never remove
     each other. A row without a key comes after all that have one. An empty table gives an empty result. `hot` is the number
-    of occurrences from which on a gram's windows are dealt out one by one; the result doesn't depend on it.
+    of occurrences from which on a gram's windows are dealt out one by one; the result doesn't depend on it. The key must be an integer,
+    or it is a TypeError. A text of any length is treated whole, in one task, which takes some 50 bytes of memory for each of its bytes.
     """
+    C.check_key(docs, key)
     new = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
     docs = docs.drop(*new)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -74,7 +74,7 @@ def as_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 
 
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", html: str = "html", **options) -> None:
-    """Writes the pages' archive below path: records and payloads."""
+    """Writes the pages' archive below path: records and payloads. A payload of any length, up to a row's 2 GB, is stored whole, once."""
     payload = _payload(html)
     stored = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
     stored.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
