@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixtally.operators.settle import checkpoint_folder, checkpointed  # noqa: F401 - the corpus operators take both from here
+
 #: Bytes of text in a chunk; a longer document is a chunk of its own, whole.
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch; a larger row is a batch of its own.
@@ -38,28 +39,6 @@ PARTS = "slab long, place long, blob binary"
 REPLIES = "chunk long, blob binary"
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only a local session without one, as in tests, gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that all executors share; its lineage ends there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches to BATCH_BYTES, if they are as large as Spark leaves them.
 

@@ -157,6 +157,31 @@ def test_quality(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_quality_by_a_plain_loop(spark):
+    """All scores of the query, from its model's dictionaries and weights, text by text and block by block."""
+    import math
+
+    import zstandard
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = quality.fit_labels(docs, spark.read.parquet(f"{d}/labels.parquet"))
+
+    def size(block, dictionary):
+        own = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block))
+
+    for r in quality.op1_quality_classifier(spark, d).join(docs.select("doc_id", "text"), "doc_id").collect():
+        raw = (r.text or "").encode()
+        if len(raw) > 40 * quality.BLOCK:
+            continue  # each block builds its dictionary anew here: texts of 10 KB and less are enough
+        blocks = [raw[i : i + quality.BLOCK] for i in range(0, len(raw), quality.BLOCK)]
+        differ = sorted((size(b, model.bad) - size(b, model.good)) / (len(b) + 8) for b in blocks)
+        x = [sum(differ) / len(differ), differ[0], differ[len(differ) // 4], differ[len(differ) // 2], math.log(1 + len(raw))] if differ else [0.0] * 5
+        p = 1 / (1 + math.exp(-(model.bias + sum(w * v for w, v in zip(model.weights, x)))))
+        assert r.score == pytest.approx(p, abs=1e-9) and r.predicted == int(p >= 0.5)
+
+
 def test_quality_of_odd_tables(spark):
     texts = ["good text of words " * 20, "BAD!! TEXT!! " * 20, None, "", "x" * 100_000]
     docs = spark.createDataFrame([(i, t, 0.1) for i, t in enumerate(texts + texts)], "doc_id long, text string, score double")
