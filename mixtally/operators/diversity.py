@@ -46,11 +46,19 @@ def group(otu: DataFrame) -> DataFrame:
     return gamma.crossJoin(F.broadcast(alpha)).select("d1_gamma", "d2_gamma", (F.col("d1_gamma") / F.col("a1")).alias("d1_beta"), (F.col("d2_gamma") / F.col("a2")).alias("d2_beta"))
 
 
+#: Parts that each label's samples are dealt to as a pair's first one.
+PARTS = 16
+
+
 def _shared(otu: DataFrame) -> DataFrame:
-    """(s1, s2, sum_min, sum_prod): of pairs of samples with a common label, s1 < s2, over common labels."""
-    a = otu.select("label", F.col("sample").alias("s1"), F.col("cnt").alias("c1"))
-    b = otu.select("label", F.col("sample").alias("s2"), F.col("cnt").alias("c2"))
-    return a.join(b, "label").where("s1 < s2").groupBy("s1", "s2").agg(F.sum(F.least("c1", "c2")).alias("sum_min"), F.sum(F.col("c1") * F.col("c2")).alias("sum_prod"))
+    """(s1, s2, sum_min, sum_prod): of pairs of samples with a common label, s1 < s2, over common labels.
+
+    A label that all samples have would be one task: its samples meet in PARTS, each of which has a part of the first ones and all second ones.
+    """
+    part = F.pmod(F.xxhash64("sample"), F.lit(PARTS))
+    a = otu.select("label", F.col("sample").alias("s1"), F.col("cnt").alias("c1"), part.alias("part"))
+    b = otu.select("label", F.col("sample").alias("s2"), F.col("cnt").alias("c2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    return a.join(b, ["label", "part"]).where("s1 < s2").groupBy("s1", "s2").agg(F.sum(F.least("c1", "c2")).alias("sum_min"), F.sum(F.col("c1") * F.col("c2")).alias("sum_prod"))
 
 
 def pairwise(otu: DataFrame) -> DataFrame:

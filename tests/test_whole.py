@@ -49,3 +49,17 @@ def test_reads_of_very_long_texts_have_ids_of_their_own(spark, tmp_path):
     rows = catalogue.reads(spark, str(tmp_path)).select("read_id", "doc_id").collect()
     assert len({r.read_id for r in rows}) == len(rows) == sum((len(t) - catalogue.SHORT_K) // catalogue.STRIDE + 1 for _, t in docs)
     assert {r.doc_id for r in rows if r.read_id < 0} == {0, 4} and {r.read_id for r in rows if r.doc_id == 3} == {3_000_000 + 120 * i for i in range(4)}
+
+
+def test_a_label_of_all_samples_is_split(spark):
+    """Pairs of a label that every sample has come from many tasks, none with more than thrice the median."""
+    from pyspark.sql import functions as F
+
+    from mixtally.operators import diversity
+
+    otu = spark.range(400).selectExpr("concat('s', id) AS sample", "'all' AS label", "CAST(id + 1 AS double) AS cnt")
+    rows = diversity._shared(otu)
+    assert rows.count() == 400 * 399 // 2
+    part = F.pmod(F.xxhash64("s1"), F.lit(diversity.PARTS))
+    sizes = sorted(r["count"] for r in rows.select(part.alias("part"), "s1").distinct().groupBy("part").count().collect())
+    assert len(sizes) == diversity.PARTS and sizes[-1] <= 3 * sizes[len(sizes) // 2]
