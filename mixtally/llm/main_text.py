@@ -47,7 +47,7 @@ MARKS = frozenset(
     "ad ads adsense nav menu header masthead footer aside notice notices alert popup modal overlay banner promo share sharing social related login signup search widget toolbar topbar pager reply replies respond responses discussion "
     "complementary contentinfo dialog alertdialog form gdpr consent copyright".split()
 )
-MARK_BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "navigation", "newsletter", "pagination", "recommend", "sidebar", "sponsor", "subscri")
+MARK_BEGINNINGS = ("adsby", "advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "navigation", "newsletter", "pagination", "paywall", "recommend", "sidebar", "sponsor", "subscri")
 ABSENT = frozenset("has no not with without".split())
 #: Of these, inside an article, headings are kept; elsewhere nothing is.
 HEADERS = frozenset("header masthead banner".split())
@@ -77,9 +77,7 @@ def _marks(name: str, rest: str) -> tuple[bool, bool]:
             return True, False
         for token in value.split() if key in ("class", "id", "role") else ():
             words = [w.lower() for w in _WORD.findall(token)]
-            if not words or words[0] in ABSENT:
-                continue
-            found = [w for w in words if w in MARKS or w.startswith(MARK_BEGINNINGS)]
+            found = [w for before, w in zip(["", *words], words) if before not in ABSENT and (w in MARKS or w.startswith(MARK_BEGINNINGS))]
             bad |= bool(found)
             head |= any(w in HEADERS for w in found)
     return bad, head
@@ -192,24 +190,38 @@ class Page:
     def places(self) -> tuple[list[bool], list[int]]:
         """For each element: whether it lies in something that isn't the article, and in which article (0: none)."""
         n = len(self.name)
-        article = [name == "article" and not bad for name, bad in zip(self.name, self.bad)]
-        whole = [name == "main" and not bad for name, bad in zip(self.name, self.bad)]
+        has_article = [name == "article" and not bad for name, bad in zip(self.name, self.bad)]
+        size = [0] * n
+        for e, text in zip(self.element, self.texts):
+            size[e] += len(text)
         for e in range(n - 1, 0, -1):
-            article[self.parent[e]] |= article[e]
-            whole[self.parent[e]] |= whole[e]
+            has_article[self.parent[e]] |= has_article[e]
+            size[self.parent[e]] += size[e]
+        # The page's own article is the unmarked one with most text; without one, what holds the first heading is taken for it. A
+        # marked wrapper of the page's own article isn't what its mark says.
+        own = max((e for e in range(1, n) if self.name[e] in ARTICLE and not self.bad[e]), key=lambda e: (size[e], self.name[e] == "article"), default=0)
+        wrapper = [False] * n
+        if own:
+            while own:
+                wrapper[own] = True
+                own = self.parent[own]
+        else:
+            own = next((e for e in range(1, n) if self.name[e] == "h1"), 0)
+            while own and not self.head[own] and self.name[own] not in ASIDE:
+                wrapper[own] = True
+                own = self.parent[own]
         outside, region = [0] * n, [0] * n  # outside: 0 no, 1 yes, 2 in an article's own header
         for e in range(1, n):
             p, name = self.parent[e], self.name[e]
             outside[e], region[e] = outside[p], region[p]
             if outside[p] == 1:
                 continue
-            # A marked wrapper of an unmarked article isn't what its mark says, nor is the page.
-            marked = self.bad[e] and not article[e] and not whole[e] and name not in ("html", "body")
+            marked = self.bad[e] and not wrapper[e] and name not in ("html", "body")
             if outside[p] == 2 and name in HEADINGS:
                 outside[e] = 0
             elif marked and not (self.head[e] and name in HEADINGS):
                 outside[e] = 2 if self.head[e] and region[p] else 1
-            elif not region[p] and not self.bad[e] and (name == "article" or name == "main" and not article[e]):
+            elif not region[p] and not self.bad[e] and (name == "article" or name == "main" and not has_article[e]):
                 region[e] = e
         return [o > 0 for o in outside], region
 

@@ -23,6 +23,24 @@ def test_without_an_article_neighbours_decide():
     assert main_text(page).split("\n\n") == ["Heading", RUNNING, "Ok.", RUNNING]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        # Wrappers whose class speaks of what stands beside the text.
+        "<div class='layout content-with-sidebar'><h1>T</h1><p>{0}</p><p>Ok.</p></div><div class=sidebar><p>{0}</p></div>",
+        "<div class='sidebar-right'><div><h1>T</h1><p>{0}</p><p>Ok.</p></div><div class='widget'><p>{0}</p></div></div>",
+        "<body class='no-comments single ad-free'><div><h1>T</h1><p>{0}</p><p>Ok.</p></div></body>",
+        # Notices, adverts, comments and forms of several makes.
+        "<div role=alertdialog><p>{0}</p></div><main><h1>T</h1><p>{0}</p><p>Ok.</p><div id='respond'><p>{0}</p></div></main><div class='adsbygoogle'>{0}</div>",
+        "<div class='site-header'><p>{0}</p></div><article><h1>T</h1><p>{0}</p><p>Ok.</p><section class='reader-comments'><article><p>{0}</p></article></section><form><p>{0}</p></form></article>",
+        "<main><article><header><h1>T</h1><p>{0}</p></header><p>{0}</p><p>Ok.</p><footer><p>{0}</p></footer></article><section class='related-posts'><h2>More</h2><p>{0}</p></section></main>",
+        "<table><tr><td class='nav'><a href=/>Home</a> {0}<td><h1>T</h1><p>{0}</p><p>Ok.</p></table><div class='page-footer'>{0}</div>",
+    ],
+)
+def test_pages_of_many_makes(page):
+    assert main_text("<html><body>" + MENU + page.format(RUNNING) + "</body></html>").split("\n\n") == ["T", RUNNING, "Ok."]
+
+
 def test_labels():
     assert inherited([0, 1, 0, 0, -1, 0]) == [1, 1, 1, -1, -1, -1]
     assert inherited([1, 0, -1]) == [1, 1, -1] and inherited([0, 0]) == [1, 1] and inherited([]) == []
