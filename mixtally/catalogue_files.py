@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mixtally.catalogue import K, SHORT_K, SQL_DNA, SQL_LK, SQL_OTU, SQL_REFS, TILE, _em_sql, _t, counts, dna, em_steps, even, likelihoods, query, reads, references, spread, sql_kmers, sql_reads, sql_votes
 from mixtally.functions import sequences as S
-from mixtally.operators import candidates, em, kmer_index, quality, skip_ahead, taxonomy
+from mixtally.operators import candidates, em, kmer_index, quality, sieve, skip_ahead, taxonomy
 from mixtally.operators.settle import checkpointed, shared_folder
 from mixtally.plans import quantify as plans
 from mixtally.sources import bgzf, fastx, tables
@@ -258,7 +258,7 @@ def tabulation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {sql_votes(SHORT_K)} SELECT (SELECT count(*) FROM reads) AS reads, count(DISTINCT read_id) FILTER (most = total_ec) AS strict, count(DISTINCT read_id) FILTER (most < total_ec AND most > 1) AS rescued FROM vote")
 def read_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tiles of documents there are, and how many find strict and only lenient candidates."""
-    kmer_ec, ecs = kmer_index.build(references(spark, sf_dir), SHORT_K)
+    kmer_ec, ecs = kmer_index.build(references(spark, sf_dir), SHORT_K, settled=True)
     rows = reads(spark, sf_dir)
     return plans.read_counters(rows, candidates.candidates(candidates.votes(kmer_index.match(rows, kmer_ec, SHORT_K), ecs)))
 
@@ -268,7 +268,7 @@ q AS (SELECT read_id, i - 1 AS pos, least(w, reverse(translate(w, 'ACGT', 'TGCA'
 h AS (SELECT read_id, min(pos) AS a, max(pos) AS b, count(*) AS n FROM q WHERE kmer IN (SELECT kmer FROM rk) GROUP BY read_id) SELECT read_id, CAST(n AS BIGINT) AS n_hits, CAST(a AS BIGINT) AS first FROM h WHERE b - a + {SHORT_K} >= 100""")
 def supported_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles whose hits span 100 bases or more, with the number of their hits and the place of the first."""
-    kmer_ec, _ = kmer_index.build(references(spark, sf_dir), SHORT_K)
+    kmer_ec, _ = kmer_index.build(references(spark, sf_dir), SHORT_K, settled=True)
     hits = kmer_index.hit_positions(reads(spark, sf_dir), kmer_ec, SHORT_K)
     rows = kmer_index.sorted_hits(hits).join(kmer_index.supported_range(hits, SHORT_K, 100), "read_id")
     return rows.select("read_id", F.size("hits").cast("long").alias("n_hits"), F.array_min("hits.pos").cast("long").alias("first"))
@@ -293,10 +293,11 @@ SELECT read_id, ref_id FROM found WHERE ref_id IS NOT NULL"""
 @query(_lenient_mates_sql())
 def mate_combine_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lenient rule for mates over lenient candidates of the halves of each tile."""
-    kmer_ec, ecs = kmer_index.build(references(spark, sf_dir), SHORT_K)
+    kmer_ec, ecs = kmer_index.build(references(spark, sf_dir), SHORT_K, settled=True)
+    sifted = sieve.sieve(kmer_ec, SHORT_K)
     rows = reads(spark, sf_dir)
     halves = rows.select("read_id", F.substring("seq", 1, 75).alias("seq")), rows.select("read_id", F.substring("seq", 76, TILE).alias("seq"))
-    return candidates.mates_lenient(*(candidates.lenient(candidates.votes(kmer_index.match(m, kmer_ec, SHORT_K), ecs)) for m in halves))
+    return candidates.mates_lenient(*(candidates.lenient(candidates.votes(kmer_index.match(m, kmer_ec, SHORT_K, sifted=sifted), ecs)) for m in halves))
 
 
 @query(f"WITH {SQL_REFS}, {sql_kmers('rk', 'refs', 'ref_id', SHORT_K)}, c AS (SELECT kmer, list_sort(list(DISTINCT ref_id)) AS members FROM rk GROUP BY kmer), e AS (SELECT DISTINCT members FROM c) SELECT array_to_string(a.members, ',') AS one, array_to_string(b.members, ',') AS two FROM e a JOIN e b ON a.members <> b.members AND list_has_all(b.members, a.members)")

@@ -10,15 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixtally.operators.settle import small
+
 #: Lenient mates without a common reference keep both lists if these have fewer references together.
 DISJOINT_LIMIT = 500
 
 
 def votes(matched: DataFrame, ecs: DataFrame, key: str = "read_id") -> DataFrame:
-    """(key, ref_id, n_ec, total_ec, most): classes of a read that hold the reference, all it hits, and the most of any reference."""
-    total = matched.groupBy(key).agg(F.count("*").alias("total_ec"))
-    each = matched.join(ecs, "ec_id").select(key, F.explode("members").alias("ref_id")).groupBy(key, "ref_id").agg(F.count("*").alias("n_ec"))
-    return each.join(total, key).withColumn("most", F.max("n_ec").over(Window.partitionBy(key)))
+    """(key, ref_id, n_ec, total_ec, most): classes of a read that hold the reference, all it hits, and the most of any reference.
+
+    A class has one more member, null, which so counts a read's classes; nothing is joined by key.
+    """
+    n = ecs.agg(F.coalesce(F.sum(F.size("members") + 1), F.lit(0))).first()[0]
+    members = F.concat("members", F.array(F.lit(None).cast(ecs.schema["members"].dataType.elementType)))
+    each = matched.select(key, "ec_id").join(small(ecs.select("ec_id", members.alias("members")), n), "ec_id").select(key, F.explode("members").alias("ref_id"))
+    each = each.groupBy(key, "ref_id").agg(F.count("*").alias("n_ec"))
+    of = Window.partitionBy(key)
+    rows = each.withColumn("total_ec", F.max(F.when(F.col("ref_id").isNull(), F.col("n_ec"))).over(of)).withColumn("most", F.max(F.when(F.col("ref_id").isNotNull(), F.col("n_ec"))).over(of))
+    return rows.where("ref_id IS NOT NULL").select(key, "ref_id", "n_ec", "total_ec", "most")
 
 
 def strict(voted: DataFrame, key: str = "read_id") -> DataFrame:

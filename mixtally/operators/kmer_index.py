@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import canonical_kmers, check_k, clip_poly_a, normalise
-from mixtally.operators.settle import checkpointed
+from mixtally.operators import sieve
+from mixtally.operators.settle import checkpointed, small
 
 INDEX_VERSION = 2
 
@@ -41,13 +42,14 @@ def canonical_counts(seqs: DataFrame, k: int, key: str, seq: str = "seq") -> Dat
     return each.groupBy("kmer").agg(F.sum("n").alias("occurrences"), F.count("*").alias("refs"))
 
 
-def build(refs: DataFrame, k: int, key: str = "ref_id", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """The index: kmer_ec (kmer, ec_id) and ecs (ec_id, members: sorted references).
+def build(refs: DataFrame, k: int, key: str = "ref_id", seq: str = "seq", settled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The index: kmer_ec (kmer, ec_id) and ecs (ec_id, members: sorted references); settled: made once, for several uses.
 
     A class is named by a 64-bit hash of its members, so naming classes needs no numbering of all of them in one task.
     """
     check_k(k)
-    return _index(_classes(refs, k, key, seq))
+    classes = _classes(refs, k, key, seq)
+    return _index(checkpointed(classes) if settled else classes)
 
 
 def _classes(refs: DataFrame, k: int, key: str, seq: str) -> DataFrame:
@@ -103,14 +105,19 @@ def load(spark: SparkSession, path: str) -> dict:
     return {"k": meta.k, "kmer_ec": kmer_ec} | {t: spark.read.parquet(f"{path}/{t}") for t in ("refs", "ecs")}
 
 
-def match(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
-    """(key, ec_id, hits): the classes that a read's k-mers hit, and by how many of its windows. Every window is looked up."""
-    return sequence_kmers(reads, k, key, seq).join(kmer_ec.select("kmer", "ec_id"), "kmer").groupBy(key, "ec_id").agg(F.count("*").alias("hits"))
+def match(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq", sifted: sieve.Sieve | None = None) -> DataFrame:
+    """(key, ec_id, hits): the classes that a read's k-mers hit, and by how many of its windows. Every window is looked up.
+
+    sifted: the sieve of kmer_ec, if there is one already. Hits are dealt out by key once; what is grouped by key later stays.
+    """
+    return hit_positions(reads, kmer_ec, k, key, seq, sifted).groupBy(key, "ec_id").agg(F.count("*").alias("hits"))
 
 
-def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
-    """(key, pos, kmer, ec_id) of each window that hits, for predicates on the range that hits span."""
-    return sequence_kmers(reads, k, key, seq).join(kmer_ec.select("kmer", "ec_id"), "kmer").select(key, "pos", "kmer", "ec_id")
+def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seq: str = "seq", sifted: sieve.Sieve | None = None) -> DataFrame:
+    """(key, pos, kmer, ec_id) of each window that hits, dealt out by key, for predicates on the range that hits span."""
+    sifted = sifted or sieve.sieve(kmer_ec, k)
+    hits = sieve.windows(reads, sifted, key, seq).join(small(kmer_ec.select("kmer", "ec_id"), sifted.n), "kmer")
+    return hits.select(key, "pos", "kmer", "ec_id").repartition(F.col(key))
 
 
 def sorted_hits(hits: DataFrame, key: str = "read_id") -> DataFrame:
@@ -134,10 +141,11 @@ def fragment_lengths(one: DataFrame, two: DataFrame, refs: DataFrame, k: int, ke
 
     one and two: (key, seq) of the mates; a mate's first hit is that of its first window that the reference has, at its first place.
     """
-    at = positions(refs, k).groupBy("ref_id", "kmer").agg(F.min("pos").alias("at"))
+    at = checkpointed(positions(refs, k).groupBy("ref_id", "kmer").agg(F.min("pos").alias("at")))
+    sifted = sieve.sieve(at, k)
 
     def first(mates: DataFrame, name: str) -> DataFrame:
-        return sequence_kmers(mates, k, key).join(at, "kmer").groupBy(key, "ref_id").agg(F.min_by("at", "pos").alias(name))
+        return sieve.windows(mates, sifted, key).join(small(at, sifted.n), "kmer").groupBy(key, "ref_id").agg(F.min_by("at", "pos").alias(name))
 
     return first(one, "a").join(first(two, "b"), [key, "ref_id"]).select(key, "ref_id", (F.abs(F.col("a") - F.col("b")) + k).alias("length"))
 
