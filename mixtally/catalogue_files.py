@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixtally.catalogue import K, SHORT_K, SQL_DNA, SQL_LK, SQL_OTU, SQL_REFS, TILE, _em_sql, _t, counts, dna, em_steps, even, likelihoods, query, reads, references, spread, sql_kmers, sql_reads, sql_votes
+from mixtally.functions import letters
 from mixtally.functions import sequences as S
 from mixtally.operators import candidates, em, kmer_index, quality, sieve, skip_ahead, taxonomy
 from mixtally.operators.settle import checkpointed, shared_folder
@@ -309,14 +310,11 @@ def class_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT doc_id, translate(text, 'acgtuU', 'ACGTTT') AS u FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(length(regexp_replace(u, '[ACGT]', '', 'g')) AS BIGINT) AS n_other, md5(regexp_replace(u, '[^ACGT]', 'N', 'g')) AS kept_md5, true AS bases_only FROM s""")
+SELECT doc_id, CAST(length(regexp_replace(u, '[ACGT]', '', 'g')) AS BIGINT) AS n_other, md5(regexp_replace(u, '[^ACGT]', 'N', 'g')) AS kept_md5, true AS bases_only, true AS repeatable FROM s""")
 def replaced_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts normalised: bases stay where they are, and other letters become bases."""
+    """Whole texts normalised: bases stay where they are, and other letters become bases, the same whatever they are normalised with."""
     docs = spread(_t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
-    rows = docs.select("doc_id", F.translate("text", "acgtuU", "ACGTTT").alias("u"), S.normalise("text", F.col("doc_id").cast("string")).alias("n"))
-    masked = F.regexp_replace("u", "[^ACGT]", "N")
-    letters = F.zip_with(F.split("n", ""), F.split(masked, ""), lambda x, m: F.when(m == "N", m).otherwise(x))
-    return rows.select("doc_id", F.length(F.regexp_replace("u", "[ACGT]", "")).cast("long").alias("n_other"), F.md5(F.array_join(letters, "")).alias("kept_md5"), F.col("n").rlike("^[ACGT]*$").alias("bases_only"))
+    return letters.replacement(docs, "doc_id", "text", F.col("doc_id").cast("string"))
 
 
 @query(f"""WITH {SQL_REFS}, w AS (SELECT DISTINCT substr(seq, CAST(i AS INT), {SHORT_K}) AS w FROM (SELECT seq, unnest(range(1, length(seq) - {SHORT_K} + 2)) AS i FROM refs WHERE length(seq) >= {SHORT_K})),

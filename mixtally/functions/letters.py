@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,3 +80,64 @@ def _mapped(docs: DataFrame, key: str, text: str, run, columns: str) -> DataFram
     kind = dict(docs.dtypes)[key]
     # Lower case as Spark has it: some letters of several bytes have a lower case of one.
     return docs.select(F.col(key).alias("key"), F.lower(text).alias("text")).mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
+
+
+#: The primes of xxhash64, of which Spark's function of that name is made.
+P1, P2, P3, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+#: Letters as `sequences.normalise` sees them: bases in upper case, U as T, 0 for any other.
+UPPER = np.zeros(256, np.uint8)
+UPPER[np.frombuffer(b"ACGTUacgtu", np.uint8)] = np.frombuffer(b"ACGTTACGTT", np.uint8)
+
+
+def _hashed(places: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """xxhash64 of int places on seeds."""
+    h = (seeds + P5 + np.uint64(4)) ^ (places.astype(np.uint64) * P1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * P2 + P3
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def normalised(texts: pa.Array, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as `sequences.normalise` gives them, one after another; where each begins and ends; and which letters were none of ACGTU.
+
+    seeds: F.xxhash64(F.xxhash64(name)) of each text's name.
+    """
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if len(raw) and raw.max() >= 128:  # a letter of several bytes is one place
+        first = (raw & 0xC0) != 0x80
+        raw, ends = raw[first], np.concatenate([[0], np.cumsum(first)])[ends]
+    out = UPPER[raw]
+    other = out == 0
+    at = np.flatnonzero(other)
+    for i in range(0, len(at), PART):
+        part = at[i : i + PART]
+        row = np.searchsorted(ends, part, side="right") - 1
+        out[part] = np.frombuffer(b"ACGT", np.uint8)[(_hashed(part - ends[row], seeds[row]) & np.uint64(3)).astype(np.int64)]
+    return out, ends, other
+
+
+def replacement(docs: DataFrame, key: str, text: str, name) -> DataFrame:
+    """(key, n_other, kept_md5, bases_only, repeatable) of normalised texts.
+
+    How many letters were replaced, a digest of the result with N for these, whether there are bases only, and whether a text comes out
+    the same when it is normalised alone and not with its neighbours.
+    """
+
+    def run(batches):
+        for batch in parts(batches):
+            texts, seeds = batch.column(1), batch.column(2).to_numpy().view(np.uint64)
+            out, ends, other = normalised(texts, seeds)
+            kept = np.where(other, np.uint8(ord("N")), out)
+            rows = []
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                alone = normalised(texts.slice(i, 1), seeds[i : i + 1])[0]
+                rows.append((int(np.count_nonzero(other[a:b])), hashlib.md5(kept[a:b]).hexdigest(), bool(np.isin(out[a:b], np.frombuffer(b"ACGT", np.uint8)).all()), bool(np.array_equal(alone, out[a:b]))))
+            yield pa.record_batch([batch.column(0), *map(pa.array, zip(*rows))], ["key", "n_other", "kept_md5", "bases_only", "repeatable"])
+
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.xxhash64(name)).alias("seed"))
+    return rows.mapInArrow(run, f"key {kind}, n_other long, kept_md5 string, bases_only boolean, repeatable boolean").withColumnRenamed("key", key)

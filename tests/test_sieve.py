@@ -1,9 +1,14 @@
+import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from mixtally import catalogue
+from mixtally import catalogue, catalogue_files
 from mixtally.functions import letters
+from mixtally.functions import sequences as S
 from mixtally.operators import candidates, kmer_index, sieve
 
 
@@ -59,3 +64,23 @@ def test_bases_and_tiles_of_odd_texts(spark, monkeypatch):
     assert {r.doc_id: r.d for r in letters.dna(docs, "doc_id").collect()} == want
     got = {(r.doc_id, r.at): r.seq for r in letters.tiles(docs, "doc_id", 150, 120, 11).collect()}
     assert got == {(i, a): d[a : a + 150] for i, d in want.items() for a in range(0, len(d or "") - 10, 120)}
+
+
+def test_normalised_batches_are_the_columns(spark):
+    """Letter by letter as the column function: any letters, of several bytes too, and which base each becomes."""
+
+
+    texts = ["acguUNNacgt", "", "é𝄞 xyz ACGT-u", "ACGT" * 30, "The quick brown fox. " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    name = F.col("doc_id").cast("string")
+    rows = docs.select("text", S.normalise("text", name).alias("n"), F.xxhash64(F.xxhash64(name)).alias("seed")).collect()
+
+    out, ends, _ = letters.normalised(pa.array([r.text for r in rows]), np.array([r.seed for r in rows]).view(np.uint64))
+    assert [out[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])] == [r.n for r in rows]
+    got = {r.doc_id: r for r in letters.replacement(docs, "doc_id", "text", name).collect()}
+    assert all(r.repeatable and r.bases_only for r in got.values()) and got[2].n_other == 8
+    assert got[0].kept_md5 == hashlib.md5(b"ACGTTNNACGT").hexdigest()
+
+
+def test_replaced_letters_tells_whether_it_repeats(spark):
+    assert catalogue_files.replaced_letters(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_other", "kept_md5", "bases_only", "repeatable"]
