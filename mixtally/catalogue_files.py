@@ -149,7 +149,7 @@ def pseudoalign_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "index")
     kmer_index.write(path, references(spark, sf_dir), K)
     index = kmer_index.load(spark, path)
-    return candidates.strict(candidates.votes(skip_ahead.match(checkpointed(reads(spark, sf_dir)), index["kmer_ec"], K), index["ecs"]))
+    return candidates.strict(candidates.votes(skip_ahead.match(reads(spark, sf_dir), index["kmer_ec"], K), index["ecs"]))
 
 
 @query(f"""WITH {SQL_REFS}, {sql_kmers('rk', 'refs', 'ref_id', K)}, ec AS (SELECT kmer, string_agg(CAST(ref_id AS VARCHAR), ',' ORDER BY ref_id) AS ec FROM (SELECT DISTINCT kmer, ref_id FROM rk) GROUP BY kmer)

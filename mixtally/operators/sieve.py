@@ -141,3 +141,20 @@ def windows(seqs: DataFrame, found: Sieve, key: str, seq: str = "seq") -> DataFr
 
     kind = dict(seqs.dtypes)[key]
     return seqs.select(F.col(key).alias("key"), F.coalesce(F.upper(seq), F.lit("")).alias("seq")).mapInArrow(run, f"key {kind}, pos int, kmer string").withColumnRenamed("key", key)
+
+
+def touched(seqs: DataFrame, found: Sieve, key: str, seq: str = "seq") -> DataFrame:
+    """(key, seq) of sequences with a window that may be in the index."""
+    k, log2, shared = found.k, found.log2, found.bits
+
+    def run(batches):
+        bits = None if shared is None else shared.value
+        for batch in batches:
+            letters, ends = _letters(batch.column(1))
+            hit = np.zeros(len(batch), bool)
+            for row, _, _ in _passing(letters, ends, k, bits, log2):
+                hit[row] = True
+            yield batch.filter(pa.array(hit))
+
+    kind = dict(seqs.dtypes)[key]
+    return seqs.select(F.col(key).alias("key"), F.coalesce(F.upper(seq), F.lit("")).alias("seq")).mapInArrow(run, f"key {kind}, seq string").withColumnsRenamed({"key": key, "seq": seq})

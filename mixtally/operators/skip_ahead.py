@@ -8,6 +8,8 @@ open intervals of windows, each a row with what its two ends hit:
 * ends that don't, or of which one misses, are halved at the middle, which is probed;
 * where both miss there is nothing to jump along, so every window between them is looked up, all such intervals in one last join.
 
+Reads of which no window passes the index's sieve hit nothing, and no round sees them.
+
 A round so leaves, of each read, the intervals around the places where it enters or leaves a segment; there are log2 of the longest
 read's windows at most. A read probes some log2 of its windows for each such place, and all windows only where it misses.
 
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixtally.functions.sequences import canonical, is_kmer
-from mixtally.operators import unitigs
+from mixtally.operators import sieve, unitigs
 from mixtally.operators.kmer_index import positions, sequence_kmers
-from mixtally.operators.settle import checkpointed
+from mixtally.operators.settle import checkpointed, small
 
 HIT = "struct<ec_id:bigint,segment:bigint,place:bigint,sense:boolean>"
 
@@ -57,6 +59,10 @@ def _agree(a: Column, at: Column, b: Column, bt: Column) -> Column:
 
 def match(reads: DataFrame, index: DataFrame, k: int, key: str = "read_id", seq: str = "seq", counts: list[int] | None = None) -> DataFrame:
     """(key, ec_id): the classes that each read hits. index: as `segments` gives it; counts gets the number of windows probed in each join."""
+    sifted = sieve.sieve(index, k)
+    index = small(index.select("kmer", "ec_id", "segment", "place", "forward"), sifted.n)
+    if counts is None and sifted.bits is not None:
+        reads = sieve.touched(reads, sifted, key, seq)
     rows = reads.select(key, F.upper(seq).alias("s"), F.lit(0).alias("lo"), (F.length(seq) - k).alias("hi")).where("hi >= 0")
     rows = checkpointed(_probed(_probed(rows, index, k, "lo", "left"), index, k, "hi", "right"))
     found = [rows.select(key, "left.ec_id"), rows.select(key, "right.ec_id")]
@@ -87,10 +93,9 @@ def match(reads: DataFrame, index: DataFrame, k: int, key: str = "read_id", seq:
     for part in missed:
         own = part.select(key, F.expr(f"substring(s, lo + 2, hi - lo - 2 + {k})").alias(seq))
         inner = own if inner is None else inner.unionByName(own)
-    windows = sequence_kmers(inner, k, key, seq)
     if counts is not None:
-        counts.append(windows.count())
-    out = windows.join(index.select("kmer", "ec_id"), "kmer").select(key, "ec_id")
+        counts.append(sequence_kmers(inner, k, key, seq).count())
+    out = sieve.windows(inner, sifted, key, seq).join(index, "kmer").select(key, "ec_id")
     for part in found:
         out = out.unionByName(part.where("ec_id IS NOT NULL"))
     return out.distinct()

@@ -84,3 +84,19 @@ def test_normalised_batches_are_the_columns(spark):
 
 def test_replaced_letters_tells_whether_it_repeats(spark):
     assert catalogue_files.replaced_letters(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_other", "kept_md5", "bases_only", "repeatable"]
+
+
+def test_reads_that_hit_nothing_see_no_round(spark, refs, rows):
+    """Of 200 reads that share no 31-mer with the index hardly any is left for the lookup along unitigs; all others are."""
+    kmer_ec, _ = kmer_index.build(refs, 31)
+    left = {r.read_id for r in sieve.touched(rows, sieve.sieve(kmer_ec, 31), "read_id").collect()}
+    hit = {r.read_id for r in kmer_index.sequence_kmers(rows, 31, "read_id").join(kmer_ec, "kmer").select("read_id").distinct().collect()}
+    assert hit <= left and len(left - hit) < 5 < len(hit)
+
+
+def test_fastq_records_are_made_without_arrays(spark):
+    docs = spark.createDataFrame([(1, "ACGT" * 40), (2, "")], "doc_id long, d string")
+    rows = catalogue_files._fastq(docs)
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    qual = "".join(chr(33 + i % 60) for i in range(160))
+    assert rows.first()[0].split("\n+\n")[1].replace("\n", "") == qual
