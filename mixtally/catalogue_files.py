@@ -41,12 +41,12 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fastq(docs: DataFrame, mate: str = "") -> DataFrame:
     """Documents (doc_id, d) as FASTQ records in lines of 70; qualities are the letters' places modulo 60, so some lines begin with @ or +."""
-    qual = F.array_join(F.transform(F.filter(F.split("d", ""), lambda c: c != ""), lambda c, i: F.chr((i % 60 + 33).cast("long"))), "")
+    qual = F.rpad(F.lit(""), F.length("d"), F.lit("".join(chr(33 + i) for i in range(60))))
     return docs.select(F.concat(F.lit("@doc"), F.col("doc_id").cast("string"), F.lit(f"{mate} x\n"), _lines(F.col("d"), 70), F.lit("\n+\n"), _lines(qual, 70)))
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.coalesce(dna("text"), F.lit("")).alias("d"))
+    return letters.dna(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").select("doc_id", F.coalesce("d", F.lit("")).alias("d"))
 
 
 #: The qualities of `_fastq`, as many as a sequence is long.
@@ -69,7 +69,7 @@ def paired_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as mate 1 and, read backward, as mate 2, in folders of several files, and joined again by place."""
     docs, folder = _t(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark, "pairs")
     # Each task writes the same documents, in the same order, for both mates.
-    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").sortWithinPartitions("doc_id").select("doc_id", F.coalesce(dna("text"), F.lit("")).alias("d"))
+    docs = letters.dna(docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").sortWithinPartitions("doc_id"), "doc_id").select("doc_id", F.coalesce("d", F.lit("")).alias("d"))
     one = _write_text(_fastq(docs, "/1"), f"{folder}/one")
     two = _write_text(_fastq(docs.withColumn("d", F.reverse("d")), "/2"), f"{folder}/two", gzip=True)
     return fastx.read_pairs(spark, one, two).select("name1", "name2", F.md5("seq1").alias("seq_md5"), F.md5("seq2").alias("mate_md5"))
