@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtally.catalogue import K, SHORT_K, SQL_DNA, SQL_LK, SQL_OTU, SQL_REFS, TILE, _em_sql, _t, counts, dna, em_steps, even, likelihoods, query, reads, references, spread, sql_kmers, sql_reads, sql_votes
+from mixtally.catalogue import K, SHORT_K, SQL_DNA, SQL_LK, SQL_OTU, SQL_REFS, _em_sql, _t, counts, dna, em_steps, even, halves, likelihoods, query, reads, references, spread, sql_kmers, sql_reads, sql_votes
 from mixtally.functions import letters
 from mixtally.functions import sequences as S
 from mixtally.operators import candidates, em, kmer_index, quality, sieve, skip_ahead, taxonomy
@@ -295,10 +295,8 @@ SELECT read_id, ref_id FROM found WHERE ref_id IS NOT NULL"""
 def mate_combine_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lenient rule for mates over lenient candidates of the halves of each tile."""
     kmer_ec, ecs = kmer_index.build(references(spark, sf_dir), SHORT_K, settled=True)
-    sifted = sieve.sieve(kmer_ec, SHORT_K)
-    rows = reads(spark, sf_dir)
-    halves = rows.select("read_id", F.substring("seq", 1, 75).alias("seq")), rows.select("read_id", F.substring("seq", 76, TILE).alias("seq"))
-    return candidates.mates_lenient(*(candidates.lenient(candidates.votes(kmer_index.match(m, kmer_ec, SHORT_K, sifted=sifted), ecs)) for m in halves))
+    voted = candidates.votes(kmer_index.match_mates(halves(spark, sf_dir), kmer_ec, SHORT_K), ecs, "read_id", "mate")
+    return candidates.pair_candidates(candidates.mate_sets(voted, loose=True), ("lenient",)).drop("rule")
 
 
 @query(f"WITH {SQL_REFS}, {sql_kmers('rk', 'refs', 'ref_id', SHORT_K)}, c AS (SELECT kmer, list_sort(list(DISTINCT ref_id)) AS members FROM rk GROUP BY kmer), e AS (SELECT DISTINCT members FROM c) SELECT array_to_string(a.members, ',') AS one, array_to_string(b.members, ',') AS two FROM e a JOIN e b ON a.members <> b.members AND list_has_all(b.members, a.members)")

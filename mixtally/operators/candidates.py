@@ -16,18 +16,18 @@ from mixtally.operators.settle import small
 DISJOINT_LIMIT = 500
 
 
-def votes(matched: DataFrame, ecs: DataFrame, key: str = "read_id") -> DataFrame:
+def votes(matched: DataFrame, ecs: DataFrame, key: str = "read_id", *also: str) -> DataFrame:
     """(key, ref_id, n_ec, total_ec, most): classes of a read that hold the reference, all it hits, and the most of any reference.
 
-    A class has one more member, null, which so counts a read's classes; nothing is joined by key.
+    also: further columns of the key, as `mate`. A class has one more member, null, which so counts a read's classes; nothing is joined by key.
     """
     n = ecs.agg(F.coalesce(F.sum(F.size("members") + 1), F.lit(0))).first()[0]
     members = F.concat("members", F.array(F.lit(None).cast(ecs.schema["members"].dataType.elementType)))
-    each = matched.select(key, "ec_id").join(small(ecs.select("ec_id", members.alias("members")), n), "ec_id").select(key, F.explode("members").alias("ref_id"))
-    each = each.groupBy(key, "ref_id").agg(F.count("*").alias("n_ec"))
-    of = Window.partitionBy(key)
+    each = matched.select(key, *also, "ec_id").join(small(ecs.select("ec_id", members.alias("members")), n), "ec_id").select(key, *also, F.explode("members").alias("ref_id"))
+    each = each.groupBy(key, *also, "ref_id").agg(F.count("*").alias("n_ec"))
+    of = Window.partitionBy(key, *also)
     rows = each.withColumn("total_ec", F.max(F.when(F.col("ref_id").isNull(), F.col("n_ec"))).over(of)).withColumn("most", F.max(F.when(F.col("ref_id").isNotNull(), F.col("n_ec"))).over(of))
-    return rows.where("ref_id IS NOT NULL").select(key, "ref_id", "n_ec", "total_ec", "most")
+    return rows.where("ref_id IS NOT NULL").select(key, *also, "ref_id", "n_ec", "total_ec", "most")
 
 
 def strict(voted: DataFrame, key: str = "read_id") -> DataFrame:
@@ -58,6 +58,18 @@ def _lists(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     return gathered(one, "c1").join(gathered(two, "c2"), key, "full_outer").select(key, F.coalesce("c1", empty).alias("c1"), F.coalesce("c2", empty).alias("c2"))
 
 
+def _strict_pair():
+    """Of columns c1, c2, h1, h2: what `mates_strict` gives."""
+    both = (F.size("c1") > 0) & (F.size("c2") > 0)
+    return F.when(both, F.array_intersect("c1", "c2")).when((F.size("c1") == 0) & F.col("h1").isNull(), F.col("c2")).when((F.size("c2") == 0) & F.col("h2").isNull(), F.col("c1"))
+
+
+def _lenient_pair(limit: int):
+    """Of columns c1, c2: what `mates_lenient` gives."""
+    common = F.array_intersect("c1", "c2")
+    return F.when(F.size("c1") == 0, F.col("c2")).when(F.size("c2") == 0, F.col("c1")).when(F.size(common) > 0, common).when(F.size("c1") + F.size("c2") < limit, F.array_union("c1", "c2"))
+
+
 def mates_strict(one: DataFrame, two: DataFrame, hit_one: DataFrame, hit_two: DataFrame, key: str = "read_id") -> DataFrame:
     """(key, ref_id) of pairs: the references that both mates have; those of one mate if no k-mer of the other hit at all.
 
@@ -66,17 +78,29 @@ def mates_strict(one: DataFrame, two: DataFrame, hit_one: DataFrame, hit_two: Da
     """
     rows = _lists(one, two, key)
     rows = rows.join(hit_one.select(key).distinct().withColumn("h1", F.lit(True)), key, "left").join(hit_two.select(key).distinct().withColumn("h2", F.lit(True)), key, "left")
-    both = (F.size("c1") > 0) & (F.size("c2") > 0)
-    out = F.when(both, F.array_intersect("c1", "c2")).when((F.size("c1") == 0) & F.col("h1").isNull(), F.col("c2")).when((F.size("c2") == 0) & F.col("h2").isNull(), F.col("c1"))
-    return rows.select(key, F.explode(out).alias("ref_id"))
+    return rows.select(key, F.explode(_strict_pair()).alias("ref_id"))
 
 
 def mates_lenient(one: DataFrame, two: DataFrame, limit: int = DISJOINT_LIMIT, key: str = "read_id") -> DataFrame:
     """(key, ref_id) of pairs: common references; one mate's if the other has none; both lists if disjoint and fewer than `limit` together."""
-    rows = _lists(one, two, key)
-    common = F.array_intersect("c1", "c2")
-    out = F.when(F.size("c1") == 0, F.col("c2")).when(F.size("c2") == 0, F.col("c1")).when(F.size(common) > 0, common).when(F.size("c1") + F.size("c2") < limit, F.array_union("c1", "c2"))
-    return rows.select(key, F.explode(out).alias("ref_id"))
+    return _lists(one, two, key).select(key, F.explode(_lenient_pair(limit)).alias("ref_id"))
+
+
+def mate_sets(voted: DataFrame, loose: bool = False, key: str = "read_id") -> DataFrame:
+    """(key, c1, c2, h1, h2): strict (loose: lenient) candidates of both mates, and whether they hit, from votes by key and `mate` (1 or 2).
+
+    One group-by of rows that lie together by key already, so mates are read, looked up and exchanged once for both rules.
+    """
+    kept = (F.col("n_ec") == F.col("most")) & ((F.col("total_ec") == 1) | (F.col("most") > 1)) if loose else F.col("n_ec") == F.col("total_ec")
+    sets = [F.array_sort(F.collect_set(F.when(kept & (F.col("mate") == i), F.col("ref_id")))).alias(f"c{i}") for i in (1, 2)]
+    return voted.groupBy(key).agg(*sets, *(F.max(F.when(F.col("mate") == i, True)).alias(f"h{i}") for i in (1, 2)))
+
+
+def pair_candidates(sets: DataFrame, rules: tuple[str, ...], limit: int = DISJOINT_LIMIT, key: str = "read_id") -> DataFrame:
+    """(key, ref_id, rule) of `mate_sets` by each of the rules, strict or lenient, as `mates_strict` and `mates_lenient` have them."""
+    by = {"strict": _strict_pair, "lenient": lambda: _lenient_pair(limit)}
+    each = F.array(*(F.struct(F.lit(r).alias("rule"), by[r]().alias("refs")) for r in rules))
+    return sets.select(key, F.inline(each)).select(key, F.explode("refs").alias("ref_id"), "rule")
 
 
 def unmapped(reads: DataFrame, found: DataFrame, key: str = "read_id") -> DataFrame:

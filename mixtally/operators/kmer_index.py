@@ -120,6 +120,14 @@ def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read
     return hits.select(key, "pos", "kmer", "ec_id").repartition(F.col(key))
 
 
+def match_mates(pairs: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seqs: tuple[str, str] = ("seq1", "seq2")) -> DataFrame:
+    """(key, mate, ec_id, hits) of both mates, 1 and 2, as `match` gives it. Pairs (key, a sequence of each mate) are read and looked up once."""
+    sifted = sieve.sieve(kmer_ec, k)
+    mates = F.array(*(F.struct(F.struct(F.col(key), F.lit(i).alias("mate")).alias("of"), F.col(s).alias("seq")) for i, s in enumerate(seqs, 1)))
+    hits = sieve.windows(pairs.select(F.inline(mates)), sifted, "of").join(small(kmer_ec.select("kmer", "ec_id"), sifted.n), "kmer")
+    return hits.select(f"of.{key}", "of.mate", "ec_id").repartition(F.col(key)).groupBy(key, "mate", "ec_id").agg(F.count("*").alias("hits"))
+
+
 def sorted_hits(hits: DataFrame, key: str = "read_id") -> DataFrame:
     """(key, hits): a read's hits (ec_id, pos) in order of class, then position. A read has as many as it has windows, at most."""
     return hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ec_id", "pos"))).alias("hits"))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mixtally import catalogue, catalogue_files
@@ -100,3 +101,20 @@ def test_fastq_records_are_made_without_arrays(spark):
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
     qual = "".join(chr(33 + i % 60) for i in range(160))
     assert rows.first()[0].split("\n+\n")[1].replace("\n", "") == qual
+
+
+def test_mates_are_looked_up_once(spark, refs, rows):
+    """Both rules come from one pass over the pairs and one exchange by read; each mate was looked up anew for each use before."""
+    pairs = rows.withColumnRenamed("seq", "seq1").withColumn("seq2", F.lag("seq1", 1).over(Window.orderBy("read_id")))
+    kmer_ec, ecs = kmer_index.build(refs, 11, settled=True)
+    voted = candidates.votes(kmer_index.match_mates(pairs, kmer_ec, 11), ecs, "read_id", "mate")
+    got = candidates.pair_candidates(candidates.mate_sets(voted), ("strict", "lenient"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("hashpartitioning(read_id") == 1
+    hits = [kmer_index.match(pairs.select("read_id", F.col(s).alias("seq")), kmer_ec, 11) for s in ("seq1", "seq2")]
+    votes = [candidates.votes(h, ecs) for h in hits]
+    sets = [candidates.strict(v) for v in votes]
+    want = {(*r, "strict") for r in candidates.mates_strict(*sets, *hits).collect()} | {(*r, "lenient") for r in candidates.mates_lenient(*sets).collect()}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({r[2] for r in want}) == 2
+    loose = candidates.pair_candidates(candidates.mate_sets(voted, loose=True), ("lenient",)).drop("rule")
+    assert {tuple(r) for r in loose.collect()} == {tuple(r) for r in candidates.mates_lenient(*map(candidates.lenient, votes)).collect()}
