@@ -195,3 +195,16 @@ def test_a_killed_run_goes_on(spark, tmp_path):
     assert len(made) == want.evaluations - saved[-1] + 1  # and the last likelihood
     with pytest.raises(ValueError, match="other"):
         em.Likelihoods(df.where("read_id < 200")).estimate(0.001, controls, folder)
+
+
+def test_likelihoods_are_numbered_vectors(spark):
+    """What an evaluation reads is a row for each batch, numbered by the keys broadcast: it was a row of arrays for each read before, put
+    together by a join with the keys' numbers. Reads with equal rows are still one."""
+    rows = [(i, k, -1.0 - (i % 7) - ord(k) / 50) for i in range(300) for k in "abc"] + [(1000, "d", -1.0)]
+    model = em.Likelihoods(spark.createDataFrame(rows, "read_id long, key string, loglik double").coalesce(1))
+    got = model.classes.collect()
+    assert model.n_multi == 300 and len(got) < 8 and sum(len(r["w"]) // 8 for r in got) == 7
+    assert "Join" not in model.classes._jdf.queryExecution().optimizedPlan().toString()
+    f = {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}
+    want = plain_step(rows, f)
+    assert model.step(f)[0] == pytest.approx(want)
