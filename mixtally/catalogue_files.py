@@ -230,12 +230,14 @@ s AS (SELECT read_id, count(*) AS n, CAST(printf('%.6g', max(p)) AS DOUBLE) AS b
 SELECT 'read' || read_id AS name, n, best, refs, true AS falling FROM s UNION ALL SELECT 'lost', 1, NULL, '', true""")
 def readinfo_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors of each read, the highest first, written packed and read again: how many, the first, of which references, and whether they fall."""
-    lk = likelihoods(spark, sf_dir)
+    lk = checkpointed(likelihoods(spark, sf_dir))
     name = F.concat(F.lit("read"), F.col("read_id").cast("string")).alias("name")
     names = em.support(lk).select("key", F.concat(F.lit("s"), F.col("key").cast("string")).alias("ref"))
     failed = spark.createDataFrame([("lost", "Pseudomapping_Fails")], "name string, reason string")
     path = f"{shared_folder(spark, 'readinfo')}/readinfo"
-    tables.write_tsv(tables.readinfo_rows(em.posterior(lk, even(lk)), lk.select("read_id", name).distinct(), names, failed).orderBy("name"), path, compression="gzip")
+    info = tables.readinfo_rows(em.posterior(lk, even(lk)), lk.select("read_id", name).distinct(), names, failed)
+    # Sorting reads its input twice, once to find the ranges.
+    tables.write_tsv(checkpointed(info).orderBy("name"), path, compression="gzip")
     rows = spark.read.csv(path, sep="\t", header=True).withColumn("p", F.transform(F.split("info", " "), lambda x: F.substring_index(x, ":", 1).try_cast("double")))
     return rows.select("name", F.size("p").cast("long").alias("n"), F.element_at("p", 1).alias("best"), F.array_join(F.array_sort(F.regexp_extract_all("info", F.lit(":(s[0-9]+)"))), " ").alias("refs"), F.coalesce(F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p") - 1)), lambda i: F.coalesce(F.get("p", i) <= F.get("p", i - 1), F.lit(True))), F.lit(True)).alias("falling"))
 

@@ -191,10 +191,11 @@ def readinfo_rows(post: DataFrame, reads: DataFrame, names: DataFrame, failed: D
     post: posterior(...); reads: (read_id, name); names: (key, ref); failed: failed_rows(...).
     """
     label = F.when(F.col("p") == 1, F.concat(F.lit("1:"), F.col("ref"))).otherwise(F.concat(F.format_string("%.6g", "p"), F.lit(":"), F.col("ref")))
-    rows = post.where("key IS NOT NULL").join(names, "key").groupBy("read_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("p", "ref", label.alias("s"))))).alias("a"))
-    found = rows.join(reads, "read_id").select("name", F.array_join(F.transform("a", lambda x: x["s"]), " ").alias("info"))
-    none = post.where("key IS NULL").join(reads, "read_id").select("name", F.when(F.col("status") == "even", "Even_PostEM").otherwise("EM_Unmap").alias("info"))
-    return found.unionByName(none).unionByName(failed.select("name", F.when(F.col("reason") == "Pseudomapping_Fails", "MapFail").otherwise("LikeFail").alias("info")))
+    each = post.join(names, "key", "left").where("key IS NULL OR ref IS NOT NULL")
+    rows = each.groupBy("read_id").agg(F.reverse(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("p", "ref", label.alias("s")))))).alias("a"), F.max(F.when(F.col("key").isNull(), F.col("status"))).alias("why"))
+    none = F.when(F.col("why") == "even", "Even_PostEM").otherwise("EM_Unmap")
+    found = rows.join(reads, "read_id").select("name", F.when(F.col("why").isNull(), F.array_join(F.transform("a", lambda x: x["s"]), " ")).otherwise(none).alias("info"))
+    return found.unionByName(failed.select("name", F.when(F.col("reason") == "Pseudomapping_Fails", "MapFail").otherwise("LikeFail").alias("info")))
 
 
 def write_tabulation(otu: DataFrame, path: str) -> None:

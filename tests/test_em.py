@@ -208,3 +208,10 @@ def test_likelihoods_are_numbered_vectors(spark):
     f = {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}
     want = plain_step(rows, f)
     assert model.step(f)[0] == pytest.approx(want)
+
+
+def test_posterior_groups_reads_once(spark):
+    """Reads without a surviving key are rows of the same plan, not of a second one beside it."""
+    got = em.posterior(frame(spark), spark.createDataFrame([(0, 0.6), (1, 0.4)], "key int, f double"))
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.read_id, r.key, r.status) for r in got.collect()} >= {(3, 1, "single"), (4, 1, "multi")}
