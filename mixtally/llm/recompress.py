@@ -19,14 +19,19 @@ import numpy as np
 import pyarrow as pa
 
 from . import chunks as C
-from .textops import U64, mix, ranges
+from .textops import U64, mix, ranges, span_hashes
 
 
 def content(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """The byte strings data[start : start + size], one after the other."""
+    return strings(data[ranges(start, size)], size)
+
+
+def strings(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The byte strings of these sizes that data consists of."""
     offsets = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=offsets[1:])
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[ranges(start, size)]))])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def raw_parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +45,8 @@ def raw_parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Distinct:
     """Distinct contents of a chunk's symbols, `code` of each symbol, `many`: whether several documents of the chunk have it."""
 
-    def __init__(self, strings: pa.Array, document: np.ndarray):
-        found = strings.dictionary_encode()
+    def __init__(self, every: pa.Array, document: np.ndarray):
+        found = every.dictionary_encode()
         self.strings, self.code = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.zeros(len(self.strings), np.int64)
         first[self.code[::-1]] = document[::-1]
@@ -49,11 +54,9 @@ class Distinct:
 
     def dealing(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The order in which contents are sent, by bucket, and where each bucket's begin."""
-        import xxhash
-
         raw, offs = raw_parts(self.strings)
-        raw, ends = raw.tobytes(), offs.tolist()
-        where = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) % buckets for a, b in zip(ends[:-1], ends[1:])), np.int64, len(ends) - 1)
+        where = span_hashes(raw, offs) % U64(buckets)
+        where = where.astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short numbers are sorted by radix
         order = np.argsort(where, kind="stable")
         return order, np.searchsorted(where[order], np.arange(buckets + 1))
 
@@ -82,7 +85,7 @@ def answer_names(buckets: int):
 
     def resolve(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
         size = np.concatenate([a[0] for _, a in asked]).astype(np.int64)
-        every = content(np.concatenate([a[1] for _, a in asked]), np.cumsum(size) - size, size).dictionary_encode()
+        every = strings(np.concatenate([a[1] for _, a in asked]), size).dictionary_encode()
         code = every.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         many = np.concatenate([np.unpackbits(a[2], count=len(a[0])) for _, a in asked])
         shared = np.bincount(code, weights=1 + many, minlength=len(every.dictionary)) > 1
@@ -186,7 +189,7 @@ class Parse:
 
     def contents(self, own: np.ndarray) -> pa.Array:
         """The names of these symbols' base symbols, as bytes."""
-        return content(self.name.view(np.uint8), self.at[own] * 8, self.parts[own] * 8)
+        return strings(self.name[ranges(self.at[own], self.parts[own])].view(np.uint8), self.parts[own] * 8)
 
 
 def shared_prefixes(group: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks as C
-from .recompress import Distinct, Parse, answer_names, content, shared_prefixes
-from .textops import U64, Words, flat, mix, ranges
+from .recompress import Distinct, Parse, answer_names, shared_prefixes, strings
+from .textops import NON_SPACE, U64, Words, flat, mix, ranges
 
 #: Words in a window, and levels of recompression in a round.
 WINDOW, LEVELS = 13, 3
@@ -51,7 +51,8 @@ class Chunk:
 
     def spelled(self) -> Distinct:
         w = self.words
-        return Distinct(content(w.data, w.start, w.end - w.start), self.document)
+        # Words are all that isn't blank, so nothing need be gathered.
+        return Distinct(strings(w.data[NON_SPACE[w.data]], w.end - w.start), self.document)
 
     def parsed(self, replies: list[bytes]) -> tuple[Parse, np.ndarray, Distinct]:
         """Symbols of round two, those that are named, and their contents."""
@@ -143,7 +144,7 @@ class Chunk:
         right = name[np.where(at < after[:, None], np.minimum((self.place + self.size)[:, None] + at, last), last)]
         left = name[np.where(at < self.far[:, None], np.maximum(self.place[:, None] - 1 - at, 0), last)]
         rows = np.concatenate([self.symbol[:, None], np.stack([self.near, self.far, self.size], axis=1).astype(np.uint64), right, left], axis=1).astype(np.uint64)
-        found = content(rows.view(np.uint8).ravel(), np.arange(n) * rows.shape[1] * 8, np.full(n, rows.shape[1] * 8)).dictionary_encode()
+        found = strings(rows.view(np.uint8).ravel(), np.full(n, rows.shape[1] * 8)).dictionary_encode()
         self.entry = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         m = len(found.dictionary)
         one = np.zeros(m, np.int64)

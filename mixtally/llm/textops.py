@@ -109,6 +109,19 @@ class Words:
         return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string's bytes: strings lie one after the other, offs says where each begins (one more entry)."""
+    out = np.zeros(len(offs) - 1, np.uint64)
+    for row, end in pieces(offs, 1 << 18):
+        part, at = data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        sums = sums[at]
+        out[row:end] = mix((sums[1:] - sums[:-1]) * down[at[:-1]] + np.diff(at).astype(np.uint64))
+    return out
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive entries (len - n + 1 of them), of whatever rows they are."""
     if len(hashes) < n:

@@ -1,6 +1,7 @@
 """Recompression: names, and what windows show, against all windows of small corpora."""
 
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -129,3 +130,51 @@ def test_levels_cover_the_words_in_order(runs):
     long = recompress.Parse(np.full(64, 5, np.uint64), np.zeros(64, np.int64))
     long.level(1, runs=True)
     assert len(long.start) <= 33  # a run of one word becomes pairs
+
+
+def test_naming_calls_nothing_for_each_word():
+    """Dealing contents to buckets takes as many calls for 50,000 different words as for 500."""
+
+    def calls(n):
+        table = pa.table({"doc_id": pa.array([1], pa.int64()), "text": pa.array([" ".join(f"w{i}" for i in range(n))])})
+        seen = 0
+
+        def count(frame, event, arg):
+            nonlocal seen
+            seen += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            asked = list(S.Chunk(table, "text", "doc_id", 13, BUCKETS).spelled().questions(0, BUCKETS))
+        finally:
+            sys.setprofile(None)
+        assert sum(len(C.unpack(blob)[0]) for _, _, blob in asked) == n
+        return seen
+
+    assert calls(50_000) < 2 * calls(500)
+
+
+def test_one_bucket_for_all_contents(monkeypatch):
+    """Contents of one hash fall in one bucket and still get names of their own, in all three rounds."""
+    passage = "a b c d e f g h i j k l m n o p"
+    rows = [(0, f"{passage} q"), (1, f"r {passage}"), (2, "a a a b")]
+    monkeypatch.setattr(recompress, "span_hashes", lambda raw, offs: np.zeros(len(offs) - 1, np.uint64))
+    c = Corpus(rows)
+    names = {}
+    for x in c.chunks:
+        for w, n in zip(x.spelling, x.name.tolist()):
+            names.setdefault(w, set()).add(n)
+    assert all(len(v) == 1 for v in names.values()) and {w for w, v in names.items() if v == {0}} == {b"q", b"r"}
+    assert len({min(v) for v in names.values() if v != {0}}) == 16
+    assert len([p for p in c.windows().values() if len(p) > 1]) == 4 and len(c.shown()) >= 8
+
+
+def test_hashes_of_spans_are_those_of_their_bytes():
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(0, 6))) for _ in range(3000)] + [b"x" * 600_000, b"ab"]
+    one = recompress.strings(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    two = recompress.strings(np.frombuffer(b"".join(texts[::-1]), np.uint8), np.array([len(t) for t in texts[::-1]]))
+    found = recompress.span_hashes(*recompress.raw_parts(one))
+    assert (found == recompress.span_hashes(*recompress.raw_parts(two))[::-1]).all()
+    assert len(set(found.tolist())) == len(set(texts))
+    assert len(recompress.span_hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64))) == 0
