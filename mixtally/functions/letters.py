@@ -58,7 +58,7 @@ def dna(docs: DataFrame, key: str, text: str = "text", name: str = "d") -> DataF
             out = pa.LargeStringArray.from_buffers(len(batch), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)).cast(pa.string())
             yield pa.record_batch([batch.column(0), pa.compute.if_else(batch.column(1).is_valid(), out, pa.scalar(None, pa.string()))], ["key", "d"])
 
-    return _mapped(docs, key, text, run, "d string").withColumnRenamed("d", name)
+    return mapped(docs, key, text, run, "d string").withColumnRenamed("d", name)
 
 
 def tiles(docs: DataFrame, key: str, size: int, stride: int, least: int, text: str = "text") -> DataFrame:
@@ -73,10 +73,22 @@ def tiles(docs: DataFrame, key: str, size: int, stride: int, least: int, text: s
             at = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * stride
             yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(at), strings(letters, ends[row] + at, np.minimum(size, lengths[row] - at))], ["key", "at", "seq"])
 
-    return _mapped(docs, key, text, run, "at long, seq string")
+    return mapped(docs, key, text, run, "at long, seq string")
 
 
-def _mapped(docs: DataFrame, key: str, text: str, run, columns: str) -> DataFrame:
+def tile_counts(docs: DataFrame, key: str, stride: int, least: int, text: str = "text") -> DataFrame:
+    """(key, n): how many tiles `tiles` cuts from each text, a row each, those without any too."""
+
+    def run(batches):
+        for batch in parts(batches):
+            lengths = np.diff(bases(batch.column(1))[1])
+            yield pa.record_batch([batch.column(0), pa.array(np.where(lengths >= least, (lengths - least) // stride + 1, 0))], ["key", "n"])
+
+    return mapped(docs, key, text, run, "n long")
+
+
+def mapped(docs: DataFrame, key: str, text: str, run, columns: str) -> DataFrame:
+    """(key, columns) of what run makes of batches (key, text in lower case)."""
     kind = dict(docs.dtypes)[key]
     # Lower case as Spark has it: some letters of several bytes have a lower case of one.
     return docs.select(F.col(key).alias("key"), F.lower(text).alias("text")).mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)

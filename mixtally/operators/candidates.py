@@ -108,6 +108,17 @@ def unmapped(reads: DataFrame, found: DataFrame, key: str = "read_id") -> DataFr
     return reads.join(found.select(key).distinct(), key, "left_anti")
 
 
+def unmapped_tiles(counts: DataFrame, found: DataFrame, key: str, stride: int) -> DataFrame:
+    """(key, n_unmapped) of texts with tiles without a candidate. counts: (key, n) of each text; found: (key, at) of tiles that have one.
+
+    Only tiles that have one are met by key: all others are a number. Of several texts of one key, a place found counts for each.
+    """
+    good = found.distinct().groupBy(key).agg(F.collect_list(F.expr(f"at div {stride}")).alias("good"))
+    left = F.col("n") - F.coalesce(F.size(F.filter("good", lambda i: i < F.col("n"))), F.lit(0))
+    rows = counts.where("n > 0").join(good, key, "left").withColumn("good", F.coalesce("good", F.array().cast("array<bigint>")))
+    return rows.groupBy(key).agg(F.sum(left).alias("n_unmapped")).where("n_unmapped > 0")
+
+
 def is_subset(a: str, b: str):
     """Whether all members of array a are in array b."""
     return F.size(F.array_except(a, b)) == 0

@@ -120,6 +120,12 @@ def hit_positions(reads: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read
     return hits.select(key, "pos", "kmer", "ec_id").repartition(F.col(key))
 
 
+def tile_hits(docs: DataFrame, kmer_ec: DataFrame, k: int, key: str, size: int, stride: int, least: int) -> DataFrame:
+    """(key, at, ec_id) of each window of the tiles of docs (key, text) that hits; tiles as `letters.tiles` cuts them. Not dealt out by key."""
+    sifted = sieve.sieve(kmer_ec, k)
+    return sieve.tile_windows(docs, sifted, key, size, stride, least).join(small(kmer_ec.select("kmer", "ec_id"), sifted.n), "kmer").select(key, "at", "ec_id")
+
+
 def match_mates(pairs: DataFrame, kmer_ec: DataFrame, k: int, key: str = "read_id", seqs: tuple[str, str] = ("seq1", "seq2")) -> DataFrame:
     """(key, mate, ec_id, hits) of both mates, 1 and 2, as `match` gives it. Pairs (key, a sequence of each mate) are read and looked up once."""
     sifted = sieve.sieve(kmer_ec, k)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixtally.functions import letters as L
+
 MOST_BITS, MOST_KMERS = 28, 1 << 26
 #: Odd numbers that spread codes over the filter, one for each bit that a k-mer sets.
 SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -143,6 +145,41 @@ def windows(seqs: DataFrame, found: Sieve, key: str, seq: str = "seq") -> DataFr
     return seqs.select(F.col(key).alias("key"), F.coalesce(F.upper(seq), F.lit("")).alias("seq")).mapInArrow(run, f"key {kind}, pos int, kmer string").withColumnRenamed("key", key)
 
 
+def tile_windows(docs: DataFrame, found: Sieve, key: str, size: int, stride: int, least: int, text: str = "text") -> DataFrame:
+    """(key, at, kmer) of each window that may be in the index, of each tile that `letters.tiles` cuts from texts; at: the tile's place.
+
+    Tiles overlap and are never made: a text's windows are sifted once, and those that pass belong to one tile or several.
+    """
+    k, log2, shared = found.k, found.log2, found.bits
+
+    def rows(batch, bits):
+        letters, ends = L.bases(batch.column(1))
+        for row, pos, codes in _passing(letters, ends, k, bits, log2):
+            for back in range((size - k) // stride + 1):
+                at = (pos // stride - back) * stride
+                own = np.flatnonzero((at >= 0) & (pos + k <= at + size) & (ends[row + 1] - ends[row] - at >= least))
+                yield row[own], at[own], codes[own]
+
+    def packed(batch, held):
+        row, at, codes = (np.concatenate(x) for x in zip(*held))
+        return pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(at), _decoded(codes, k)], ["key", "at", "kmer"])
+
+    def run(batches):
+        bits = None if shared is None else shared.value
+        for batch in L.parts(batches):
+            held, n = [], 0
+            for found_rows in rows(batch, bits):
+                held.append(found_rows)
+                n += len(found_rows[0])
+                if n >= BLOCK:
+                    yield packed(batch, held)
+                    held, n = [], 0
+            if n:
+                yield packed(batch, held)
+
+    return L.mapped(docs, key, text, run, "at long, kmer string")
+
+
 def touched(seqs: DataFrame, found: Sieve, key: str, seq: str = "seq") -> DataFrame:
     """(key, seq) of sequences with a window that may be in the index."""
     k, log2, shared = found.k, found.log2, found.bits

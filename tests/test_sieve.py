@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -118,3 +119,53 @@ def test_mates_are_looked_up_once(spark, refs, rows):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len({r[2] for r in want}) == 2
     loose = candidates.pair_candidates(candidates.mate_sets(voted, loose=True), ("lenient",)).drop("rule")
     assert {tuple(r) for r in loose.collect()} == {tuple(r) for r in candidates.mates_lenient(*map(candidates.lenient, votes)).collect()}
+
+
+@pytest.mark.parametrize("k, least", [(5, 11), (11, 11), (31, 11), (31, 40)])
+def test_windows_of_tiles_are_told_from_texts(spark, refs, monkeypatch, k, least):
+    """As tiles that are made and sifted one by one: the same windows, in each tile that holds them; counts are those of the tiles."""
+    monkeypatch.setattr(letters, "PART", 700)
+    rng = random.Random(5)
+    texts = ["Ab cKİz", "", None, "éé", "xyz" * 200, "ABC-" * 90] + [" ".join(r.seq for r in refs.collect())] * 2
+    texts += ["".join(rng.choice("acgt ") for _ in range(rng.randrange(400))) + r.seq for r in refs.collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Texts are seen through letters, so references are too.
+    kmer_ec, _ = kmer_index.build(refs.select("ref_id", catalogue.dna("seq").alias("seq")), k)
+    found = sieve.sieve(kmer_ec, k)
+    tiles = letters.tiles(docs, "doc_id", 150, 120, least).withColumn("tile", F.struct("doc_id", "at"))
+    want = sorted(tuple(r) for r in sieve.windows(tiles, found, "tile").select("tile.doc_id", "tile.at", "kmer").collect())
+    assert sorted(tuple(r) for r in sieve.tile_windows(docs, found, "doc_id", 150, 120, least).select("doc_id", "at", "kmer").collect()) == want and len(want) > 500
+    n = {r.doc_id: r["count"] for r in tiles.groupBy("doc_id").count().collect()}
+    assert {r.doc_id: r.n for r in letters.tile_counts(docs, "doc_id", 120, least).collect()} == {i: n.get(i, 0) for i in range(len(texts))}
+
+
+def test_unmapped_tiles_are_counted_by_text(spark):
+    """As reads without a candidate that are met one by one: texts of one key, of none, and without any such tile too."""
+    counts = spark.createDataFrame([(1, 3), (1, 1), (2, 2), (3, 0), (4, 1), (None, 2)], "doc_id long, n long")
+    good = spark.createDataFrame([(1, 0), (1, 240), (1, 240), (4, 0), (9, 0), (None, 0)], "doc_id long, at long")
+    got = sorted(map(tuple, candidates.unmapped_tiles(counts, good, "doc_id", 120).collect()), key=str)
+    reads = counts.select("doc_id", F.explode(F.expr("CASE WHEN n > 0 THEN sequence(0, n - 1) END")).alias("i")).withColumn("read_id", F.col("doc_id") * 1000 + F.col("i") * 120)
+    want = candidates.unmapped(reads, good.select((F.col("doc_id") * 1000 + F.col("at")).alias("read_id"))).groupBy("doc_id").count()
+    assert got == sorted(map(tuple, want.collect()), key=str) == [(1, 1), (2, 2), (None, 2)]
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    """A file of one row group gives all rows to one of its many partitions; they are dealt out to as many as there are cores."""
+    pq.write_table(pa.table({"doc_id": range(2000), "text": [f"text {i}" for i in range(2000)]}), f"{tmp_path}/documents.parquet")
+    kept = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in kept:
+            spark.conf.set(key, "1k")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert docs.rdd.getNumPartitions() > 4 and docs.select(F.spark_partition_id()).distinct().count() == 1
+        sizes = catalogue.spread(docs).groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 1000 and sum(r["count"] for r in sizes) == 2000
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
+def test_unmapped_reads_meet_no_tiles(spark):
+    """No tile is joined by its number: texts' counts meet those that have a candidate."""
+    plan = catalogue.unmapped_reads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("MapInArrow") == 2
