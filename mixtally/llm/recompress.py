@@ -13,13 +13,13 @@ equal names mean equal words, without any trust in hashes, and what is 0 needs n
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 from . import chunks as C
-from .textops import U64, mix, ranges, span_hashes
+from .textops import U64, mix, powers, ranges, span_hashes
 
 
 def content(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -42,36 +42,83 @@ def raw_parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one number, without copying; of the last seven places none."""
+    return np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+
+
+#: The lowest so many bytes of a number, and how many bytes a word may have that is told by two numbers.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+SHORT = 15
+
+
+def numbered(key: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], spell: Callable[[np.ndarray], pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """An item of each content, ascending, and the number of each item's content.
+
+    key is a hash of the contents: it says where in a table an item looks for its like, same(items, others) whether it is. Those
+    that met another look again, and what is left after some rounds (contents of one hash) is told by its bytes, spell(items).
+    """
+    kind = np.int32 if len(key) < np.iinfo(np.int32).max else np.int64
+    like = np.empty(len(key), kind)
+    left = np.arange(len(key), dtype=kind)
+    for salt in range(8):
+        if not len(left):
+            break
+        bits = max(8, len(left).bit_length() + (2 if salt else 0))
+        slot = ((mix(key[left] + U64(salt)) if salt else key) >> U64(64 - bits)).astype(np.int64)
+        table = np.empty(1 << bits, kind)
+        table[slot] = left
+        other = table[slot]
+        found = same(left, other)
+        if found.all():
+            like[left], left = other, left[:0]
+        else:
+            like[left[found]] = other[found]
+            left = left[~found]
+    if len(left):
+        code = spell(left).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        other = np.empty(int(code.max()) + 1, kind)
+        other[code] = left
+        like[left] = other[code]
+    number = np.zeros(len(key), kind)
+    one = np.flatnonzero(like == np.arange(len(key), dtype=kind))
+    number[one] = np.arange(len(one))
+    return one, number[like]
+
+
 class Distinct:
-    """Distinct contents of a chunk's symbols, `code` of each symbol, `many`: whether several documents of the chunk have it."""
+    """Distinct contents of a chunk's symbols: a symbol of each (`one`), and `code` of each symbol.
 
-    def __init__(self, every: pa.Array, document: np.ndarray):
-        found = every.dictionary_encode()
-        self.strings, self.code = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        first = np.zeros(len(self.strings), np.int64)
-        first[self.code[::-1]] = document[::-1]
-        self.many = np.bincount(self.code[first[self.code] != document], minlength=len(self.strings)) > 0
+    key is a 64-bit hash of each symbol's content, the same in all chunks; same and spell are those of `numbered`.
+    """
+
+    def __init__(self, key: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], spell: Callable[[np.ndarray], pa.Array], document: np.ndarray):
+        self.one, self.code = numbered(key, same, spell)
+        self.key, self.spell, self.document = key[self.one], spell, document
+
+    def many(self) -> np.ndarray:
+        """Whether several documents of the chunk have it, of each content."""
+        return np.bincount(self.code[self.document[self.one][self.code] != self.document], minlength=len(self.one)) > 0
 
     def dealing(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The order in which contents are sent, by bucket, and where each bucket's begin."""
-        raw, offs = raw_parts(self.strings)
-        where = span_hashes(raw, offs) % U64(buckets)
+        where = self.key % U64(buckets)
         where = where.astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short numbers are sorted by radix
         order = np.argsort(where, kind="stable")
-        return order, np.searchsorted(where[order], np.arange(buckets + 1))
+        return order, np.concatenate([[0], np.cumsum(np.bincount(where, minlength=buckets))])
 
     def questions(self, chunk: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-        raw, offs = raw_parts(self.strings)
         order, bounds = self.dealing(buckets)
+        raw, offs = raw_parts(self.spell(self.one[order]))
+        size, many = np.diff(offs).astype(np.uint32), self.many()[order]
         for b in np.flatnonzero(np.diff(bounds)).tolist():
-            own = order[bounds[b] : bounds[b + 1]]
-            size = offs[own + 1] - offs[own]
-            yield chunk, b, C.pack(size.astype(np.uint32), raw[ranges(offs[own], size)], np.packbits(self.many[own]))
+            own = slice(bounds[b], bounds[b + 1])
+            yield chunk, b, C.pack(size[own], raw[offs[own.start] : offs[own.stop]], np.packbits(many[own]))
 
     def names(self, replies: list[bytes], buckets: int) -> np.ndarray:
         """The name of each symbol; 0 where it is no other document's."""
         order, bounds = self.dealing(buckets)
-        out = np.zeros(len(self.strings), np.uint64)
+        out = np.zeros(len(self.one), np.uint64)
         for reply in replies:
             bucket, shared, name = C.unpack(reply)
             own = order[bounds[bucket[0]] : bounds[bucket[0] + 1]]
@@ -79,6 +126,27 @@ class Distinct:
         return out[self.code]
 
 
+def distinct_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, document: np.ndarray) -> Distinct:
+    """Words data[start : start + size]. Up to SHORT bytes are two numbers, the second with the size; longer ones are numbered by their bytes."""
+    every = eights(np.append(data, np.zeros(16, np.uint8)))
+    low = every[start] & _LOW[np.minimum(size, 8)]
+    high = size.astype(np.uint64) << U64(56)
+    own = np.flatnonzero((size > 8) & (size <= SHORT))
+    high[own] |= every[start[own] + 8] & _LOW[size[own] - 8]
+    key = mix(low * U64(0x9E3779B97F4A7C15) + high * U64(0xC2B2AE3D27D4EB4F) + (high >> U64(56)))
+
+    def spell(items: np.ndarray) -> pa.Array:
+        return content(data, start[items], size[items])
+
+    own = np.flatnonzero(size > SHORT)
+    if len(own):
+        found = spell(own).dictionary_encode()
+        code = found.indices.to_numpy(zero_copy_only=False)
+        low[own], high[own] = code.astype(np.uint64), U64(255 << 56)
+        key[own] = span_hashes(*raw_parts(found.dictionary))[code]
+    return Distinct(key, lambda a, b: (low[a] == low[b]) & (high[a] == high[b]), spell, document)
+
+
 def answer_names(buckets: int):
     """Resolves contents to names: the same for equal bytes, different for others, above 0, and told only if two documents of one chunk
     or two chunks have them. Rows of one doc_id in two chunks so give names that no other document has: work, but no other result."""
@@ -100,6 +168,24 @@ def answer_names(buckets: int):
     return resolve
 
 
+#: Symbols that are parsed at once, as far as there is a gap between: their arrays stay in the processor's cache.
+BLOCK = 1 << 14
+
+
+def shifted(values: np.ndarray) -> np.ndarray:
+    """The next entry of each, 0 behind the last."""
+    out = np.zeros_like(values)
+    out[:-1] = values[1:]
+    return out
+
+
+def lagged(values: np.ndarray) -> np.ndarray:
+    """The entry before each, 0 before the first."""
+    out = np.zeros_like(values)
+    out[1:] = values[:-1]
+    return out
+
+
 class Parse:
     """Symbols of a sequence: `start`, `size` in words, `hash` of content, and the extent `low` to `high` that determines them.
 
@@ -108,19 +194,42 @@ class Parse:
     `gap_high` tell how far one must see to know it.
     """
 
+    #: What a symbol has.
+    FIELDS = ("start", "size", "hash", "low", "high", "gap_low", "gap_high", "after", "at", "parts")
+
     def __init__(self, names: np.ndarray, row: np.ndarray):
         own = np.flatnonzero(names)
-        self.start, self.size = own, np.ones(len(own), np.int64)
-        self.low, self.high = own.copy(), own + 1
-        self.gap_low, self.gap_high = own - 1, own + 2
-        self.after = np.zeros(len(own), bool)
+        after = np.zeros(len(own), bool)
         if len(own):
-            self.after[:-1] = (np.diff(own) == 1) & (row[own[1:]] == row[own[:-1]])
+            after[:-1] = (np.diff(own) == 1) & (row[own[1:]] == row[own[:-1]])
+        self.after = after
         self.hash = mix(names[own])
         self._base(names[own])
+        if len(names) < np.iinfo(np.int32).max - 2:
+            own = own.astype(np.int32)
+        self.start, self.size = own, np.ones_like(own)
+        self.low, self.high = own.copy(), own + 1
+        self.gap_low, self.gap_high = own - 1, own + 2
 
     def _base(self, names: np.ndarray) -> None:
-        self.name, self.at, self.parts = names, np.arange(len(names)), np.ones(len(names), np.int64)
+        kind = np.int32 if len(names) < np.iinfo(np.int32).max else np.int64
+        self.name, self.at, self.parts = names, np.arange(len(names), dtype=kind), np.ones(len(names), kind)
+
+    def levels(self, first: int, count: int, runs: bool = False) -> None:
+        """Levels first, first + 1 and so on, the first of them with runs if so asked. Gaps part the sequence into blocks, which are parsed one by one."""
+        n = len(self.hash)
+        cut = np.flatnonzero(~self.after) + 1
+        cut = np.unique(cut[np.minimum(np.searchsorted(cut, np.arange(BLOCK, n + BLOCK, BLOCK)), len(cut) - 1)]).tolist() if n else []
+        done = []
+        for begin, end in zip([0, *cut], cut):
+            part = object.__new__(Parse)
+            for field in self.FIELDS:
+                setattr(part, field, getattr(self, field)[begin:end])
+            for k in range(count):
+                part.level(first + k, runs and k == 0)
+            done.append(part)
+        for field in self.FIELDS if done else ():
+            setattr(self, field, np.concatenate([getattr(part, field) for part in done]))
 
     def rebased(self, names: np.ndarray, stay: np.ndarray) -> Parse:
         """The symbols as base symbols with these names; those that don't stay become gaps, on which their neighbours depend."""
@@ -150,38 +259,46 @@ class Parse:
         n = len(self.hash)
         if not n:
             return
-        bit = (mix(self.hash + U64(salt)) & U64(1)).astype(bool)
-        before = np.append(False, self.after[:-1])
-        low, high = self.low, self.high
+        after, low, high = self.after, self.low, self.high
+        bit = ((self.hash >> U64(salt % 64)) & U64(1)) != 0
         if runs:
-            same = np.zeros(n, bool)  # followed by its like
-            same[:-1] = (self.hash[1:] == self.hash[:-1]) & self.after[:-1]
-            tail = np.where(same, n, np.arange(n))
-            tail = np.minimum.accumulate(tail[::-1])[::-1]
-            bit = np.where(same, (tail - np.arange(n)) % 2 == 0, bit)
             # A symbol knows its bit once what follows its run is known.
-            high = np.where(self.after[tail], np.append(high[1:], 0)[tail], self.gap_high[tail])
-            high = np.maximum(high, self.high)
+            follow = shifted(high)
+            ends = np.flatnonzero(~after)
+            follow[ends] = self.gap_high[ends]
+            same = np.zeros(n, bool)  # followed by its like
+            same[:-1] = (self.hash[1:] == self.hash[:-1]) & after[:-1]
+            high = np.maximum(high, follow)
+            own = np.flatnonzero(same)
+            if len(own):
+                tail = np.flatnonzero(~same)
+                tail = tail[np.searchsorted(tail, own)]
+                bit[own] = (tail - own) % 2 == 0
+                high[own] = np.maximum(self.high[own], follow[tail])
         pair = np.zeros(n, bool)
-        pair[:-1] = ~bit[:-1] & bit[1:] & self.after[:-1]
-        second = np.append(False, pair[:-1])
-        alone = ~(pair | second)
-        # A symbol of bit 0 stays alone because of what follows it, one of bit 1 because of what comes before.
-        following, leading = np.append(high[1:], 0), np.append(0, low[:-1])
-        new_low = np.where(alone & bit, np.minimum(low, np.where(before, leading, self.gap_low)), low)
-        new_high = np.where(alone & ~bit, np.maximum(high, np.where(self.after, following, self.gap_high)), high)
-        # The symbol before was seen with its bit, which with runs depends on what follows it.
-        new_high = np.where(alone & bit & before, np.maximum(new_high, np.append(0, high[:-1])), new_high)
-        at = np.flatnonzero(~second)
-        two, nxt = pair[at], np.minimum(at + 1, n - 1)
-        self.low = np.where(two, np.minimum(new_low[at], new_low[nxt]), new_low[at])
-        self.high = np.where(two, np.maximum(new_high[at], new_high[nxt]), new_high[at])
-        self.hash = np.where(two, mix(self.hash[at] * U64(3) + self.hash[nxt] * U64(0xC2B2AE3D27D4EB4F)), self.hash[at])
-        self.parts = np.where(two, self.parts[at] + self.parts[nxt], self.parts[at])
-        self.size = np.where(two, self.size[at] + self.size[nxt], self.size[at])
-        self.after = np.where(two, self.after[nxt], self.after[at])
-        self.gap_low, self.gap_high = self.gap_low[at], np.where(two, self.gap_high[nxt], self.gap_high[at])
-        self.start, self.at = self.start[at], self.at[at]
+        pair[:-1] = ~bit[:-1] & bit[1:] & after[:-1]
+        at = np.flatnonzero(~lagged(pair))
+        two, one = pair[at], bit[at]
+        last = at + two
+        # A symbol of bit 0 stays alone because of what follows it, one of bit 1 because of what comes before: that was seen with
+        # its bit, which with runs depends on what follows it. The first of a pair has bit 0, so both cases look the same way.
+        beside = at + 1 - 2 * one
+        beside[-1] = min(beside[-1], n - 1)
+        new_low, new_high = np.minimum(low[at], low[last - one]), np.maximum(high[at], high[beside])
+        own = np.flatnonzero(one & ~lagged(after)[at])
+        new_low[own], new_high[own] = np.minimum(low[at[own]], self.gap_low[at[own]]), high[at[own]]
+        own = np.flatnonzero(~(one | after[at]))
+        new_high[own] = np.maximum(high[at[own]], self.gap_high[at[own]])
+        own = np.flatnonzero(two)
+        first = at[own]
+        hashes = self.hash[at]
+        hashes[own] = mix(self.hash[first] * U64(3) + self.hash[first + 1] * U64(0xC2B2AE3D27D4EB4F))
+        start = self.start[at]
+        self.size = (self.start + self.size)[last] - start
+        parts = self.parts[at]
+        parts[own] += self.parts[first + 1]
+        self.low, self.high, self.hash, self.start, self.parts = new_low, new_high, hashes, start, parts
+        self.after, self.gap_low, self.gap_high, self.at = after[last], self.gap_low[at], self.gap_high[last], self.at[at]
 
     def made(self, most: int) -> np.ndarray:
         """The symbols of more than one base symbol whose extents are of `most` words at most: no window of so many shows others."""
@@ -191,6 +308,28 @@ class Parse:
         """The names of these symbols' base symbols, as bytes."""
         return strings(self.name[ranges(self.at[own], self.parts[own])].view(np.uint8), self.parts[own] * 8)
 
+    def distinct(self, own: np.ndarray, document: np.ndarray) -> Distinct:
+        """The contents of these symbols, which are in these documents."""
+        at, parts, name = self.at[own], self.parts[own], self.name
+        up, down = powers(len(name) + 1)
+        sums = np.zeros(len(name) + 1, np.uint64)
+        np.cumsum(mix(name) * up[: len(name)], out=sums[1:])
+        key = mix((sums[at + parts] - sums[at]) * down[at] + parts.astype(np.uint64))
+
+        def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            equal = parts[a] == parts[b]
+            pairs = np.flatnonzero(equal & (a != b))
+            k = 0
+            while len(pairs):
+                x, y = a[pairs], b[pairs]
+                agree = name[at[x] + k] == name[at[y] + k]
+                equal[pairs[~agree]] = False
+                k += 1
+                pairs = pairs[agree & (parts[x] > k)]
+            return equal
+
+        return Distinct(key, same, lambda items: self.contents(own[items]), document)
+
 
 def shared_prefixes(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Of each row, for each length from 0 to its width, a number that rows of one group share if their first so many columns are equal."""

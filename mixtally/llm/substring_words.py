@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks as C
-from .recompress import Distinct, Parse, answer_names, shared_prefixes, strings
-from .textops import NON_SPACE, U64, Words, flat, mix, ranges
+from .recompress import Distinct, Parse, answer_names, distinct_words, shared_prefixes, strings
+from .textops import U64, Words, flat, mix, ranges
 
 #: Words in a window, and levels of recompression in a round.
 WINDOW, LEVELS = 13, 3
@@ -51,17 +51,15 @@ class Chunk:
 
     def spelled(self) -> Distinct:
         w = self.words
-        # Words are all that isn't blank, so nothing need be gathered.
-        return Distinct(strings(w.data[NON_SPACE[w.data]], w.end - w.start), self.document)
+        return distinct_words(w.data, w.start, w.end - w.start, self.document)
 
     def parsed(self, replies: list[bytes]) -> tuple[Parse, np.ndarray, Distinct]:
         """Symbols of round two, those that are named, and their contents."""
         self.name = self.spelled().names(replies, self.buckets)
         parse = Parse(self.name, self.words.row)
-        for k in range(LEVELS):
-            parse.level(k + 1, runs=k == 0)
+        parse.levels(1, LEVELS, runs=True)
         own = parse.made(self.window)
-        return parse, own, Distinct(parse.contents(own), self.document[parse.start[own]])
+        return parse, own, parse.distinct(own, self.document[parse.start[own]])
 
     def parsed_again(self, first: list[bytes], second: list[bytes]) -> tuple[Parse, np.ndarray, Distinct]:
         """Symbols of round three; those of round two are in `low`."""
@@ -71,10 +69,9 @@ class Chunk:
         name[own] = np.where(found > 0, found * U64(2) + U64(1), 0)
         self.low = parse, own, found
         parse = parse.rebased(name, name > 0)
-        for k in range(LEVELS):
-            parse.level(LEVELS + k + 1)
+        parse.levels(LEVELS + 1, LEVELS)
         own = parse.made(self.window)
-        return parse, own, Distinct(parse.contents(own), self.document[parse.start[own]])
+        return parse, own, parse.distinct(own, self.document[parse.start[own]])
 
     def anchors(self, first: list[bytes], second: list[bytes], third: list[bytes]) -> None:
         """The symbol that each window shows which may repeat: of runs of such windows `place` (word), `size`, `symbol`, and the
@@ -283,15 +280,15 @@ def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str =
 def kept_texts(words: Words, gone: np.ndarray) -> list[bytes]:
     """Of each row, the words that stay, joined by one space."""
     keep = np.flatnonzero(~gone)
-    row = words.row[keep]
-    start, size = words.start[keep], words.end[keep] - words.start[keep]
-    # Each kept word with one space behind it; the last space of a row is cut off.
-    out = np.full(int((size + 1).sum()), 0x20, np.uint8)
-    ends = np.cumsum(size + 1)
-    out[ranges(ends - size - 1, size)] = words.data[ranges(start, size)]
-    raw = out.tobytes()
-    stop = np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(words.first)))]
-    return [raw[a : b - 1] if b > a else b"" for a, b in zip(stop[:-1], stop[1:])]
+    row, start, end = words.row[keep], words.start[keep], words.end[keep]
+    # Words that stay and have one space between them are copied together.
+    new = np.ones(len(keep), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != end[:-1] + 1) | (words.data[end[:-1]] != 0x20)
+    head = np.flatnonzero(new)
+    begin, stop = start[head].tolist(), end[np.append(head[1:], len(keep))[: len(head)] - 1].tolist()
+    raw = words.data.tobytes()
+    bounds = np.searchsorted(row[head], np.arange(len(words.first))).tolist()
+    return [b" ".join([raw[x:y] for x, y in zip(begin[a:b], stop[a:b])]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def removed(words: Words, gone: np.ndarray) -> np.ndarray:

@@ -92,8 +92,8 @@ class Words:
         if len(cut):
             cut = cut[inside[cut] & inside[cut + 1]]
             if len(cut):
-                start = np.sort(np.concatenate([start, cut]))
-                end = np.sort(np.concatenate([end, cut]))
+                start = np.insert(start, np.searchsorted(start, cut), cut)
+                end = np.insert(end, np.searchsorted(end, cut), cut)
         self.start, self.end = start, end
         self.first = np.searchsorted(start, offs)
         self.row = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))

@@ -178,3 +178,72 @@ def test_hashes_of_spans_are_those_of_their_bytes():
     assert (found == recompress.span_hashes(*recompress.raw_parts(two))[::-1]).all()
     assert len(set(found.tolist())) == len(set(texts))
     assert len(recompress.span_hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64))) == 0
+
+
+def test_parsing_takes_memory_for_blocks_not_for_all_symbols():
+    """Of many short documents, a level's temporaries are those of one block: at most 130 bytes are held for each word at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    n = 400_000
+    table = pa.table({"doc_id": pa.array(np.arange(n // 100), pa.int64()), "text": pa.array([" ".join(map(str, x)) for x in rng.integers(0, 5000, (n // 100, 100)).tolist()])})
+    c = S.Chunk(table, "text", "doc_id", 13, BUCKETS)
+    replies = []
+    for _, b, blob in c.spelled().questions(0, BUCKETS):
+        replies += [r for _, r in recompress.answer_names(BUCKETS)(b, [(0, C.unpack(blob))])]
+    tracemalloc.start()
+    try:
+        parse = c.parsed(replies)[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(parse.name) == n and peak < 130 * n
+
+
+@pytest.mark.parametrize("block", [1, 7, 60, 1 << 14])
+def test_blocks_parse_as_the_whole_does(block, monkeypatch):
+    monkeypatch.setattr(recompress, "BLOCK", block)
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(0, 300))
+        names, row = rng.integers(0, int(rng.integers(2, 30)), n).astype(np.uint64), np.sort(rng.integers(0, 9, n))
+        one, two = recompress.Parse(names, row), recompress.Parse(names, row)
+        for _ in range(2):
+            for k in range(3):
+                one.level(k + 1, runs=k == 0)
+            two.levels(1, 3, runs=True)
+            for field in recompress.Parse.FIELDS:
+                assert getattr(one, field).tolist() == getattr(two, field).tolist()
+            again = rng.integers(0, 4, len(one.hash)).astype(np.uint64)
+            one, two = one.rebased(again, again > 0), two.rebased(again, again > 0)
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_words_are_told_apart_by_all_their_bytes(one_hash, monkeypatch):
+    """Words that differ in length, in NULs or in their last byte, of 1 to 40 bytes; also if all hashes are one."""
+    if one_hash:
+        monkeypatch.setattr(recompress, "mix", lambda x: np.zeros(len(x), np.uint64))
+    rng = random.Random(3)
+    words = [b"\0" * k for k in range(1, 20)] + [b"a" * k + t for k in range(40) for t in (b"a", b"b", b"\0", b"\xff")]
+    words += rng.choices(words, k=300)
+    rng.shuffle(words)
+    size = np.array([len(w) for w in words])
+    found = recompress.distinct_words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, np.arange(len(words)) // 50)
+    spelled = [bytes(x) for x in found.spell(found.one).to_pylist()]
+    assert len(set(spelled)) == len(spelled) and [spelled[c] for c in found.code] == words
+    places = {}
+    for k, w in enumerate(words):
+        places.setdefault(w, set()).add(k // 50)
+    assert found.many().tolist() == [len(places[w]) > 1 for w in spelled]
+
+
+def test_kept_texts_have_one_space_between_words():
+    from mixtally.llm.textops import Words, flat
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "bc", " ", " ", "  ", "\n", "\t "]) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", " ", "x"]
+    words = Words(*flat(pa.array(texts)))
+    gone = np.array([rng.random() < 0.3 for _ in range(len(words))])
+    left = iter(gone.tolist())
+    assert S.kept_texts(words, gone) == [" ".join(w for w in t.split() if not next(left)).encode() for t in texts]
+    assert S.kept_texts(words, np.ones(len(words), bool)) == [b""] * len(texts)
