@@ -8,9 +8,10 @@ checkpoint keeps its partitioning: afterwards questions and replies move, chunks
 In an exchange each chunk sends its distinct keys, sorted and packed by hash bucket, and gets an answer for each in the same
 order; copies inside a chunk are already merged, so the hottest key of the corpus costs one entry a chunk. The number of
 buckets follows the number of chunks, so a bucket's size doesn't grow with the corpus. Nor does a chunk's number of rows: it
-sends one row to each of FANOUT groups of buckets, and relays, each for the rows of FANOUT chunks to one group, send them on to
-FANOUT smaller groups, until a group is a bucket (`Exchange`). C chunks so send at most C * FANOUT rows at each of log(buckets) /
-log(FANOUT) levels, and replies come back along the same way.
+sends one row to each of FANOUT groups of buckets at most, and relays, each for the rows of as many chunks to one group, send them
+on to as many smaller groups, until a group is a bucket (`Exchange`). C chunks so send at most C * FANOUT rows at each of
+log(buckets) / log(FANOUT) levels, and replies come back along the same way. Groups are as many as the levels need, not more: with f of
+them, f ** levels being about the buckets, a relay holds f chunks' rows to one f-th of the buckets, as much as a chunk sends.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch; a larger row is a batch of its own.
 BATCH_BYTES = 8 << 20
 #: Chunks for each bucket of an exchange, and groups of buckets that a chunk or a relay sends rows to.
-CHUNKS_A_BUCKET, FANOUT = 4, 512
+CHUNKS_A_BUCKET, FANOUT = 4, 4096
 
 PARTS = "slab long, place long, blob binary"
 REPLIES = "chunk long, blob binary"
@@ -200,15 +201,17 @@ class Relays:
     """The way of rows between `count` chunks and `buckets` buckets.
 
     Bundles of (chunk, bucket, blob) travel in rows (slab, place, blob). Behind level l the slab holds the chunks whose number
-    (a hash, modulo their count) has the same quotient by FANOUT ** l, and the place the buckets with the same quotient by
-    FANOUT ** (levels - l).
+    (a hash, modulo their count) has the same quotient by `fanout` ** l, and the place the buckets with the same quotient by
+    `fanout` ** (levels - l).
     """
 
     def __init__(self, count: int, buckets: int, fanout: int | None = None):
-        self.count, self.buckets, self.fanout = max(1, count), buckets, fanout or FANOUT
-        self.levels = 1
-        while self.fanout**self.levels < buckets:
+        self.count, self.buckets, self.levels = max(1, count), buckets, 1
+        most = fanout or FANOUT
+        while most**self.levels < buckets:
             self.levels += 1
+        # No wider than these levels need: a relay then holds about as much as one chunk sends, be the buckets few or many.
+        self.fanout = next(f for f in range(max(1, int(buckets ** (1 / self.levels)) - 1), most + 1) if f**self.levels >= buckets)
 
     def place(self, level: int) -> Callable[[int, int], tuple[int, int]]:
         """Where a chunk's rows for a bucket are behind a level, 1 to `levels`; behind the last all slabs are one."""

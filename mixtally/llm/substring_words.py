@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 
 from . import chunks as C
 from .recompress import Distinct, Parse, answer_names, distinct_words, shared_prefixes, strings
-from .textops import U64, Words, flat, mix, ranges
+from .textops import U64, Words, flat, mix, ranges, segments
 
 #: Words in a window, and levels of recompression in a round.
 WINDOW, LEVELS = 13, 3
+#: Rows of a bucket that are resolved at a time, unless one symbol has more: what this takes is some 1 KB a row.
+SLICE = 1 << 16
 #: Order of a document without a doc_id: after all others, and never later than another.
 LAST = np.iinfo(np.int64).max
 
@@ -182,32 +184,51 @@ def planes(values: np.ndarray) -> np.ndarray:
 
 
 def from_planes(raw: np.ndarray, size: int) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.uint64) if len(raw) else np.zeros(0, np.uint64)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(f"<u{size}").ravel() if len(raw) else np.zeros(0, np.uint32)
+
+
+def earlier_starts(window: int, symbol: np.ndarray, shape: np.ndarray, names: np.ndarray, earliest: np.ndarray) -> np.ndarray:
+    """Of surroundings (near, far, size; names without what is empty), for each distance, whether the window so far before the symbol occurs in an earlier document."""
+    width = window - 1
+    near, far, size = shape.astype(np.int64).T
+    held = np.concatenate([np.arange(width) < (window - size - near)[:, None], np.arange(width) < far[:, None]], axis=1)
+    every = np.zeros(held.shape, np.uint64)
+    every[held] = names
+    group = np.unique(symbol, return_inverse=True)[1]
+    right, left = (shared_prefixes(group, x) for x in (every[:, :width], every[:, width:]))
+    found = np.zeros((len(symbol), window), bool)
+    for before in range(window):
+        own = np.flatnonzero((near <= before) & (before <= far))
+        if not len(own):
+            continue
+        behind = window - size[own] - before
+        one, inverse = np.unique(right[own, behind] * (len(symbol) + 1) + left[own, before], return_inverse=True)
+        least = np.full(len(one), LAST)
+        np.minimum.at(least, inverse, earliest[own])
+        found[own, before] = least[inverse] < earliest[own]
+    return found
 
 
 def answer_windows(window: int):
-    """Resolves anchors' surroundings: which of their windows occur in a document earlier than the chunk's earliest with that surrounding."""
+    """Resolves anchors' surroundings: which of their windows occur in a document earlier than the chunk's earliest with that surrounding.
+
+    Symbols are resolved some SLICE rows at a time: rows of different symbols have nothing to do with each other.
+    """
 
     def resolve(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
-        width = window - 1
         symbol = np.concatenate([a[0] for _, a in asked])
-        near, far, size = np.concatenate([a[1].reshape(-1, 3) for _, a in asked]).astype(np.int64).T
-        held = np.concatenate([np.arange(width) < (window - size - near)[:, None], np.arange(width) < far[:, None]], axis=1)
-        names = np.zeros(held.shape, np.uint64)
-        names[held] = np.concatenate([from_planes(a[2], int(a[3][0])) for _, a in asked])
+        shape = np.concatenate([a[1].reshape(-1, 3) for _, a in asked])
+        names = np.concatenate([from_planes(a[2], int(a[3][0])) for _, a in asked])
         earliest = np.concatenate([a[4] for _, a in asked])
-        group = np.unique(symbol, return_inverse=True)[1]
-        right, left = (shared_prefixes(group, x) for x in (names[:, :width], names[:, width:]))
+        length = window - shape[:, 2].astype(np.int64) - shape[:, 0] + shape[:, 1]
+        name = np.cumsum(length) - length
         found = np.zeros((len(symbol), window), bool)
-        for before in range(window):
-            own = np.flatnonzero((near <= before) & (before <= far))
-            if not len(own):
-                continue
-            behind = window - size[own] - before
-            one, inverse = np.unique(right[own, behind] * (len(symbol) + 1) + left[own, before], return_inverse=True)
-            least = np.full(len(one), LAST)
-            np.minimum.at(least, inverse, earliest[own])
-            found[own, before] = least[inverse] < earliest[own]
+        part = mix(symbol) % U64(max(1, -(-len(symbol) // SLICE)))
+        order = np.argsort(part, kind="stable")
+        at = segments(part[order])
+        for begin, end in zip(at, np.append(at[1:], len(order))):
+            own = order[begin:end]
+            found[own] = earlier_starts(window, symbol[own], shape[own], names[ranges(name[own], length[own])], earliest[own])
         at = 0
         for chunk, a in asked:
             n = len(a[0])

@@ -109,3 +109,36 @@ def test_dedup_by_relays(spark, monkeypatch, fanout):
     found = {r.doc_id: bytes(r.kept) for r in substring_bytes.remove_repeated_bytes(docs).collect()}
     want = {r.doc_id: bytes(r.kept) for r in substring_bytes.remove_repeated_bytes(docs, hot=2).collect()}
     assert found == want
+
+
+@pytest.mark.parametrize("fanout, chunks, buckets", [(512, 600, 600), (32, 900, 900), (4096, 600, 600)])
+def test_a_relay_holds_what_a_chunk_sends(fanout, chunks, buckets):
+    """Blobs of a group behind each level; with groups as wide as allowed a relay held 512 chunks' blobs to 512 buckets, nearly all there were."""
+    from collections import Counter
+
+    relays = C.Relays(chunks, buckets, fanout)
+    assert relays.fanout <= fanout and relays.fanout**relays.levels >= buckets
+    for level in range(1, relays.levels):
+        place = relays.place(level)
+        held = Counter(place(chunk << 32, bucket) for chunk in range(chunks) for bucket in range(buckets))
+        assert max(held.values()) < 3 * buckets
+
+
+def test_surroundings_are_resolved_in_slices(monkeypatch):
+    """A bucket's symbols some rows at a time, with the same result: they were all resolved at once, whatever they took."""
+    rng = np.random.default_rng(5)
+    window, n = 13, 600
+    asked = []
+    for chunk in range(3):
+        symbol = rng.integers(0, 60, n).astype(np.uint64)
+        size, near = (symbol % np.uint64(3)).astype(np.int64) + 1, rng.integers(0, 3, n)  # a symbol's words are always as many
+        far = near + rng.integers(0, 4, n)
+        names = (rng.random(int((window - size - near + far).sum())) < 0.1).astype(np.uint32) + np.uint32(1)
+        shape = np.stack([near, far, size], axis=1).astype(np.uint8).ravel()
+        asked.append((chunk, [symbol, shape, substring_words.planes(names), np.array([4]), rng.integers(0, 9, n), np.ones(n, np.uint32), np.arange(n, dtype=np.uint32)]))
+    asked = [(chunk, C.unpack(C.pack(*a))) for chunk, a in asked]
+    resolve, seen, real = substring_words.answer_windows(window), [], substring_words.earlier_starts
+    want = list(resolve(0, asked))
+    monkeypatch.setattr(substring_words, "earlier_starts", lambda window, symbol, *a: seen.append(len(symbol)) or real(window, symbol, *a))
+    monkeypatch.setattr(substring_words, "SLICE", 100)
+    assert list(resolve(0, asked)) == want and len(seen) > 9 and max(seen) < 400
