@@ -22,6 +22,7 @@ each once.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -36,6 +37,8 @@ from .textops import _BYTE, U64, byte_grams, flat, mix, pieces, powers, ranges,
 WINDOW, GRAM = 100, 36
 #: Occurrences from which on a gram's windows are exchanged by their own hashes instead.
 HOT = 100_000
+#: Suffixes of a bucket that are merged at a time, unless more share a gram.
+SLICE = 1 << 16
 #: Grams in a window; an anchor has at most one byte less before it in a window.
 PLACES = WINDOW - GRAM + 1
 
@@ -308,31 +311,43 @@ def earlier_windows(prefix: np.ndarray, near: np.ndarray, far: np.ndarray, left:
     return found
 
 
+def slices(strings: list[list[bytes]], most: int) -> list[list[int]]:
+    """Where each sorted run is cut, a list for each run: slices of about `most` strings in all, of which no two share their first GRAM bytes."""
+    step = max(1, most // max(1, len(strings)))
+    some = sorted(s[:GRAM] for own in strings for s in own[step - 1 :: step])
+    # As each run gives every step-th string, so many of them are `most` strings.
+    pivots = sorted(set(some[len(strings) :: max(1, len(strings))]))
+    return [[0, *(bisect_left(own, p) for p in pivots), len(own)] for own in strings]
+
+
 def _answer_windows(bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> Iterable[tuple[int, bytes]]:
-    """Merges the chunks' runs and tells each, for its entries in order, which windows occur earlier."""
-    runs, near, far, left, doc, start = [], [], [], [], [], []
-    for _, (prefix, a, b, d, s, rest, before) in asked:
-        size = WINDOW - a.astype(np.int64)
-        runs.append((front_decoded(prefix.astype(np.int64), size, rest), prefix.tolist()))
-        wide = np.zeros((len(a), PLACES - 1), np.uint8)
-        wide.ravel()[ranges(np.arange(len(a)) * (PLACES - 1), b.astype(np.int64))] = before
-        near.append(a)
-        far.append(b)
-        left.append(wide)
-        doc.append(d)
-        start.append(s)
-    which, place, prefix = merge_runs(runs)
-    base = np.cumsum([0] + [len(x) for x in near])
-    order = base[np.array(which, np.int64)] + np.array(place, np.int64)
-    doc, start = np.concatenate(doc), np.concatenate(start)
-    by = np.lexsort((start, doc))
-    new = np.concatenate([[False], (doc[by][1:] != doc[by][:-1]) | (start[by][1:] != start[by][:-1])])
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(new)
-    found = np.zeros((len(order), PLACES), bool)
-    found[order] = earlier_windows(np.array(prefix, np.int64), np.concatenate(near)[order].astype(np.int64), np.concatenate(far)[order].astype(np.int64), np.concatenate(left)[order], rank[order])
-    for i, (chunk, _) in enumerate(asked):
-        yield chunk, C.pack(np.array([bucket]), np.packbits(found[base[i] : base[i + 1]]))
+    """Merges the chunks' runs and tells each, for its entries in order, which windows occur earlier. Runs are merged a slice at a time."""
+    strings, found = [], []
+    for _, (prefix, near, *_, rest, _) in asked:
+        strings.append(front_decoded(prefix.astype(np.int64), WINDOW - near.astype(np.int64), rest))
+        found.append(np.zeros((len(near), PLACES), bool))
+    first = [np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)]) for _, a in asked]  # of the bytes before each anchor
+    cuts = slices(strings, SLICE)
+    for k in range(len(cuts[0]) - 1):
+        part = [slice(c[k], c[k + 1]) for c in cuts]
+        near, far, doc, start = (np.concatenate([a[i][p] for (_, a), p in zip(asked, part)]) for i in (1, 2, 3, 4))
+        if not len(near):
+            continue
+        left = np.zeros((len(near), PLACES - 1), np.uint8)
+        left.ravel()[ranges(np.arange(len(near)) * (PLACES - 1), far.astype(np.int64))] = np.concatenate([a[6][f[p.start] : f[p.stop]] for (_, a), f, p in zip(asked, first, part)])
+        which, place, prefix = merge_runs([(own[p], a[0][p].tolist()) for own, (_, a), p in zip(strings, asked, part)])
+        base = np.cumsum([0] + [p.stop - p.start for p in part])
+        order = base[np.array(which, np.int64)] + np.array(place, np.int64)
+        by = np.lexsort((start, doc))
+        new = np.concatenate([[False], (doc[by][1:] != doc[by][:-1]) | (start[by][1:] != start[by][:-1])])
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(new)
+        earlier = np.zeros((len(order), PLACES), bool)
+        earlier[order] = earlier_windows(np.array(prefix, np.int64), near[order].astype(np.int64), far[order].astype(np.int64), left[order], rank[order])
+        for own, p, b in zip(found, part, base):
+            own[p] = earlier[b : b + p.stop - p.start]
+    for (chunk, _), own in zip(asked, found):
+        yield chunk, C.pack(np.array([bucket]), np.packbits(own))
 
 
 def covered(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:

@@ -142,3 +142,22 @@ def test_surroundings_are_resolved_in_slices(monkeypatch):
     monkeypatch.setattr(substring_words, "earlier_starts", lambda window, symbol, *a: seen.append(len(symbol)) or real(window, symbol, *a))
     monkeypatch.setattr(substring_words, "SLICE", 100)
     assert list(resolve(0, asked)) == want and len(seen) > 9 and max(seen) < 400
+
+
+def test_runs_are_merged_in_slices(monkeypatch):
+    """A bucket's runs some suffixes at a time, with the same result: they were all merged at once, whatever they took."""
+    import pyarrow as pa
+
+    texts = [t or "" for t in plain.corpus(4)]
+    asked = []
+    for chunk in range(3):
+        own = texts[chunk::2]
+        c = substring_bytes.Chunk(pa.table({"doc_id": pa.array(range(chunk * 1000, chunk * 1000 + len(own)), pa.int64()), "text": own}), "text", "doc_id")
+        c.suffixes()
+        asked += [(chunk, C.unpack(blob)) for _, _, blob in c.runs(chunk, 1)]
+    want = list(substring_bytes._answer_windows(0, asked))
+    seen, real = [], substring_bytes.merge_runs
+    monkeypatch.setattr(substring_bytes, "merge_runs", lambda runs: seen.append(sum(len(r[0]) for r in runs)) or real(runs))
+    monkeypatch.setattr(substring_bytes, "SLICE", 30)
+    assert list(substring_bytes._answer_windows(0, asked)) == want and any(np.unpackbits(C.unpack(b)[1]).any() for _, b in want)
+    assert len(seen) > 5 and max(seen) < sum(seen) / 3
